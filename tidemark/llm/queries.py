@@ -1,13 +1,16 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, packing, tokencount
+from . import bpe, media, packing, secretscan, simhash, tokencount
 
 
 def queries() -> dict:
     return {
         "op2_digest_cache_counts": tokencount.query,
+        "op3_ball_hashing": simhash.query,
         "op5_trie_bpe": bpe.query,
+        "op7_tar_media": media.query,
+        "op8_blob_ledger": secretscan.query,
         "op10_window_packing": packing.query,
     }
 

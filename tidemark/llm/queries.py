@@ -1,16 +1,18 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, media, packing, secretscan, simhash, tokencount
+from . import bpe, langid, media, packing, secretscan, simhash, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_digest_cache_counts": tokencount.query,
         "op3_ball_hashing": simhash.query,
+        "op4_lexicon_automata": toxicity.query,
         "op5_trie_bpe": bpe.query,
         "op7_tar_media": media.query,
         "op8_blob_ledger": secretscan.query,
+        "op9_crf_language": langid.query,
         "op10_window_packing": packing.query,
     }
 

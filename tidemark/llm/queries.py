@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, langid, media, packing, secretscan, simhash, tokencount, toxicity
+from . import bpe, langid, media, packing, quotes, secretscan, simhash, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quotation_linking": quotes.query,
+        "llm_mail_threads": quotes.mail_query,
         "op2_digest_cache_counts": tokencount.query,
         "op3_ball_hashing": simhash.query,
         "op4_lexicon_automata": toxicity.query,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quotation_linking": quotes.SQL, "llm_mail_threads": quotes.MAIL_SQL}

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, langid, media, packing, quotes, secretscan, simhash, tokencount, toxicity
+from . import bpe, langid, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ball_hashing": simhash.query,
         "op4_lexicon_automata": toxicity.query,
         "op5_trie_bpe": bpe.query,
+        "op6_cover_tree_topk": topk.query,
         "op7_tar_media": media.query,
         "op8_blob_ledger": secretscan.query,
         "op9_crf_language": langid.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": quotes.SQL, "llm_mail_threads": quotes.MAIL_SQL}
+    return {"op1_quotation_linking": quotes.SQL, "op6_cover_tree_topk": topk.SQL, "llm_mail_threads": quotes.MAIL_SQL}

@@ -1,0 +1,380 @@
+"""The ten operators against libraries, brute force and small hand-made tables."""
+import hashlib
+import itertools
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+import public_tokenizers
+from tidemark.llm import bpe, common, langid, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+ODD = [None, "", " ", "\n\n", "a", "don't  <|endoftext|>x <|ENDOFTEXT|> İΣΑΣ\t é é\xa0b\x1cz 你好 🎉🎉\r\n", "\0", "x" * 5000, "long text. " * 4000, "same", "same", " lead", "trail\n", "a \n b   c\n\n\nd"]
+
+
+def odd_docs(spark):
+    rows = [(i, t, "en", None, 1.5) for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, _x double")
+
+
+def fuzz(n, seed=0):
+    r = random.Random(seed)
+    letters = "abcdehilnorstuABC éñß中🎉'’.,!-123 \n\t"
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def word():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORD)
+
+
+def test_trie_bpe_is_the_library(word):
+    texts = [t or "" for t in ODD] + fuzz(1500)
+    tokens = [t.replace("</w>", "") for t in word.get_vocab()]
+    r = random.Random(3)
+    texts += ["".join(r.choice(tokens) for _ in range(5)) for _ in range(1500)]
+    texts += ["aaaaaaa", "a" * 33, "abababab" * 5, "cccc", "!!!!!!!!!!!!"]
+    want = [e.ids for e in word.encode_batch(texts, add_special_tokens=False)]
+    got = bpe.load(WORD).encode_texts(texts)
+    assert [g[0] for g in got] == [" ".join(map(str, w)) for w in want]
+    assert [g[1] for g in got] == [word.decode(w, skip_special_tokens=False) for w in want]
+    assert [g[2] for g in got] == [len(w) for w in want]
+
+
+def test_counts_use_the_cache(spark, word):
+    docs = odd_docs(spark)
+    path = common.scratch(spark, "cache")
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, WORD, path).collect()}
+    assert got == {i: len(word.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+    first = spark.read.parquet(path).count()
+    more = docs.union(docs.limit(1).withColumn("text", common.F.lit("quite new")))
+    assert tokencount.token_counts(more, WORD, path).count() == len(ODD) + 1
+    assert spark.read.parquet(path).count() == first + 1
+    assert tokencount.token_counts(docs.limit(0), WORD, path).count() == 0
+
+
+def test_counts_of_other_tokenizers(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    docs = odd_docs(spark)
+    piece = public_tokenizers.path("piece_bpe_32k.model")
+    sp, tk = sentencepiece.SentencePieceProcessor(model_file=piece), Tokenizer.from_file(BYTE)
+    for path, n in ((piece, lambda t: len(sp.encode(t))), (BYTE, lambda t: len(tk.encode(t, add_special_tokens=False).ids))):
+        got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, path, common.scratch(spark, "cache")).collect()}
+        assert got == {i: n(t or "") for i, t in enumerate(ODD)}
+
+
+def plain_print(text):
+    w = text.encode().lower().split()
+    runs = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_fingerprints():
+    texts = [t or "" for t in ODD] + fuzz(200, 5) + ["Aa b " * 400, "x" * 40 + " y z w"]
+    assert [int(x) & (1 << 64) - 1 for x in simhash.fingerprints(texts)] == [plain_print(t) for t in texts]
+
+
+def test_every_pair_within_the_radius_collides():
+    r = random.Random(1)
+    variants = simhash._variants()
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for k in r.sample(range(64), r.randint(1, 3)):
+            b ^= 1 << k
+        a, b = simhash._signed(a), simhash._signed(b)
+        assert {a & m ^ f for m, f in variants} & {b & m ^ f for m, f in variants}
+
+
+def test_near_groups_of_either_size():
+    r = np.random.default_rng(0)
+    base = [int(x) for x in r.integers(0, 2**63, 4)]
+    fps = np.unique(np.array([simhash._signed(b ^ 1 << int(r.integers(64)) ^ 1 << int(r.integers(64))) for b in base for _ in range(60)], np.int64))
+    want = plain_components([int(x) & (1 << 64) - 1 for x in fps])
+    got = {int(x): i for i, g in enumerate(simhash._near(fps)) for x in g}
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        assert (want[i] == want[j]) == (got.get(int(fps[i]), -1 - i) == got.get(int(fps[j]), -1 - j))
+
+
+def test_near_duplicates(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd_docs(spark).selectExpr("doc_id + 100000", "text"))
+    rows = docs.orderBy("doc_id").collect()
+    prints = [plain_print(r.text or "") for r in rows]
+    want = {r.doc_id: (f"{p:016x}", rows[c].doc_id) for r, p, c in zip(rows, prints, plain_components(prints))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()} == want
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_chains_become_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {501: 500}
+
+
+def test_automaton_is_levenshtein():
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, last = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(last[j] + 1, d[-1] + 1, last[j - 1] + (x != y)))
+        return d[-1]
+
+    terms = ["idiot", "scum", "moron", "worthless"]
+    auto = toxicity.Automaton(dict.fromkeys(terms, False))
+    r = random.Random(2)
+    for _ in range(1500):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(w))
+            w[k : k + r.randint(0, 1)] = r.choice(["", "o", "x", "i"])
+        w = "".join(w)
+        best = min(d for t in terms if (d := distance(w, t)) <= toxicity.edits(t)) if any(distance(w, t) <= toxicity.edits(t) for t in terms) else None
+        assert auto.read(w) == best, w
+    stem = toxicity.Automaton({"lowei": True})
+    assert stem.read("loweischaft") == 0 and stem.read("lowaischaft") == 1 and stem.read("low") is None
+
+
+def test_toxicity_context():
+    m = toxicity.Model({"idiot": False})
+    score = lambda t: float(m.scores([t])[0])
+    assert score("what an idiot here") > 0.7 > score("nothing here") and score("what an idiiot you idlot") > score("nothing")
+    assert score('he said "idiot" once') < score('the word "idiot" once') < score("the idiot once") < score("you idiot once")
+    assert score("> idiot\nfine") < score("idiot\nfine") and score("") == score("fine")
+    assert m.piece("id10t") == 2 and m.piece("(IDIOT!)") == 1
+
+
+def test_toxicity_fit(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs.withColumn("score", common.F.lit("clash")), model).join(labels, "doc_id").filter(toxicity.held_out("doc_id", 3, 1)).select("toxic", "score").toPandas()
+    assert (got.score >= 0.7)[got.toxic == 1].mean() > 0.6 and (got.score < 0.7)[got.toxic == 0].mean() > 0.98
+    assert toxicity.fit(docs, labels.limit(0)).terms == {} and toxicity.score(odd_docs(spark), model).count() == len(ODD)
+
+
+def test_forward_backward_is_enumeration():
+    r = np.random.default_rng(0)
+    moves = r.normal(size=(3, 3))
+    chains = [r.normal(size=(n, 3)) for n in (1, 4, 2, 5, 0)]
+    for e, got in zip(chains, langid.marginals(chains, moves)):
+        want = np.zeros(e.shape)
+        for path in itertools.product(range(3), repeat=len(e)):
+            p = np.exp(sum(e[t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            for t, y in enumerate(path):
+                want[t, y] += p
+        if len(e):
+            np.testing.assert_allclose(got, want / want.sum(1, keepdims=True), rtol=1e-9)
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    got = langid.identify(docs, model).filter(toxicity.held_out("doc_id", 4, 2)).select("lang", "lang_pred").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.97
+    odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd_docs(spark), model).collect()}
+    assert all(odd[i] == ("und", 0.0) for i in (0, 1, 2, 3, 6)) and len(odd) == len(ODD)
+    words = model.label(["the and of that with thing ist nicht und der die schön"])[0]
+    assert model.langs[int(words[0][1].argmax())] == "en" and model.langs[int(words[-3][1].argmax())] == "de"
+    assert langid.fit(docs.limit(0)).langs == []
+    a, b = langid.hashed(["ab", "cde"]), langid.hashed(["cde"])
+    assert sorted(a[0][a[1][1] :]) == sorted(b[0])
+
+
+def test_secret_spans():
+    text = 'Password = "abcdefghijkl" secret:token:abcdefghijklmnop AKIAABCDEFGHIJKLMN AKIASHORT 0123456789abcdef0 token=short PASSWD:ABCDEFGHIJKLMNOP ſecret=abcdefghijklm'
+    base = []
+    for k, (kind, p, ok) in enumerate((("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16))):
+        base += [(m.start(), k, kind, m.end()) for m in p.finditer(text) if ok(m)]
+    assert [x for x in secretscan.scan_text(text) if x[1] < 3] == sorted(base) and len(base) == 4
+
+
+def test_ledger_scans_once(spark):
+    path = common.scratch(spark, "ledger")
+    rows = odd_docs(spark).union(spark.createDataFrame([(90, "password=abcdefghijklmnop0123456789abcdef end", "en", 1.0, 1.0)], "a long, b string, c string, d double, e double"))
+    first = secretscan.scan(rows, path)
+    assert first.count() == len(ODD) + 1
+    n = spark.read.parquet(path).count()
+    again = secretscan.redact(secretscan.scan(rows, path)).filter("doc_id = 90").first()
+    assert spark.read.parquet(path).count() == n == len({t or "" for t in ODD}) + 1
+    assert again.text == "[SECRET] end" and again.n_assign == 1 and again.n_hex == 1
+
+
+def test_media_round_trip(spark):
+    for text in (b"", b"x", b"y" * 192, b"z" * 193, os.urandom(1000)):
+        payload = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+        png = media.to_png(payload)
+        assert media.from_png(png) == payload and media.png_header(png[:33]) == (64, len(payload) // 192, 8)
+    keyed = odd_docs(spark).select("doc_id", media.payload_of("text").alias("payload")).withColumn("digest", common.F.sha2("payload", 256))
+    folder = common.scratch(spark, "media")
+    index = media.store(keyed, folder)
+    found = {r.digest: r for r in media.features(media.metadata(index, folder), folder).collect()}
+    for r in keyed.collect():
+        t = (ODD[r.doc_id] or "").encode()
+        payload = t + b" " * (max(192, -(-len(t) // 192) * 192) - len(t))
+        got = found[r.digest]
+        assert bytes(r.payload) == payload and got.payload_sha256 == r.digest == hashlib.sha256(payload).hexdigest() and got.tail_crc32 == zlib.crc32(payload[-16:])
+    assert len(found) == index.count() == keyed.select("digest").distinct().count()
+    import tarfile
+
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(folder)
+    for shard in {r.shard for r in index.collect()}:
+        with tarfile.open(f"{root}/{shard}") as tar:
+            assert all(re.fullmatch("[0-9a-f]{64}.png", n) for n in tar.getnames())
+
+
+def check_packing(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(BYTE)
+    ids = {i: np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}
+    got = packing.pack(docs, BYTE, 1, partitions=2).toPandas()
+    for r in got.itertuples():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length > 0 and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(v) for i, v in ids.items()}
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
+    return got
+
+
+def test_packing(spark):
+    check_packing(spark, odd_docs(spark), dict(enumerate(ODD)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = check_packing(spark, docs, {r.doc_id: r.text for r in docs.collect()})
+    sizes = got.groupby("sequence_id").length.sum()
+    assert sum(0 if s & (s - 1) == 0 else 2048 - s for s in sizes) < 0.02 * sizes.sum()
+    assert packing.pack(docs.limit(0), BYTE, 1).count() == 0
+
+
+def test_plan_is_least():
+    r = random.Random(0)
+    for _ in range(60):
+        ends = list(itertools.accumulate(r.randint(1, 6) for _ in range(r.randint(1, 9))))
+        inside = [r.random() < 0.5 for _ in ends]
+
+        def cost(cuts):
+            total, at = 0, 0
+            for c in cuts:
+                size = ends[c] - at
+                if size > 8:
+                    return 10**9
+                total += (min(3, 8 - size) if size in (1, 2, 4) else 8 - size) + (3 if inside[c] else 0)
+                at = ends[c]
+            return total
+
+        cuts = packing.plan(ends, inside, 8, 3)
+        best = min(cost([*c, cuts[-1]]) for k in range(cuts[-1] + 1) for c in itertools.combinations(range(cuts[-1]), k))
+        assert cost(cuts) == best
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 8)) / 3
+    x[100:250] = x[100]  # one common vector
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (420, []), (440, [1.0, None] + [0.0] * 6), (460, [float("nan")] * 8), (480, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", common.F.lit(1))
+    q = np.floor(64 * x)
+    want = []
+    for i in range(0, 400, 20):
+        s = sorted(((-int(q[i] @ q[j]), j) for j in range(400) if j != i))[:20]
+        want += [(i, k + 1, j, -v) for k, (v, j) in enumerate(s)]
+    got = [tuple(t) for t in topk.top_k(df, sample=64, leaves=8, block=32).orderBy("query_id", "rank").collect()]
+    assert got == want
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id in (0, 20, 1)")).count() == 4
+
+
+def test_cover_tree_covers():
+    x = np.random.default_rng(1).normal(size=(300, 5))
+    levels = topk.cover_tree(x, 64)
+    radius = np.sqrt(((x - x[0]) ** 2).sum(1).max())
+    for depth, (centres, _) in enumerate(levels):
+        d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2)).min(1)
+        assert d.max() <= radius / 2**depth + 1e-9
+
+
+MAIL = [
+    (1, 0, "user", "Hello there.\nSecond line."),
+    (1, 1, "assistant", "> Hello there.\n> Second line.\nMy answer."),
+    (1, 2, "user", "> > Hello there.\n> My   ANSWER.\nThanks."),
+    (1, 3, "user", "> Second line.\nAbout that line."),
+    (1, 4, "user", "> nobody wrote this\nNew."),
+    (1, 4, "user", "> nobody wrote this\nNew."),
+    (1, 5, "user", None),
+    (2, 0, "user", ""),
+    (2, 1, None, "> Hello there.\nOther conversation."),
+    (None, None, "user", "> x"),
+]
+
+
+def test_quotes(spark):
+    df = spark.createDataFrame(MAIL, "conv_id long, turn long, role string, text string").withColumn("depth", common.F.lit("clash"))
+    got = {(r.conv_id, r.turn): r for r in quotes.linked(df).collect()}
+    assert len(quotes.linked(df).collect()) == len(MAIL)
+    assert [(got[1, t].reply_to, got[1, t].thread, got[1, t].depth) for t in range(6)] == [(None, 0, 0), (0, 0, 1), (1, 0, 2), (0, 0, 1), (None, 4, 0), (None, 5, 0)]
+    assert got[1, 2].clean == "Thanks." and got[1, 2].n_quotes == 2 and got[1, 5].clean is None and got[2, 1].reply_to is None
+    assert got[1, 1].chat == "<|assistant|>\nMy answer.\n<|end|>"
+    assert quotes.linked(df.limit(0)).count() == 0
+
+
+def test_quotes_match_sql(spark, sf):
+    import duckdb
+
+    mail = quotes.with_quotes(spark.read.parquet(f"{sf}/conversations.parquet")).toPandas()
+    assert mail.text.str.startswith("> ").any()
+    got = quotes.mail_query(spark, sf).toPandas()
+    assert got.reply_to.notna().mean() > 0.3
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    want = con.execute(quotes.MAIL_SQL).df()[list(got.columns)]
+    key = list(got.columns)
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    names = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        out = common.cut(stage(spark, docs, sf), "test")
+        assert out.columns == names and 0.5 * docs.count() < out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name == "near_duplicates":
+            rows = docs.orderBy("doc_id").collect()
+            roots = plain_components([plain_print(r.text or "") for r in rows])
+            assert {r.doc_id for r in out.collect()} == {rows[i].doc_id for i in set(roots)}
+        if name == "secrets":
+            assert out.count() == docs.count() and not any(secretscan.scan_text(r.text or "") for r in out.collect())
+        docs = out
+    packed = p.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}

@@ -37,7 +37,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line starts with filter type 0
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", ROW // 3, len(rows), 8, 2, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -71,22 +71,6 @@ def payload_of(text: str) -> Column:
     return F.encode(F.concat(body, F.repeat(F.lit(" "), full - n)), "UTF-8")
 
 
-def _to_media(batches):
-    """Images of payloads; a digest that this task has met lately is left out."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, media = [], []
-        for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if digest in seen:
-                continue
-            if len(seen) >= 500_000:
-                seen.clear()
-            seen.add(digest)
-            digests.append(digest)
-            media.append(to_png(payload.as_buffer().to_pybytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
-
-
 def _open(uri: str):
     from pyarrow import fs
 
@@ -94,18 +78,21 @@ def _open(uri: str):
 
 
 def _write_shards(folder: str):
-    """Tar shards of the partition's images, which come sorted by digest; of equal ones the first is stored."""
+    """Tar shards of a task's payloads as images; a digest that the task has met lately is not stored again."""
 
     def run(batches):
         files, root = _open(folder)
         out = name = None
-        at, last = 0, None
+        at, seen = 0, set()
         for batch in batches:
             rows = []
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest == last:
+            for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if digest in seen:
                     continue
-                last, body = digest, media.as_buffer()
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(digest)
+                media = to_png(payload.as_buffer().to_pybytes())
                 if out is None or at >= SHARD_BYTES:
                     if out is not None:
                         out.write(b"\0" * 1024)
@@ -114,12 +101,12 @@ def _write_shards(folder: str):
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(f"{root}/{name}")
                 info = tarfile.TarInfo(f"{digest}.png")
-                info.size = body.size
+                info.size = len(media)
                 out.write(info.tobuf(tarfile.USTAR_FORMAT))
-                out.write(body)
-                out.write(b"\0" * (-body.size % 512))
-                rows.append((digest, name, at + 512, body.size))
-                at += 512 + body.size + -body.size % 512
+                out.write(media)
+                out.write(b"\0" * (-len(media) % 512))
+                rows.append((digest, name, at + 512, len(media)))
+                at += 512 + len(media) + -len(media) % 512
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["digest", "shard", "offset", "length"])
         if out is not None:
@@ -130,15 +117,17 @@ def _write_shards(folder: str):
 
 
 def store(rows: DataFrame, folder: str, digest: str = "digest", payload: str = "payload") -> DataFrame:
-    """Write each distinct payload into tar shards below folder, and give their index (digest, shard, offset, length).
+    """Write payloads into tar shards below folder, and give their index (digest, shard, offset, length): one place for
+    each distinct payload.
 
-    The index is itself a table in the shared folder: it names the shards of the tasks that succeeded, so a task that is
-    run again leaves at most a shard that nothing points to. Each task drops copies before the shuffle, so a digest that a
-    third of the rows share arrives once per task. An empty table gives an empty index.
+    Payloads aren't shuffled: each task writes what it reads, copies once, and of the places that several tasks have for a
+    digest the index keeps the least. It is itself a table in the shared folder and names the shards of the tasks that
+    succeeded, so a task that is run again leaves at most a shard that nothing points to. An empty table gives an empty
+    index.
     """
-    media = rows.select(F.col(digest).alias("digest"), F.col(payload).alias("payload")).mapInArrow(_to_media, "digest string, media binary")
-    media = media.repartition(F.col("digest")).sortWithinPartitions("digest")
-    return common.cut(media.mapInArrow(_write_shards(folder), INDEX_SCHEMA), "media-index")
+    placed = common.cut(rows.select(F.col(digest).alias("digest"), F.col(payload).alias("payload")).mapInArrow(_write_shards(folder), INDEX_SCHEMA), "media-places")
+    one = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return one.select("digest", "at.*").repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
 
 
 def _ranges(folder: str, read, schema: pa.Schema):
@@ -200,5 +189,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     keyed = docs.select("doc_id", F.octet_length(common.whole("text")).cast("long").alias("n_bytes"), payload_of("text").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     folder = common.scratch(spark, "media")
     index = store(keyed, folder)
-    found = common.cut(features(metadata(index, folder), folder), "media-features")
+    found = features(metadata(index, folder), folder)
     return keyed.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")

@@ -1,10 +1,671 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries and the SQL that gives the same rows. A query's name begins with the inventory rows it covers."""
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import ops, scalars
+from ..operators import bars as prep, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans
+from ..sources import fixtures as fx, io
+from ..sources.fixtures import out
+
+K = ["symbol", "start_time"]
+
+
+def weekly(spark, d):
+    return fx.bars(spark, d, "1W")
+
+
+def hourly(spark, d):
+    return fx.event_bars(spark, d, "1H")
+
+
+def daily(spark, d):
+    return fx.bars(spark, d, "1D")
+
+
+def show(df: DataFrame, cols: list[str], keys=K) -> DataFrame:
+    """Keys as they are, numbers in single precision."""
+    kinds = dict(df.dtypes)
+    return df.select(*keys, *[out(F.col(c)).alias(c) if kinds[c] in ("double", "float") or kinds[c].startswith("decimal") else F.col(c) for c in cols])
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly bars, candle and rolling factors, next return, IC summary and bucket spread of each brand."""
+    df = fa.alpha158(weekly(spark, d), windows=(10,))
+    return ev.report(df, "ROC10")
+
+
+# SQL ------------------------------------------------------------------------------------------------------------------
+
+_ROW = "(l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity)"
+
+
+def _sql_bars(ms: int, symbol: str, source: str, price: str, at: str, order: str, qty: str, value: str) -> str:
+    return f"""select {symbol} as symbol, epoch_ms({at}) // {ms} * {ms} as start_time, arg_min({price}, {order}) as open, max({price}) as high, min({price}) as low, arg_max({price}, {order}) as close,
+  sum({qty}) as volume, sum({value}) as amount from {source} group by 1, 2"""
+
+
+def _bars(tf: str) -> str:
+    from ..schema import TIMEFRAMES
+
+    ms = TIMEFRAMES[tf]
+    if tf == "1H":
+        return _sql_bars(ms, "event_type", "events", "(value + 1)", "ts", "row(ts, event_id)", "1.0", "value + 1")
+    return _sql_bars(ms, "p_brand", "lineitem join part on l_partkey = p_partkey", "(l_extendedprice / l_quantity)", "l_shipdate", f"row{_ROW}", "l_quantity", "l_extendedprice")
+
+
+def sql(body: str, tf: str = "1W") -> str:
+    return f"with b as ({_bars(tf)}),\n{body}"
+
+
+def f32(x: str, name: str) -> str:
+    return f"cast({x} + 0.0 as float) as {name}"
+
+
+def rows(n: int) -> str:
+    return f"(partition by symbol order by start_time rows between {n - 1} preceding and current row)"
+
+
+def g(agg: str, x: str, n: int) -> str:
+    """Guarded rolling aggregate."""
+    return f"case when count({x}) over {rows(n)} >= {n} then {agg}({x}) over {rows(n)} end"
+
+
+ORD = "(partition by symbol order by start_time)"
+BAR6 = ", ".join(f32(c, c) for c in ("open", "high", "low", "close", "volume", "amount"))
+SAME = ["open", "high", "low", "close", "volume", "amount"]
+
+Q: dict = {}
+O: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def keep(f):
+        Q[name] = f
+        if oracle:
+            O[name] = oracle
+        return f
+
+    return keep
+
+
+for _tf, _f in (("1W", weekly), ("1D", daily), ("1H", hourly)):
+    register(f"bars_{_tf.lower()}", sql(f"x as (select 1) select symbol, start_time, {BAR6} from b", _tf))(lambda spark, d, f=_f: show(f(spark, d), SAME))
+
+
+@register("a1_read_bars", sql(f"x as (select 1) select symbol, start_time, {BAR6} from b where symbol in ('Brand#11', 'Brand#12') and start_time between 800000000000 and 900000000000"))
+def _(spark, d):
+    return show(io.read_bars(weekly(spark, d), start=800_000_000_000, end=900_000_000_000, symbol=["Brand#11", "Brand#12"]), SAME)
+
+
+@register("a3_dedup", "select o_custkey % 500 as symbol, epoch_ms(o_orderdate) // 2592000000 * 2592000000 as start_time, cast(arg_max(o_totalprice, o_orderkey) as float) as close from orders group by all")
+def _(spark, d):
+    o = fx.table(spark, d, "orders")
+    u = o.select((F.col("o_custkey") % 500).alias("symbol"), (F.floor(scalars.ntz_ms("o_orderdate") / 2_592_000_000) * 2_592_000_000).alias("start_time"), F.col("o_totalprice").alias("close"), F.col("o_orderkey").alias("v"))
+    u = u.withColumns({c: F.lit("x") for c in ("market", "quote_currency", "timeframe")}).withColumn("ins_type", F.lit(1))
+    return show(io.dedup_bars(u, "v"), ["close"])
+
+
+@register("a5_catalog", "select list_sort(list(distinct event_type))::varchar as symbols, 5 as n from events")
+def _(spark, d):
+    c = io.catalog(hourly(spark, d))
+    return c.select(F.concat(F.lit("["), F.concat_ws(", ", "symbols"), F.lit("]")).alias("symbols"), F.size(F.col("symbols")).alias("n"))
+
+
+@register("a6_row_key", "select p_brand || '_USDT_1_1W' as k, p_brand as symbol, 1 as ins_type from part group by p_brand")
+def _(spark, d):
+    p = fx.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    k = p.withColumns({"quote_currency": F.lit("USDT"), "ins_type": F.lit(1), "timeframe": F.lit("1W")}).select(scalars.row_key().alias("k"))
+    s = scalars.parse_row_key("k")
+    return k.select("k", s["symbol"].alias("symbol"), s["ins_type"].alias("ins_type"))
+
+
+@register("a7_expand_keys", "select r_name as symbol, q.q as quote_currency, t.t as timeframe from region, (values ('USDT'), ('BTC')) q(q), (values ('1m'), ('1H'), ('1D')) t(t)")
+def _(spark, d):
+    names = [r.r_name for r in fx.table(spark, d, "region").select("r_name").collect()]
+    return io.expand_keys(spark, names, ["USDT", "BTC"], [1], ["1m", "1H", "1D"]).select("symbol", "quote_currency", "timeframe")
+
+
+@register("a11_slice", sql(f"x as (select 1) select symbol, start_time, {BAR6} from b where start_time >= 800000000000 and start_time + 604800000 <= 900000000000"))
+def _(spark, d):
+    return show(io.slice_range(weekly(spark, d), 800_000_000_000, 900_000_000_000), SAME)
+
+
+@register("a13_timeframes", "select distinct event_type as symbol, cast(3600000 as bigint) as ms, '1H' as back, 'tick' as odd from events")
+def _(spark, d):
+    b = hourly(spark, d).select("symbol", "timeframe").distinct()
+    return b.select("symbol", scalars.tf_ms("timeframe").alias("ms"), scalars.tf_from_ms(scalars.tf_ms("timeframe")).alias("back"), scalars.tf_from_ms(F.lit(7)).alias("odd"))
+
+
+@register("a14_dates", "select o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) as d8, epoch_ms(date_trunc('day', o_orderdate)) as d10, epoch_ms(date_trunc('minute', o_orderdate)) as d16, strftime(o_orderdate, '%Y%m%d') as f, true as same from orders")
+def _(spark, d):
+    o = fx.table(spark, d, "orders")
+    t = lambda p: F.date_format("o_orderdate", p)
+    ms = scalars.ntz_ms("o_orderdate")
+    day = F.date_format(F.expr("timestampadd(MILLISECOND, _ms, timestamp_ntz'1970-01-01 00:00:00')"), "yyyyMMdd")
+    r = o.withColumn("_ms", ms).select("o_orderkey", *[(scalars.to_ms(t(p)) + (ms - F.unix_millis(F.col("o_orderdate").cast("timestamp")))).alias(n) for n, p in (("d8", "yyyyMMdd"), ("d10", "yyyy-MM-dd"), ("d16", "yyyy-MM-dd HH:mm"))], day.alias("f"), scalars.is_same_day(ms, ms).alias("same"))
+    return r
+
+
+@register("a15_quantize", "select o_orderkey, cast(trunc(cast(o_totalprice as decimal(18,4)) * 10) / 10 as double) as down, cast(ceil(cast(o_totalprice as decimal(18,4)) * 10) / 10 as double) as up from orders")
+def _(spark, d):
+    x = F.col("o_totalprice").cast("decimal(18,4)")
+    return fx.table(spark, d, "orders").select("o_orderkey", scalars.quantize(x, 1, 2).cast("double").alias("down"), scalars.quantize(x, 1, 1).cast("double").alias("up"))
+
+
+@register("b1_drop_stale", """with u as (select event_type as symbol, event_id, epoch_ms(ts) // 3600000 * 3600000 as start_time, event_id % 3 = 0 as done from events),
+s as (select *, max(case when done then start_time end) over (partition by symbol order by event_id rows between unbounded preceding and 1 preceding) as seen from u)
+select symbol, event_id, start_time from s where seen is null or start_time > seen""")
+def _(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("symbol"), "event_id", (F.floor(scalars.ntz_ms("ts") / 3_600_000) * 3_600_000).alias("start_time"), (F.col("event_id") % 3 == 0).alias("is_finished"))
+    e = e.withColumns({c: F.lit("x") for c in ("market", "quote_currency", "ins_type", "timeframe")})
+    return prep.drop_stale(e, "event_id").select("symbol", "event_id", "start_time")
+
+
+@register("b3_gaps", sql(f"x as (select *, coalesce(greatest((start_time - lag(start_time) over {ORD}) // 604800000 - 1, 0), 0) as missing from b) select symbol, start_time, cast(missing as bigint) as missing from x"))
+def _(spark, d):
+    return prep.gaps(weekly(spark, d)).select("symbol", "start_time", "missing")
+
+
+_FILL = f"""s as (select *, lead(start_time) over {ORD} as nt, lead(open) over {ORD} as no, avg(volume) over {rows(5)} as v5, avg(amount) over {rows(5)} as a5 from b),
+k as (select *, cast((nt - start_time) // {{ms}} - 1 as bigint) as k from s where nt - start_time > {{ms}}),
+e as (select *, unnest(generate_series(1, k)) as i from k),
+m as (select symbol, start_time + i * {{ms}} as start_time, case when i = 1 then close else (high + low) / 2 end as open, case when i = k then no else (high + low) / 2 end as close, high as ph, low as pl, v5 as volume, a5 as amount from e),
+u as (select symbol, start_time, open, high, low, close, volume, amount, false as is_filled from b union all select symbol, start_time, open, greatest(open, close, ph), least(open, close, pl), close, volume, amount, true from m)
+select symbol, start_time, {BAR6}, is_filled from u"""
+
+
+@register("b4_fill_gaps", sql(_FILL.format(ms=3_600_000), "1H"))
+def _(spark, d):
+    return show(prep.fill_gaps(hourly(spark, d)), [*SAME, "is_filled"])
+
+
+@register("b5_fill_from_second")
+def _(spark, d):
+    b = hourly(spark, d)
+    return show(prep.fill_gaps(b.filter((F.col("start_time") / 3_600_000) % 5 != 0), secondary=b), [*SAME, "is_filled"])
+
+
+@register("b6_history", sql("x as (select *, row_number() over (partition by symbol order by start_time desc) as k from b where start_time < 1704153600000) select symbol, start_time, true as history_data from x where k <= 20 union all select symbol, start_time, false from b where start_time >= 1704153600000", "1H"))
+def _(spark, d):
+    b = hourly(spark, d)
+    cut = 1_704_153_600_000
+    return prep.with_history(b.filter(F.col("start_time") >= cut), b.filter(F.col("start_time") < cut), 20).select("symbol", "start_time", "history_data")
+
+
+@register("b7_throttle")
+def _(spark, d):
+    return show(prep.throttle(hourly(spark, d), 0.5, 7200.0), SAME)
+
+
+_MERGE = """x as (select *, start_time // 14400000 * 14400000 as k from b), m as (select symbol, k, arg_min(open, start_time) as open, max(high) as high, min(low) as low, arg_max(close, start_time) as close, sum(volume) as volume, sum(amount) as amount, min(start_time) as f, count(*) = 4 as is_finished from x group by all),
+y as (select *, min(k) over (partition by symbol) as lead from m)"""
+
+
+@register("b8_merge", sql(f"{_MERGE} select symbol, k as start_time, {BAR6}, is_finished from y where k > lead or f = k", "1H"))
+def _(spark, d):
+    return show(prep.merge_bars(hourly(spark, d), 4), [*SAME, "is_finished"])
+
+
+@register("b9_merge_running", sql("""x as (select *, start_time // 14400000 * 14400000 as k from b)
+select symbol, start_time, cast(first(open) over w as float) as m_open, cast(max(high) over w as float) as m_high, cast(min(low) over w as float) as m_low, cast(sum(volume) over w as float) as m_volume from x window w as (partition by symbol, k order by start_time)""", "1H"))
+def _(spark, d):
+    return show(prep.merge_bars_running(hourly(spark, d), 4), ["m_open", "m_high", "m_low", "m_volume"])
+
+
+@register("b10_b11_b12_columns", sql(f"x as (select *, amount / (volume + 1e-12) as vwap, close * volume as a2 from b) select symbol, start_time, {f32('vwap', 'vwap')}, {f32('a2', 'amount')} from x"))
+def _(spark, d):
+    df = prep.with_amount(prep.with_vwap(prep.ffill_zero(weekly(spark, d), ["close"])).drop("amount"))
+    return show(df, ["vwap", "amount"])
+
+
+# Operator algebra
+
+
+def _avg_rank(x: str, by: str) -> str:
+    return f"case when {x} is not null then (rank() over (partition by {by} order by {x} asc nulls last) + (count(*) over (partition by {by}, {x}) - 1) / 2.0) / count({x}) over (partition by {by}) end"
+
+
+_CORR = f"case when count(case when volume is not null then close end) over {rows(10)} >= 10 and max(close) over {rows(10)} > min(close) over {rows(10)} and max(volume) over {rows(10)} > min(volume) over {rows(10)} then covar_samp(close, volume) over {rows(10)} / (stddev_samp(close) over {rows(10)} * stddev_samp(volume) over {rows(10)}) end"
+
+
+@register("o1_o7_o20_rolling", sql(f"""x as (select *, lag(close, 3) over {ORD} as delay3, close - lag(close, 3) over {ORD} as delta3, {g('sum', 'close', 10)} as s, {g('avg', 'close', 10)} as a, {g('min', 'low', 10)} as mn, {g('max', 'high', 10)} as mx,
+ {g('product', 'close', 3)} as pr, {_CORR} as cr, case when count(close) over {rows(10)} >= 10 then covar_samp(close, volume) over {rows(10)} end as cv, close / lag(close) over {ORD} - 1 as r from b)
+select symbol, start_time, {f32('delay3', 'delay3')}, {f32('round(delta3, 4)', 'delta3')}, {f32('s', 's')}, {f32('a', 'a')}, {f32('mn', 'mn')}, {f32('mx', 'mx')}, {f32('pr', 'pr')}, {f32('round(cr, 6)', 'cr')}, {f32('round(r, 8)', 'r')} from x"""))
+def _(spark, d):
+    df = weekly(spark, d).withColumns({
+        "delay3": ops.delay("close", 3), "delta3": F.round(ops.delta("close", 3), 4), "s": ops.ts_sum("close", 10), "a": ops.mean("close", 10), "mn": ops.ts_min("low", 10), "mx": ops.ts_max("high", 10),
+        "pr": ops.prod("close", 3), "cr": F.round(ops.corr("close", "volume", 10), 6), "r": F.round(ops.returns(), 8),
+    })
+    return show(df, ["delay3", "delta3", "s", "a", "mn", "mx", "pr", "cr", "r"])
+
+
+@register("o8_rank", sql(f"x as (select *, {_avg_rank('close', 'symbol')} as rs, {_avg_rank('close', 'start_time')} as rc from b) select symbol, start_time, {f32('rs', 'rs')}, {f32('rc', 'rc')} from x"))
+def _(spark, d):
+    return show(weekly(spark, d).withColumns({"rs": ops.rank("close"), "rc": ops.rank("close", "cross_section")}), ["rs", "rc"])
+
+
+def _lags(x: str, weights) -> str:
+    return "(" + " + ".join(f"lag({x}, {k}) over {ORD} * {w!r}" if k else f"{x} * {w!r}" for k, w in enumerate(weights)) + ")"
+
+
+def _dec(x: str, n: int) -> str:
+    return _lags(x, [(n - k) / (n * (n + 1) / 2) for k in range(n)])
+
+
+_ARR = f"case when count(close) over {rows(10)} >= 10 then list(close) over {rows(10)} end"
+
+
+@register("o9_o12_arrays", sql(f"""x as (select *, {_ARR} as a from b), y as (select *, (len(list_filter(a, lambda v: v < a[10])) + (len(list_filter(a, lambda v: v = a[10])) + 1) / 2.0) / 10 as tr, 10 - list_position(a, list_max(a)) as im, 10 - list_position(a, list_min(a)) as ii,
+ {_dec('close', 10)} as dl, {_lags('close', [0.9**k / 6.513215599 for k in range(10)])} as wm from x)
+select symbol, start_time, {f32('tr', 'tr')}, cast(im as int) as im, cast(ii as int) as ii, {f32('dl', 'dl')}, {f32('wm', 'wm')} from y"""))
+def _(spark, d):
+    df = weekly(spark, d).withColumn("_a", ops.window_array("close", 10))
+    df = df.withColumns({"tr": ops.ts_rank(F.col("_a")), "im": ops.bars_since_max(F.col("_a")).cast("int"), "ii": ops.bars_since_min(F.col("_a")).cast("int"), "dl": ops.decay_linear("close", 10), "wm": ops.wma("close", 10)})
+    return show(df, ["tr", "im", "ii", "dl", "wm"])
+
+
+@register("o14_o16_conditional", sql(f"""t as (select *, row_number() over {ORD} as t from b), x as (select *, sum(case when close > open then 1 else 0 end) over {rows(10)} as c, sum(case when close > open then volume else 0 end) over {rows(10)} as si,
+ case when count(close) over {rows(10)} >= 10 then regr_slope(close, t) over {rows(10)} end as sl, case when count(close) over {rows(10)} >= 10 then close - avg(close) over {rows(10)} - regr_slope(close, t) over {rows(10)} * (t - avg(t) over {rows(10)}) end as re from t)
+select symbol, start_time, cast(c as bigint) as c, {f32('si', 'si')}, {f32('round(sl, 4)', 'sl')}, {f32('round(re, 4)', 're')} from x"""))
+def _(spark, d):
+    up = F.col("close") > F.col("open")
+    df = weekly(spark, d).withColumns({"c": ops.count_if(up, 10), "si": ops.sum_if("volume", 10, up), "sl": F.round(ops.slope("close", 10), 4), "re": F.round(ops.residual("close", 10), 4)})
+    return show(df, ["c", "si", "sl", "re"])
+
+
+@register("o17_o19_elementwise", sql(f"x as (select *, a.p as sp, close / sum(abs(close)) over (partition by symbol) as sc, close - avg(close) over (partition by start_time, substr(symbol, 1, 7)) as ne from b, lateral (select sign(close - open) * pow(abs(close - open), 2) as p) a) select symbol, start_time, {f32('round(sp, 2)', 'sp')}, {f32('sc', 'sc')}, {f32('round(ne, 4)', 'ne')} from x"))
+def _(spark, d):
+    df = weekly(spark, d).withColumn("g", F.substring("symbol", 1, 7)).withColumn("_d", F.col("close") - F.col("open"))
+    return show(df.withColumns({"sp": F.round(ops.signed_power("_d", 2), 2), "sc": ops.scale("close"), "ne": F.round(ops.neutralize("close", "g"), 4)}), ["sp", "sc", "ne"])
+
+
+@register("o21_series", sql(f"r as (select *, close / lag(close) over {ORD} - 1 as r, ln(close / lag(close) over {ORD}) as lr from b), x as (select *, {g('avg', 'close', 20)} as m, case when count(r) over {rows(20)} >= 20 then stddev_samp(r) over {rows(20)} * sqrt(365) end as v from r) select symbol, start_time, {f32('round(lr, 8)', 'lr')}, {f32('m', 'm')}, {f32('v', 'v')} from x"))
+def _(spark, d):
+    df = weekly(spark, d).withColumn("r", ops.returns())
+    df = df.withColumns({"lr": F.round(F.ln(F.col("close") / ops.delay("close")), 8), "m": ops.mean("close", 20), "v": ops.std("r", 20) * F.sqrt(F.lit(365.0))})
+    return show(df, ["lr", "m", "v"])
+
+
+# Indicators
+
+_TR = f"case when lag(close) over {ORD} is null then high - low else greatest(high - low, abs(high - lag(close) over {ORD}), abs(low - lag(close) over {ORD})) end"
+
+
+@register("i1_i2_i21_ranges", sql(f"""t as (select *, {_TR} as tr, {g('min', 'low', 20)} as dc_low, {g('max', 'high', 20)} as dc_up, max(high) over {rows(20)} as ext_high, min(low) over {rows(20)} as ext_low, lag(high) over {ORD} as gann_high, lag(low) over {ORD} as gann_low,
+ {g('max', 'high', 14)} as hh, {g('min', 'low', 14)} as ll, ({g('max', 'high', 10)} - {g('min', 'low', 10)}) / 9 as rsrs from b), x as (select *, avg(tr) over {rows(14)} as atr, case when hh = ll then 100.0 else 100 * (hh - close) / (hh - ll) end as wr from t)
+select symbol, start_time, {f32('round(tr, 6)', 'tr')}, {f32('atr', 'atr')}, {f32('dc_low', 'dc_low')}, {f32('dc_up', 'dc_up')}, {f32('(dc_low + dc_up) / 2', 'dc_mid')}, {f32('ext_high', 'ext_high')}, {f32('ext_low', 'ext_low')}, {f32('gann_high', 'gann_high')}, {f32('gann_low', 'gann_low')}, close > gann_high as gann_up, {f32('wr', 'wr')}, {f32('rsrs', 'rsrs')} from x"""))
+def _(spark, d):
+    df = ind.ranges(weekly(spark, d)).withColumn("tr", F.round("tr", 6))
+    return show(df, ["tr", "atr", "dc_low", "dc_up", "dc_mid", "ext_high", "ext_low", "gann_high", "gann_low", "gann_up", "wr", "rsrs"])
+
+
+@register("i3_i14_moving", sql(f"""t as (select *, {g('avg', 'close', 9)} as ma, {_dec('close', 9)} as wma, 2 * {_dec('close', 4)} - {_dec('close', 9)} as h, ({g('avg', 'close', 3)} + {g('avg', 'close', 6)} + {g('avg', 'close', 12)} + {g('avg', 'close', 24)}) / 4 as bb, {g('avg', 'close', 10)} as m10, {g('avg', 'close', 20)} as m20, {g('stddev_samp', 'close', 20)} as s20, {g('stddev_pop', 'close', 20)} as p20 from b),
+x as (select *, {_dec('h', 3)} as hma, last_value(bb ignore nulls) over (partition by symbol order by start_time) as bbi from t)
+select symbol, start_time, {f32('ma', 'ma')}, {f32('wma', 'wma')}, {f32('hma', 'hma')}, {f32('bbi', 'bbi')}, {f32('(close - m10) / m10 * 100', 'bias')}, {f32('m20', 'boll_mid')}, {f32('m20 + 2 * s20', 'boll_up')}, {f32('m20 - 2 * s20', 'boll_low')}, {f32('(close - m20) / p20', 'zscore')} from x"""))
+def _(spark, d):
+    return show(ind.moving(weekly(spark, d)), ["ma", "wma", "hma", "bbi", "bias", "boll_mid", "boll_up", "boll_low", "zscore"])
+
+
+@register("i15_i16_cci", sql(f"""t as (select *, (high + low + close) / 3 as tp from b), m as (select *, {g('avg', 'tp', 12)} as m, case when count(tp) over {rows(12)} >= 12 then list(tp) over {rows(12)} end as a from t), y as (select *, list_avg(list_transform(a, lambda v: abs(v - m))) as md, abs(tp - m) as dv from m), x as (select *, {g('avg', 'dv', 12)} as md2 from y)
+select symbol, start_time, {f32('(tp - m) / (0.015 * md)', 'cci')}, {f32('(tp - m) / (0.015 * md2)', 'cci2')} from x"""))
+def _(spark, d):
+    return show(ind.cci(weekly(spark, d)), ["cci", "cci2"])
+
+
+def _pl(n: int) -> str:
+    w = f"(partition by symbol order by start_time rows between {n} preceding and 1 preceding)"
+    return f"case when count(high) over {w} >= {n} then (max(high) over {w} + min(low) over {w}) / 2 end"
+
+
+@register("i27_ichimoku", sql(f"t as (select *, {_pl(9)} as tenkan, {_pl(26)} as kijun, {_pl(52)} as sb from b), x as (select *, lag((tenkan + kijun) / 2, 25) over {ORD} as span_a, lag(sb, 25) over {ORD} as span_b from t) select symbol, start_time, {', '.join(f32(c, c) for c in ('tenkan', 'kijun', 'span_a', 'span_b'))} from x"))
+def _(spark, d):
+    return show(ind.ichimoku(weekly(spark, d)), ["tenkan", "kijun", "span_a", "span_b"])
+
+
+@register("i30_macd", sql(f"t as (select *, {g('avg', 'close', 12)} - {g('avg', 'close', 26)} as dif from b), x as (select *, {g('avg', 'dif', 9)} as dea from t) select symbol, start_time, {f32('round(dif, 5)', 'dif')}, {f32('round(dea, 5)', 'dea')} from x"))
+def _(spark, d):
+    return show(ind.macd_sma(weekly(spark, d)).withColumns({"dif": F.round("dif", 5), "dea": F.round("dea", 5)}), ["dif", "dea"])
+
+
+@register("i18_dk", sql("t as (select *, " + ", ".join(f"{g('avg', 'close', n)} as m{n}" for n in (5, 10, 20)) + f" from b), x as (select *, " + ", ".join(f"coalesce(lag(m{n}) over {ORD}, 10000000.0) as p{n}" for n in (5, 10, 20)) + " from t) select symbol, start_time, coalesce(" + " and ".join(f"close > m{n} and m{n} > p{n}" for n in (5, 10, 20)) + ", false) as dk from x"))
+def _(spark, d):
+    return ind.dk(weekly(spark, d)).select("symbol", "start_time", "dk")
+
+
+@register("i38_r_squared", sql(f"t as (select *, row_number() over {ORD} as t from b), x as (select *, case when count(close) over {rows(20)} >= 20 then coalesce(pow(corr(close, t) over {rows(20)}, 2), 0) end as r from t) select symbol, start_time, {f32('round(r, 7)', 'r_squared')} from x"))
+def _(spark, d):
+    return show(ind.r_squared(weekly(spark, d)).withColumn("r_squared", F.round("r_squared", 7)), ["r_squared"])
+
+
+@register("i39_spikes", sql(f"t as (select *, abs(close / lag(close) over {ORD} - 1) as r from b), x as (select *, {g('avg', 'r', 3)} as s, quantile_cont(r, 0.5) over {rows(60)} as th from t) select symbol, start_time, {f32('s', 'spike_strength')}, {f32('th', 'spike_threshold')}, s > th as is_spike from x"))
+def _(spark, d):
+    return show(ind.spikes(weekly(spark, d)), ["spike_strength", "spike_threshold", "is_spike"])
+
+
+@register("i4_recursive_scan")
+def _(spark, d):
+    df = scans.recursive_indicators(weekly(spark, d))
+    return show(df, [c for c in df.columns if c not in fx.BAR_COLUMNS])
+
+
+_EMA = "list_reduce(list(close) over (partition by symbol order by start_time), lambda a, v: a + 0.2 * (v - a))"
+
+
+@register("i4_ema", sql(f"x as (select *, {_EMA} as e from b) select symbol, start_time, {f32('e', 'ema9')} from x"))
+def _(spark, d):
+    return show(scans.scan(weekly(spark, d), "ema9 double", _ema9), ["ema9"])
+
+
+def _ema9(t):
+    return {"ema9": scans.ema(t["close"].to_numpy(float), 9)}
+
+
+@register("i45_demarker")
+def _(spark, d):
+    return ind.demarker(weekly(spark, d)).select("symbol", "start_time", "demarker")
+
+
+@register("i24_elder_impulse")
+def _(spark, d):
+    df = scans.scan(weekly(spark, d), "ema13 double", _ema13)
+    return ind.elder_impulse(df).select("symbol", "start_time", "impulse")
+
+
+def _ema13(t):
+    return {"ema13": scans.ema(t["close"].to_numpy(float), 13)}
+
+
+@register("i41_volume_profile")
+def _(spark, d):
+    return show(ind.volume_profile(hourly(spark, d)), ["vp_distance", "in_hvn", "in_lvn"])
+
+
+# Factors
+
+_KBAR = {"KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / (high - low + 1e-12)", "KUP": "(high - greatest(open, close)) / open", "KLOW": "(least(open, close) - low) / open", "KSFT": "(2 * close - high - low) / open"}
+
+
+@register("f15_f16_candles", sql("x as (select *, amount / (volume + 1e-12) as vwap from b) select symbol, start_time, " + ", ".join(f32(f"round({v}, 7)", k) for k, v in _KBAR.items()) + f", {f32('open / close', 'OPEN0')}, {f32('vwap / close', 'VWAP0')} from x"))
+def _(spark, d):
+    df = prep.with_vwap(weekly(spark, d)).withColumns({k: F.round(v, 7) for k, v in fa.candle().items()} | fa.price_ratios())
+    return show(df, [*_KBAR, "OPEN0", "VWAP0"])
+
+
+def _c158(n: int) -> dict[str, str]:
+    hi, lo = (f"case when count({x}) over {rows(n)} >= {n} then list({x}) over {rows(n)} end" for x in ("high", "low"))
+    gg = lambda a, x: g(a, x, n)
+    return {
+        "ROC": f"lag(close, {n}) over {ORD} / close", "MA": f"{gg('avg', 'close')} / close", "STD": f"{gg('stddev_samp', 'close')} / close", "BETA": f"case when count(close) over {rows(n)} >= {n} then regr_slope(close, t) over {rows(n)} end / close",
+        "MAX": f"{gg('max', 'high')} / close", "MIN": f"{gg('min', 'low')} / close", "QTLU": f"case when count(close) over {rows(n)} >= {n} then quantile_cont(close, 0.8) over {rows(n)} end / close",
+        "RSV": f"(close - {gg('min', 'low')}) / ({gg('max', 'high')} - {gg('min', 'low')} + 1e-12)", "IMAX": f"({n} - list_position({hi}, {gg('max', 'high')})) / {n}.0", "IMIN": f"({n} - list_position({lo}, {gg('min', 'low')})) / {n}.0",
+        "CNTP": gg("avg", "up"), "CNTN": gg("avg", "down"), "SUMP": f"{gg('sum', 'gain')} / ({gg('sum', 'ab')} + 1e-12)", "SUMN": f"{gg('sum', 'loss')} / ({gg('sum', 'ab')} + 1e-12)", "VMA": f"{gg('avg', 'volume')} / (volume + 1e-12)", "VSTD": f"{gg('stddev_samp', 'volume')} / (volume + 1e-12)",
+        "VSUMP": f"{gg('sum', 'vgain')} / ({gg('sum', 'vab')} + 1e-12)",
+    }
+
+
+_D = f"lag(close) over {ORD}"
+_BASE158 = f"""t as (select *, row_number() over {ORD} as t, case when {_D} is null then 0.0 when close > {_D} then 1.0 else 0.0 end as up, case when {_D} is null then 0.0 when close < {_D} then 1.0 else 0.0 end as down, greatest(close - {_D}, 0.0) + 0 * {_D} as gain, greatest({_D} - close, 0.0) + 0 * {_D} as loss, abs(close - {_D}) as ab,
+ greatest(volume - lag(volume) over {ORD}, 0.0) + 0 * {_D} as vgain, abs(volume - lag(volume) over {ORD}) as vab from b)"""
+
+for _n in fa.WINDOWS:
+
+    @register(f"f17_f25_rolling_{_n}", sql(_BASE158 + " select symbol, start_time, " + ", ".join(f32(f"round({v}, 6)" if k == "BETA" else v, f"{k}{_n}") for k, v in _c158(_n).items()) + " from t"))
+    def _(spark, d, n=_n):
+        df = fa.alpha158(weekly(spark, d), windows=(n,), kbar=False, price=False)
+        names = [f"{k}{n}" for k in _c158(n)]
+        return show(df.withColumn(f"BETA{n}", F.round(f"BETA{n}", 6)), names)
+
+
+@register("f15_f25_alpha158_all")
+def _(spark, d):
+    df = fa.alpha158(weekly(spark, d))
+    return show(df, [c for c in df.columns if c not in [*fx.BAR_COLUMNS, "vwap"]])
+
+
+@register("f26_lag_set", sql("x as (select 1) select symbol, start_time, " + ", ".join(f32(f"lag({c.lower()}, {k}) over {ORD} / " + ("(volume + 1e-12)" if c == "VOLUME" else "close"), f"{c}{k}") for c in ("CLOSE", "OPEN", "HIGH", "LOW", "VOLUME") for k in range(60)) + " from b"))
+def _(spark, d):
+    df = fa.lag_set(weekly(spark, d), "CLOSE,OPEN,HIGH,LOW,VOLUME")
+    return show(df, [c for c in df.columns if c not in [*fx.BAR_COLUMNS, "vwap"]])
+
+
+@register("f1_f3_technical", sql(f"t as (select *, coalesce(greatest(close - {_D}, 0), 0) as g, coalesce(greatest({_D} - close, 0), 0) as l, {_TR} as tr from b), x as (select *, {g('avg', 'g', 14)} as g14, {g('avg', 'l', 14)} as l14, {g('avg', 'tr', 14)} as a14, {g('avg', 'close', 20)} as m from t) select symbol, start_time, {f32('m', '\"MA_20\"')}, {f32('case when g14 = 0 and l14 = 0 then null when l14 = 0 then 100 else 100 - 100 / (1 + g14 / l14) end', '\"RSI_14\"')}, {f32('a14', '\"ATR_14\"')} from x"))
+def _(spark, d):
+    return show(fa.technical(weekly(spark, d)), ["MA_20", "RSI_14", "ATR_14"])
+
+
+@register("f4_time", "select event_id, cast(hour(ts) as int) as hour, cast(isodow(ts) - 1 as int) as day_of_week, cast(dayofyear(ts) as int) as day_of_year, cast(weekofyear(ts) as int) as week, cast(quarter(ts) as int) as quarter, cast(isodow(ts) >= 6 as int) as is_weekend, cast(cast(ts as date) = last_day(ts) as int) as is_month_end, cast(datediff('day', date_trunc('quarter', ts), ts) as int) as days_in_quarter, cast(sin(2 * pi() * hour(ts) / 24) as float) as hour_sin from events")
+def _(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", scalars.ntz_ms("ts").alias("start_time"))
+    df = fa.time_features(e)
+    return show(df, ["hour", "day_of_week", "day_of_year", "week", "quarter", "is_weekend", "is_month_end", "days_in_quarter", "hour_sin"], ["event_id"])
+
+
+@register("f5_f13_custom")
+def _(spark, d):
+    df = weekly(spark, d)
+    base = df.columns
+    for f in (fa.direction, fa.long_short_volume, fa.volume_average, fa.acceleration, fa.run_lengths, fa.simple_dmom, fa.spread, fa.price_spike):
+        df = f(df) if f is not fa.simple_dmom else f(df.drop("up_run", "down_run"))
+    return show(df, [c for c in df.columns if c not in base])
+
+
+@register("f29_f30_engine")
+def _(spark, d):
+    df = fa.compute_all(weekly(spark, d), {"t": fa.technical, "d": fa.direction})
+    df = fa.timeframe_code(fa.one_hot(df, "symbol", ["Brand#11", "Brand#12"]))
+    return show(df, ["t_MA_20", "t_RSI_14", "d_Direction_20", "symbol_Brand#11", "timeframe_code"]).withColumnRenamed("symbol_Brand#11", "is_11")
+
+
+# Labels
+
+_NX = f"(partition by symbol order by start_time rows between 1 following and 3 following)"
+
+
+@register("l1_l4_labels", sql(f"""x as (select *, lead(close, 3) over {ORD} / close - 1 as r, lead(close) over {ORD} / close - 1 as r1, min(low) over {_NX} / close - 1 as worst from b)
+select symbol, start_time, {f32('round(r, 7)', 'future')}, case when r1 is not null then cast(r1 > 0 as int) end as up, case when r1 <= -0.05 then 0 when r1 <= 0.05 then 1 when r1 is not null then 2 end as three, case when r is not null then cast(r > 0.05 and worst > -0.03 as int) end as event from x"""))
+def _(spark, d):
+    df = weekly(spark, d).withColumns({"future": F.round(lab.future_return(3), 7), "up": lab.direction(1), "three": lab.direction(1, 0.05, 3), "event": lab.event()})
+    return show(df, ["future", "up", "three", "event"])
+
+
+@register("l3_ranked", sql(f"y as (select *, lead(close) over {ORD} / close - 1 as f from b), x as (select *, {_avg_rank('f', 'symbol')} as r from y) select symbol, start_time, {f32('r', 'label')} from x"))
+def _(spark, d):
+    return show(lab.ranked(weekly(spark, d)), ["label"])
+
+
+@register("l5_risk_adjusted", sql(f"y as (select *, close / {_D} - 1 as r, lead(close, 5) over {ORD} / close - 1 as f from b), x as (select *, f / (case when count(r) over {rows(20)} >= 20 then stddev_samp(r) over {rows(20)} end + 1e-8) as v from y) select symbol, start_time, {f32('v', 'label')} from x"))
+def _(spark, d):
+    return show(lab.risk_adjusted(weekly(spark, d)), ["label"])
+
+
+@register("l6_reversal", sql(f"y as (select *, close / ({g('avg', 'close', 20)}) - 1 as dv, lead(close, 3) over {ORD} / close - 1 as f from b), x as (select *, -sign(dv) * f as s from y) select symbol, start_time, case when s > 0.02 then 1 when s < -0.02 then -1 when s is not null then 0 end as label from x"))
+def _(spark, d):
+    return lab.reversal(weekly(spark, d)).select("symbol", "start_time", "label")
+
+
+def _tb(hold: int, up: float, down: float) -> str:
+    first = lambda c: "coalesce(" + ", ".join(f"case when {c.format(k=k)} then {k} end" for k in range(1, hold + 1)) + ", 0)"
+    return f"""y as (select *, {first(f'lead(high, {{k}}) over {ORD} >= close * {1 + up}')} as u, {first(f'lead(low, {{k}}) over {ORD} <= close * {1 - down}')} as d, lead(close) over {ORD} as nx from b)
+select symbol, start_time, case when nx is null then null when u = 0 and d = 0 then 1 when d = 0 then 2 when u = 0 then 0 when u = d then 0 when u < d then 2 else 0 end as label from y"""
+
+
+@register("l7_triple_barrier", sql(_tb(10, 0.02, 0.01)))
+def _(spark, d):
+    return lab.triple_barrier(weekly(spark, d)).select("symbol", "start_time", "label")
+
+
+@register("l8_l9_fused", sql(f"y as (select lead(close) over {ORD} / close - 1 as a, lead(close, 3) over {ORD} / close - 1 as c from b), x as (select case when a is not null then cast(a > 0 as int) end as a, case when c is not null then cast(c > 0 as int) end as c from y), z as (select a * 0.5 + c * 0.5 as label, count(*) as n from x group by 1) select label, n, cast(n / sum(n) over () as float) as share from z"))
+def _(spark, d):
+    df = lab.fused(weekly(spark, d), {"a": lab.direction(1), "c": lab.direction(3)})
+    return show(lab.distribution(df), ["n", "share"], ["label"])
+
+
+# Evaluation
+
+_FUT = f"y as (select *, lead(close) over {ORD} / close - 1 as fr, close / lag(close, 5) over {ORD} as fx from b), z as (select * from y where fr is not null), v as (select *, case when fx is not null then fr end as yy from z), q as (select *, {_avg_rank('fx', 'symbol')} as rx, {_avg_rank('yy', 'symbol')} as ry from v)"
+
+
+def _factor(spark, d):
+    return ev.with_future(weekly(spark, d).withColumn("fx", F.col("close") / ops.delay("close", 5)))
+
+
+@register("v1_v2_spearman", sql(f"{_FUT} select symbol, count(fx) as n, cast(corr(rx, ry) as float) as ic from q group by symbol"))
+def _(spark, d):
+    return show(ev.spearman(_factor(spark, d), "fx"), ["n", "ic"], ["symbol"])
+
+
+@register("v4_rolling_ic", sql(f"{_FUT}, r as (select symbol, start_time, count(rx) over {rows(60)} as n, corr(rx, ry) over {rows(60)} as ic from q) select symbol, start_time, {f32('round(ic, 6)', 'ic')} from r where n >= 10 and ic is not null"))
+def _(spark, d):
+    return show(ev.rolling_ic(_factor(spark, d), "fx").withColumn("ic", F.round("ic", 6)), ["ic"])
+
+
+@register("v3_v6_ic_summary", sql(f"{_FUT}, r as (select symbol, start_time, count(rx) over w as n, corr(rx, ry) over w as ic from q window w as (partition by symbol order by start_time)) select symbol, count(ic) as n, cast(avg(ic) as float) as ic_mean, cast(stddev_samp(ic) as float) as ic_std, cast(avg(cast(ic > 0 as int)) as float) as win_rate from r where n >= 10 group by symbol"))
+def _(spark, d):
+    return show(ev.ic_summary(ev.rolling_ic(_factor(spark, d), "fx", None)), ["n", "ic_mean", "ic_std", "win_rate"], ["symbol"])
+
+
+@register("v7_v8_quantiles", sql(f"{_FUT}, e as (select symbol, quantile_cont(fx, [0.2, 0.4, 0.6, 0.8]) as e from q where fx is not null group by symbol), k as (select q.symbol, 1 + len(list_filter(e.e, lambda v: v < q.fx)) as bucket, fr from q join e using (symbol) where fx is not null) select symbol, cast(bucket as int) as bucket, cast(avg(fr) as float) as mean_return, count(*) as n from k group by all"))
+def _(spark, d):
+    df = ev.quantile_returns(_factor(spark, d), "fx").withColumn("bucket", F.col("bucket").cast("int"))
+    return show(df, ["mean_return", "n"], ["symbol", "bucket"])
+
+
+@register("v9_correlation", sql("x as (select unnest([{'f1': 'open', 'f2': 'open', 'corr': corr(open, open)}, {'f1': 'open', 'f2': 'volume', 'corr': corr(open, volume)}, {'f1': 'volume', 'f2': 'open', 'corr': corr(open, volume)}, {'f1': 'volume', 'f2': 'volume', 'corr': corr(volume, volume)}]) as c from b) select c.f1, c.f2, cast(round(c.corr, 6) as float) as corr from x"))
+def _(spark, d):
+    return show(ev.correlation_matrix(weekly(spark, d), ["open", "volume"]).withColumn("corr", F.round("corr", 6)), ["corr"], ["f1", "f2"])
+
+
+@register("v10_v12_stability")
+def _(spark, d):
+    return show(ev.stability(weekly(spark, d), "close"), ["rre", "turnover"], ["timeframe"])
+
+
+@register("v13_robustness")
+def _(spark, d):
+    return show(ev.robustness(weekly(spark, d), "close"), ["robustness"], ["symbol"])
+
+
+@register("v15_report")
+def _(spark, d):
+    return show(flagship(spark, d), ["n", "ic_mean", "ic_std", "ic_ir", "long_short", "spearman"], ["symbol", "factor"])
+
+
+def _scores(spark, d):
+    docs, labels = fx.table(spark, d, "documents").select("doc_id", "n_chars"), fx.table(spark, d, "labels")
+    return labels.join(docs, "doc_id").select("doc_id", F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"), (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("y_prob"))
+
+
+_SC = "with s as (select doc_id, quality as y_true, toxic as y_pred, n_chars / (n_chars + 1000) as y_prob from labels join documents using (doc_id))"
+
+
+@register("e1_e4_report", f"{_SC}, c as (select k as label, count(*) filter (y_true = k and y_pred = k) as tp, count(*) filter (y_true = k) as support, count(*) filter (y_pred = k) as p from s, (values (0), (1)) v(k) group by k), m as (select label, support, coalesce(tp / nullif(p, 0), 0) as precision, coalesce(tp / nullif(support, 0), 0) as recall from c) select label, support, cast(precision as float) as precision, cast(recall as float) as recall, cast(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as float) as f1 from m")
+def _(spark, d):
+    return show(ev.class_report(_scores(spark, d)), ["support", "precision", "recall", "f1"], ["label"])
+
+
+@register("e2_auc", f"{_SC}, r as (select *, rank() over (order by y_prob) + (count(*) over (partition by y_prob) - 1) / 2.0 as r from s) select cast((sum(r) filter (y_true = 1) - sum(y_true) * (sum(y_true) + 1) / 2) / (sum(y_true) * (count(*) - sum(y_true))) as float) as auc from r")
+def _(spark, d):
+    return show(ev.auc(_scores(spark, d)), ["auc"], [])
+
+
+@register("e3_confusion", f"{_SC} select y_true, y_pred, count(*) as n from s group by all")
+def _(spark, d):
+    return ev.confusion(_scores(spark, d))
+
+
+@register("e5_regression", f"{_SC} select cast(avg(pow(y_true - y_prob, 2)) as float) as mse, cast(sqrt(avg(pow(y_true - y_prob, 2))) as float) as rmse, cast(avg(abs(y_true - y_prob)) as float) as mae, cast(1 - sum(pow(y_true - y_prob, 2)) / (var_pop(y_true) * count(*)) as float) as r2, cast(avg(case when abs(y_true) > 1e-6 then abs((y_true - y_prob) / y_true) end) as float) as mape from s")
+def _(spark, d):
+    return show(ev.regression_scores(_scores(spark, d)), ["mse", "rmse", "mae", "r2", "mape"], [])
+
+
+@register("e6_histogram", f"{_SC}, e as (select min(y_prob) as lo, max(y_prob) as hi from s), c as (select cast(least(floor((y_prob - lo) / ((hi - lo) / 30)), 29) as int) as bin, count(*) as n from s, e group by 1) select cast(g.bin as int) as bin, cast(lo + (g.bin + 0.5) * (hi - lo) / 30 as float) as center, coalesce(n, 0) as n from (select unnest(range(30)) as bin) g cross join e left join c on c.bin = g.bin")
+def _(spark, d):
+    return show(ev.histogram(_scores(spark, d), "y_prob"), ["center", "n"], ["bin"])
+
+
+@register("e1_accuracy", f"{_SC} select cast(avg(cast(y_true = y_pred as int)) as float) as accuracy from s")
+def _(spark, d):
+    return show(ev.accuracy_and_means(ev.class_report(_scores(spark, d))), ["accuracy"], [])
+
+
+@register("t1_split", sql(f"x as (select symbol, start_time, row_number() over {ORD} as k, cast(floor(count(*) over (partition by symbol) * 0.8) as bigint) as c, count(*) over (partition by symbol) as n from b) select symbol, start_time, case when k <= c then 'train' else 'val' end as split from x where c > 0 and c < n"))
+def _(spark, d):
+    return ev.split(weekly(spark, d)).select("symbol", "start_time", "split")
+
+
+@register("t4_class_weights", "select doc_id, cast((select count(*) from labels) / (2 * count(*) over (partition by quality)) as float) as weight from labels")
+def _(spark, d):
+    return show(ev.class_weights(fx.table(spark, d, "labels"), "quality"), ["weight"], ["doc_id"])
+
+
+@register("t5_sequences")
+def _(spark, d):
+    s = ev.sequences(weekly(spark, d), ["open", "close"], "close", 5)
+    return show(s.withColumn("total", F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, v: a + v)), ["total", "close"])
+
+
+# Performance
+
+_EQ = """with p as (select o_orderpriority as run_id, epoch_ms(o_orderdate) // 86400000 * 86400000 as time, sum((o_totalprice - 250000) / 1000) as pnl from orders group by all),
+e as (select run_id, time, 100000 + sum(pnl) over (partition by run_id order by time) as equity from p),
+r as (select *, case when lag(equity) over w = 0 then 0 else equity / lag(equity) over w - 1 end as ret, max(equity) over w as peak from e window w as (partition by run_id order by time)),
+x as (select *, case when peak > 0 then equity / peak - 1 else 0 end as drawdown from r)"""
+
+
+@register("m1_m7_curves", f"{_EQ} select run_id, time, {f32('equity', 'equity')}, {f32('round(ret, 7)', 'ret')}, {f32('round(drawdown, 7)', 'drawdown')} from x")
+def _(spark, d):
+    c = perf.drawdown_curve(perf.simple_returns(fx.equity(spark, d))).withColumns({"ret": F.round("ret", 7), "drawdown": F.round("drawdown", 7)})
+    return show(c, ["equity", "ret", "drawdown"], ["run_id", "time"])
+
+
+@register("m2_m10_metrics", f"""{_EQ}, a as (select run_id, count(ret) as n, arg_max(equity, time) / arg_min(equity, time) - 1 as total_return, stddev_samp(ret) * sqrt(365) as volatility, avg(ret) as m, min(drawdown) as max_drawdown, quantile_cont(ret, 0.05) as var95, sum(greatest(ret, 0)) / -sum(least(ret, 0)) as omega from x group by run_id),
+t as (select run_id, avg(ret) as cvar95 from x join a using (run_id) where ret <= var95 group by run_id)
+select run_id, n, {f32('total_return', 'total_return')}, {f32('volatility', 'volatility')}, {f32('(m * 365 - 0.02) / volatility', 'sharpe_excess')}, {f32('max_drawdown', 'max_drawdown')}, {f32('var95', 'var95')}, {f32('cvar95', 'cvar95')}, {f32('omega', 'omega')} from a join t using (run_id)""")
+def _(spark, d):
+    return show(perf.metrics(fx.equity(spark, d)), ["n", "total_return", "volatility", "sharpe_excess", "max_drawdown", "var95", "cvar95", "omega"], ["run_id"])
+
+
+@register("m2_m8_metrics_all")
+def _(spark, d):
+    m = perf.grade(perf.metrics(fx.equity(spark, d)))
+    return show(m, ["annual_return", "sharpe_annual_over_vol", "sortino", "calmar", "drawdown_bars", "drawdown_periods", "longest_drawdown", "skew", "kurt", "grade"], ["run_id"])
+
+
+@register("m9_benchmark", sql(f"x as (select *, 100000 * close / first(close) over (partition by symbol order by start_time) as v from b) select symbol, start_time, {f32('v', 'benchmark')} from x"))
+def _(spark, d):
+    return show(perf.benchmark(weekly(spark, d)), ["benchmark"])
+
+
+@register("m11_trades", """with t as (select o_orderpriority as run_id, case when o_custkey % 2 = 0 then 'LONG' else 'SHORT' end as side, o_totalprice as entry, (o_totalprice - 250000) / 1000 as pnl from orders)
+select run_id, count(pnl) as trades, count(*) filter (pnl > 0) as wins, cast(count(*) filter (pnl > 0) / count(*) as float) as win_rate, cast(sum(pnl) filter (pnl > 0) / -sum(pnl) filter (pnl < 0) as float) as profit_factor, cast(max(pnl) as float) as largest_win, cast(min(pnl / entry) as float) as largest_loss_ratio, count(*) filter (side = 'LONG') as long_trades, cast(avg(pnl) filter (side = 'SHORT' and pnl > 0) as float) as short_avg_win from t group by run_id""")
+def _(spark, d):
+    return show(perf.trade_stats(fx.trades(spark, d)), ["trades", "wins", "win_rate", "profit_factor", "largest_win", "largest_loss_ratio", "long_trades", "short_avg_win"], ["run_id"])
+
+
+@register("m13_t_test")
+def _(spark, d):
+    return show(perf.t_test(fx.equity(spark, d)), ["t", "p"], ["run_id"])
+
+
+@register("m14_bootstrap")
+def _(spark, d):
+    return show(perf.bootstrap(fx.equity(spark, d)), ["sharpe_low", "sharpe_high", "annual_low", "annual_high"], ["run_id"])
+
+
+@register("m18_across_runs")
+def _(spark, d):
+    return show(perf.across_runs(perf.metrics(fx.equity(spark, d))), ["n", "volatility", "max_drawdown", "runs"], [])
+
+
+@register("m19_combined", f"{_EQ}, s as (select time, sum(coalesce(ret, 0)) / 5 as s from x group by time) select time, cast(exp(sum(ln(1 + s)) over (order by time)) as float) as combined from s")
+def _(spark, d):
+    return show(perf.combined_curve(fx.equity(spark, d)), ["combined"], ["time"])
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(O)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ops, scalars
-from ..operators import bars as prep, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans
+from ..operators import bars as prep, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
 from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
 
@@ -663,6 +663,99 @@ def _(spark, d):
     return show(perf.combined_curve(fx.equity(spark, d)), ["combined"], ["time"])
 
 
+# Walk-forward, signals, positions
+
+_WF = "with w as (select i as window, 1704067200000 + i * 432000000 as train_start, 1704067200000 + 1296000000 + i * 432000000 as test_start from (select unnest(range(3)) as i))"
+
+
+def _windows(spark):
+    return wf.windows(spark, 1_704_067_200_000, 1_704_067_200_000 + 30 * wf.DAY, 14, 5, 1)
+
+
+@register("m22_m27_windows", f"{_WF}, b as ({_bars('1H')}) select w.window, symbol, count(*) as n, cast(min(close) as float) as low from b join w on start_time >= test_start and start_time < test_start + 432000000 group by all")
+def _(spark, d):
+    df = wf.assign(hourly(spark, d), _windows(spark))
+    return show(df.groupBy("window", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("close").alias("low")), ["n", "low"], ["window", "symbol"])
+
+
+@register("m23_folds", f"{_WF}, f as (select w.*, unnest(range(3)) as fold from w), g as (select f.window, cast(fold as int) as fold, train_start + fold * ((test_start - 86400000 - train_start) // 3) as a from f), b as ({_bars('1H')}) select g.window, fold, count(*) as n from g join b on start_time >= a and start_time < a + 1209600000 // 3 group by all")
+def _(spark, d):
+    return wf.assign(hourly(spark, d), wf.folds(_windows(spark), 3), "fold_start", "fold_end").groupBy("window", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scored(spark, d):
+    o = fx.table(spark, d, "orders")
+    return o.select((F.col("o_custkey") % 4).alias("window"), F.col("o_orderpriority").alias("params"), (F.col("o_totalprice") % 97).alias("score"), F.lit(-0.1).alias("drawdown"), F.lit(1).alias("trades"))
+
+
+@register("m25_best", "with m as (select o_custkey % 4 as window, o_orderpriority as params, avg(o_totalprice % 97) as score from orders group by all) select m.window, arg_max(params, score) as params, cast(max(score) as float) as score from m group by m.window")
+def _(spark, d):
+    return show(wf.best(_scored(spark, d)), ["params", "score"], ["window"])
+
+
+@register("m24_grid", "select distinct 'fast=' || f || ',brand=' || p_brand as params from part, (values (5), (10)) v(f) where p_brand like 'Brand#1%'")
+def _(spark, d):
+    brands = sorted(r.p_brand for r in fx.table(spark, d, "part").select("p_brand").filter("p_brand like 'Brand#1%'").distinct().collect())
+    return wf.grid(spark, {"fast": [5, 10], "none": [], "brand": brands}).select("params")
+
+
+@register("s1_s3_backtest")
+def _(spark, d):
+    df = scans.recursive_indicators(hourly(spark, d)).select(*fx.BAR_COLUMNS, "adx", "adxr", "pdi", "mdi")
+    return show(sig.backtest(sig.hold_positions(sig.dmi_signals(df)), fee=0.001), ["position", "equity"])
+
+
+@register("s4_fills", "select o_orderkey, cast(floor(o_totalprice / 7.0 * 10000) / 10000 as float) as fill_size from orders")
+def _(spark, d):
+    o = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.lit(7.0).alias("price"))
+    return show(sig.fills(o), ["fill_size"], ["o_orderkey"])
+
+
+def _open(spark, d):
+    b = hourly(spark, d).filter((F.col("start_time") / 3_600_000) % 24 == 0)
+    return b.select(F.concat_ws("/", "symbol", F.col("start_time").cast("string")).alias("position_id"), "symbol", F.lit(1).alias("side"), F.col("close").alias("cost"), F.col("start_time").alias("opened"))
+
+
+@register("s5_first_exit", sql("p as (select symbol || '/' || start_time as position_id, symbol, close as cost, start_time as opened from b where start_time % 86400000 = 0), j as (select p.*, b.start_time, b.close, case when b.close / cost - 1 <= -0.5 then 'stop' when b.close / cost - 1 >= 1 then 'target' end as hit from p join b using (symbol) where b.start_time > opened and b.start_time <= opened + 172800000) select position_id, min(start_time) as exit_time, arg_min(hit, start_time) as exit_hit from j where hit is not null group by position_id", "1H"))
+def _(spark, d):
+    return sig.first_exit(_open(spark, d), hourly(spark, d), 0.5, 1.0, 172_800_000).select("position_id", "exit_time", "exit_hit")
+
+
+def _log(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") % 1000).alias("position_id"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_extendedprice").cast("string")).alias("order_id"), F.lit(1).alias("arrival"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("amount"), (-F.col("l_tax")).alias("fee"), (F.col("l_linenumber") % 2 == 1).alias("is_open"), F.lit(1).alias("side"))
+
+
+@register("s7_positions", "with x as (select l_orderkey % 1000 as position_id, l_linenumber % 2 = 1 as o, l_quantity as q, l_extendedprice as a from lineitem) select position_id, cast(coalesce(sum(q) filter (o), 0) as float) as total_size, cast(coalesce(sum(q) filter (not o), 0) as float) as closed_size, cast(sum(a) filter (o) / sum(q) filter (o) as float) as cost_price from x group by position_id")
+def _(spark, d):
+    log = _log(spark, d)
+    return show(sig.positions(log.groupBy("order_id", "arrival", "position_id", "is_open", "side").agg(F.sum("size").alias("size"), F.sum("amount").alias("amount"), F.sum("fee").alias("fee"))), ["total_size", "closed_size", "cost_price"], ["position_id"])
+
+
+@register("s10_mark", sql("p as (select event_id, event_type as symbol, epoch_ms(ts) as t from events) select event_id, cast(close as float) as mark_price from p asof left join b on p.symbol = b.symbol and p.t >= b.start_time", "1H"))
+def _(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), scalars.ntz_ms("ts").alias("asof"))
+    return show(sig.mark(e, hourly(spark, d)), ["mark_price"], ["event_id"])
+
+
+@register("s11_ledger", "select o_custkey as account, o_orderkey as seq, cast(sum(o_totalprice) over w as float) as balance_after from orders window w as (partition by o_custkey order by o_orderkey)")
+def _(spark, d):
+    e = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("amount"))
+    return show(sig.ledger(e), ["balance_after"], ["account", "seq"])
+
+
+@register("s13_time_window", "with t as (select epoch_ms(ts) as at from events where event_id % 50 = 0) select event_id from events e where not exists (select 1 from t where epoch_ms(e.ts) between t.at - 600000 and t.at + 1200000)")
+def _(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", scalars.ntz_ms("ts").alias("time"), F.lit(True).alias("is_open"))
+    return sig.time_window(e, e.filter("event_id % 50 = 0").select(F.col("time").alias("at")), 600, 1200).select("event_id")
+
+
+@register("s14_rate_limit")
+def _(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("instance"), scalars.ntz_ms("ts").alias("time"))
+    return sig.rate_limit(e, 6.0, 3)
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -87,7 +87,7 @@ def parse_okx(raw: DataFrame, body: str = "value") -> DataFrame:
 
 def parse_binance(raw: DataFrame, body: str = "value", ins_type: int = 1) -> DataFrame:
     """Kline messages {E, s, k: {t, T, i, o, h, l, c, v, q, x}}; the quote currency is the first known suffix of the name."""
-    k = raw.select(F.from_json(body, "E long, s string, k struct<t: long, `T`: long, i: string, o: string, h: string, l: string, c: string, v: string, q: string, x: boolean>", {"caseSensitive": "true"}).alias("m")).select(F.col("m.E").alias("sent"), "m.s", F.col("m.k").alias("k")).filter("k is not null")
+    k = raw.select(F.from_json(body, "E long, s string, k struct<t: long, i: string, o: string, h: string, l: string, c: string, v: string, q: string, x: boolean>").alias("m")).select(F.col("m.E").alias("sent"), "m.s", F.col("m.k").alias("k")).filter("k is not null")
     suffix = F.regexp_extract("s", f"^(.+?)({'|'.join(QUOTES)})$", 2)
     hours = F.regexp_replace(F.regexp_replace(F.regexp_replace("k.i", "h$", "H"), "d$", "D"), "w$", "W")
     rows = k.select(

@@ -61,3 +61,10 @@ def fill(cache: dict, keys, compute, limit: int) -> None:
         missing = list(keys)
     if missing:
         cache.update(zip(missing, compute(missing)))
+
+
+def least_hashes(rows: DataFrame, hashed: str, n: int) -> DataFrame:
+    """The rows below a hash that about 1.5 n + 100 of them lie under: what a bounded sample is taken from, so that not
+    every task sends n rows. It is the same at every size; with fewer rows than that all are kept."""
+    share = (1.5 * n + 100) / max(rows.count(), 1)
+    return rows if share >= 1 else rows.filter(F.col(hashed) < F.lit(int(-(2**63) + share * 2**64)))

@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), _ints(vector, scale).alias("v")).filter("id is not null and v is not null")
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    taken = common.least_hashes(rows.withColumn("h", F.xxhash64("id")), "h", sample).orderBy("h", "id").limit(sample).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not taken:
         return empty

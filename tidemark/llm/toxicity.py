@@ -221,7 +221,7 @@ def _toxic_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic, part) of at most `sample` labelled ids that aren't held out, one row of each group of near copies as
     far as least shingles tell; part: 0 to 4 by hash."""
     chosen = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = common.least_hashes(chosen.withColumn("_h", F.xxhash64("doc_id")), "_h", sample).orderBy("_h", "doc_id").limit(sample).drop("_h")
     rows = docs.select("doc_id", common.whole("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)).cast("int").alias("part")).withColumn("toxic", F.col("toxic").cast("int"))
     rows = rows.mapInArrow(_least_shingles, "text string, toxic int, part int, one long, two long")

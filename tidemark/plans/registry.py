@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ops, scalars
-from ..operators import bars as prep, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
+from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
 from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
 
@@ -457,6 +457,21 @@ def _(spark, d):
     return show(df, ["t_MA_20", "t_RSI_14", "d_Direction_20", "symbol_Brand#11", "timeframe_code"]).withColumnRenamed("symbol_Brand#11", "is_11")
 
 
+@register("f28_catalog_checked", sql(f"""t as (select *, amount / (volume + 1e-12) as vwap, {_D} as p, ((close - low) - (high - close)) / nullif(high - low, 0) as pl from b),
+x as (select *, -(pl - lag(pl) over {ORD}) as a2, case when count(pl * volume) over {rows(6)} >= 6 then sum(pl * volume) over {rows(6)} end as a11, sqrt(high * low) - vwap as a13, close / lag(close, 5) over {ORD} as a18, ({g('avg', 'close', 12)}) / close as a34,
+ {g('sum', '(case when p is null then null when close > p then volume when close < p then -volume else 0 end)', 6)} as a43, (close - lag(close, 6) over {ORD}) / lag(close, 6) over {ORD} * volume as a29, open / p - 1 as a15 from t)
+select symbol, start_time, {f32('round(a2, 7)', '\"A002\"')}, {f32('round(a11, 6)', '\"A011\"')}, {f32('round(a13, 5)', '\"A013\"')}, {f32('round(a15, 7)', '\"A015\"')}, {f32('a18', '\"A018\"')}, {f32('a29', '\"A029\"')}, {f32('a34', '\"A034\"')}, {f32('a43', '\"A043\"')} from x"""))
+def _(spark, d):
+    df = cat.catalog(weekly(spark, d), [2, 11, 13, 15, 18, 29, 34, 43])
+    return show(df.withColumns({"A002": F.round("A002", 7), "A011": F.round("A011", 6), "A013": F.round("A013", 5), "A015": F.round("A015", 7)}), [c for c in df.columns if c[0] == "A" and c[1:].isdigit()])
+
+
+@register("f28_catalog_all")
+def _(spark, d):
+    df = cat.catalog(weekly(spark, d))
+    return show(df, [c for c in df.columns if c[0] == "A" and c[1:].isdigit()])
+
+
 # Labels
 
 _NX = f"(partition by symbol order by start_time rows between 1 following and 3 following)"

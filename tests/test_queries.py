@@ -1,6 +1,7 @@
 """Registered queries against their SQL at the smallest size."""
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.plans import registry
@@ -19,7 +20,7 @@ def con():
 
 def canon(df):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.4g}" if isinstance(v, (float, int, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
 

@@ -197,6 +197,12 @@ def neutralize(x, group) -> Column:
     return col(x) - F.avg(col(x)).over(Window.partitionBy("timeframe", TIME, col(group)))
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """Dealt by key into as many partitions as shuffles have. The windows that follow need no other exchange; and as the work
+    is in the windows, not in the bytes, partitions that look small shouldn't be merged into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+
+
 def in_levels(df: DataFrame, *levels: dict[str, Column]) -> DataFrame:
     """Add columns level by level: windows on windowed columns go into a later level, so each level is one pass over the
     same partitioning and order."""

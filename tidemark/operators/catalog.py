@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions import ops
 from ..functions.nodes import Node, absolute, corr, decay, delay, delta, greatest, leaf, least, log, materialize, mean, rank as _rank, sign, slope, sma, std, total, ts_max, ts_min, ts_rank, where, wma
 from .bars import with_vwap
 
@@ -53,4 +54,4 @@ def catalog(bars: DataFrame, ids=None, scope: str = "series") -> DataFrame:
     """Bars with one column A001, A002, ... for each formula asked for; unknown numbers are an error."""
     all_ = formulas(scope)
     chosen = sorted(all_) if ids is None else list(ids)
-    return materialize(with_vwap(bars), {f"A{i:03d}": all_[i] for i in chosen})
+    return materialize(with_vwap(ops.by_key(bars)), {f"A{i:03d}": all_[i] for i in chosen})

@@ -68,7 +68,7 @@ def rolling(n: int, eps: float = EPS) -> dict[str, Column]:
 def alpha158(bars: DataFrame, windows=WINDOWS, kbar: bool = True, price: bool = True) -> DataFrame:
     """Nine candle shapes, four price ratios, and 29 rolling columns for each window. All windows share one partitioning and
     order, so they need one shuffle and one sort; the window arrays are dropped as soon as they are used."""
-    df = with_vwap(bars)
+    df = with_vwap(ops.by_key(bars))
     df = df.withColumns((candle() if kbar else {}) | (price_ratios() if price else {}))
     df = rolling_base(df)
     for n in windows:
@@ -80,7 +80,7 @@ def alpha158(bars: DataFrame, windows=WINDOWS, kbar: bool = True, price: bool =
 def lag_set(bars: DataFrame, fields: str = "CLOSE,OPEN,HIGH,LOW,VWAP,VOLUME", windows: str = "0-59") -> DataFrame:
     """Lagged fields by the current close, lagged volumes by the current volume; windows as '0-59' or '5,10'."""
     lags = [k for part in windows.split(",") for k in (range(int(part.split("-")[0]), int(part.split("-")[1]) + 1) if "-" in part else [int(part)])]
-    df = with_vwap(bars)
+    df = with_vwap(ops.by_key(bars))
     cols = {}
     for f in fields.split(","):
         x = f.strip().lower()

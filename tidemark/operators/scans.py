@@ -244,4 +244,6 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
             out = [ema(c, 9), rsi, kama(c), frama(h, lo, c), llt(c), super_smoother(c), ultimate_smoother(c), reflex(c), trendflex(c), k, d, j, adx, pdi, mdi, adxr, s, st, dif, ema(dif, 9), mid - 2 * atr10, mid, mid + 2 * atr10, 100 * (e - back) / back, kk.to_numpy(), kk.rolling(3, min_periods=3).mean().to_numpy()]
         return dict(zip(names, out)) | {"sar_long": long, "st_side": side}
 
-    return scan(bars, ", ".join(f"{n} double" for n in names) + ", sar_long boolean, st_side double", kernel)
+    from ..functions import ops
+
+    return scan(ops.by_key(bars), ", ".join(f"{n} double" for n in names) + ", sar_long boolean, st_side double", kernel)

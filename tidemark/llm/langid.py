@@ -19,7 +19,7 @@ from .toxicity import held_out
 #: Labelled rows that a model is fitted on, at most (those with the smallest hashes of their ids), and words of each.
 SAMPLE, SPAN = 3_000, 64
 #: Size of the table of hashed features; distinct pieces of text that one Python worker keeps emissions of.
-TABLE, PIECES = 1 << 18, 400_000
+TABLE, PIECES = 1 << 18, 300_000
 GRAMS = 4
 
 
@@ -46,8 +46,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             x = (h[ok] + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
             feats.append((x >> np.uint64(40)) % np.uint64(TABLE))
             owners.append(owner[: len(h)][ok])
-        power = np.full(len(cp), mult)
-        power = np.cumprod(power)  # by place in the batch would depend on the batch: taken from the word's start below
+        power = np.cumprod(np.full(int(size.max()) if len(size) else 0, mult))
         place = at - first[owner]
         word = np.add.reduceat((cp + np.uint64(7)) * power[place], first) * np.uint64(0xA0761D6478BD642F)
         feats.append((word >> np.uint64(40)) % np.uint64(TABLE))
@@ -63,46 +62,60 @@ class Model:
     weights: np.ndarray  # TABLE x languages
     moves: np.ndarray  # transitions between languages, from row to column
     _known: dict = field(default_factory=dict)
+    _table: np.ndarray | None = None
+    _sizes: np.ndarray | None = None
+    _next: int = 1
 
     def __getstate__(self):
-        return {"langs": self.langs, "weights": self.weights, "moves": self.moves, "_known": {}}
+        return {"langs": self.langs, "weights": self.weights, "moves": self.moves, "_known": {}, "_table": None, "_sizes": None, "_next": 1}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         feats, first = hashed(words)
         return np.add.reduceat(self.weights[feats], first, axis=0)
 
-    def _fresh(self, pieces: list[str]) -> list:
-        """For each piece: (number of letters, emissions) or None where it has no letter."""
-        words = [letters_of(p) for p in pieces]
+    def _learn(self, pieces: set[str]) -> None:
+        """Number the pieces that aren't known, and keep their letters and emissions; 0 stands for those without a letter."""
+        missing = [p for p in pieces if p not in self._known]
+        if self._table is None or len(self._known) + len(missing) > PIECES:
+            self._known = {}
+            missing = list(pieces)
+            self._table = np.zeros((max(PIECES, len(missing)) + 1, len(self.langs)), np.float32)
+            self._sizes = np.zeros(len(self._table))
+            self._next = 1
+        words = [letters_of(p) for p in missing]
         some = [w for w in words if w]
-        e = iter(self.emissions(some).astype(np.float32)) if some else iter(())
-        return [(len(w), next(e)) if w else None for w in words]
-
-    def label(self, texts: list[str]) -> list[list[tuple[str, np.ndarray]]]:
-        """Each text's pieces that have letters, with their label probabilities."""
-        out = []
-        for pieces, probs in self._run(texts):
-            out.append(list(zip(pieces, probs)))
-        return out
+        if some:
+            n = self._next + len(some)
+            self._table[self._next : n] = self.emissions(some)
+            self._sizes[self._next : n] = [len(w) for w in some]
+        for p, w in zip(missing, words):
+            self._known[p] = self._next if w else 0
+            self._next += bool(w)
 
     def _run(self, texts: list[str]):
+        """For each text: the numbers of its pieces that have letters, and their label probabilities."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        common.fill(self._known, set().union(*split), self._fresh, PIECES)
-        known = self._known
-        split = [[p for p in s if known[p] is not None] for s in split]
-        e = [np.array([known[p][1] for p in s], np.float64).reshape(-1, len(self.langs)) for s in split]
-        return zip(split, marginals(e, self.moves))
+        self._learn(set().union(*split))
+        get = self._known.__getitem__
+        found = [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
+        found = [x[x > 0] for x in found]
+        return zip(found, marginals([self._table[x].astype(np.float64) for x in found], self.moves))
+
+    def label(self, texts: list[str]) -> list[list[tuple[str, np.ndarray]]]:
+        """Each text's pieces that have letters, with their label probabilities."""
+        probs = [p for _, p in self._run(texts)]
+        split = [[w for w in t.replace("\n", " ").split(" ") if self._known[w]] for t in texts]
+        return [list(zip(s, p)) for s, p in zip(split, probs)]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, its share of the letters by the labels' probabilities); ("und", 0) for a text without letters."""
         out = []
-        for a, b in common.sub_batches(texts, 6_000_000):
-            for pieces, probs in self._run(texts[a:b]):
-                if not len(pieces):
+        for a, b in common.sub_batches(texts):
+            for rows, probs in self._run(texts[a:b]):
+                if not len(rows):
                     out.append(("und", 0.0))
                     continue
-                size = np.array([self._known[p][0] for p in pieces], np.float64)
-                mass = size @ probs
+                mass = self._sizes[rows] @ probs
                 k = int(mass.argmax())
                 out.append((self.langs[k], float(min(1.0, mass[k] / mass.sum()))))
         return out
@@ -209,7 +222,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", id_col: str =
     pieces = F.split(F.col("t"), "[ \n]+")
     start = F.pmod(F.xxhash64("i", F.lit(3)), F.greatest(F.size(pieces) - SPAN, F.lit(0)) + 1).cast("int") + 1
     chosen = rows.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).select(F.xxhash64("i").alias("h"), "i", "l", F.slice(pieces, start, SPAN).alias("w"))
-    windows = [([w for p in r.w if (w := letters_of(p))], r.l) for r in chosen.orderBy("h", "i", "l").limit(sample).collect()]
+    windows = [([w for p in r.w if (w := letters_of(p))], r.l) for r in common.least_hashes(chosen, "h", sample).orderBy("h", "i", "l").limit(sample).collect()]
     return train([x for x in windows if x[0]])
 
 

@@ -22,7 +22,7 @@ SAMPLE = 8_000
 #: Words on either side of a hit that are looked at.
 WINDOW = 6
 #: Distinct pieces of text that one Python worker keeps results of.
-PIECES = 400_000
+PIECES = 250_000
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te ti toi ton vous votre tú usted ustedes vosotros".split())
 REPORT = frozenset("said says wrote writes called quoted quote quotes sagte schrieb nannte zitat dit écrit appelé dijo escribió llamó cita".split())
 LOOKS = str.maketrans("013457@$", "oieastas")

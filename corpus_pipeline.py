@@ -39,7 +39,7 @@ def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens in document order."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, keep=False)
 
 
 STAGES = [

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import common, langid, packing, secretscan, simhash, toxicity
+from tidemark.llm import common, langid, nearcopies, packing, secretscan, toxicity
 
 #: A text scored at least so is rejected as toxic; one whose language has less than this share of its letters as unclear.
 TOXIC, CLEAR = 0.7, 0.2
@@ -22,8 +22,9 @@ def keep_clear_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id. Rows that repeat a kept id all stay."""
-    classes = simhash.near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
+    Rows that repeat a kept id all stay."""
+    classes = nearcopies.near_copies(docs)
     kept = classes.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
 

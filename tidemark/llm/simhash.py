@@ -66,14 +66,13 @@ def xxh64_slices(buf: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int =
     return out
 
 
-def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
-    """Signed 64-bit fingerprints of whole texts: words of other than white space (ASCII), A-Z lower-cased; a bit is set
-    if it is set in over half the hashes of the shingles, repeats included. No word: zero."""
+def shingle_hashes(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles of each text, their XXH64 hashes one text after the other): runs of words of other than white
+    space (ASCII), A-Z lower-cased; a shorter text is one run, a text without a word has none."""
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     counts = np.array([len(s) for s in split], np.int64)
-    out = np.zeros(len(texts), np.uint64)
     if not counts.sum():
-        return out.view(np.int64)
+        return counts, np.zeros(0, np.uint64)
     buf = b" ".join([b" ".join(s) for s in split if s])
     gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
     first, after = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(buf)]])
@@ -82,7 +81,18 @@ def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     word = np.repeat(np.cumsum(counts) - counts, shingles) + nth
     last = word + np.minimum(counts[doc], words) - 1
-    h = xxh64_slices(buf, first[word], after[last] - first[word])
+    return shingles, xxh64_slices(buf, first[word], after[last] - first[word])
+
+
+def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
+    """Signed 64-bit fingerprints of whole texts: a bit is set if it is set in over half the hashes of the shingles,
+    repeats included. No word: zero."""
+    shingles, h = shingle_hashes(texts, words)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(h):
+        return out.view(np.int64)
+    doc = np.repeat(np.arange(len(texts)), shingles)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     # bits are counted in byte lanes over at most 255 hashes of a document, then in full
     lead = np.flatnonzero(nth % 255 == 0)
     owner = doc[lead]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -26,6 +27,9 @@ from .bpe import byte_chars
 PIECES, AT_ONCE = 1_000_000, 128
 #: Which bytes end a sentence where white space follows.
 _ENDS = np.isin(np.arange(256), list(b".!?:;"))
+_STOP = re.compile(r"[.!?:;](?=\s)")
+#: White space other than spaces and line ends.
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 BYTES = dict(enumerate(byte_chars()))
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _LOADED: dict = {}
@@ -85,11 +89,13 @@ class Ids:
         """(ids as little-endian unsigned 32-bit, token offsets after which a sentence has ended) of a text.
 
         A text whose white space is single spaces and line ends is cut before each of them: no token spans such a place.
+        Any other goes through the library whole, and its sentence ends are taken from the library's offsets.
         """
         s = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         words = len(s) - (s[0] == "") - (len(s) > 1 and s[-1] in (" ", "\n"))
-        if words != len(text.split()) or "\0" in text:
-            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes(), np.zeros(0, np.int64)
+        if words != len(text.split()) or "\0" in text or any(c in text for c in _BLANKS):
+            got = self.tok.encode(text, add_special_tokens=False)
+            return array("I", got.ids).tobytes(), self._stops(text, got)
         self.known.trim()
         ids = list(map(self.known.__getitem__, s))
         sizes = np.fromiter(map(len, ids), np.int64, len(s))
@@ -98,6 +104,17 @@ class Ids:
         ends = _ENDS[raw[gaps - 1]] if len(gaps) else np.zeros(0, bool)
         return b"".join(ids), (sizes.cumsum() >> 2)[: len(gaps)][ends]
 
+    @staticmethod
+    def _stops(text: str, got) -> np.ndarray:
+        """Token offsets after which a sentence has ended, by the library's offsets; a place that a token spans is none."""
+        at = np.fromiter((m.end() for m in _STOP.finditer(text)), np.int64)
+        if not len(at):
+            return at
+        spans = np.array(got.offsets, np.int64).reshape(-1, 2)
+        from_, to = np.maximum.accumulate(spans[:, 0]), np.maximum.accumulate(spans[:, 1])
+        k = np.searchsorted(to, at, "right")  # tokens that end by then
+        return np.unique(k[np.append(from_, len(text))[k] >= at])
+
 
 def load(path: str) -> Ids:
     if path not in _LOADED:

@@ -29,6 +29,8 @@ LOOKS = str.maketrans("013457@$", "oieastas")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@$](?=[^\W_]))*")
 #: Weights of a hit in each context.
 QUOTED, REPORTED, ADDRESSED = 0.4, 0.15, 1.5
+#: Least share of toxic rows, by a lower bound, among the rows that hold a term or words on a stem.
+TERM, STEM = 0.5, 0.9
 #: Marks of quotations: opening and closing ones, and one that is both.
 MARKS = re.compile("[\"“”„«»]|(?:^|\n)[ \t]*>[^\n]*")
 
@@ -50,6 +52,7 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.most = [0]  # errors that some term below a node may have
         self.end: dict[int, tuple[int, bool]] = {}
+        self.names: dict[int, str] = {}
         self.letters = {c for t in terms for c in t}
         for term in sorted(terms):
             node, k = 0, edits(term)
@@ -62,10 +65,11 @@ class Automaton:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], k)
             self.end[node] = (k, terms[term])
+            self.names[node] = term
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.stem: list[int | None] = []  # errors with which a stem has been read whole
+        self.stem: list[tuple[int, str] | None] = []  # errors with which a stem has been read whole, and the stem
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs) -> int:
@@ -82,8 +86,7 @@ class Automaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            whole = [e for node, e in key if node in self.end and self.end[node][1] and e <= self.end[node][0]]
-            self.stem.append(min(whole) if whole else None)
+            self.stem.append(min(((e, self.names[node]) for node, e in key if node in self.end and self.end[node][1] and e <= self.end[node][0]), default=None))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -96,6 +99,11 @@ class Automaton:
 
     def read(self, word: str) -> int | None:
         """The least number of errors with which the word is a term or begins with a stem; None: it is neither."""
+        got = self.find(word)
+        return None if got is None else got[0]
+
+    def find(self, word: str) -> tuple[int, str] | None:
+        """As read(), with the term or stem."""
         if len(self.sets) > 50_000:  # bounds what a long run of odd words can add
             self.ids, self.sets, self.steps, self.stem = {}, [], [], []
             self.start = self._state({(0, 0)})
@@ -110,40 +118,48 @@ class Automaton:
                 stem = self.stem[state]
             if not self.sets[state]:
                 return stem
-        whole = [e for node, e in self.sets[state] if node in self.end and e <= self.end[node][0]]
+        whole = [(e, self.names[node]) for node, e in self.sets[state] if node in self.end and e <= self.end[node][0]]
         return min([*whole, *([stem] if stem is not None else [])], default=None)
 
 
 @dataclass
 class Model:
-    """terms: lexicon, with whether each is a stem; clean: misspellings that clean rows use; weights of the curve."""
+    """terms: lexicon, with whether each is a stem; clean: misspellings that clean rows use; weights of the curve; worth:
+    what a hit of a term counts, 1 unless given."""
 
     terms: dict[str, bool]
     clean: frozenset[str] = frozenset()
     weights: tuple[float, float, float] = (-3.0, 6.0, 2.5)
+    worth: dict[str, float] = field(default_factory=dict)
     _auto: Automaton | None = None
     _known: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "_auto": None, "_known": {}}
+        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "worth": self.worth, "_auto": None, "_known": {}}
 
-    def word(self, word: str) -> int:
-        """0: no hit, 1: a term or stem as it is, 2: a misspelled one."""
+    def find(self, word: str) -> tuple[int, float]:
+        """(0: no hit, 1: a term or stem as it is, 2: a misspelled one; what it counts)."""
         if self._auto is None:
             self._auto = Automaton(self.terms)
         word = word.lower()
-        errors = self._auto.read(word)
-        if errors != 0 and not word.isalpha():
+        got, looks = self._auto.find(word), False
+        if (got is None or got[0]) and not word.isalpha():
             word = word.translate(LOOKS)
-            plain = self._auto.read(word)
-            errors = plain if errors is None or plain == 0 else errors
-            if errors == 0:
-                return 2
-        return 0 if errors is None or errors and word in self.clean else 1 if not errors else 2
+            plain = self._auto.find(word)
+            got, looks = (plain if got is None or plain and plain[0] == 0 else got), True
+        if got is None or got[0] and word in self.clean:
+            return 0, 0.0
+        return 2 if got[0] or looks else 1, self.worth.get(got[1], 1.0)
+
+    def word(self, word: str) -> int:
+        return self.find(word)[0]
+
+    def hit(self, piece: str) -> tuple[int, float]:
+        """The hit of the piece's words that comes first: one without errors, then the one that counts most."""
+        return min((x for w in _WORD.findall(piece) if (x := self.find(w))[0]), key=lambda x: (x[0], -x[1]), default=(0, 0.0))
 
     def piece(self, piece: str) -> int:
-        got = {self.word(w) for w in _WORD.findall(piece)}
-        return 1 if 1 in got else 2 if 2 in got else 0
+        return self.hit(piece)[0]
 
     def sums(self, text: str, pieces: list[str], hits: dict) -> tuple[float, float]:
         """Weighed sums of exact and of misspelled hits of one text."""
@@ -159,13 +175,13 @@ class Model:
         exact = fuzzy = 0.0
         at, k = 0, 0
         for i, p in enumerate(pieces):
-            kind = hits.get(p, 0)
+            kind, worth = hits.get(p, (0, 0.0))
             if kind:
                 while k < len(spans) and spans[k][1] <= at:
                     k += 1
                 near = {w.lower().strip(".,;:!?\"'“”„«»") for w in pieces[max(0, i - WINDOW) : i + WINDOW + 1]}
                 quoted = any(a < at + len(p) and at < b for a, b in spans[k : k + 4])
-                weight = (REPORTED if quoted and near & REPORT else QUOTED if quoted else 1.0) * (ADDRESSED if near & ADDRESS and not quoted else 1.0)
+                weight = worth * (REPORTED if quoted and near & REPORT else QUOTED if quoted else 1.0) * (ADDRESSED if near & ADDRESS and not quoted else 1.0)
                 exact, fuzzy = (exact + weight, fuzzy) if kind == 1 else (exact, fuzzy + weight)
             at += len(p) + 1
         return exact, fuzzy
@@ -174,8 +190,8 @@ class Model:
         out = []
         for a, b in common.sub_batches(texts):
             split = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
-            common.fill(self._known, set().union(*split), lambda ps: [self.piece(p) for p in ps], PIECES)
-            hits = {p: k for p in set().union(*split) if (k := self._known[p])}
+            common.fill(self._known, set().union(*split), lambda ps: [self.hit(p) for p in ps], PIECES)
+            hits = {p: k for p in set().union(*split) if (k := self._known[p])[0]}
             keys = hits.keys()
             out += [(0.0, 0.0) if keys.isdisjoint(s) else self.sums(t, s, hits) for t, s in zip(texts[a:b], split)]
         return out
@@ -234,16 +250,25 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(words).alias("word")).filter(F.length("word") >= 4).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> dict[str, bool]:
-    """Terms and stems of the toxic rows that chance can't put into them alone. clean: words of the clean rows."""
+def _sure(p: Column, n: Column, z: float = 1.96) -> Column:
+    """Lower bound (Wilson's) of the toxic share of p toxic and n clean rows; 1 where none is clean."""
+    rows = p + n
+    low = (p / rows + z * z / (2 * rows) - z * F.sqrt(p * n / rows + z * z / 4) / rows) / (1 + z * z / rows)
+    return F.when(n == 0, F.lit(1.0)).otherwise(low)
+
+
+def _terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, bool], dict[str, float]]:
+    """Terms and stems of the toxic rows that chance can't put into them, and what each counts. clean: words of the clean
+    rows, which may hold a term as long as the toxic share of its rows is surely high."""
     count = _words(toxic).withColumnRenamed("rows", "p").join(clean.withColumnRenamed("rows", "n"), "word", "full").na.fill(0)
     count = common.cut(count, "toxic-words")
     least = int(np.ceil(max(3.0, np.log(10 * max(count.count(), 1)) / np.log((n_clean + n_toxic) / n_toxic))))
-    terms = {r.word: False for r in count.filter((F.col("n") == 0) & (F.col("p") >= least)).orderBy(F.desc("p"), "word").limit(2000).collect()}
+    sure = _sure(F.col("p"), F.col("n"))
+    terms = count.filter(F.col("p") >= least).withColumn("sure", sure).filter(F.col("sure") >= TERM).orderBy(F.desc("p"), "word").limit(2000).collect()
     stems = count.select("p", "n", "word", F.explode(F.sequence(F.lit(4), F.length("word"))).alias("size"))
     stems = stems.groupBy(F.expr("left(word, size)").alias("stem")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count_distinct(F.expr("substring(word, size + 1, 1)")).alias("ways"))
-    found = stems.filter((F.col("n") == 0) & (F.col("p") >= 2 * least) & (F.col("ways") >= 3)).orderBy(F.desc("p"), "stem").limit(2000).collect()
-    return terms | {r.stem: True for r in found}
+    found = stems.filter((F.col("p") >= 2 * least) & (F.col("ways") >= 3)).withColumn("sure", sure).filter(F.col("sure") >= STEM).orderBy(F.desc("p"), "stem").limit(2000).collect()
+    return {r.word: False for r in terms} | {r.stem: True for r in found}, {r.word: r.sure for r in terms} | {r.stem: r.sure for r in found}
 
 
 def _shortest(terms: dict[str, bool]) -> dict[str, bool]:
@@ -257,8 +282,9 @@ def _shortest(terms: dict[str, bool]) -> dict[str, bool]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 3) -> Model:
     """Learn lexicon, clean misspellings and curve from at most `sample` labelled rows (doc_id, toxic) whose id isn't held
-    out. Four fifths give the lexicon, the rest the curve. A word is a term if it is in toxic rows alone and in so many
-    that chance can't give it; a stem likewise, over words with at least three ways to go on. Later rounds look at the
+    out. Four fifths give the lexicon, the rest the curve. A word is a term if it is in so many toxic rows that
+    chance can't give it and few enough clean ones that the toxic share of its rows is TERM at least, by a lower bound that
+    is also what its hits count; a stem likewise, over words with at least three ways to go on. Later rounds look at the
     toxic rows that no term explains yet, where rarer terms stand out. Without labelled rows of both kinds the lexicon is
     empty and every score is the same."""
     rows = common.cut(_toxic_sample(docs, labels, sample), "toxic-sample")
@@ -269,10 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     for _ in range(rounds):
         left = common.cut(toxic.select("text").mapInArrow(_unexplained(model), "text string"), "toxic-left")
         n_toxic = left.count()
-        found = _terms(left, clean, n_toxic, n_clean) if n_toxic and n_clean else {}
+        found, worth = _terms(left, clean, n_toxic, n_clean) if n_toxic and n_clean else ({}, {})
         if not found:
             break
-        model = Model(_shortest(model.terms | found))
+        model = Model(_shortest(model.terms | found), worth=worth | model.worth)
     if not model.terms:
         return model
     near = clean.select("word").mapInArrow(_near_terms(model), "word string")

@@ -171,34 +171,97 @@ def test_toxicity_context():
     assert m.piece("id10t") == 2 and m.piece("(IDIOT!)") == 1
 
 
+def test_quotations_of_any_number():
+    m = toxicity.Model({"idiot": False})
+    for n in (0, 1, 3, 4, 9):
+        lines = "".join(f"\n> line {i}" for i in range(n))
+        assert m.features([f'"an idiot here{lines}\n" end']) == [(0.4, 0.0)], n
+    assert m.features(['"a" "b" "c" "d" "e" "f" "idiot"', 'a" idiot']) == [(0.4, 0.0), (1.0, 0.0)]
+    assert toxicity.quotations('a "b"\n> c\n> d') == ([2], [13])
+
+
+def test_held_out_recall_on_many_labels(spark):
+    """Of sf0.1's 144 held-out toxic rows, nine hold junk in place of the text that was labelled: 0.94 is the most."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.filter("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    got = toxicity.score(rows, toxicity.fit(docs, labels)).filter(toxicity.held_out("doc_id", 3, 1)).select("toxic", "score").toPandas()
+    assert (got.score >= 0.7)[got.toxic == 1].mean() >= 0.9 and (got.score < 0.7)[got.toxic == 0].mean() > 0.995
+
+
 def test_toxicity_fit(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs.withColumn("score", common.F.lit("clash")), model).join(labels, "doc_id").filter(toxicity.held_out("doc_id", 3, 1)).select("toxic", "score").toPandas()
-    assert (got.score >= 0.7)[got.toxic == 1].mean() > 0.6 and (got.score < 0.7)[got.toxic == 0].mean() > 0.98
+    assert (got.score >= 0.7)[got.toxic == 1].mean() > 0.8 and (got.score < 0.7)[got.toxic == 0].mean() > 0.99
     assert toxicity.fit(docs, labels.limit(0)).terms == {} and toxicity.score(odd_docs(spark), model).count() == len(ODD)
 
 
-def test_forward_backward_is_enumeration():
+def chain_sums(e, moves):
+    """By enumeration: sum over all labellings, the places' label sums, and the transitions'."""
+    total, places, pairs = 0.0, np.zeros(e.shape), np.zeros(moves.shape)
+    for path in itertools.product(range(e.shape[1]), repeat=len(e)):
+        p = np.exp(sum(e[t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+        total += p
+        for t, y in enumerate(path):
+            places[t, y] += p
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += p
+    return total, places, pairs
+
+
+def test_forward_backward_is_enumeration(monkeypatch):
     r = np.random.default_rng(0)
     moves = r.normal(size=(3, 3))
-    chains = [r.normal(size=(n, 3)) for n in (1, 4, 2, 5, 0)]
-    for e, got in zip(chains, langid.marginals(chains, moves)):
-        want = np.zeros(e.shape)
-        for path in itertools.product(range(3), repeat=len(e)):
-            p = np.exp(sum(e[t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
-            for t, y in enumerate(path):
-                want[t, y] += p
-        if len(e):
-            np.testing.assert_allclose(got, want / want.sum(1, keepdims=True), rtol=1e-9)
+    chains = [r.normal(size=(n, 3)) for n in (1, 4, 2, 0, 7, 3, 6)]
+    sums = [chain_sums(e, moves) for e in chains]
+    for block in (128, 2, 3):  # chains of one block, and of several
+        monkeypatch.setattr(langid, "CUT", block)
+        got, pairs = langid.marginals(np.concatenate(chains), [len(e) for e in chains], moves, pairs=True)
+        np.testing.assert_allclose(got, np.concatenate([places / total for total, places, _ in sums]), rtol=1e-9)
+        np.testing.assert_allclose(pairs, sum(p / total for total, _, p in sums), rtol=1e-9)
+
+
+def test_training_follows_the_likelihood():
+    r = np.random.default_rng(4)
+    moves, sizes = r.normal(size=(3, 3)), [5, 1, 4]
+    e, y = r.normal(size=(10, 3)), r.integers(0, 3, 10)
+
+    def loss(e, moves):
+        out, at = 0.0, 0
+        for n in sizes:
+            part, labels = e[at : at + n], y[at : at + n]
+            out += np.log(chain_sums(part, moves)[0]) - part[np.arange(n), labels].sum() - sum(moves[a, b] for a, b in zip(labels, labels[1:]))
+            at += n
+        return out
+
+    by_place, by_move = langid.gradient(e, sizes, y, moves)
+    step = 1e-5
+    for i, j in itertools.product(range(3), range(3)):
+        d = np.zeros((3, 3))
+        d[i, j] = step
+        assert abs((loss(e, moves + d) - loss(e, moves - d)) / (2 * step) - by_move[i, j]) < 1e-6
+    for i, j in ((0, 0), (4, 2), (5, 1), (9, 0)):
+        d = np.zeros(e.shape)
+        d[i, j] = step
+        assert abs((loss(e + d, moves) - loss(e - d, moves)) / (2 * step) - by_place[i, j]) < 1e-6
+
+
+def test_any_part_of_a_labelled_text_may_be_learned_from(spark):
+    text = " ".join(f"w{i}" for i in range(1000))
+    df = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "", "en"), (4, "a\tb", None)], "doc_id long, text string, lang string")
+    rows = langid.windows_of(df).collect()
+    assert sorted(w for r in rows for w in r.w if w) == sorted(text.split()) and max(len(r.w) for r in rows) == langid.SPAN
+    assert len(langid.windows_of(df, windows=5).collect()) == 5
 
 
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
     got = langid.identify(docs, model).filter(toxicity.held_out("doc_id", 4, 2)).select("lang", "lang_pred").toPandas()
-    assert (got.lang == got.lang_pred).mean() > 0.97
+    assert (got.lang == got.lang_pred).mean() > 0.99
+    assert set(langid.query(spark, "/root/testdata/sf0.001").columns) == {"doc_id", "held_out", "lang_pred", "score"}
     odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd_docs(spark), model).collect()}
     assert all(odd[i] == ("und", 0.0) for i in (0, 1, 2, 3, 6)) and len(odd) == len(ODD)
     words = model.label(["the and of that with thing ist nicht und der die schön"])[0]
@@ -252,12 +315,12 @@ def test_media_round_trip(spark):
             assert all(re.fullmatch("[0-9a-f]{64}.png", n) for n in tar.getnames())
 
 
-def check_packing(spark, docs, texts):
+def check_packing(spark, docs, texts, got=None):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(BYTE)
     ids = {i: np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}
-    got = packing.pack(docs, BYTE, 1, partitions=2).toPandas()
+    got = packing.pack(docs, BYTE, 1, partitions=2).toPandas() if got is None else got
     for r in got.itertuples():
         part = ids[r.doc_id][r.start : r.start + r.length]
         assert r.length > 0 and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
@@ -360,6 +423,27 @@ def test_quotes_match_sql(spark, sf):
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
 
 
+def jaccard_components(texts):
+    """Of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
@@ -371,10 +455,15 @@ def test_pipeline_stages(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
         if name == "near_duplicates":
             rows = docs.orderBy("doc_id").collect()
-            roots = plain_components([plain_print(r.text or "") for r in rows])
-            assert {r.doc_id for r in out.collect()} == {rows[i].doc_id for i in set(roots)}
+            assert {r.doc_id for r in out.collect()} == {rows[i].doc_id for i in set(jaccard_components([r.text or "" for r in rows]))}
+        if name == "toxicity":
+            model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect() if model.scores([r.text or ""])[0] < 0.7}
+        if name == "language":
+            model = langid.fit(docs)
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect() for lang, share in model.predict([r.text or ""]) if lang != "und" and share >= 0.65}
         if name == "secrets":
             assert out.count() == docs.count() and not any(secretscan.scan_text(r.text or "") for r in out.collect())
         docs = out
     packed = p.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    check_packing(spark, docs, {r.doc_id: r.text for r in docs.collect()}, packed.toPandas())

@@ -4,7 +4,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 _OWN_SCRATCH: list[str] = []
 
@@ -14,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path below the folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local folder
+    serves a local master, as in tests; on a cluster it would lose rows, so there it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_SCRATCH:
             _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp"))
         base = _OWN_SCRATCH[0]
@@ -68,3 +74,31 @@ def least_hashes(rows: DataFrame, hashed: str, n: int) -> DataFrame:
     every task sends n rows. It is the same at every size; with fewer rows than that all are kept."""
     share = (1.5 * n + 100) / max(rows.count(), 1)
     return rows if share >= 1 else rows.filter(F.col(hashed) < F.lit(int(-(2**63) + share * 2**64)))
+
+
+def slices(texts: pa.Array, most_bytes: int = 4_000_000):
+    """(from, rows) of parts of a string column, each of about most_bytes: what a Python worker turns into strings at once."""
+    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(size):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(size.searchsorted(before + most_bytes, "right")))
+        yield at, end - at
+        at = end
+
+
+def annotate(docs: DataFrame, text: str, added: str, work) -> DataFrame:
+    """docs with the columns that `added` names, from work(texts), which gives an Arrow array for each; a null text is given
+    as empty. Other columns pass through, those named as an output are replaced; the text may not be one. Texts are sent
+    to Python once, and taken out of their batch part by part."""
+    names = StructType.fromDDL(added).fieldNames()
+    docs = docs.drop(*names)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for first, n in slices(batch.column(at)):
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, *work([t or "" for t in part.column(at).to_pylist()])], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))

@@ -7,6 +7,7 @@ label probabilities, so code-switched texts are labelled word by word; a documen
 """
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,15 +17,19 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .toxicity import held_out
 
-#: Labelled rows that a model is fitted on, at most (those with the smallest hashes of their ids), and words of each.
-SAMPLE, SPAN = 3_000, 64
+#: The classifier's sample: labelled rows whose whole texts are cut into windows, at most, pieces of a window, and windows
+#: that are learned from, at most; rows and windows are chosen by the least hashes of their ids.
+SAMPLE, SPAN, WINDOWS = 3_000, 64, 3_000
+#: Places of a chain's block.
+CUT = 128
 #: Size of the table of hashed features; distinct pieces of text that one Python worker keeps emissions of.
 TABLE, PIECES = 1 << 18, 300_000
 GRAMS = 4
 
 
 def letters_of(piece: str) -> str:
-    return piece.lower() if piece.isalpha() else "".join(c for c in piece if c.isalpha()).lower()
+    body = piece.strip(".,;:!?\"'()|")
+    return body.lower() if body.isalpha() else "".join(filter(str.isalpha, piece)).lower()
 
 
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +75,12 @@ class Model:
         return {"langs": self.langs, "weights": self.weights, "moves": self.moves, "_known": {}, "_table": None, "_sizes": None, "_next": 1}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        feats, first = hashed(words)
-        return np.add.reduceat(self.weights[feats], first, axis=0)
+        """Sums of the words' weights, a bounded number of words at once."""
+        out = np.empty((len(words), len(self.langs)), self.weights.dtype)
+        for a in range(0, len(words), 10_000):
+            feats, first = hashed(words[a : a + 10_000])
+            out[a : a + 10_000] = np.add.reduceat(self.weights[feats], first, axis=0)
+        return out
 
     def _learn(self, pieces: set[str]) -> None:
         """Number the pieces that aren't known, and keep their letters and emissions; 0 stands for those without a letter."""
@@ -92,78 +101,112 @@ class Model:
             self._known[p] = self._next if w else 0
             self._next += bool(w)
 
-    def _run(self, texts: list[str]):
-        """For each text: the numbers of its pieces that have letters, and their label probabilities."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _run(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as lists of pieces: (how many pieces of each have letters, their numbers, their label probabilities)."""
         self._learn(set().union(*split))
-        get = self._known.__getitem__
-        found = [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
-        found = [x[x > 0] for x in found]
-        return zip(found, marginals([self._table[x].astype(np.float64) for x in found], self.moves))
+        found = np.fromiter(map(self._known.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        owner = np.repeat(np.arange(len(split)), [len(s) for s in split])[found > 0]
+        sizes, found = np.bincount(owner, minlength=len(split)), found[found > 0]
+        return sizes, found, marginals(self._table[found].astype(np.float64), sizes, self.moves)[0]
 
     def label(self, texts: list[str]) -> list[list[tuple[str, np.ndarray]]]:
         """Each text's pieces that have letters, with their label probabilities."""
-        probs = [p for _, p in self._run(texts)]
-        split = [[w for w in t.replace("\n", " ").split(" ") if self._known[w]] for t in texts]
-        return [list(zip(s, p)) for s, p in zip(split, probs)]
+        split = [t.split() for t in texts]
+        sizes, _, probs = self._run(split)
+        return [list(zip([w for w in s if self._known[w]], p)) for s, p in zip(split, np.split(probs, np.cumsum(sizes)[:-1]))]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, its share of the letters by the labels' probabilities); ("und", 0) for a text without letters."""
         out = []
-        for a, b in common.sub_batches(texts):
-            for rows, probs in self._run(texts[a:b]):
-                if not len(rows):
-                    out.append(("und", 0.0))
-                    continue
-                mass = self._sizes[rows] @ probs
-                k = int(mass.argmax())
-                out.append((self.langs[k], float(min(1.0, mass[k] / mass.sum()))))
+        for a, b in common.sub_batches(texts, 1_000_000):
+            sizes, found, probs = self._run([t.split() for t in texts[a:b]])
+            mass = np.zeros((b - a, len(self.langs)))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                mass[some] = np.add.reduceat(probs * self._sizes[found][:, None], (np.cumsum(sizes) - sizes)[some], axis=0)
+            best = mass.argmax(1)
+            for n, k, m in zip(sizes, best, mass):
+                out.append((self.langs[k], float(min(1.0, m[k] / m.sum()))) if n else ("und", 0.0))
         return out
 
 
-def marginals(chains: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """Label probabilities of each place by forward-backward, scaled at each step; chains of like length go together."""
-    out: list = [None] * len(chains)
-    order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+def marginals(scores: np.ndarray, sizes, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of each place by forward-backward, of chains whose scores lie one after the other; with `pairs`
+    also the expected number of each transition over all chains.
+
+    Chains are cut into blocks of at most CUT places. The blocks' products of transfer matrices give what enters each
+    block from either side, so all blocks, of long and short chains, go through the recursions side by side.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    n_langs, total = moves.shape[0], int(sizes.sum())
     step = np.exp(moves)
-    at = 0
-    while at < len(order):
-        most = len(chains[order[at]])
-        group = [order[at]]
-        at += 1
-        while at < len(order) and 2 * len(chains[order[at]]) > most and most * len(group) < 400_000:
-            group.append(order[at])
-            at += 1
-        if not most:
-            for i in group:
-                out[i] = chains[i]
-            continue
-        sizes = np.array([len(chains[i]) for i in group])
-        e = np.zeros((most, len(group), moves.shape[0]))
-        for k, i in enumerate(group):
-            e[: sizes[k], k] = chains[i]
-        e = np.exp(e - e.max(axis=2, keepdims=True))
-        alpha = np.empty_like(e)
-        a = np.full(e.shape[1:], 1.0 / moves.shape[0])
-        for t in range(most):
-            a = (a @ step if t else a) * e[t]
-            a /= a.sum(axis=1, keepdims=True)
-            alpha[t] = a
-        beta = np.ones(e.shape[1:])
-        for t in range(most - 1, -1, -1):
-            alive = sizes > t + 1
-            if t < most - 1:
-                nxt = (e[t + 1] * beta) @ step.T
-                nxt /= nxt.sum(axis=1, keepdims=True)
-                beta = np.where(alive[:, None], nxt, 1.0)
-            alpha[t] *= beta
-        alpha /= alpha.sum(axis=2, keepdims=True)
-        for k, i in enumerate(group):
-            out[i] = alpha[: sizes[k], k]
-    return out
-
-
-def train(windows: list[tuple[list[str], str]], epochs: int = 6, seed: int = 0) -> Model:
+    if not total:
+        return np.zeros((0, n_langs)), np.zeros((n_langs, n_langs)) if pairs else None
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    per = -(-sizes // CUT)
+    chain = np.repeat(np.arange(len(sizes)), per)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(per) - per, per)
+    start = np.repeat(np.cumsum(sizes) - sizes, per) + CUT * nth
+    size = np.minimum(CUT, sizes[chain] - CUT * nth)
+    last = nth == per[chain] - 1
+    rank = np.argsort(-size, kind="stable")  # the blocks that reach a place are the first ones in this order
+    order, place = start[rank], np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    alive = np.searchsorted(-size[rank], -np.arange(1, CUT + 2), "right")
+
+    into, after = np.full((len(rank), n_langs), 1.0 / n_langs), np.ones((len(rank), n_langs))
+    many = per[chain[rank]] > 1
+    if many.any():
+        t = np.einsum("bi,ij->bij", e[order], np.eye(n_langs))
+        for k in range(1, int(size.max())):
+            m = alive[k]
+            t[:m] = (t[:m].reshape(-1, n_langs) @ step).reshape(m, n_langs, n_langs) * e[order[:m] + k][:, None, :]
+            if k % 8 == 0:
+                t[:m] /= t[:m].max(axis=(1, 2), keepdims=True)
+        for k in range(1, int(per.max())):
+            b = np.flatnonzero(nth == k)
+            x = np.einsum("bi,bij->bj", into[place[b - 1]], t[place[b - 1]]) @ step
+            into[place[b]] = x / x.sum(axis=1, keepdims=True)
+        for k in range(int(per.max()) - 1, 0, -1):
+            b = np.flatnonzero(nth == k)
+            x = np.einsum("bij,bj->bi", t[place[b]], after[place[b]]) @ step.T
+            after[place[b - 1]] = x / x.sum(axis=1, keepdims=True)
+        del t
+    alpha = np.empty_like(e)
+    a = into
+    for k in range(int(size.max())):
+        m = alive[k]
+        a = (a[:m] @ step if k else a[:m]) * e[order[:m] + k]
+        a /= a.sum(axis=1, keepdims=True)
+        alpha[order[:m] + k] = a
+    beta = np.empty_like(e)
+    now = after
+    for k in range(int(size.max()) - 1, -1, -1):
+        m, more = alive[k], alive[k + 1]
+        x = (e[order[:more] + k + 1] * now[:more]) @ step.T
+        now[:more] = x / x.sum(axis=1, keepdims=True)
+        beta[order[:m] + k] = now[:m]
+    expected = None
+    if pairs:
+        inner = np.setdiff1d(np.arange(total - 1), np.cumsum(sizes) - 1)
+        both = alpha[inner][:, :, None] * step * (e[inner + 1] * beta[inner + 1])[:, None, :]
+        expected = (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    alpha *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return alpha, expected
+
+
+def gradient(scores: np.ndarray, sizes, y: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chains' negative log-likelihood, by the score of each place and label, and by the transitions: what is
+    expected less what is seen."""
+    p, expected = marginals(scores, sizes, moves, pairs=True)
+    p[np.arange(len(y)), y] -= 1
+    inner = np.setdiff1d(np.arange(len(y) - 1), np.cumsum(sizes) - 1)
+    np.add.at(expected, (y[inner], y[inner + 1]), -1)
+    return p, expected
+
+
+def train(windows: list[tuple[list[str], str]], epochs: int = 4, seed: int = 0) -> Model:
     """Fit by AdaGrad on batches of windows (words, language); every third window is joined to one of another language."""
     langs = sorted({lang for _, lang in windows})
     n = len(langs)
@@ -185,54 +228,52 @@ def train(windows: list[tuple[list[str], str]], epochs: int = 6, seed: int = 0)
     ready = []
     for a in range(0, len(chains), 64):
         part = chains[a : a + 64]
-        words = [w for c, _ in part for w in c]
-        ready.append((*hashed(words), [len(c) for c, _ in part], np.concatenate([y for _, y in part])))
+        words, at = np.unique(np.array([w for c, _ in part for w in c], object), return_inverse=True)
+        feats, first = hashed(list(words))
+        ready.append((feats.astype(np.int32), first, at, [len(c) for c, _ in part], np.concatenate([y for _, y in part])))
     for _ in range(epochs):
         for k in rng.permutation(len(ready)):
-            feats, first, sizes, y = ready[k]
-            e = np.add.reduceat(weights[feats], first, axis=0).astype(np.float64)
-            ends = np.cumsum(sizes)
-            chain = [e[b - s : b] for s, b in zip(sizes, ends)]
-            p = np.concatenate(marginals(chain, moves))
-            g = p.copy()
-            g[np.arange(len(y)), y] -= 1
-            g /= len(sizes)
+            feats, first, at, sizes, y = ready[k]
+            e = np.add.reduceat(weights[feats], first, axis=0).astype(np.float64)[at]
+            g, mg = gradient(e, sizes, y, moves)
+            g = np.stack([np.bincount(at, g[:, j], len(first)) for j in range(n)], axis=1) / len(sizes)
             per = np.diff(np.append(first, len(feats)))
             used, where = np.unique(feats, return_inverse=True)
             grad = np.stack([np.bincount(where, np.repeat(g[:, j], per), len(used)) for j in range(n)], axis=1).astype(np.float32) + 1e-6 * weights[used]
             sums[used] += grad * grad
             weights[used] -= 0.1 * grad / np.sqrt(sums[used])
-            # expected less observed transitions; a pair's probability is taken from its places' own
-            inner = np.setdiff1d(np.arange(len(y) - 1), ends - 1)
-            step = np.exp(moves)
-            pair = p[inner][:, :, None] * step[None] * p[inner + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            seen = np.zeros((n, n))
-            np.add.at(seen, (y[inner], y[inner + 1]), 1)
-            mg = (pair.sum(axis=0) - seen) / len(sizes)
+            mg /= len(sizes)
             move_sums += mg * mg
             moves = np.clip(moves - 0.05 * mg / np.sqrt(move_sums), -6, 6)
     return Model(langs, weights, moves)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> Model:
-    """A model from at most `sample` rows with a language whose id isn't held out; each gives a window of SPAN pieces, at a
-    place that its hash picks."""
+def windows_of(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(w, l): windows of SPAN pieces and their language. The whole texts of at most `sample` rows with a language whose id
+    isn't held out are cut into windows; of these, at most `windows` are kept. Both choices go by hashes."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col, 4, 2))
-    pieces = F.split(F.col("t"), "[ \n]+")
-    start = F.pmod(F.xxhash64("i", F.lit(3)), F.greatest(F.size(pieces) - SPAN, F.lit(0)) + 1).cast("int") + 1
-    chosen = rows.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).select(F.xxhash64("i").alias("h"), "i", "l", F.slice(pieces, start, SPAN).alias("w"))
-    windows = [([w for p in r.w if (w := letters_of(p))], r.l) for r in common.least_hashes(chosen, "h", sample).orderBy("h", "i", "l").limit(sample).collect()]
-    return train([x for x in windows if x[0]])
+    rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    chosen = common.least_hashes(rows, "h", sample).orderBy("h", "i", "l").limit(sample)
+    pieces = F.split(F.trim("t"), r"\s+")
+    cut = chosen.withColumn("p", pieces).select("i", "l", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)), F.lit(SPAN))).alias("a"))
+    cut = cut.select(F.xxhash64("i", "a").alias("h"), "i", "a", "l", F.slice("p", F.col("a"), SPAN).alias("w"))
+    return cut.orderBy("h", "i", "a", "l").limit(windows).select("w", "l")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> Model:
+    """A model from the windows of windows_of(): the classifier's sample is bounded in rows and in windows, and any part of
+    a labelled text may be in it."""
+    found = [([w for p in r.w if (w := letters_of(p))], r.l) for r in windows_of(docs, sample, windows, lang, id_col, text).collect()]
+    return train([x for x in found if x[0]])
 
 
 def _predict(model: Model):
-    def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("_tm_text")).to_pylist()]
-            got = model.predict(texts) if len(model.langs) > 1 else [(model.langs[0], 1.0) if model.langs and any(map(str.isalpha, t)) else ("und", 0.0) for t in texts]
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_tm_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*[batch.schema.names[i] for i in keep], "_tm_lang", "_tm_score"])
+    def run(texts: list[str]):
+        if len(model.langs) > 1:
+            got = model.predict(texts)
+        else:
+            got = [(model.langs[0], 1.0) if model.langs and any(map(str.isalpha, t)) else ("und", 0.0) for t in texts]
+        return pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())
 
     return run
 
@@ -240,14 +281,13 @@ def _predict(model: Model):
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the language of the whole text and its share of the letters. A text that is null or has no letter gives
     ("und", 0); rows repeat as given; an empty table gives none; other columns pass through, but one named as an output
-    is replaced."""
-    rows = docs.drop(lang, score).withColumn("_tm_text", common.whole(text))
-    schema = rows.drop("_tm_text").withColumns({"_tm_lang": F.lit("").cast("string"), "_tm_score": F.lit(0.0)}).schema
-    return rows.mapInArrow(_predict(model), schema).withColumnsRenamed({"_tm_lang": lang, "_tm_score": score})
+    is replaced (unless it is the text)."""
+    return common.annotate(docs, text, f"{lang} string, {score} double", _predict(model))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Language and its share of the letters for every document; a null text counts as empty and gives "und", equal texts
+    get equal answers, and an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents")
-    model = fit(docs)
-    rows = docs.select("doc_id", common.whole("text").alias("_tm_text")).mapInArrow(_predict(model), "doc_id long, _tm_lang string, _tm_score double")
-    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("_tm_lang").alias("lang_pred"), F.col("_tm_score").alias("score"))
+    rows = identify(docs.select("doc_id", "text"), fit(docs))
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

@@ -7,6 +7,7 @@ more. A logistic curve, fitted on labelled rows that the lexicon hasn't seen, tu
 """
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -27,10 +28,10 @@ ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr euch
 REPORT = frozenset("said says wrote writes called quoted quote quotes sagte schrieb nannte zitat dit écrit appelé dijo escribió llamó cita".split())
 LOOKS = str.maketrans("013457@$", "oieastas")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@$](?=[^\W_]))*")
-#: Weights of a hit in each context.
-QUOTED, REPORTED, ADDRESSED = 0.4, 0.15, 1.5
-#: Least share of toxic rows, by a lower bound, among the rows that hold a term or words on a stem.
-TERM, STEM = 0.5, 0.9
+#: Contexts of a hit, and the weights that they start from; fit() draws them towards what labelled rows tell.
+CONTEXTS, WEIGHTS = ("plain", "quoted", "reported", "addressed"), (1.0, 0.4, 0.15, 1.5)
+#: How many times the toxic share of any row a term's must surely be; different words that make a row rich in a stem.
+FACTOR, RICH = 2.0, 3
 #: Marks of quotations: opening and closing ones, and one that is both.
 MARKS = re.compile("[\"“”„«»]|(?:^|\n)[ \t]*>[^\n]*")
 
@@ -122,20 +123,46 @@ class Automaton:
         return min([*whole, *([stem] if stem is not None else [])], default=None)
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the text's quotations, those that overlap joined: in quotation marks, and quoted lines."""
+    spans, opened = [], None
+    for m in MARKS.finditer(text):
+        if m[0][0] not in '"“”„«»':
+            spans.append((m.start(), m.end()))
+        elif opened is None:
+            opened = m.start()
+        else:
+            spans.append((opened, m.end()))
+            opened = None
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+#: Where the curve's weights start: constant, exact hits, misspelled ones, hits among a hundred words.
+CURVE = (-3.0, 6.0, 2.5, 0.0)
+
+
 @dataclass
 class Model:
     """terms: lexicon, with whether each is a stem; clean: misspellings that clean rows use; weights of the curve; worth:
-    what a hit of a term counts, 1 unless given."""
+    what a hit of a term counts, 1 unless given; context: weights of CONTEXTS."""
 
     terms: dict[str, bool]
     clean: frozenset[str] = frozenset()
-    weights: tuple[float, float, float] = (-3.0, 6.0, 2.5)
+    weights: tuple[float, ...] = CURVE
     worth: dict[str, float] = field(default_factory=dict)
+    context: tuple[float, ...] = WEIGHTS
     _auto: Automaton | None = None
     _known: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "worth": self.worth, "_auto": None, "_known": {}}
+        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "worth": self.worth, "context": self.context, "_auto": None, "_known": {}}
 
     def find(self, word: str) -> tuple[int, float]:
         """(0: no hit, 1: a term or stem as it is, 2: a misspelled one; what it counts)."""
@@ -161,61 +188,100 @@ class Model:
     def piece(self, piece: str) -> int:
         return self.hit(piece)[0]
 
-    def sums(self, text: str, pieces: list[str], hits: dict) -> tuple[float, float]:
-        """Weighed sums of exact and of misspelled hits of one text."""
-        spans, opened = [], None
-        for m in MARKS.finditer(text):
-            if m[0][0] not in '"“”„«»':
-                spans.append((m.start(), m.end()))
-            elif opened is None:
-                opened = m.start()
-            else:
-                spans.append((opened, m.end()))
-                opened = None
-        exact = fuzzy = 0.0
-        at, k = 0, 0
+    def sums(self, text: str, pieces: list[str], hits: dict) -> tuple[list[float], list[float]]:
+        """Sums of exact and of misspelled hits of one text, in each context."""
+        starts, ends = quotations(text)
+        exact, fuzzy = [0.0] * len(CONTEXTS), [0.0] * len(CONTEXTS)
+        at = 0
         for i, p in enumerate(pieces):
             kind, worth = hits.get(p, (0, 0.0))
             if kind:
-                while k < len(spans) and spans[k][1] <= at:
-                    k += 1
                 near = {w.lower().strip(".,;:!?\"'“”„«»") for w in pieces[max(0, i - WINDOW) : i + WINDOW + 1]}
-                quoted = any(a < at + len(p) and at < b for a, b in spans[k : k + 4])
-                weight = worth * (REPORTED if quoted and near & REPORT else QUOTED if quoted else 1.0) * (ADDRESSED if near & ADDRESS and not quoted else 1.0)
-                exact, fuzzy = (exact + weight, fuzzy) if kind == 1 else (exact, fuzzy + weight)
+                k = bisect.bisect_right(ends, at)  # the first quotation that ends behind the piece's start
+                quoted = k < len(starts) and starts[k] < at + len(p)
+                where = (2 if near & REPORT else 1) if quoted else 3 if near & ADDRESS else 0
+                (exact if kind == 1 else fuzzy)[where] += worth
             at += len(p) + 1
         return exact, fuzzy
 
-    def features(self, texts: list[str]) -> list[tuple[float, float]]:
-        out = []
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x (exact, misspelled) x contexts: sums of what hits count; words of each text)."""
+        out, words = np.zeros((len(texts), 2, len(CONTEXTS))), np.zeros(len(texts))
         for a, b in common.sub_batches(texts):
             split = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
+            words[a:b] = [len(s) for s in split]
             common.fill(self._known, set().union(*split), lambda ps: [self.hit(p) for p in ps], PIECES)
             hits = {p: k for p in set().union(*split) if (k := self._known[p])[0]}
             keys = hits.keys()
-            out += [(0.0, 0.0) if keys.isdisjoint(s) else self.sums(t, s, hits) for t, s in zip(texts[a:b], split)]
-        return out
+            for i, (t, s) in enumerate(zip(texts[a:b], split), a):
+                if not keys.isdisjoint(s):
+                    out[i] = self.sums(t, s, hits)
+        return out, words
+
+    def features(self, texts: list[str]) -> list[tuple[float, float]]:
+        return [(float(x), float(y)) for x, y in self.parts(texts)[0] @ np.array(self.context)]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.log1p(np.array(self.features(texts), np.float64).reshape(-1, 2))
-        c, a, b = self.weights
-        return 1 / (1 + np.exp(-np.clip(c + a * x[:, 0] + b * x[:, 1], -30, 30)))
+        sums, words = self.parts(texts)
+        return curve(design(sums, words, self.context), self.weights)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, start=(-3.0, 6.0, 2.5), ridge: float = 0.05) -> tuple[float, float, float]:
+def design(sums: np.ndarray, words: np.ndarray, context) -> np.ndarray:
+    """What the curve sees of each text: a constant, exact and misspelled hits, and hits among a hundred words."""
+    x = sums @ np.array(context)
+    return np.column_stack([np.ones(len(x)), np.log1p(x), np.log1p(100 * x.sum(1) / np.maximum(words, 1))])
+
+
+def curve(z: np.ndarray, weights) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z @ np.array(weights), -30, 30)))
+
+
+def balance(y: np.ndarray) -> np.ndarray:
+    """Weights of rows: a missed toxic row counts more than a clean one, by the root of how much rarer it is."""
+    toxic = max(y.sum(), 1)
+    return np.where(y > 0.5, np.sqrt(max(len(y) - toxic, 1) / toxic), 1.0)
+
+
+def fit_curve(z: np.ndarray, y: np.ndarray, start=CURVE, ridge: float = 0.3) -> tuple[float, ...]:
     """Logistic regression by Newton steps; weights are drawn towards `start`, so that what no row tells keeps it, and
     hits never count against toxicity."""
-    z = np.column_stack([np.ones(len(x)), np.log1p(x)])
     w0 = np.array(start)
     w = w0.copy()
+    even = balance(y)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * (w - w0)
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(3), g)
-        w = np.clip(w, [-12, 0, 0], [0, 40, 40])
+        p = curve(z, w)
+        g = z.T @ (even * (p - y)) + ridge * (w - w0)
+        w = w - np.linalg.solve((z * (even * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), g)
+        w = np.clip(w, [-12, 0, 0, 0], [0, 40, 40, 40])
     return tuple(float(v) for v in w)
 
 
+def fit_contexts(sums: np.ndarray, words: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Weights of contexts and of the curve, from sums by context: each context's weight in turn takes the step, up or down
+    by a fourth, that makes the rows likelier, less `ridge` times the squared log of its distance from where it started."""
+
+    def loss(context):
+        z = design(sums, words, context)
+        w = fit_curve(z, y)
+        p = curve(z, w)
+        away = np.log(np.array(context) / WEIGHTS)
+        return -(balance(y) * np.log(np.maximum(np.where(y > 0.5, p, 1 - p), 1e-12))).sum() + ridge * (away**2).sum(), w
+
+    context = WEIGHTS
+    least, weights = loss(context)
+    for _ in range(12):
+        before = least
+        for k in range(1, len(CONTEXTS)):
+            for by in (0.8, 1.25):
+                tried = (*context[:k], context[k] * by, *context[k + 1 :])
+                got, new = loss(tried)
+                if got < least - 1e-6:
+                    least, weights, context = got, new, tried
+        if before - least < 1e-3:
+            break
+    return context, weights
+
+
 def held_out(id_col: str | Column, by: int, rest: int) -> Column:
     """Whether the CRC-32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % by == rest, F.lit(False))
@@ -245,30 +311,45 @@ def _toxic_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """(word, rows) over the distinct words of each row."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
-    return rows.select(F.explode(words).alias("word")).filter(F.length("word") >= 4).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    """(term, stem, rows, uses, rich) over the words of the rows and over stems of them, of four letters or more. Further
+    uses in the same row count less and less; a row is rich in a stem if it has RICH different words on it."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) >= 4)
+    each = rows.withColumn("i", F.monotonically_increasing_id()).select("i", F.explode(words).alias("term")).groupBy("i", "term").agg(F.count(F.lit(1)).alias("c"))
+    stems = each.filter(F.length("term") > 4).select("i", "c", F.explode(F.transform(F.sequence(F.lit(4), F.length("term") - 1), lambda k: F.left("term", k))).alias("term"))
+    stems = stems.groupBy("i", "term").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("ways"))
+    both = each.withColumns({"stem": F.lit(False), "ways": F.lit(0)}).unionByName(stems.withColumn("stem", F.lit(True)))
+    return both.groupBy("term", "stem").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.log2(F.col("c") + 1)).alias("uses"), F.count_if(F.col("ways") >= RICH).alias("rich"))
+
+
+def _sure(share: Column, rows: Column, z: float) -> Column:
+    """Lower bound (Wilson's) of a share that is found over so many rows."""
+    return (share + z * z / (2 * rows) - z * F.sqrt(share * (1 - share) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
 
 
-def _sure(p: Column, n: Column, z: float = 1.96) -> Column:
-    """Lower bound (Wilson's) of the toxic share of p toxic and n clean rows; 1 where none is clean."""
-    rows = p + n
-    low = (p / rows + z * z / (2 * rows) - z * F.sqrt(p * n / rows + z * z / 4) / rows) / (1 + z * z / rows)
-    return F.when(n == 0, F.lit(1.0)).otherwise(low)
+def _worth(sure: float, base: float) -> float:
+    """What a hit counts: how much it tells, by the log of the odds over those of any use, next to one that is all but sure."""
+    odds = lambda x: min(x, 0.97) / (1 - min(x, 0.97))
+    return min(1.0, max(0.05, float(np.log(odds(sure) / odds(base)) / np.log(odds(1.0) / odds(base)))))
 
 
 def _terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, bool], dict[str, float]]:
     """Terms and stems of the toxic rows that chance can't put into them, and what each counts. clean: words of the clean
-    rows, which may hold a term as long as the toxic share of its rows is surely high."""
-    count = _words(toxic).withColumnRenamed("rows", "p").join(clean.withColumnRenamed("rows", "n"), "word", "full").na.fill(0)
-    count = common.cut(count, "toxic-words")
-    least = int(np.ceil(max(3.0, np.log(10 * max(count.count(), 1)) / np.log((n_clean + n_toxic) / n_toxic))))
-    sure = _sure(F.col("p"), F.col("n"))
-    terms = count.filter(F.col("p") >= least).withColumn("sure", sure).filter(F.col("sure") >= TERM).orderBy(F.desc("p"), "word").limit(2000).collect()
-    stems = count.select("p", "n", "word", F.explode(F.sequence(F.lit(4), F.length("word"))).alias("size"))
-    stems = stems.groupBy(F.expr("left(word, size)").alias("stem")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count_distinct(F.expr("substring(word, size + 1, 1)")).alias("ways"))
-    found = stems.filter((F.col("p") >= 2 * least) & (F.col("ways") >= 3)).withColumn("sure", sure).filter(F.col("sure") >= STEM).orderBy(F.desc("p"), "stem").limit(2000).collect()
-    return {r.word: False for r in terms} | {r.stem: True for r in found}, {r.word: r.sure for r in terms} | {r.stem: r.sure for r in found}
+    rows, which may use a term as long as its toxic share is surely more than FACTOR times that of any row; "surely" takes
+    into account how many terms are looked at. All that pass are taken: the lexicon is bounded by the words of the sample."""
+    one, two = (x.select("term", "stem", F.col("rows").alias(r), F.col("uses").alias(f"{r}u"), F.col("rich").alias(f"{r}r")) for x, r in ((_words(toxic), "p"), (clean, "n")))
+    count = common.cut(one.join(two, ["term", "stem"], "left").na.fill(0), "toxic-words")
+    words, stems = count.filter("not stem and p > 1").count(), count.filter("stem and pr > 1").count()
+    base = n_toxic / (n_toxic + n_clean)
+    uses = F.col("pu") / (F.col("pu") + F.col("nu"))
+
+    def surely(p, n, tried):
+        least = int(np.ceil(max(4.0, np.log(2 * max(tried, 1)) / np.log(1 / base))))
+        rows = F.col(p) + F.col(n)
+        return (F.col(p) >= least) & (_sure(F.col(p) / rows, rows, float(np.sqrt(2 * np.log(2 * max(tried, 2))))) >= FACTOR * base)
+
+    found = count.filter((~F.col("stem") & surely("p", "n", words) & (uses >= 0.5)) | (F.col("stem") & surely("pr", "nr", stems) & (uses >= 0.25)))
+    found = found.select("term", "stem", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(_sure(uses, F.col("p") + F.col("n"), 1.0)).alias("sure")).collect()
+    return {r.term: r.stem for r in found}, {r.term: _worth(r.sure, base) for r in found}
 
 
 def _shortest(terms: dict[str, bool]) -> dict[str, bool]:
@@ -283,9 +364,9 @@ def _shortest(terms: dict[str, bool]) -> dict[str, bool]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 3) -> Model:
     """Learn lexicon, clean misspellings and curve from at most `sample` labelled rows (doc_id, toxic) whose id isn't held
     out. Four fifths give the lexicon, the rest the curve. A word is a term if it is in so many toxic rows that
-    chance can't give it and few enough clean ones that the toxic share of its rows is TERM at least, by a lower bound that
-    is also what its hits count; a stem likewise, over words with at least three ways to go on. Later rounds look at the
-    toxic rows that no term explains yet, where rarer terms stand out. Without labelled rows of both kinds the lexicon is
+    chance can't give it and used in few enough clean ones; a stem likewise, by the rows that are rich in it. What its hits
+    count is told by the toxic share of its uses. Later rounds look at the toxic rows that no term explains yet, where
+    rarer terms stand out. Without labelled rows of both kinds the lexicon is
     empty and every score is the same."""
     rows = common.cut(_toxic_sample(docs, labels, sample), "toxic-sample")
     toxic, clean = rows.filter("part < 4 and toxic = 1"), rows.filter("part < 4 and toxic = 0")
@@ -301,12 +382,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
         model = Model(_shortest(model.terms | found), worth=worth | model.worth)
     if not model.terms:
         return model
-    near = clean.select("word").mapInArrow(_near_terms(model), "word string")
-    model.clean = frozenset(r.word for r in near.orderBy("word").limit(20_000).collect())
-    seen = rows.filter("part = 4").select("text", "toxic").mapInArrow(_features(model), "exact double, fuzzy double, toxic int").collect()
+    near = clean.filter("not stem").select(F.col("term").alias("word")).mapInArrow(_near_terms(model), "word string")
+    model.clean = frozenset(r.word for r in near.collect())
+    seen = common.annotate(rows.filter("part = 4").select("text", "toxic"), "text", "parts array<double>, words double", _parts(model)).select("parts", "words", "toxic").collect()
     if seen:
-        x, y = np.array([(r.exact, r.fuzzy) for r in seen]), np.array([r.toxic for r in seen], float)
-        model.weights = fit_curve(x, y)
+        sums, words, y = np.array([r.parts for r in seen]).reshape(len(seen), 2, -1), np.array([r.words for r in seen]), np.array([r.toxic for r in seen], float)
+        model.context, model.weights = fit_contexts(sums, words, y)
     return model
 
 
@@ -314,7 +395,7 @@ def _unexplained(model: Model):
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            left = [t for t, (exact, _) in zip(texts, model.features(texts)) if not exact] if model.terms else texts
+            left = [t for t, (exact, _) in zip(texts, model.features(texts)) if exact < 1] if model.terms else texts
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string())], names=["text"])
 
     return run
@@ -328,35 +409,23 @@ def _near_terms(model: Model):
     return run
 
 
-def _features(model: Model):
-    def run(batches):
-        for batch in batches:
-            x = model.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column(1).cast(pa.int32())], names=["exact", "fuzzy", "toxic"])
-
-    return run
-
-
-def _scores(model: Model):
-    def run(batches):
-        for batch in batches:
-            got = model.scores([t or "" for t in batch.column(batch.schema.get_field_index("_tm_text")).to_pylist()])
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_tm_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(got, pa.float64())], names=[*[batch.schema.names[i] for i in keep], "_tm_score"])
+def _parts(model: Model):
+    def run(texts):
+        sums, words = model.parts(texts)
+        return pa.array(list(sums.reshape(len(texts), -1)), pa.list_(pa.float64())), pa.array(words, pa.float64())
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for the whole text (null: empty); rows repeat as given, an empty table gives none,
-    and other columns pass through, but one named as the output is replaced."""
-    rows = docs.drop(out).withColumn("_tm_text", common.whole(text))
-    schema = rows.drop("_tm_text").withColumn("_tm_score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scores(model), schema).withColumnRenamed("_tm_score", out)
+    and other columns pass through, but one named as the output is replaced (unless it is the text)."""
+    return common.annotate(docs, text, f"{out} double", lambda texts: [pa.array(model.scores(texts), pa.float64())])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Score and decision for every document; a null text counts as empty, equal texts get equal scores, and an empty table
+    gives no rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, common.table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", common.whole("text").alias("_tm_text")).mapInArrow(_scores(model), "doc_id long, _tm_score double")
-    return rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), F.col("_tm_score").alias("score"), (F.col("_tm_score") >= 0.7).cast("int").alias("predicted"))
+    rows = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

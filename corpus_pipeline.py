@@ -1,66 +1,4 @@
-"""A corpus pipeline: toxicity, language, near-duplicates, secrets, packing. Each stage reads what its predecessor kept."""
-from __future__ import annotations
+"""The corpus pipeline: toxicity, language, near-duplicates, secrets, packing (see tidemark/llm/pipeline.py)."""
+from tidemark.llm.pipeline import CLEAR, ORACLE_SQL, STAGES, TOXIC, drop_toxic, keep_clear_language, keep_one_of_near_copies, pack, redact_secrets, run
 
-from pyspark.sql import DataFrame, functions as F
-
-from tidemark.llm import common, langid, nearcopies, packing, secretscan, toxicity
-
-#: A text scored at least so is rejected as toxic; one whose language has less than this share of its letters as unclear.
-#: The winner of n languages has 1/n at least; of held-out documents of sf0.1 one in a thousand has under 0.64, texts half in one
-#: language and half in another have 0.50 to 0.61.
-TOXIC, CLEAR = 0.7, 0.65
-
-
-def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic. The model learns from labelled documents of the stage's input."""
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_tm_toxicity").filter(F.col("_tm_toxicity") < TOXIC).drop("_tm_toxicity")
-
-
-def keep_clear_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, and those in which no language has
-    a clear share (mixed ones, most runs of random letters), go."""
-    rows = langid.identify(docs, langid.fit(docs), lang="_tm_lang", score="_tm_share")
-    return rows.filter((F.col("_tm_lang") != "und") & (F.col("_tm_share") >= CLEAR)).drop("_tm_lang", "_tm_share")
-
-
-def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
-    Rows that repeat a kept id all stay."""
-    classes = nearcopies.near_copies(docs)
-    kept = classes.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-
-
-def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret that the scan finds replaced by a mark, and n_chars as of the new text."""
-    found = secretscan.scan(docs, common.scratch(spark, "blob-ledger"), blob="_tm_blob")
-    clean = secretscan.redact(found).withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.select(*docs.columns)
-
-
-def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens in document order."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, keep=False)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("language", keep_clear_language),
-    ("near_duplicates", keep_one_of_near_copies),
-    ("secrets", redact_secrets),
-    ("packing", pack),
-]
-
-#: Learned models, hashes and tokenizers are beyond SQL: tests/llm holds the stages against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark, sf_dir: str) -> DataFrame:
-    """The stages over the documents table, each written as Parquet and read again by the next."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["CLEAR", "ORACLE_SQL", "STAGES", "TOXIC", "drop_toxic", "keep_clear_language", "keep_one_of_near_copies", "pack", "redact_secrets", "run"]

@@ -1,6 +1,8 @@
 """Helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -87,6 +89,16 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000):
         at = end
 
 
+def give_back() -> None:
+    """Give what a task has freed back to the system: Python workers live on and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def annotate(docs: DataFrame, text: str, added: str, work) -> DataFrame:
     """docs with the columns that `added` names, from work(texts), which gives an Arrow array for each; a null text is given
     as empty. Other columns pass through, those named as an output are replaced; the text may not be one. Texts are sent
@@ -100,5 +112,6 @@ def annotate(docs: DataFrame, text: str, added: str, work) -> DataFrame:
             for first, n in slices(batch.column(at)):
                 part = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, *work([t or "" for t in part.column(at).to_pylist()])], names=[*batch.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))

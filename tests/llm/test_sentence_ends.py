@@ -29,14 +29,24 @@ def test_sentence_ends_of_odd_white_space(gap):
     assert got == by_prefixes(ids.tok, text) and got
 
 
-def test_sentence_ends_by_offsets_are_those_of_the_fast_path():
+def test_both_libraries_give_the_same_ids():
+    ids, slow = packing.load(BYTE), packing.Ids(BYTE)
+    assert ids.fast is not None
+    slow.fast = None
+    texts = [PROSE, PROSE.replace(". ", ".\n"), "a. b! c? d: e; f", "x.y. 1.5 z.", " " * 1000 + "a. b", "\n \t" * 400 + "x", "x" * 3000, "don't I'LL we've <|endoftext|> it.\x1c a.\x85b"]
+    for t in texts + [t or "" for t in ODD] + fuzz(400, 9):
+        (a, b), (c, d) = ids.encode(t), slow.encode(t)
+        assert a == c and b.tolist() == d.tolist(), t
+        assert np.all((b > 0) & (b <= len(a) // 4)) and np.all(np.diff(b) > 0)
+
+
+def test_both_libraries_agree_on_all_code_points():
     ids = packing.load(BYTE)
-    texts = [PROSE, PROSE.replace(". ", ".\n"), "a. b! c? d: e; f", "x.y. 1.5 z."]
-    for t in texts:
-        assert ids._stops(t, ids.tok.encode(t, add_special_tokens=False)).tolist() == ids.encode(t)[1].tolist()
-    for t in [t or "" for t in ODD] + fuzz(400, 9):
-        body, ends = ids.encode(t)
-        assert np.all((ends >= 0) & (ends <= len(body) // 4)) and np.all(np.diff(ends) > 0)
+    points = [c for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}.{chr(c)}{chr(c)} x" for c in points]
+    for k in range(0, len(texts), 20_000):
+        want = ids.tok.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
+        assert all(ids.fast(t) == e.ids for t, e in zip(texts[k : k + 20_000], want))
 
 
 def test_blank_lines_are_not_padded(spark):

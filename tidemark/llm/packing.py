@@ -8,7 +8,7 @@ they are looked up one by one, and cost one penalty, so that full windows aren't
 """
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import re
 import sys
@@ -23,97 +23,64 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .bpe import byte_chars
 
-#: Distinct pieces of text that one Python worker keeps ids of; windows that are planned at once.
-PIECES, AT_ONCE = 1_000_000, 128
-#: Which bytes end a sentence where white space follows.
-_ENDS = np.isin(np.arange(256), list(b".!?:;"))
-_STOP = re.compile(r"[.!?:;](?=\s)")
-#: White space other than spaces and line ends.
-_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-BYTES = dict(enumerate(byte_chars()))
+#: Windows that are planned at once.
+AT_ONCE = 128
+#: Where a sentence has ended: an end mark, and white space behind it, as UTF-8.
+_STOP = re.compile(rb"[.!?:;](?=[ \t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
+#: Runs of white space that only the tokenizer's own library takes.
+_LONG = re.compile(r"\s{256}")
+#: Fixed value: the pattern of the byte-level pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _LOADED: dict = {}
 
 
-class Pieces(dict):
-    """Ids of pieces of text, found when they are first asked for. When it holds PIECES, the later half goes: what is
-    frequent comes early."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.tok, self.words = tok, {}
-
-    def word(self, w: str) -> bytes:
-        ids = self.words.get(w)
-        if ids is None:
-            ids = self.words[w] = array("I", [t.id for t in self.tok.model.tokenize(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(BYTES))]).tobytes()
-        return ids
-
-    def __missing__(self, p: str) -> bytes:
-        """Letters with marks after them need no pattern: the library's model gets the letters, with a space before them,
-        and the marks; any other piece goes through the library's whole course."""
-        body = p.rstrip(".,;:!?")
-        first, letters = body[:1], body[1:].isalpha()
-        if letters and first == " " or body.isalpha():
-            ids = self.word(body)
-        elif letters and first == "\n":
-            ids = self.word("\n") + self.word(body[1:])
-        else:
-            body, ids = p, array("I", self.tok.encode(p, add_special_tokens=False).ids).tobytes()
-        if len(body) < len(p):
-            ids += self.word(p[len(body) :])
-        self[p] = ids
-        return ids
-
-    def trim(self):
-        for d in (self, self.words):
-            if len(d) > PIECES:
-                early = dict(itertools.islice(d.items(), PIECES // 2))
-                d.clear()
-                d.update(early)
-
-
 class Ids:
-    """Token ids of whole texts by the library, which sees each distinct piece of text once while it is remembered."""
+    """Token ids of whole texts of a byte-level tokenizers file.
+
+    Where the file is a plain one (its merges in the order of their ids, the usual pattern, no prefix space), a second
+    library with the same vocabulary gives the same ids in a third of the time (the tests compare them on all code
+    points). A text that holds a special token's string or a very long run of white space, and any text of another file,
+    goes through the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known = Pieces(self.tok)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        back = {c: b for b, c in enumerate(byte_chars())}
+        ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        order = [ids.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not model.get("ignore_merges") and not model.get("dropout")
+        self.fast = None
+        if plain and all(a < b for a, b in zip([-1, *order], order)) and all(c in back for t in ids for c in t) and all(c in ids for c in back):
+            ranks = {bytes(back[c] for c in t): i for t, i in ids.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.sizes = np.zeros(max(model["vocab"].values(), default=0) + 1 + len(self.special), np.int64)  # bytes of each token
+        for t, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
+            self.sizes[i] = len(t.encode()) if t in self.special else len(t)
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """(ids as little-endian unsigned 32-bit, token offsets after which a sentence has ended) of a text.
-
-        A text whose white space is single spaces and line ends is cut before each of them: no token spans such a place.
-        Any other goes through the library whole, and its sentence ends are taken from the library's offsets.
-        """
-        s = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        words = len(s) - (s[0] == "") - (len(s) > 1 and s[-1] in (" ", "\n"))
-        if words != len(text.split()) or "\0" in text or any(c in text for c in _BLANKS):
-            got = self.tok.encode(text, add_special_tokens=False)
-            return array("I", got.ids).tobytes(), self._stops(text, got)
-        self.known.trim()
-        ids = list(map(self.known.__getitem__, s))
-        sizes = np.fromiter(map(len, ids), np.int64, len(s))
-        raw = np.frombuffer(text.encode(), np.uint8)
-        gaps = np.flatnonzero((raw == 32) | (raw == 10))  # piece k lies before gap k
-        ends = _ENDS[raw[gaps - 1]] if len(gaps) else np.zeros(0, bool)
-        return b"".join(ids), (sizes.cumsum() >> 2)[: len(gaps)][ends]
-
-    @staticmethod
-    def _stops(text: str, got) -> np.ndarray:
-        """Token offsets after which a sentence has ended, by the library's offsets; a place that a token spans is none."""
-        at = np.fromiter((m.end() for m in _STOP.finditer(text)), np.int64)
-        if not len(at):
-            return at
-        spans = np.array(got.offsets, np.int64).reshape(-1, 2)
-        from_, to = np.maximum.accumulate(spans[:, 0]), np.maximum.accumulate(spans[:, 1])
-        k = np.searchsorted(to, at, "right")  # tokens that end by then
-        return np.unique(k[np.append(from_, len(text))[k] >= at])
+        """(ids as little-endian unsigned 32-bit, token offsets after which a sentence has ended) of a text. A place where
+        white space follows an end mark is never within a token of a byte-level file."""
+        if self.fast is None or any(t in text for t in self.special) or _LONG.search(text):
+            ids = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = array("I", self.fast(text)).tobytes()
+        stops = [m.end() for m in _STOP.finditer(text.encode("utf-8", "surrogatepass"))]
+        if not stops:
+            return ids, np.zeros(0, np.int64)
+        ends = self.sizes[np.frombuffer(ids, "<u4")].cumsum()
+        at = np.searchsorted(ends, stops)
+        return ids, at[ends[np.minimum(at, len(ends) - 1)] == stops] + 1
 
 
 def load(path: str) -> Ids:
@@ -179,23 +146,22 @@ class Packer:
 
     def _settle(self, last: bool):
         width = self.width
-        ends: list[int] = []
-        inside: list[bool] = []
-        before = 0
+        marks, before = [], 0
         for _, ids, stops, start in self.held:
             n = len(ids) // 4 - start
-            marks = [int(s) for s in stops - start if 0 < s < n]
-            for mark in [*marks, n]:
-                prior = ends[-1] if ends else 0
-                gap = before + mark - prior
-                if gap <= 0:
-                    continue
-                for k in range(1, -(-gap // width)):  # a sentence longer than a window is cut where windows fill
-                    ends.append(prior + k * width)
-                    inside.append(True)
-                ends.append(before + mark)
-                inside.append(mark < n)
+            stops = stops - start
+            marks += [before + stops[(stops > 0) & (stops < n)], [before + n]]
             before += n
+        ends = np.concatenate(marks)
+        inside = np.ones(len(ends), bool)
+        inside[np.cumsum([len(m) for m in marks])[1::2] - 1] = False
+        gaps = np.diff(ends, prepend=0)
+        if gaps.max(initial=0) > width:  # a sentence longer than a window is cut where windows fill
+            more = np.concatenate([end - gap + width * np.arange(1, -(-gap // width)) for end, gap in zip(ends, gaps) if gap > width])
+            ends, inside = np.append(ends, more), np.append(inside, np.ones(len(more), bool))
+            order = np.argsort(ends, kind="stable")
+            ends, inside = ends[order], inside[order]
+        ends, inside = ends.tolist(), inside.tolist()
         at = 0
         spans = []
         if ends:
@@ -261,6 +227,7 @@ def _pack(path: str, end_id: int, width: int, penalty: int, kind, keep: bool):
         yield from rows(list(packer.finish()))
         if not keep:
             _LOADED.clear()
+        common.give_back()
 
     return run
 
@@ -271,7 +238,7 @@ def pack(docs: DataFrame, path: str, end_id: int, width: int = 2048, penalty: in
     Documents are ordered by id (equal ids by their text's hash) over range partitions; each partition is packed on its
     own as a stream that holds AT_ONCE windows, so memory doesn't depend on the partition. A null text is empty and gives
     its end token; repeated rows are packed each; an empty table gives no rows; other columns are left out. sequence_id is
-    the partition's number times 2^36 plus the window's number there. path: a byte-level tokenizers file. keep: whether a Python worker keeps pieces' ids for its next task.
+    the partition's number times 2^36 plus the window's number there. path: a byte-level tokenizers file. keep: whether a Python worker keeps the loaded tokenizer for its next task.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

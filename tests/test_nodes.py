@@ -29,7 +29,7 @@ c, v = n.leaf("close"), n.leaf("volume")
     (n.ts_rank(c, 5), lambda t: t.close.rolling(5).rank(pct=True)),
     (n.decay(n.ts_max(c, 3), 4), lambda t: t.close.rolling(3).max().rolling(4).apply(lambda x: (x * [0.1, 0.2, 0.3, 0.4]).sum())),
     (n.sma(n.delta(c, 1), 5, 1), lambda t: t.close.diff().ewm(alpha=0.2, adjust=False).mean()),
-    (n.where(c > n.delay(c, 1), c, 0.0), lambda t: pd.Series(np.where(t.close.shift().isna(), np.nan, np.where(t.close > t.close.shift(), t.close, 0.0)), t.index)),
+    (n.where(c > n.delay(c, 1), c, 0.0), lambda t: pd.Series(np.where(t.close > t.close.shift(), t.close, 0.0), t.index)),
     (n.total(c * 2 - 1, 3) / n.mean(c, 3), lambda t: (2 * t.close - 1).rolling(3).sum() / t.close.rolling(3).mean()),
 ])
 def test_node(bars, node, f):

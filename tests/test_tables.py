@@ -80,7 +80,7 @@ def test_late_order_states_are_dropped(spark):
 def test_positions_ignore_entries_while_holding(spark):
     df = frame(spark, [bar(60_000 * k) for k in range(6)])
     entry = F.element_at(F.array(*[F.lit(v) for v in (0, 1, -1, 0, -1, 0)]), (F.col("start_time") / 60_000 + 1).cast("int"))
-    df = df.withColumns({"entry": entry, "exit": F.col("start_time") == 180_000})
+    df = df.withColumns({"entry": entry, "exit_long": F.col("start_time") == 180_000, "exit_short": F.lit(False)})
     assert [r.position for r in signals.hold_positions(df).orderBy("start_time").collect()] == [0, 1, 1, 0, -1, -1]
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import ops
 
 
+EPS = 1e-12
+
+
 class Node:
     def __init__(self, name: str, make: Callable | None, args: tuple, kind: str = "plain"):
         self.name, self.make, self.args, self.kind = name, make, args, kind
@@ -42,7 +45,13 @@ class Node:
         return self * x
 
     def __truediv__(self, x):
-        return self._two(x, "/", lambda a, b: F.try_divide(ops.col(a), ops.col(b)))
+        """By a number as it is; by a node with EPS added, as published formulas avoid empty ranges."""
+        if isinstance(x, Node):
+            return self._two(x + EPS, "/", lambda a, b: F.try_divide(ops.col(a), ops.col(b)))
+        return self * (1.0 / x)
+
+    def __rtruediv__(self, x):
+        return Node("/", lambda a, b: F.try_divide(ops.col(a), ops.col(b)), (x, self + EPS))
 
     def __pow__(self, x):
         return self._two(x, "^", lambda a, b: F.pow(ops.col(a), ops.col(b)))
@@ -62,6 +71,12 @@ class Node:
     def __le__(self, x):
         return self._two(x, "<=", lambda a, b: a <= b)
 
+    def same(self, x):
+        return self._two(x, "=", lambda a, b: a == b)
+
+    def __and__(self, x):
+        return self._two(x, "and", lambda a, b: a & b)
+
     __hash__ = object.__hash__
 
 
@@ -80,13 +95,15 @@ def _window(name, f):
 delay, delta = _window("delay", lambda x, n: ops.delay(x, n)), _window("delta", lambda x, n: ops.delta(x, n))
 mean, total, std = _window("mean", lambda x, n: ops.mean(x, n)), _window("sum", lambda x, n: ops.ts_sum(x, n)), _window("std", lambda x, n: ops.std(x, n))
 ts_max, ts_min = _window("ts_max", lambda x, n: ops.ts_max(x, n)), _window("ts_min", lambda x, n: ops.ts_min(x, n))
-corr, cov = _window("corr", lambda x, y, n: ops.corr(x, y, n)), _window("cov", lambda x, y, n: ops.cov(x, y, n))
+corr, cov = _window("corr", lambda x, y, n: F.round(ops.corr(x, y, n), 8)), _window("cov", lambda x, y, n: F.round(ops.cov(x, y, n), 12))
 decay, wma = _window("decay", lambda x, n: ops.decay_linear(x, n)), _window("wma", lambda x, n: ops.wma(x, n))
-slope = _window("slope", lambda x, n: ops.slope(x, n))
+slope, residual = _window("slope", lambda x, n: ops.slope(x, n)), _window("residual", lambda y, x, n: ops.residual(y, n, x))
 _array = _window("array", lambda x, n: ops.window_array(x, n))
-log, absolute, sign = _plain("log", lambda x: F.ln(x)), _plain("abs", lambda x: F.abs(x)), _plain("sign", lambda x: F.signum(x))
+log, absolute, sign = _plain("log", lambda x: F.round(F.ln(x), 12)), _plain("abs", lambda x: F.abs(x)), _plain("sign", lambda x: F.signum(x))
+tidy = _plain("tidy", lambda x: F.round(x, 6))  # sums of the same bars in another order are equal then
 least, greatest = _plain("least", lambda a, b: F.least(ops.col(a), ops.col(b))), _plain("greatest", lambda a, b: F.greatest(ops.col(a), ops.col(b)))
-where = _plain("where", lambda c, a, b: F.when(c, ops.col(a)).when(~c, ops.col(b)))
+where = _plain("where", lambda c, a, b: F.when(c, ops.col(a)).otherwise(ops.col(b)))  # the latter where c is null, too
+nothing = Node("null", lambda: F.lit(None).cast("double"), ())
 
 
 def rank(x: Node, scope: str = "series") -> Node:
@@ -97,6 +114,15 @@ def ts_rank(x: Node, n: int) -> Node:
     return Node("ts_rank", lambda a: ops.ts_rank(a), (_array(x, n),))
 
 
+def since_max(x: Node, n: int) -> Node:
+    """Bars since the first of the window's largest values."""
+    return Node("since_max", lambda a: ops.bars_since_max(a), (_array(x, n),))
+
+
+def since_min(x: Node, n: int) -> Node:
+    return Node("since_min", lambda a: ops.bars_since_min(a), (_array(x, n),))
+
+
 def count(cond: Node, n: int) -> Node:
     return total(where(cond, 1.0, 0.0), n)
 

@@ -119,24 +119,29 @@ def time_features(df: DataFrame, time: str = "start_time") -> DataFrame:
 
 
 def direction(df: DataFrame, n: int = 20, kind: str = "ratio") -> DataFrame:
-    """Up moves against down moves: by amplitude, count or average; null with fewer than two returns."""
+    """Rising bars (close over open) against falling ones: by the sum, number or mean of returns, those of falling bars
+    without their signs. Full windows only, with two returns at least; null where neither side has anything."""
     df = df.withColumn("_r", ops.returns())
-    up, down = F.col("_r") > 0, F.col("_r") < 0
+    up, down = F.when(F.col("close") > F.col("open"), F.col("_r")), F.when(F.col("close") < F.col("open"), F.abs("_r"))
     agg = {"ratio": F.sum, "count": F.count, "average": F.avg}[kind]
-    pick = lambda c: F.coalesce(F.abs(agg(F.when(c, F.col("_r"))).over(W(n))).cast("double"), F.lit(0.0))
-    df = df.withColumns({"_u": pick(up), "_d": pick(down)})
-    value = F.when(F.col("_d") == 0, F.col("_u") / 1e-10).otherwise(F.try_divide(F.col("_u"), F.col("_d")))
-    return df.withColumn(f"Direction_{n}", guard(value, "_r", 2, W(n))).drop("_r", "_u", "_d")
+    pick = lambda c: F.coalesce(agg(c).over(W(n)).cast("double"), F.lit(0.0))
+    df = df.withColumns({"_u": pick(up), "_d": pick(down), "_n": F.count(F.lit(1)).over(W(n)), "_k": F.count("_r").over(W(n))})
+    value = F.when(F.col("_d") > 0, F.col("_u") / F.col("_d")).when(F.col("_u") > 0, F.col("_u") / 1e-10)
+    return df.withColumn(f"Direction_{n}_{kind}", F.when((F.col("_n") >= n) & (F.col("_k") >= 2), value)).drop("_r", "_u", "_d", "_n", "_k")
 
 
 def long_short_volume(df: DataFrame, n: int = 20, top: int = 5) -> DataFrame:
-    """Volume of the `top` strongest rises as a share of that and of the strongest falls' volume."""
+    """Volume of the `top` bars of a full window with the largest returns, as a share of theirs and of that of the `top`
+    with the smallest; null with fewer than twice as many returns. With top = n this is always null, as the series' first
+    return is missing or the sides overlap."""
+    top = min(top, n)
     df = df.withColumn("_r", ops.returns())
-    df = df.withColumn("_a", guard(F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("_r", "volume"))).over(W(n)), "_r", n, W(n)))
-    ups, downs = F.array_sort(F.filter("_a", lambda x: x["_r"] > 0)), F.array_sort(F.filter("_a", lambda x: x["_r"] < 0))
+    pair = F.when(F.col("_r").isNotNull() & F.col("volume").isNotNull(), F.struct("_r", "volume"))
+    df = df.withColumns({"_a": F.array_sort(F.collect_list(pair).over(W(n))), "_n": F.count(F.lit(1)).over(W(n))})
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["volume"])
-    df = df.withColumns({"_u": total(F.slice(F.reverse(ups), 1, top)), "_d": total(F.slice(downs, 1, top))})
-    return df.withColumn(f"LongShortVolumeRatio_{n}_{top}", F.try_divide(F.col("_u"), F.col("_u") + F.col("_d"))).drop("_r", "_a", "_u", "_d")
+    df = df.withColumns({"_u": total(F.slice(F.reverse("_a"), 1, top)), "_d": total(F.slice("_a", 1, top))})
+    ok = (F.col("_n") >= n) & (F.size("_a") >= max(2, 2 * top)) & (F.col("_u") + F.col("_d") > 0)
+    return df.withColumn(f"LongShortVolumeRatio_{n}_{top}", F.when(ok, F.col("_u") / (F.col("_u") + F.col("_d")))).drop("_r", "_a", "_n", "_u", "_d")
 
 
 def volume_average(df: DataFrame, n: int = 20, side: str = "FLAT", kind: str = "min_volume", top: int = 5) -> DataFrame:

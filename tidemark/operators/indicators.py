@@ -66,10 +66,10 @@ def macd_sma(df: DataFrame, fast: int = 12, slow: int = 26, moving: int = 9) ->
 
 
 def elder_impulse(df: DataFrame, ema: str = "ema13") -> DataFrame:
-    """1 where average and histogram both rise, -1 where both fall, else 0; `ema` is a column of the scan."""
-    df = macd_sma(df).withColumn("_h", F.col("dif") - F.col("dea"))
-    df = df.withColumns({"_de": delta(ema), "_dh": delta("_h")})
-    return df.withColumn("impulse", F.when((F.col("_de") > 0) & (F.col("_dh") > 0), 1).when((F.col("_de") < 0) & (F.col("_dh") < 0), -1).otherwise(0)).drop("_h", "_de", "_dh")
+    """1 where the average rises and the histogram is over zero, -1 where it falls and that is under zero, else 0; `ema` is a
+    column of the scan."""
+    df = macd_sma(df).withColumns({"_h": F.col("dif") - F.col("dea"), "_de": delta(ema)})
+    return df.withColumn("impulse", F.when((F.col("_de") > 0) & (F.col("_h") > 0), 1).when((F.col("_de") < 0) & (F.col("_h") < 0), -1).otherwise(0)).drop("_h", "_de")
 
 
 def dk(df: DataFrame) -> DataFrame:
@@ -97,10 +97,12 @@ def spikes(df: DataFrame, window: int = 60, few: int = 3) -> DataFrame:
 
 
 def demarker(df: DataFrame, n: int = 14) -> DataFrame:
+    """Mean rises of highs as a whole percentage of these and the mean falls of lows; 50 where neither moves."""
     df = df.withColumns({"_u": F.greatest(delta("high"), F.lit(0.0)), "_d": F.greatest(-delta("low"), F.lit(0.0))})
     df = df.withColumns({"_u": F.when(delay("high").isNotNull(), F.col("_u")), "_d": F.when(delay("low").isNotNull(), F.col("_d"))})
     df = df.withColumns({"_u": mean("_u", n), "_d": mean("_d", n)})
-    return df.withColumn("demarker", F.floor(100 * F.try_divide(F.col("_u"), F.col("_u") + F.col("_d"))).cast("int")).drop("_u", "_d")
+    total = F.col("_u") + F.col("_d")
+    return df.withColumn("demarker", F.when(total > 0, F.floor(F.col("_u") / total * 100).cast("int")).when(total == 0, F.lit(50))).drop("_u", "_d")
 
 
 def volume_profile(df: DataFrame, lookback: int = 90, bins: int = 20, high: float = 0.8, low: float = 0.2) -> DataFrame:

@@ -151,12 +151,30 @@ def bootstrap(eq: DataFrame, times: int = 1000, ppy: float = 365.0, seed: int =
     return simple_returns(eq).groupBy(RUN).applyInPandas(run, f"{RUN} string, sharpe_low double, sharpe_high double, annual_low double, annual_high double")
 
 
-def grade(m: DataFrame) -> DataFrame:
-    """Letter by points for annual return, Sharpe ratio and drawdown, and a list of concerns."""
-    pts = sum((F.when(F.col(c) > hi, 2).when(F.col(c) > lo, 1).otherwise(0) for c, lo, hi in (("annual_return", 0.05, 0.2), ("sharpe_annual_over_vol", 0.5, 1.5), ("max_drawdown", -0.3, -0.1))), F.lit(0))
-    letter = F.when(pts >= 6, "A").when(pts >= 4, "B").when(pts >= 3, "C").when(pts >= 1, "D").otherwise("F")
-    worry = F.array_compact(F.array(F.when(F.col("max_drawdown") < -0.3, "deep drawdown"), F.when(F.col("annual_return") < 0, "loses money"), F.when(F.col("n") < 30, "few observations")))
-    return m.withColumns({"grade": letter, "concerns": worry})
+#: Points of a run by bands of annual return, Sharpe ratio and drawdown, best first; letters by points.
+POINTS = (25, 20, 15, 10, 5)
+BANDS = {"annual_return": (0.5, 0.3, 0.15, 0.0, -0.1), "sharpe": (2.0, 1.5, 1.0, 0.5, 0.0), "max_drawdown": (-0.1, -0.2, -0.3, -0.5, -0.7)}
+LETTERS = ((90, "A+"), (80, "A"), (70, "B+"), (60, "B"), (50, "C"), (40, "D"))
+
+
+def grade(m: DataFrame, sharpe: str = "sharpe_annual_over_vol", p: str = "p", trades: str = "trades") -> DataFrame:
+    """A letter from A+ to F by four times up to 25 points: annual return, Sharpe ratio, drawdown, and how sure the result is
+    by its p-value and number of trades; the points; and a list of concerns. Missing values have no points."""
+
+    def first(pairs):
+        out = None
+        for cond, value in pairs:
+            out = F.when(cond, value) if out is None else out.when(cond, value)
+        return out
+
+    points = sum((first([(F.col(sharpe if c == "sharpe" else c) > low, pts) for low, pts in zip(lows, POINTS)]).otherwise(0) for c, lows in BANDS.items()), F.lit(0))
+    n = F.col(trades)
+    sure = first([((F.col(p) < at) & (n >= least), pts) for at, least, pts in ((0.01, 50, 25), (0.05, 30, 20), (0.1, 20, 15))]).when(n >= 30, 10).when(n >= 10, 5).otherwise(0)
+    m = m.withColumn("points", points + sure)
+    worry = F.array_compact(F.array(
+        F.when(n < 30, "few trades"), F.when(F.col(p) >= 0.05, "not significant"), F.when(F.col("max_drawdown") < -0.3, "deep drawdown"), F.when((F.col(sharpe) < 0.5) & (F.col("total_return") > 0), "low Sharpe ratio"),
+    ))
+    return m.withColumns({"grade": first([(F.col("points") >= at, letter) for at, letter in LETTERS]).otherwise("F"), "concerns": worry})
 
 
 def combined_curve(eq: DataFrame) -> DataFrame:

@@ -61,34 +61,36 @@ def kama(close, n: int = 10, fast: int = 2, slow: int = 30):
 
 
 def frama(high, low, close, n: int = 9):
-    """Fractal smoothing of the middle price; the window is made even; the close until it is full."""
+    """Fractal smoothing of the middle price; the window is made even; null until it is full, the close goes before. A
+    window without any range keeps the middle price."""
     n += n % 2
-    h, out = n // 2, np.array(close, dtype=float)
+    h, out = n // 2, np.full(len(close), np.nan)
     for i in range(n - 1, len(close)):
         hi, lo = high[i - n + 1 : i + 1], low[i - n + 1 : i + 1]
-        a, b, c = (hi[:h].max() - lo[:h].min()) / h, (hi[h:].max() - lo[h:].min()) / h, (hi.max() - lo.min()) / n
-        d = (np.log(a + b) - np.log(c)) / np.log(2) if a > 0 and b > 0 and c > 0 else 1.0
-        alpha = min(1.0, max(0.01, np.exp(-4.6 * (d - 1))))
-        out[i] = alpha * (high[i] + low[i]) / 2 + (1 - alpha) * (out[i - 1] if i else close[i])
+        halves, whole = (hi[:h].max() - lo[:h].min() + hi[h:].max() - lo[h:].min()) / h, (hi.max() - lo.min()) / n
+        d = (np.log(halves) - np.log(whole)) / np.log(2) if halves > 0 and whole > 0 else 1.0
+        alpha = np.exp(-4.6 * (d - 1))
+        out[i] = alpha * (high[i] + low[i]) / 2 + (1 - alpha) * (close[i - 1] if i < n else out[i - 1])
     return out
 
 
 def llt(close, n: int = 9):
-    """Second-order low-pass line; the first bars are the closes, and both earlier values are the second bar's at first."""
+    """Second-order low-pass line; first the close, then one plain smoothing step; after that both earlier values are the
+    second bar's at first."""
     a, out = 2 / (n + 1), np.array(close, dtype=float)
+    if len(out) > 1:
+        out[1] = a * close[1] + (1 - a) * close[0]
     for i in range(2, len(close)):
-        y1 = out[i - 1]
-        y2 = out[i - 2] if i > 2 else out[1]
-        x1 = close[i - 1]
-        x2 = close[i - 2] if i > 2 else close[1]
+        y1, x1 = out[i - 1], close[i - 1]
+        y2, x2 = (out[i - 2], close[i - 2]) if i > 2 else (y1, x1)
         out[i] = (a - a * a / 4) * close[i] + a * a / 2 * x1 - (a - 3 * a * a / 4) * x2 + 2 * (1 - a) * y1 - (1 - a) ** 2 * y2
     return out
 
 
 def super_smoother(x, n: int = 10):
     """Two-pole filter; the first value is the input, the second uses it twice."""
-    a = np.exp(-1.414 * np.pi / n)
-    c2, c3 = 2 * a * np.cos(1.414 * np.pi / n), -a * a
+    a = np.exp(-np.sqrt(2) * np.pi / n)
+    c2, c3 = 2 * a * np.cos(np.sqrt(2) * np.pi / n), -a * a
     c1, out = 1 - c2 - c3, np.array(x, dtype=float)
     for i in range(1, len(x)):
         out[i] = c1 * (x[i] + x[i - 1]) / 2 + c2 * out[i - 1] + c3 * out[max(i - 2, 0)]
@@ -105,12 +107,14 @@ def ultimate_smoother(x, n: int = 10):
 
 
 def _flex(x, n: int, chord: bool):
-    f = super_smoother(x, max(2, n // 2))
-    out, ms = np.zeros(len(x)), None
-    for i in range(n, len(x)):
-        past = f[i - n : i][::-1]
-        slope = (f[i - n] - f[i]) / n if chord else 0.0
-        s = (f[i] + np.arange(1, n + 1) * slope - past).mean()
+    """Of the last n smoothed values, the mean distance from their chord (or from the newest), by the root of its own
+    smoothed square; null until there are n."""
+    f = super_smoother(x, n // 2)
+    out, ms = np.full(len(x), np.nan), None
+    for i in range(n - 1, len(x)):
+        past = f[i - n + 1 : i + 1]
+        slope = (past[0] - past[-1]) / n if chord else 0.0
+        s = (past[-1] + np.arange(n) * slope - past).mean()
         ms = s * s if ms is None else 0.04 * s * s + 0.96 * ms
         out[i] = s / np.sqrt(ms) if ms > 0 else 0.0
     return out
@@ -124,6 +128,28 @@ def trendflex(x, n: int = 20):
     return _flex(x, n, False)
 
 
+def stoch_rsi(rsi, n: int = 14, k: int = 3, d: int = 3):
+    """(k, d): where the RSI lies in its last n values, summed over k bars, 100 where it doesn't move, and the mean of d of
+    these. Values of zero aren't remembered, neither of the RSI nor of k, and d needs one more k than it averages."""
+    ks, ds = np.full(len(rsi), np.nan), np.full(len(rsi), np.nan)
+    kept, done = [], []
+    for i, r in enumerate(rsi):
+        if np.isnan(r):
+            continue
+        if r:
+            kept.append(r)
+        if len(kept) < n + k:
+            continue
+        parts = [kept[len(kept) - j - n : len(kept) - j] for j in range(k)]
+        span = sum(max(p) - min(p) for p in parts)
+        ks[i] = 100 * sum(p[-1] - min(p) for p in parts) / span if span else 100.0
+        if len(done) > d:
+            ds[i] = (sum(done[-d + 1 :]) + ks[i]) / d
+        if ks[i]:
+            done.append(ks[i])
+    return ks, ds
+
+
 def kdj(high, low, close, n: int = 9, k: int = 3, d: int = 3):
     """(k, d, j) from the place of the close in the last n bars; 0 where that is flat; seeds are the first values."""
     hi, lo = pd.Series(high).rolling(n, min_periods=n).max().to_numpy(), pd.Series(low).rolling(n, min_periods=n).min().to_numpy()
@@ -143,8 +169,9 @@ def true_range(high, low, close):
 
 
 def dmi(high, low, close, smoothing: int = 6, n: int = 14):
-    """(adx, +di, -di, adxr), from the second bar on; the first range is high less low; adxr averages with the oldest of
-    the last seven values, of which there must be six before."""
+    """(adx, +di, -di, adxr), from the second bar on; the first range is high less low, and where there is no range or no
+    movement shares are 100; adxr is the mean with the oldest of the last smoothing + 1 values before, from the time there
+    are `smoothing`, and adx until then."""
     nan = np.full(len(close), np.nan)
     if len(close) < 2:
         return nan, nan, nan, nan
@@ -152,19 +179,20 @@ def dmi(high, low, close, smoothing: int = 6, n: int = 14):
     tr = true_range(h, lo, c)
     up, down = np.maximum(np.diff(high), 0), np.maximum(-np.diff(low), 0)
     with np.errstate(invalid="ignore", divide="ignore"):
-        pdi = rolling_mean(np.where(tr > 0, 100 * up / tr, 0), n)
-        mdi = rolling_mean(np.where(tr > 0, 100 * down / tr, 0), n)
-        dx = np.where(np.isnan(pdi), np.nan, np.where(pdi + mdi > 0, 100 * np.abs(pdi - mdi) / (pdi + mdi), 0))
+        pdi = rolling_mean(np.where(tr > 0, 100 * up / tr, 100), n)
+        mdi = rolling_mean(np.where(tr > 0, 100 * down / tr, 100), n)
+        dx = np.where(np.isnan(pdi), np.nan, np.where(pdi + mdi > 0, 100 * np.abs(pdi - mdi) / (pdi + mdi), 100))
     adx = ema(dx, smoothing)
-    adxr = np.full(len(adx), np.nan)
+    adxr = adx.copy()
     ok = np.flatnonzero(~np.isnan(adx))
-    for k in range(6, len(ok)):
-        adxr[ok[k]] = (adx[ok[k]] + adx[ok[k - 6]]) / 2
+    for k in range(smoothing, len(ok)):
+        adxr[ok[k]] = (adx[ok[k]] + adx[ok[max(k - smoothing - 1, 0)]]) / 2
     return tuple(np.concatenate([[np.nan], v]) for v in (adx, pdi, mdi, adxr))
 
 
-def sar(high, low, first: float = 0.02, most: float = 0.2, step: float = 0.02):
-    """(sar, is_long); the acceleration grows with each bar of a leg."""
+def sar(high, low, close, first: float = 0.02, most: float = 0.2, step: float = 0.02):
+    """(sar, is_long): it turns when the close passes it, and starts again from that bar's high or low; the extreme goes on,
+    and the acceleration grows with every bar."""
     out, sides = np.full(len(high), np.nan), np.zeros(len(high), bool)
     if not len(high):
         return out, sides
@@ -172,33 +200,29 @@ def sar(high, low, first: float = 0.02, most: float = 0.2, step: float = 0.02):
     out[0], sides[0] = y, True
     for i in range(1, len(high)):
         y += af * (ep - y)
-        if long and low[i] < y:
-            long, y, ep, af = False, ep, low[i], first
-        elif not long and high[i] > y:
-            long, y, ep, af = True, ep, high[i], first
-        else:
-            ep = max(ep, high[i]) if long else min(ep, low[i])
-            af = min(af + step, most)
+        ep = max(high[i], ep) if long else min(low[i], ep)
+        if close[i] < y if long else close[i] > y:
+            long, y, af = not long, high[i] if long else low[i], first
+        af = min(af + step, most)
         out[i], sides[i] = y, long
     return out, sides
 
 
 def super_trend(high, low, close, n: int = 14, times: float = 3.0):
-    """(line, side 1 or -1) of bands at `times` the mean range of up to n bars around the middle."""
+    """(line, side 1 or -1) of bands at `times` the mean range of up to n bars around the middle. Bands only close in while
+    the close stays within them; the side begins with the close over or under the middle and turns when the close passes
+    the line before."""
     atr = pd.Series(true_range(high, low, close)).rolling(n, min_periods=1).mean().to_numpy()
     mid = (high + low) / 2
     out, sides = np.full(len(close), np.nan), np.zeros(len(close))
-    up = dn = side = None
-    for i in range(len(close)):
+    up = dn = line = side = None
+    for i, c in enumerate(close):
         u, d = mid[i] + times * atr[i], mid[i] - times * atr[i]
         if up is not None:
-            u = min(u, up) if close[i - 1] <= up else u
-            d = max(d, dn) if close[i - 1] >= dn else d
-            side = 1 if side < 0 and close[i] > up else -1 if side > 0 and close[i] < dn else side
-        else:
-            side = 1
-        up, dn = u, d
-        out[i], sides[i] = (d if side > 0 else u), side
+            u, d = min(u, up) if c <= up else u, max(d, dn) if c >= dn else d
+        side = 1 if c > (mid[i] if line is None else line) else -1
+        up, dn, line = u, d, d if side > 0 else u
+        out[i], sides[i] = line, side
     return out, sides
 
 
@@ -229,7 +253,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         h, lo, c = (t[x].to_numpy(float) for x in ("high", "low", "close"))
         k, d, j = kdj(h, lo, c)
         adx, pdi, mdi, adxr = dmi(h, lo, c)
-        s, long = sar(h, lo)
+        s, long = sar(h, lo, c)
         st, side = super_trend(h, lo, c)
         mid = ema(c, 20)
         atr10 = pd.Series(true_range(h, lo, c)).rolling(10, min_periods=1).mean().to_numpy()
@@ -237,11 +261,9 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         e = ema(h - lo, 10)
         back = pd.Series(e).shift(9).to_numpy()
         rsi = wilder_rsi(c, 14)
-        r = pd.Series(rsi)
-        low_r, high_r = r.rolling(14, min_periods=14).min(), r.rolling(14, min_periods=14).max()
-        kk = 100 * (r - low_r).rolling(3, min_periods=3).sum() / (high_r - low_r).rolling(3, min_periods=3).sum().replace(0, np.nan)
+        kk, dd = stoch_rsi(rsi)
         with np.errstate(invalid="ignore", divide="ignore"):
-            out = [ema(c, 9), rsi, kama(c), frama(h, lo, c), llt(c), super_smoother(c), ultimate_smoother(c), reflex(c), trendflex(c), k, d, j, adx, pdi, mdi, adxr, s, st, dif, ema(dif, 9), mid - 2 * atr10, mid, mid + 2 * atr10, 100 * (e - back) / back, kk.to_numpy(), kk.rolling(3, min_periods=3).mean().to_numpy()]
+            out = [ema(c, 9), rsi, kama(c), frama(h, lo, c), llt(c), super_smoother(c), ultimate_smoother(c), reflex(c), trendflex(c), k, d, j, adx, pdi, mdi, adxr, s, st, dif, ema(dif, 9), mid - 2 * atr10, mid, mid + 2 * atr10, 100 * (e - back) / back, kk, dd]
         return dict(zip(names, out)) | {"sar_long": long, "st_side": side}
 
     from ..functions import ops

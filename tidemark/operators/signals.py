@@ -9,23 +9,35 @@ from ..functions.scalars import quantize
 from ..schema import KEY, TIME
 
 
-def dmi_signals(df: DataFrame) -> DataFrame:
-    """Entry: ADXR crosses 25 and ADX is over it, side by DI. Exit: ADX falls under ADXR, or the DIs cross."""
-    before = ops.delay("adxr")
-    enter = (before < 25) & (F.col("adxr") > 25) & (F.col("adx") > F.col("adxr"))
-    exit_ = (F.col("adx") < F.col("adxr")) | ((F.col("pdi") > F.col("mdi")) != (ops.delay("pdi") > ops.delay("mdi")))
-    return df.withColumns({"entry": F.when(enter, F.when(F.col("pdi") > F.col("mdi"), 1).otherwise(-1)).otherwise(0), "exit": F.coalesce(exit_, F.lit(False))})
+def dmi_signals(df: DataFrame, threshold: float = 25.0, peak: float = 70.0) -> DataFrame:
+    """entry (1, -1, 0): ADXR comes over the threshold with ADX above it, on the side of the larger DI while the other
+    doesn't rise. exit_long, exit_short: the DIs have turned against the side while ADX is over the threshold and rises,
+    ADX falls from over the peak, or ADX and ADXR fall with ADX the lower. False and 0 where a value is missing; the values
+    before the first bar that has any are that bar's own."""
+    before = {c: F.coalesce(ops.delay(c), F.col(c)) for c in ("adx", "adxr", "pdi", "mdi")}
+    df = df.withColumns({f"_{c}": x for c, x in before.items()})
+    adx, adxr, pdi, mdi = (F.col(c) for c in ("adx", "adxr", "pdi", "mdi"))
+    cross = (F.col("_adxr") < threshold) & (adxr > threshold) & (adx > adxr)
+    entry = F.when(cross & (pdi > mdi) & (mdi <= F.col("_mdi")), 1).when(cross & (pdi < mdi) & (pdi <= F.col("_pdi")), -1).otherwise(0)
+    rising, falling = (adx > threshold) & (adx > F.col("_adx")), adx < F.col("_adx")
+    tired = ((adx > peak) & falling) | ((adx < adxr) & (adxr < F.col("_adxr")) & falling)
+    no = F.lit(False)
+    out = {"entry": entry, "exit_long": F.coalesce((pdi < mdi) & rising, no) | F.coalesce(tired, no), "exit_short": F.coalesce((pdi > mdi) & rising, no) | F.coalesce(tired, no)}
+    return df.withColumns(out).drop("_adx", "_adxr", "_pdi", "_mdi")
 
 
 def hold_positions(df: DataFrame) -> DataFrame:
-    """entry (1, -1, 0) and exit to the position held after each bar; an entry while holding is ignored. The next event
-    depends on the position, so this is a scan of each series."""
+    """entry (1, -1, 0), exit_long and exit_short to the position held after each bar; an entry while holding is ignored.
+    The next event depends on the position, so this is a scan of each series."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(TIME, kind="stable")
         now, out = 0, []
-        for e, x in zip(t["entry"], t["exit"]):
-            now = 0 if now and x else int(e) if not now and e else now
+        for e, long, short in zip(t["entry"], t["exit_long"], t["exit_short"]):
+            if now:
+                now = 0 if (long if now > 0 else short) else now
+            else:
+                now = int(e)
             out.append(now)
         return t.assign(position=out)
 

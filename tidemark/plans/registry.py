@@ -7,6 +7,8 @@ from ..functions import ops, scalars
 from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
 from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
+from .node_sql import STEPS, node_sql
+from .recursive_sql import COLUMNS as RECURSIVE, recursive_sql, recursive_tables
 
 K = ["symbol", "start_time"]
 
@@ -231,13 +233,13 @@ _CORR = f"case when count(case when volume is not null then close end) over {row
 
 @register("o1_o7_o20_rolling", sql(f"""x as (select *, lag(close, 3) over {ORD} as delay3, close - lag(close, 3) over {ORD} as delta3, {g('sum', 'close', 10)} as s, {g('avg', 'close', 10)} as a, {g('min', 'low', 10)} as mn, {g('max', 'high', 10)} as mx,
  {g('product', 'close', 3)} as pr, {_CORR} as cr, case when count(close) over {rows(10)} >= 10 then covar_samp(close, volume) over {rows(10)} end as cv, close / lag(close) over {ORD} - 1 as r from b)
-select symbol, start_time, {f32('delay3', 'delay3')}, {f32('round(delta3, 4)', 'delta3')}, {f32('s', 's')}, {f32('a', 'a')}, {f32('mn', 'mn')}, {f32('mx', 'mx')}, {f32('pr', 'pr')}, {f32('round(cr, 6)', 'cr')}, {f32('round(r, 8)', 'r')} from x"""))
+select symbol, start_time, {f32('delay3', 'delay3')}, {f32('round(delta3, 4)', 'delta3')}, {f32('s', 's')}, {f32('a', 'a')}, {f32('mn', 'mn')}, {f32('mx', 'mx')}, {f32('pr', 'pr')}, {f32('round(cr, 6)', 'cr')}, {f32('round(cv, 3)', 'cv')}, {f32('round(r, 8)', 'r')} from x"""))
 def _(spark, d):
     df = weekly(spark, d).withColumns({
         "delay3": ops.delay("close", 3), "delta3": F.round(ops.delta("close", 3), 4), "s": ops.ts_sum("close", 10), "a": ops.mean("close", 10), "mn": ops.ts_min("low", 10), "mx": ops.ts_max("high", 10),
-        "pr": ops.prod("close", 3), "cr": F.round(ops.corr("close", "volume", 10), 6), "r": F.round(ops.returns(), 8),
+        "pr": ops.prod("close", 3), "cr": F.round(ops.corr("close", "volume", 10), 6), "cv": F.round(ops.cov("close", "volume", 10), 3), "r": F.round(ops.returns(), 8),
     })
-    return show(df, ["delay3", "delta3", "s", "a", "mn", "mx", "pr", "cr", "r"])
+    return show(df, ["delay3", "delta3", "s", "a", "mn", "mx", "pr", "cr", "cv", "r"])
 
 
 @register("o8_rank", sql(f"x as (select *, {_avg_rank('close', 'symbol')} as rs, {_avg_rank('close', 'start_time')} as rc from b) select symbol, start_time, {f32('rs', 'rs')}, {f32('rc', 'rc')} from x"))
@@ -343,10 +345,10 @@ def _(spark, d):
     return show(ind.spikes(weekly(spark, d)), ["spike_strength", "spike_threshold", "is_spike"])
 
 
-@register("i4_recursive_scan")
+@register("i4_recursive_scan", recursive_sql(_bars("1W")))
 def _(spark, d):
     df = scans.recursive_indicators(weekly(spark, d))
-    return show(df, [c for c in df.columns if c not in fx.BAR_COLUMNS])
+    return show(df.withColumns({c: F.round(c, 6) for c in RECURSIVE}), [*RECURSIVE, "sar_long", "st_side"])
 
 
 _EMA = "list_reduce(list(close) over (partition by symbol order by start_time), lambda a, v: a + 0.2 * (v - a))"
@@ -361,12 +363,15 @@ def _ema9(t):
     return {"ema9": scans.ema(t["close"].to_numpy(float), 9)}
 
 
-@register("i45_demarker")
+@register("i45_demarker", sql(f"t as (select *, greatest(high - lag(high) over {ORD}, 0) as u, greatest(lag(low) over {ORD} - low, 0) as l, lag(high) over {ORD} as p from b), y as (select *, case when p is not null then u end as u1, case when p is not null then l end as l1 from t), x as (select *, {g('avg', 'u1', 14)} as mu, {g('avg', 'l1', 14)} as ml from y) select symbol, start_time, cast(case when mu + ml > 0 then floor(mu / (mu + ml) * 100) when mu + ml = 0 then 50 end as int) as demarker from x"))
 def _(spark, d):
     return ind.demarker(weekly(spark, d)).select("symbol", "start_time", "demarker")
 
 
-@register("i24_elder_impulse")
+_EMA13 = "list_reduce(list(close) over (partition by symbol order by start_time), lambda a, v: a + 2.0 / 14 * (v - a))"
+
+
+@register("i24_elder_impulse", sql(f"t as (select *, {_EMA13} as e, {g('avg', 'close', 12)} - {g('avg', 'close', 26)} as dif from b), y as (select *, dif - {g('avg', 'dif', 9)} as h, e - lag(e) over {ORD} as de from t) select symbol, start_time, case when de > 0 and h > 0 then 1 when de < 0 and h < 0 then -1 else 0 end as impulse from y"))
 def _(spark, d):
     df = scans.scan(weekly(spark, d), "ema13 double", _ema13)
     return ind.elder_impulse(df).select("symbol", "start_time", "impulse")
@@ -441,11 +446,34 @@ def _(spark, d):
     return show(df, ["hour", "day_of_week", "day_of_year", "week", "quarter", "is_weekend", "is_month_end", "days_in_quarter", "hour_sin"], ["event_id"])
 
 
+def _sided(kind: str) -> str:
+    agg = {"ratio": "sum", "count": "count", "average": "avg"}[kind]
+    u, l = (f"coalesce({agg}(case when close {op} open then {x} end) over {rows(20)}, 0)" for op, x in ((">", "r"), ("<", "abs(r)")))
+    return f"case when count(*) over {rows(20)} >= 20 and count(r) over {rows(20)} >= 2 then case when {l} > 0 then {u} / {l} when {u} > 0 then {u} / 1e-10 end end"
+
+
+_KINDS = ("ratio", "count", "average")
+
+
+@register("f5_direction", sql(f"t as (select *, close / {_D} - 1 as r from b), x as (select *, " + ", ".join(f"{_sided(k)} as {k}" for k in _KINDS) + " from t) select symbol, start_time, " + ", ".join(f32(k, f"Direction_20_{k}") for k in _KINDS) + " from x"))
+def _(spark, d):
+    df = weekly(spark, d)
+    for k in _KINDS:
+        df = fa.direction(df, kind=k)
+    return show(df, [f"Direction_20_{k}" for k in _KINDS])
+
+
+@register("f6_long_short_volume", sql(f"""t as (select *, close / {_D} - 1 as r from b), y as (select *, list({{'r': r, 'v': volume}}) filter (where r is not null) over {rows(20)} as a, count(*) over {rows(20)} as n from t), z as (select *, list_sort(a) as s from y),
+x as (select *, list_sum(list_transform(s[1:5], lambda e: e.v)) as dn, list_sum(list_transform(s[-5:], lambda e: e.v)) as up from z) select symbol, start_time, {f32('case when n >= 20 and len(s) >= 10 and up + dn > 0 then up / (up + dn) end', '"LongShortVolumeRatio_20_5"')} from x"""))
+def _(spark, d):
+    return show(fa.long_short_volume(weekly(spark, d)), ["LongShortVolumeRatio_20_5"])
+
+
 @register("f5_f13_custom")
 def _(spark, d):
     df = weekly(spark, d)
     base = df.columns
-    for f in (fa.direction, fa.long_short_volume, fa.volume_average, fa.acceleration, fa.run_lengths, fa.simple_dmom, fa.spread, fa.price_spike):
+    for f in (fa.volume_average, fa.acceleration, fa.run_lengths, fa.simple_dmom, fa.spread, fa.price_spike):
         df = f(df) if f is not fa.simple_dmom else f(df.drop("up_run", "down_run"))
     return show(df, [c for c in df.columns if c not in base])
 
@@ -454,22 +482,19 @@ def _(spark, d):
 def _(spark, d):
     df = fa.compute_all(weekly(spark, d), {"t": fa.technical, "d": fa.direction})
     df = fa.timeframe_code(fa.one_hot(df, "symbol", ["Brand#11", "Brand#12"]))
-    return show(df, ["t_MA_20", "t_RSI_14", "d_Direction_20", "symbol_Brand#11", "timeframe_code"]).withColumnRenamed("symbol_Brand#11", "is_11")
+    return show(df, ["t_MA_20", "t_RSI_14", "d_Direction_20_ratio", "symbol_Brand#11", "timeframe_code"]).withColumnRenamed("symbol_Brand#11", "is_11")
 
 
-@register("f28_catalog_checked", sql(f"""t as (select *, amount / (volume + 1e-12) as vwap, {_D} as p, ((close - low) - (high - close)) / nullif(high - low, 0) as pl from b),
-x as (select *, -(pl - lag(pl) over {ORD}) as a2, case when count(pl * volume) over {rows(6)} >= 6 then sum(pl * volume) over {rows(6)} end as a11, sqrt(high * low) - vwap as a13, close / lag(close, 5) over {ORD} as a18, ({g('avg', 'close', 12)}) / close as a34,
- {g('sum', '(case when p is null then null when close > p then volume when close < p then -volume else 0 end)', 6)} as a43, (close - lag(close, 6) over {ORD}) / lag(close, 6) over {ORD} * volume as a29, open / p - 1 as a15 from t)
-select symbol, start_time, {f32('round(a2, 7)', '\"A002\"')}, {f32('round(a11, 6)', '\"A011\"')}, {f32('round(a13, 5)', '\"A013\"')}, {f32('round(a15, 7)', '\"A015\"')}, {f32('a18', '\"A018\"')}, {f32('a29', '\"A029\"')}, {f32('a34', '\"A034\"')}, {f32('a43', '\"A043\"')} from x"""))
-def _(spark, d):
-    df = cat.catalog(weekly(spark, d), [2, 11, 13, 15, 18, 29, 34, 43])
-    return show(df.withColumns({"A002": F.round("A002", 7), "A011": F.round("A011", 6), "A013": F.round("A013", 5), "A015": F.round("A015", 7)}), [c for c in df.columns if c[0] == "A" and c[1:].isdigit()])
+_FORMULAS = cat.formulas()
 
+for _from, _to in ((1, 50), (51, 100), (101, 150), (151, 191)):
+    _ids = list(range(_from, _to + 1))
 
-@register("f28_catalog_all")
-def _(spark, d):
-    df = cat.catalog(weekly(spark, d))
-    return show(df, [c for c in df.columns if c[0] == "A" and c[1:].isdigit()])
+    @register(f"f27_f28_catalog_{_from}_{_to}", node_sql(_bars("1W"), {f"A{i:03d}": _FORMULAS[i] for i in _ids}))
+    def _(spark, d, ids=_ids):
+        df = cat.catalog(weekly(spark, d), ids)
+        names = [f"A{i:03d}" for i in ids]
+        return show(df.withColumns({c: F.round(F.when(F.abs(c) < 1e30, F.col(c)) * STEPS) / STEPS for c in names}), names)
 
 
 # Labels
@@ -546,6 +571,11 @@ def _(spark, d):
     return show(df, ["mean_return", "n"], ["symbol", "bucket"])
 
 
+@register("v8_long_short", sql(f"{_FUT}, e as (select symbol, quantile_cont(fx, [0.2, 0.4, 0.6, 0.8]) as e from q where fx is not null group by symbol), k as (select q.symbol, 1 + len(list_filter(e.e, lambda v: v < q.fx)) as bucket, fr from q join e using (symbol) where fx is not null), m as (select symbol, bucket, avg(fr) as m from k group by all) select symbol, cast(max(m) - min(m) as float) as long_short from m group by symbol"))
+def _(spark, d):
+    return show(ev.long_short(ev.quantile_returns(_factor(spark, d), "fx")), ["long_short"], ["symbol"])
+
+
 @register("v9_correlation", sql("x as (select unnest([{'f1': 'open', 'f2': 'open', 'corr': corr(open, open)}, {'f1': 'open', 'f2': 'volume', 'corr': corr(open, volume)}, {'f1': 'volume', 'f2': 'open', 'corr': corr(open, volume)}, {'f1': 'volume', 'f2': 'volume', 'corr': corr(volume, volume)}]) as c from b) select c.f1, c.f2, cast(round(c.corr, 6) as float) as corr from x"))
 def _(spark, d):
     return show(ev.correlation_matrix(weekly(spark, d), ["open", "volume"]).withColumn("corr", F.round("corr", 6)), ["corr"], ["f1", "f2"])
@@ -643,8 +673,19 @@ def _(spark, d):
 
 @register("m2_m8_metrics_all")
 def _(spark, d):
-    m = perf.grade(perf.metrics(fx.equity(spark, d)))
-    return show(m, ["annual_return", "sharpe_annual_over_vol", "sortino", "calmar", "drawdown_bars", "drawdown_periods", "longest_drawdown", "skew", "kurt", "grade"], ["run_id"])
+    return show(perf.metrics(fx.equity(spark, d)), ["annual_return", "sharpe_annual_over_vol", "sortino", "calmar", "drawdown_periods", "longest_drawdown", "drawdown_bars", "skew", "kurt"], ["run_id"])
+
+
+_GRADED = "with m as (select o_orderkey as run_id, (o_custkey % 23 - 4) / 20.0 as annual_return, (o_custkey % 13 - 1) / 5.0 as sharpe_annual_over_vol, -(o_orderkey % 19) / 20.0 as max_drawdown, (o_orderkey % 29) / 200.0 as p, o_orderkey % 61 as trades, o_totalprice - 250000 as total_return from orders)"
+_POINTS = " + ".join(["case " + " ".join(f"when {c} > {low} then {pts}" for low, pts in zip(lows, perf.POINTS)) + " else 0 end" for c, lows in (("annual_return", (0.5, 0.3, 0.15, 0, -0.1)), ("sharpe_annual_over_vol", (2, 1.5, 1, 0.5, 0)), ("max_drawdown", (-0.1, -0.2, -0.3, -0.5, -0.7)))])
+
+
+@register("m17_grade", f"{_GRADED}, x as (select *, {_POINTS} + case when p < 0.01 and trades >= 50 then 25 when p < 0.05 and trades >= 30 then 20 when p < 0.1 and trades >= 20 then 15 when trades >= 30 then 10 when trades >= 10 then 5 else 0 end as points from m) select run_id, points, case when points >= 90 then 'A+' when points >= 80 then 'A' when points >= 70 then 'B+' when points >= 60 then 'B' when points >= 50 then 'C' when points >= 40 then 'D' else 'F' end as grade, cast(trades < 30 as int) + cast(p >= 0.05 as int) + cast(max_drawdown < -0.3 as int) + cast(sharpe_annual_over_vol < 0.5 and total_return > 0 as int) as concerns from x")
+def _(spark, d):
+    o = fx.table(spark, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    m = o.select(key.alias("run_id"), ((cust % 23 - 4) / 20.0).alias("annual_return"), ((cust % 13 - 1) / 5.0).alias("sharpe_annual_over_vol"), (-(key % 19) / 20.0).alias("max_drawdown"), ((key % 29) / 200.0).alias("p"), (key % 61).alias("trades"), (F.col("o_totalprice") - 250000).alias("total_return"))
+    return perf.grade(m).select("run_id", "points", "grade", F.size("concerns").alias("concerns"))
 
 
 @register("m9_benchmark", sql(f"x as (select *, 100000 * close / first(close) over (partition by symbol order by start_time) as v from b) select symbol, start_time, {f32('v', 'benchmark')} from x"))
@@ -714,6 +755,16 @@ def _(spark, d):
     return wf.grid(spark, {"fast": [5, 10], "none": [], "brand": brands}).select("params")
 
 
+_SIGNAL_SQL = f"""v as (select *, coalesce(lag(adx) over {ORD}, adx) as padx, coalesce(lag(adxr) over {ORD}, adxr) as padxr, coalesce(lag(pdi) over {ORD}, pdi) as ppdi, coalesce(lag(mdi) over {ORD}, mdi) as pmdi from i),
+c as (select *, coalesce(padxr < 25 and adxr > 25 and adx > adxr, false) as cross_, coalesce((adx > 70 and adx < padx) or (adx < adxr and adxr < padxr and adx < padx), false) as tired, coalesce(adx > 25 and adx > padx, false) as rising from v)
+select symbol, start_time, case when cross_ and pdi > mdi and mdi <= pmdi then 1 when cross_ and pdi < mdi and pdi <= ppdi then -1 else 0 end as entry, coalesce(pdi < mdi and rising, false) or tired as exit_long, coalesce(pdi > mdi and rising, false) or tired as exit_short from c"""
+
+
+@register("s1_dmi_signals", recursive_tables(_bars("1H")) + ", i as (select symbol, start_time, adx, pdi, mdi, (adx + coalesce(adx7, adx6, adx)) / 2 as adxr from o), " + _SIGNAL_SQL)
+def _(spark, d):
+    return sig.dmi_signals(scans.recursive_indicators(hourly(spark, d))).select("symbol", "start_time", "entry", "exit_long", "exit_short")
+
+
 @register("s1_s3_backtest")
 def _(spark, d):
     df = scans.recursive_indicators(hourly(spark, d)).select(*fx.BAR_COLUMNS, "adx", "adxr", "pdi", "mdi")

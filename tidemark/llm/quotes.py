@@ -15,6 +15,11 @@ MARKS = r"^(?:[ \t]*>)+"
 KEY = ["conv_id", "turn"]
 
 
+def quoting(text: str = "text") -> Column:
+    """Whether the message has a quoted line at all: only such messages need their lines looked at."""
+    return F.coalesce(F.col(text).rlike(r"(^|\n)[ \t]*>"), F.lit(False))
+
+
 def _normal(body: Column) -> Column:
     """Lower case, runs of blanks as one space, no blanks at the ends."""
     return F.trim(F.lower(F.regexp_replace(body, r"[ \t\r\f]+", " ")))
@@ -42,7 +47,8 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
 def own_text(text: str = "text") -> Column:
     """The message without its quoted lines, trimmed; null stays null."""
     kept = F.filter(F.split(F.col(text), "\n"), lambda line: ~line.rlike(r"^[ \t]*>"))
-    return F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.regexp_replace(F.array_join(kept, "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    own = F.when(quoting(text), F.array_join(kept, "\n")).otherwise(F.col(text))
+    return F.regexp_replace(own, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -50,18 +56,18 @@ def reply_links(messages: DataFrame) -> DataFrame:
     level decide, whole passages before single lines, then the latest such message. Rows of equal (conv_id, turn) count
     as one message. First occurrences are minima that are combined before the shuffle, so a text that many messages share
     makes one row per conversation, and the join is a plain one that the engine may split at a hot passage."""
-    rows = parsed(messages.select(*KEY, "text"))
+    rows = messages.select(*KEY, "text")
     sha = lambda c: F.sha2(c, 256)
     own = F.filter("_tm_runs", lambda r: r["level"] == 0)
     whole = F.concat_ws(" ", F.flatten(F.transform(own, lambda r: r["lines"])))
     units = F.array_distinct(F.flatten(F.array(F.array(whole), F.transform(own, lambda r: F.concat_ws(" ", r["lines"])), F.flatten(F.transform(own, lambda r: r["lines"])))))
     quoted = F.filter("_tm_runs", lambda r: (r["level"] > 0) & (F.size(r["lines"]) > 0))
-    quotes = rows.filter(F.exists("_tm_runs", lambda r: r["level"] > 0)).select(*KEY, F.explode(quoted).alias("q"))
+    quotes = parsed(rows.filter(quoting())).select(*KEY, F.explode(quoted).alias("q"))
     tried = F.concat(F.array(F.struct(F.lit(2).alias("part"), F.concat_ws(" ", "q.lines").alias("t"))), F.transform("q.lines", lambda x: F.struct(F.lit(1).alias("part"), x.alias("t"))))
     quotes = quotes.select(*KEY, F.col("q.level").alias("level"), F.explode(tried).alias("x")).select(*KEY, "level", "x.part", sha("x.t").alias("hash"))
     quotes = common.cut(quotes.distinct(), "quotes")
     asked = quotes.select("conv_id").distinct()
-    firsts = rows.join(asked, "conv_id", "left_semi").select(*KEY, F.explode(units).alias("t")).filter("t != ''")
+    firsts = parsed(rows.join(asked, "conv_id", "left_semi")).select(*KEY, F.explode(units).alias("t")).filter("t != ''")
     firsts = common.cut(firsts.groupBy("conv_id", sha("t").alias("hash")).agg(F.min("turn").alias("first")), "originals")
     found = quotes.join(firsts, ["conv_id", "hash"]).filter("first < turn")
     best = F.max(F.struct((-F.col("level")).alias("level"), "part", "first"))
@@ -92,7 +98,8 @@ def linked(messages: DataFrame) -> DataFrame:
     """
     out = ["clean", "n_quotes", "reply_to", "thread", "depth", "chat"]
     links = threads(reply_links(messages))
-    rows = parsed(messages.drop(*out)).withColumn("n_quotes", F.size(F.filter("_tm_runs", lambda r: (r["level"] > 0) & (F.size(r["lines"]) > 0)))).drop("_tm_runs")
+    rows = parsed(messages.drop(*out).withColumn("_tm_quoting", F.when(quoting(), F.col("text"))), "_tm_quoting")
+    rows = rows.withColumn("n_quotes", F.size(F.filter("_tm_runs", lambda r: (r["level"] > 0) & (F.size(r["lines"]) > 0)))).drop("_tm_runs", "_tm_quoting")
     rows = rows.join(links, KEY, "left").withColumn("clean", own_text())
     rows = rows.withColumn("thread", F.coalesce("thread", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
     return rows.withColumn("chat", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("clean", F.lit("")), F.lit("\n<|end|>")))

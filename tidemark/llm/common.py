@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
 import tempfile
 import uuid
 
@@ -61,12 +62,19 @@ def sub_batches(texts: list[str], most_chars: int = 2_000_000):
         yield at, len(texts)
 
 
+def trim(cache: dict, limit: int) -> None:
+    """Keep the earlier half of what a full cache may hold: what is frequent comes early."""
+    early = dict(itertools.islice(cache.items(), limit // 2))
+    cache.clear()
+    cache.update(early)
+
+
 def fill(cache: dict, keys, compute, limit: int) -> None:
-    """Put compute(missing keys) into the cache; it is emptied first when it would pass the limit."""
+    """Put compute(missing keys) into the cache; it is trimmed first when it would pass the limit."""
     missing = [k for k in keys if k not in cache]
-    if len(cache) + len(missing) > limit:
-        cache.clear()
-        missing = list(keys)
+    if cache and len(cache) + len(missing) > limit:
+        trim(cache, limit)
+        missing = [k for k in keys if k not in cache]
     if missing:
         cache.update(zip(missing, compute(missing)))
 

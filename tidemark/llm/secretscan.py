@@ -69,7 +69,9 @@ def scan(versions: DataFrame, ledger_path: str, text: str = "text", blob: str =
     spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger_path)
 
     def ledger():
-        return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).filter(F.col("rules") == RULES).drop("rules")
+        """One row for each blob, should a pair have been written twice."""
+        rows = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).filter(F.col("rules") == RULES).drop("rules")
+        return rows.groupBy("blob").agg(*[F.first(c).alias(c) for c in rows.columns if c != "blob"])
 
     contents = common.distinct_contents(keyed.select(F.col(blob).alias("_tm_blob"), common.whole(text).alias("_tm_text")), "_tm_blob", "_tm_text")
     unseen = contents.join(ledger().select(F.col("blob").alias("_tm_blob")), "_tm_blob", "left_anti")

@@ -137,7 +137,8 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, text: str = "text"
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     def stored():
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == tokenizer)
+        """One count for each content, should it have been appended twice."""
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == tokenizer).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     seen = stored().select(F.col("content").alias("_tm_content"))
     wanted = keyed.select(F.col(content).alias("_tm_content"), common.whole(text).alias("_tm_text"))

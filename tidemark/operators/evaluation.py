@@ -85,6 +85,36 @@ def stability(df: DataFrame, factor: str, bins: int = 10) -> DataFrame:
     return out.withColumn("turnover", F.greatest(F.lit(0.0), 20 - 18 * F.col("rre")))
 
 
+def self_stability(df: DataFrame, factor: str, lags=(1, 2, 3, 5)) -> DataFrame:
+    """Of each series: mean of the absolute correlations of the factor with itself some rows before, between 0 and 1, and a
+    turnover; lags need ten values more than they reach back, a series of fewer than ten has 0 for both."""
+    df = df.filter(F.col(factor).isNotNull())
+    df = df.withColumns({f"_l{k}": F.lag(factor, k).over(ops.series()) for k in lags})
+
+    def one(k):
+        x = F.when(F.col(f"_l{k}").isNotNull(), F.col(factor))
+        r = F.try_divide(F.covar_samp(x, f"_l{k}"), F.stddev_samp(x) * F.stddev_samp(f"_l{k}"))
+        return F.when(F.count(F.lit(1)) > k + 10, F.abs(r))
+
+    g = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*[one(k) for k in lags])).alias("_r"))
+    mean = F.coalesce(F.aggregate("_r", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_r"), F.lit(0)), F.lit(0.0))
+    few = F.col("n") < 10
+    g = g.withColumn("rre", F.when(few, F.lit(0.0)).otherwise(F.least(mean, F.lit(1.0))))
+    return g.withColumn("turnover", F.when(few, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 20 - 18 * F.col("rre")))).drop("_r")
+
+
+def merge_matrices(matrices: DataFrame) -> DataFrame:
+    """Mean of each cell (f1, f2, corr) over the matrices that have it."""
+    return matrices.groupBy("f1", "f2").agg(F.avg("corr").alias("corr"))
+
+
+def report_summary(reports: DataFrame) -> DataFrame:
+    """One row over factors' reports (ic_mean, ic_ir, win_rate, rre, robustness): their means, missing ones left out, and
+    the number of reports; zeros without any."""
+    zero = lambda c: F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0))
+    return reports.agg(*[zero(c).alias(c) for c in ("ic_mean", "ic_ir", "win_rate", "rre", "robustness")], F.count(F.lit(1)).alias("factors"))
+
+
 def robustness(df: DataFrame, factor: str, level: float = 0.05, trials: int = 5, seed: int = 42) -> DataFrame:
     """Least of the mean rank correlations between the factor and itself with Gaussian and with t(3) noise."""
     std = F.stddev_samp(factor).over(S())
@@ -122,6 +152,15 @@ def split(df: DataFrame, ratio: float = 0.8, cols: list[str] | None = None) -> D
     return df.filter((F.col("_cut") > 0) & (F.col("_cut") < F.col("_n"))).withColumn("split", F.when(F.col("_k") <= F.col("_cut"), "train").otherwise("val")).drop("_k", "_cut", "_n")
 
 
+def split3(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """Rows of each series by time as train, val or test: the test begins at int(n * train), and the last int(m * val) of
+    the m rows before it are val."""
+    k, n = F.row_number().over(ops.series()), F.count(F.lit(1)).over(S())
+    m = F.floor(n * train)
+    df = df.withColumns({"_k": k, "_m": m}).withColumn("_v", F.col("_m") - F.floor(F.col("_m") * val))
+    return df.withColumn("split", F.when(F.col("_k") > F.col("_m"), "test").when(F.col("_k") > F.col("_v"), "val").otherwise("train")).drop("_k", "_m", "_v")
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     c = c.withColumn("weight", F.sum("_c").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_c")))

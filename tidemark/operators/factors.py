@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ops
-from ..functions.ops import W, col, delay, guard, mean, quantile, std, ts_max, ts_min, ts_sum
+from ..functions.ops import W, delay, guard, mean, quantile, std
 from ..schema import KEY, TIMEFRAMES
 from .bars import with_vwap
 
@@ -28,65 +28,100 @@ def price_ratios() -> dict[str, Column]:
 
 
 def rolling_base(df: DataFrame) -> DataFrame:
-    """Columns that the rolling set shares."""
+    """Columns that the rolling set shares; pairs that are correlated are null together."""
     up, dv = ops.delta("close"), ops.delta("volume")
     pos = lambda x: F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0))
     first = delay("close").isNull()
-    return ops.in_levels(
-        df,
-        {
-            "_t": F.row_number().over(ops.series()).cast("double"), "_lv": F.ln(F.col("volume") + 1), "_cr": F.try_divide(F.col("close"), delay("close")), "_vr": F.ln(F.try_divide(F.col("volume"), delay("volume")) + 1),
-            "_up": F.when(first, 0.0).otherwise((up > 0).cast("double")), "_down": F.when(first, 0.0).otherwise((up < 0).cast("double")), "_gain": F.when(~first, pos(up)), "_loss": F.when(~first, pos(-up)), "_abs": F.abs(up),
-            "_vgain": F.when(~first, pos(dv)), "_vloss": F.when(~first, pos(-dv)), "_vabs": F.abs(dv), "_wv": F.abs(F.try_divide(up, delay("close"))) * F.col("volume"),
-        },
-    )
+    df = df.withColumns({
+        "_t": F.row_number().over(ops.series()).cast("double"), "_lv": F.ln(F.col("volume") + 1), "_cr": F.try_divide(F.col("close"), delay("close")), "_vr": F.ln(F.try_divide(F.col("volume"), delay("volume")) + 1),
+        "_up": F.when(first, 0.0).otherwise((up > 0).cast("double")), "_down": F.when(first, 0.0).otherwise((up < 0).cast("double")), "_gain": F.when(~first, pos(up)), "_loss": F.when(~first, pos(-up)), "_abs": F.abs(up),
+        "_vgain": F.when(~first, pos(dv)), "_vloss": F.when(~first, pos(-dv)), "_vabs": F.abs(dv), "_wv": F.abs(F.try_divide(up, delay("close"))) * F.col("volume"),
+    })
+    both = lambda x, y: F.when(F.col(y).isNotNull(), F.col(x))
+    return df.withColumns({"_c1": both("close", "_lv"), "_l1": both("_lv", "close"), "_c2": both("_cr", "_vr"), "_v2": both("_vr", "_cr")}).drop("_lv", "_cr", "_vr")
 
 
-BASE = ["_t", "_lv", "_cr", "_vr", "_up", "_down", "_gain", "_loss", "_abs", "_vgain", "_vloss", "_vabs", "_wv"]
+BASE = ["_t", "_up", "_down", "_gain", "_loss", "_abs", "_vgain", "_vloss", "_vabs", "_wv", "_c1", "_l1", "_c2", "_v2"]
+
+
+def rolling_windows(n: int) -> dict[str, Column]:
+    """What the rolling set of n bars needs to know of its windows, each once: numbers, sums, extremes, moments."""
+    w = W(n)
+    over = lambda f, *x: f(*[F.col(c) for c in x]).over(w)
+    out = {"_lag": delay("close", n), "_hh": over(F.max, "high"), "_ll": over(F.min, "low"), "_ct": over(F.covar_samp, "close", "_t")}
+    out |= {f"_k_{x}": over(F.count, x) for x in ("close", "high", "low", "volume", "_up", "_abs", "_vabs", "_wv", "_c1", "_c2")}
+    out |= {f"_a_{x}": over(F.avg, x) for x in ("close", "volume", "_up", "_down", "_wv")}
+    out |= {f"_s_{x}": over(F.stddev_samp, x) for x in ("close", "volume", "_wv", "_c1", "_l1", "_c2", "_v2")}
+    out |= {f"_x_{x}": over(F.max, x) - over(F.min, x) for x in ("close", "volume", "_wv", "_l1", "_c1", "_c2", "_v2")}
+    out |= {f"_p_{x}": over(F.sum, x) for x in ("_gain", "_loss", "_abs", "_vgain", "_vloss", "_vabs")}
+    return out | {"_c12": over(F.covar_samp, "_c1", "_l1"), "_c22": over(F.covar_samp, "_c2", "_v2")}
 
 
 def rolling(n: int, eps: float = EPS) -> dict[str, Column]:
-    """The rolling set of one window; needs rolling_base and the window arrays _hi and _lo."""
+    """The rolling set of one window from rolling_base, rolling_windows, and the trailing arrays _hi, _lo and _cl of at
+    least n bars."""
     c, v = F.col("close"), F.col("volume")
-    hi, lo = F.col("_hi"), F.col("_lo")
-    imax, imin = ops.bars_since_max(hi) / n, ops.bars_since_min(lo) / n
-    r = ops.corr("close", "_t", n)
-    hh, ll = ts_max("high", n), ts_min("low", n)
-    total, vtotal = ts_sum("_abs", n) + eps, ts_sum("_vabs", n) + eps
+    col = F.col
+    full = lambda x, value: F.when(col(f"_k_{x}") >= n, value)
+    tail = lambda x: F.slice(x, -n, n)
+    std = lambda x: F.when(col(f"_x_{x}") == 0, F.lit(0.0)).otherwise(col(f"_s_{x}"))
+    imax = full("high", (n - F.array_position(tail("_hi"), col("_hh"))) / n)
+    imin = full("low", (n - F.array_position(tail("_lo"), col("_ll"))) / n)
+    slope = col("_ct") / (n * (n + 1) / 12)
+    moves = lambda value: F.when((col("_k_close") >= n) & (col("_x_close") > 0), value)
+    r = col("_ct") / (col("_s_close") * ((n * (n + 1) / 12) ** 0.5))
+    by_size = F.array_sort(tail("_cl"))
+
+    def at(q: float) -> Column:
+        k = q * (n - 1)
+        low = F.get(by_size, F.lit(int(k)))
+        return low if k == int(k) else low + (F.get(by_size, F.lit(int(k) + 1)) - low) * (k - int(k))
+
+    def corr(k: str, cov: str, x: str, y: str) -> Column:
+        return full(k, F.when((col(f"_x_{x}") > 0) & (col(f"_x_{y}") > 0), F.try_divide(col(cov), col(f"_s_{x}") * col(f"_s_{y}"))))
+
+    total, vtotal = full("_abs", col("_p__abs")) + eps, full("_vabs", col("_p__vabs")) + eps
+    hh, ll, mean = full("high", col("_hh")), full("low", col("_ll")), full("close", col("_a_close"))
+    ups, downs = full("_up", col("_a__up")), full("_up", col("_a__down"))
     cols = {
-        "ROC": delay("close", n) / c, "MA": mean("close", n) / c, "STD": std("close", n) / c, "BETA": ops.slope("close", n) / c, "RSQR": r * r, "RESI": ops.residual("close", n) / c,
-        "MAX": hh / c, "MIN": ll / c, "QTLU": quantile("close", n, 0.8) / c, "QTLD": quantile("close", n, 0.2) / c, "RANK": ops.ts_rank(F.col("_cl")), "RSV": (c - ll) / (hh - ll + eps),
-        "IMAX": imax, "IMIN": imin, "IMXD": imax - imin, "CORR": ops.corr("close", "_lv", n), "CORD": ops.corr("_cr", "_vr", n),
-        "CNTP": mean("_up", n), "CNTN": mean("_down", n), "CNTD": mean("_up", n) - mean("_down", n),
-        "SUMP": ts_sum("_gain", n) / total, "SUMN": ts_sum("_loss", n) / total, "SUMD": (ts_sum("_gain", n) - ts_sum("_loss", n)) / total,
-        "VMA": mean("volume", n) / (v + eps), "VSTD": std("volume", n) / (v + eps), "WVMA": std("_wv", n) / (mean("_wv", n) + eps),
-        "VSUMP": ts_sum("_vgain", n) / vtotal, "VSUMN": ts_sum("_vloss", n) / vtotal, "VSUMD": (ts_sum("_vgain", n) - ts_sum("_vloss", n)) / vtotal,
+        "ROC": col("_lag") / c, "MA": mean / c, "STD": full("close", std("close")) / c, "BETA": moves(slope) / c, "RSQR": moves(r * r), "RESI": moves(c - col("_a_close") - slope * (n - 1) / 2) / c,
+        "MAX": hh / c, "MIN": ll / c, "QTLU": full("close", at(0.8)) / c, "QTLD": full("close", at(0.2)) / c, "RANK": full("close", ops.ts_rank(tail("_cl"))), "RSV": (c - ll) / (hh - ll + eps),
+        "IMAX": imax, "IMIN": imin, "IMXD": imax - imin, "CORR": corr("_c1", "_c12", "_c1", "_l1"), "CORD": corr("_c2", "_c22", "_c2", "_v2"), "CNTP": ups, "CNTN": downs, "CNTD": ups - downs,
+        "SUMP": col("_p__gain") / total, "SUMN": col("_p__loss") / total, "SUMD": (col("_p__gain") - col("_p__loss")) / total,
+        "VMA": full("volume", col("_a_volume")) / (v + eps), "VSTD": full("volume", std("volume")) / (v + eps), "WVMA": full("_wv", std("_wv")) / (full("_wv", col("_a__wv")) + eps),
+        "VSUMP": col("_p__vgain") / vtotal, "VSUMN": col("_p__vloss") / vtotal, "VSUMD": (col("_p__vgain") - col("_p__vloss")) / vtotal,
     }
     return {f"{k}{n}": x for k, x in cols.items()}
 
 
 def alpha158(bars: DataFrame, windows=WINDOWS, kbar: bool = True, price: bool = True) -> DataFrame:
     """Nine candle shapes, four price ratios, and 29 rolling columns for each window. All windows share one partitioning and
-    order, so they need one shuffle and one sort; the window arrays are dropped as soon as they are used."""
+    order, so they need one shuffle and one sort. One trailing array of each field serves all windows; each aggregate of a
+    window is computed once, and goes as soon as it is used."""
     df = with_vwap(ops.by_key(bars))
     df = df.withColumns((candle() if kbar else {}) | (price_ratios() if price else {}))
     df = rolling_base(df)
+    most = max(windows)
+    df = df.withColumns({f"_{x[:2] if x != 'close' else 'cl'}": F.collect_list(x).over(W(most)) for x in ("high", "low", "close")})
     for n in windows:
-        df = df.withColumns({"_hi": ops.window_array("high", n), "_lo": ops.window_array("low", n), "_cl": ops.window_array("close", n)})
-        df = df.withColumns(rolling(n)).drop("_hi", "_lo", "_cl")
-    return df.drop(*BASE)
+        spans = rolling_windows(n)
+        df = df.withColumns(spans)
+        df = df.withColumns(rolling(n)).drop(*spans)
+    return df.drop(*BASE, "_hi", "_lo", "_cl")
 
 
 def lag_set(bars: DataFrame, fields: str = "CLOSE,OPEN,HIGH,LOW,VWAP,VOLUME", windows: str = "0-59") -> DataFrame:
-    """Lagged fields by the current close, lagged volumes by the current volume; windows as '0-59' or '5,10'."""
+    """Lagged fields by the current close, lagged volumes by the current volume; windows as '0-59' or '5,10'. One trailing
+    array of each field holds all its lags."""
     lags = [k for part in windows.split(",") for k in (range(int(part.split("-")[0]), int(part.split("-")[1]) + 1) if "-" in part else [int(part)])]
+    names = {f: f.strip().lower() for f in fields.split(",")}
     df = with_vwap(ops.by_key(bars))
+    df = df.withColumns({f"_lags_{x}": F.collect_list(F.struct(F.col(x).alias("x"))).over(W(max(lags) + 1)) for x in names.values()})
     cols = {}
-    for f in fields.split(","):
-        x = f.strip().lower()
+    for f, x in names.items():
         by = F.col("volume") + EPS if x == "volume" else F.col("close")
-        cols |= {f"{f}{k}": (delay(x, k) if k else F.col(x)) / by for k in lags}
-    return df.withColumns(cols)
+        cols |= {f"{f}{k}": F.get(f"_lags_{x}", F.size(f"_lags_{x}") - 1 - k)["x"] / by for k in lags}
+    return df.withColumns(cols).drop(*[f"_lags_{x}" for x in names.values()])
 
 
 def technical(df: DataFrame) -> DataFrame:
@@ -201,6 +236,22 @@ def spread(df: DataFrame, n: int = 60, logs: bool = True) -> DataFrame:
     return df.withColumn(f"SimpleAR_{n}", F.sqrt(F.greatest("_s", F.lit(0.0)))).drop("_c", "_m", "_p", "_s")
 
 
+def ar_spread(df: DataFrame, base: int = 240, windows=(5, 15, 30, 60), logs: bool = True) -> DataFrame:
+    """Spread estimates from d, the product of (close - middle) of the bar before with that close less this bar's middle: AR,
+    the root of the mean of -4 d without negative values over `base` bars; AR_base, the root of -4 times the mean of d; and
+    AR_w for each window, where d is first averaged over w bars. Missing values are left out of the means, nothing is given
+    before bar base + 1, and d begins with the third bar."""
+    f = F.ln if logs else (lambda x: x)
+    at = F.row_number().over(ops.series())
+    df = df.withColumns({"_c": f(F.col("close")), "_m": f((F.col("high") + F.col("low")) / 2), "_i": at})
+    df = df.withColumn("_d", F.when(F.col("_i") > 2, (delay("_c") - delay("_m")) * (delay("_c") - F.col("_m"))))
+    df = df.withColumns({f"_d{w}": F.when(F.col("_i") >= w, F.avg("_d").over(W(w))) for w in windows})
+    kept = lambda x, first: F.when(F.col("_i") > first, F.sqrt(F.avg(F.greatest(-4 * F.col(x), F.lit(0.0) * F.col(x))).over(W(base))))
+    out = {"AR": kept("_d", base), f"AR_{base}": F.when(F.col("_i") > base, F.sqrt(F.greatest(-4 * F.avg("_d").over(W(base)), F.lit(0.0))))}
+    out |= {f"AR_{w}": kept(f"_d{w}", max(base, w)) for w in windows}
+    return df.withColumns(out).drop("_c", "_m", "_i", "_d", *[f"_d{w}" for w in windows])
+
+
 def price_spike(df: DataFrame, n: int = 60, few: int = 3, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Difference of the close, channel of its rolling quantiles, the difference's place in it, strength and threshold."""
     df = df.withColumn("ps_diff", ops.delta("close")).withColumn("_r", F.abs(ops.returns()))

@@ -127,6 +127,69 @@ def t_test(eq: DataFrame) -> DataFrame:
     return a.mapInPandas(p, f"{RUN} string, t double, p double")
 
 
+def regression(df: DataFrame) -> DataFrame:
+    """(run_id, n, alpha, beta, r_squared, t, alpha_pvalue, alpha_pvalue_ols) of returns `ret` on a benchmark's `bench`, on
+    rows that have both. t is alpha by the slope's standard error, whose one-sided p-value is alpha_pvalue (one less it
+    where alpha isn't positive); alpha_pvalue_ols goes by alpha's own error. A benchmark that doesn't move: alpha is the
+    mean return, beta and r_squared 0, and p that of the mean. Fewer than two rows: zeros and p = 1."""
+    rows = df.filter(F.col("ret").isNotNull() & F.col("bench").isNotNull())
+    x, y = "bench", "ret"
+    a = rows.groupBy(RUN).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("cxy"), (F.max(F.abs(F.col(x))) * 1e-5 + 1e-8 >= F.max(x) - F.min(x)).alias("flat"))
+    few, flat = F.col("n") < 2, F.col("flat")
+    beta = F.when(few | flat, F.lit(0.0)).otherwise(F.col("cxy") / F.col("vx"))
+    r2 = F.when(few | flat, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vx") * F.col("vy")), F.lit(0.0)))
+    a = a.withColumns({"beta": beta, "r_squared": r2}).withColumn("alpha", F.when(few, F.lit(0.0)).when(flat, F.col("my")).otherwise(F.col("my") - F.col("beta") * F.col("mx")))
+    error = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r_squared")) * F.col("vy") / F.col("vx") / (F.col("n") - 2)))
+    own = error * F.sqrt(F.col("vx") * (F.col("n") - 1) / F.col("n") + F.col("mx") * F.col("mx"))
+    a = a.withColumns({"t": F.when(flat, F.try_divide(F.col("my"), F.sqrt(F.col("vy") / F.col("n")))).otherwise(F.try_divide(F.col("alpha"), error)), "t_ols": F.when(~flat, F.try_divide(F.col("alpha"), own)), "df": F.when(flat, F.col("n") - 1).otherwise(F.col("n") - 2)})
+
+    def p(batches):
+        for t in batches:
+            ok = (t["n"] > 1) & t["t"].notna()
+            first = [_t_sf(x, int(d)) if good else 1.0 for x, d, good in zip(t["t"], t["df"], ok)]
+            turned = [1 - v if good and not still and a <= 0 else v for v, a, good, still in zip(first, t["alpha"], ok, t["flat"])]
+            own = [_t_sf(x, int(d)) if good and x == x else v for x, d, good, v in zip(t["t_ols"].astype(float), t["df"], ok, first)]
+            yield t[[RUN, "n", "alpha", "beta", "r_squared", "t"]].assign(alpha_pvalue=turned, alpha_pvalue_ols=own)
+
+    kind = df.schema[RUN].dataType.simpleString()
+    a = a.na.fill(False, ["flat"]).select(RUN, "n", "alpha", "beta", "r_squared", "t", "t_ols", "df", "flat")
+    return a.mapInPandas(p, f"{RUN} {kind}, n long, alpha double, beta double, r_squared double, t double, alpha_pvalue double, alpha_pvalue_ols double")
+
+
+def universality(m: DataFrame, by: str = "symbol", sharpe: str = "sharpe") -> DataFrame:
+    """One row over the runs' (by, sharpe): groups, those whose mean is positive, their share, best and worst group by a
+    single run, whether the share is 0.7 or more, and consistent (0.8), moderate (0.5) or inconsistent."""
+    g = m.groupBy(by).agg(F.avg(sharpe).alias("_m"), F.max(sharpe).alias("_hi"), F.min(sharpe).alias("_lo"))
+    a = g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_m") > 0).alias("positive"), F.max_by(by, F.struct("_hi", by)).alias("best"), F.min_by(by, F.struct("_lo", by)).alias("worst"))
+    share = F.coalesce(F.try_divide(F.col("positive"), F.col("groups")), F.lit(0.0))
+    a = a.withColumn("share", share)
+    return a.withColumns({"is_universal": F.col("share") >= 0.7, "consistency": F.when(F.col("share") >= 0.8, "consistent").when(F.col("share") >= 0.5, "moderate").otherwise("inconsistent")})
+
+
+def run_summary(trades: DataFrame, eq: DataFrame) -> DataFrame:
+    """Of each run: number, sum, mean, best and worst of the trades' profits, mean win and loss (0 without any), and first,
+    last, highest and lowest equity with the number of points. A run may lack one side."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    pnl = F.col("pnl")
+    t = trades.groupBy(RUN).agg(F.count(F.lit(1)).alias("total_count"), F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("avg_pnl"), F.max(pnl).alias("best_trade"), F.min(pnl).alias("worst_trade"), zero(F.avg(F.when(pnl > 0, pnl))).alias("avg_winning"), zero(F.avg(F.when(pnl < 0, pnl))).alias("avg_losing"))
+    e = eq.groupBy(RUN).agg(F.min_by("equity", AT).alias("initial"), F.max_by("equity", AT).alias("final"), F.max("equity").alias("peak"), F.min("equity").alias("trough"), F.count(F.lit(1)).alias("data_points"))
+    return t.join(e, RUN, "full")
+
+
+def order_summary(orders: DataFrame) -> DataFrame:
+    """Of each run's closing orders (position_id, pnl, fee, friction): profits with fee and friction; win rates in percent
+    and mean win by mean loss (infinite without a loss, 0 without a win), by order and by position."""
+
+    def rates(prefix: str, df: DataFrame) -> DataFrame:
+        win, loss = F.avg(F.when(F.col("p") > 0, F.col("p"))), F.avg(F.when(F.col("p") < 0, -F.col("p")))
+        ratio = F.when(loss > 0, F.coalesce(win, F.lit(0.0)) / loss).when(win > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+        return df.groupBy(RUN).agg(F.count(F.lit(1)).alias(f"{prefix}s"), F.sum("p").alias(f"{prefix}_pnl"), (100 * F.count_if(F.col("p") > 0) / F.count(F.lit(1))).alias(f"{prefix}_win_rate"), ratio.alias(f"{prefix}_win_loss"))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    o = orders.withColumn("p", zero("pnl") + zero("fee") + zero("friction"))
+    return rates("order", o).join(rates("position", o.groupBy(RUN, "position_id").agg(F.sum("p").alias("p"))), RUN)
+
+
 def binomial_p(wins: int, n: int) -> float:
     """P(at least so many wins of n at even odds)."""
     return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(wins, n + 1))) if n else float("nan")

@@ -123,19 +123,35 @@ def time_window(signals: DataFrame, times: DataFrame, before: int, after: int) -
 
 
 def rate_limit(signals: DataFrame, hours: float, most: int) -> DataFrame:
-    """At most so many accepted signals in the last hours of an instance; rejected ones don't count, so this is a scan."""
+    """At most so many accepted signals in the last hours of an instance; rejected ones don't count, so this is a scan. A
+    pause of that length forgets all before it, so the scans are of the stretches between pauses, not of whole instances;
+    signals of equal time go by their other columns."""
+    span = hours * 3_600_000
+    rest = [c for c in signals.columns if c not in ("instance", "time")]
+    order = Window.partitionBy("instance").orderBy("time", *rest)
+    pause = F.when(F.col("time") - F.lag("time").over(order) < span, 0).otherwise(1)
+    parts = signals.withColumn("_new", pause).withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("time", kind="stable")
+        t = t.sort_values(["time", *rest], kind="stable")
         taken, keep = [], []
         for now in t["time"]:
-            taken = [x for x in taken if now - x < hours * 3_600_000]
+            taken = [x for x in taken if now - x < span]
             keep.append(len(taken) < most)
             if keep[-1]:
                 taken.append(now)
-        return t[keep]
+        return t[keep].drop(columns="_part")
 
-    return signals.groupBy("instance").applyInPandas(run, signals.schema)
+    return parts.groupBy("instance", "_part").applyInPandas(run, signals.schema)
+
+
+def profit_ratios(assets: DataFrame) -> DataFrame:
+    """Of each execution that closes something: actual and virtual profit of its closing assets by their amount; without an
+    amount there is no row."""
+    shut = assets.filter(~F.col("is_open"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    g = shut.groupBy("execution_id").agg(F.sum(zero("actual_pnl") + zero("virtual_pnl")).alias("pnl"), F.sum("amount").alias("close_amount"))
+    return g.filter("close_amount > 0").withColumn("profit_ratio", F.col("pnl") / F.col("close_amount"))
 
 
 def totals(p: DataFrame, by: list[str]) -> DataFrame:

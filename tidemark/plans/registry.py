@@ -1,7 +1,7 @@
 """The registered queries and the SQL that gives the same rows. A query's name begins with the inventory rows it covers."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ops, scalars
 from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
@@ -182,7 +182,10 @@ def _(spark, d):
     return show(prep.fill_gaps(hourly(spark, d)), [*SAME, "is_filled"])
 
 
-@register("b5_fill_from_second")
+_SECOND = sql("x as (select 1), p as (select * from b where (start_time // 3600000) % 5 <> 0), rng as (select symbol, min(start_time) as lo, max(start_time) as hi from p group by 1), two as (select *, false as filled from p union all select b.*, true from b join rng using (symbol) where (start_time // 3600000) % 5 = 0 and start_time > lo and start_time < hi),\n", "1H")
+
+
+@register("b5_fill_from_second", _SECOND + _FILL.format(ms=3_600_000).replace("from b)", "from two)").replace("false as is_filled from b ", "filled as is_filled from two "))
 def _(spark, d):
     b = hourly(spark, d)
     return show(prep.fill_gaps(b.filter((F.col("start_time") / 3_600_000) % 5 != 0), secondary=b), [*SAME, "is_filled"])
@@ -195,7 +198,7 @@ def _(spark, d):
     return prep.with_history(b.filter(F.col("start_time") >= cut), b.filter(F.col("start_time") < cut), 20).select("symbol", "start_time", "history_data")
 
 
-@register("b7_throttle")
+@register("b7_throttle", sql(f"x as (select 1) select symbol, start_time, {BAR6} from b", "1H"))  # finished bars all stay
 def _(spark, d):
     return show(prep.throttle(hourly(spark, d), 0.5, 7200.0), SAME)
 
@@ -388,49 +391,69 @@ def _(spark, d):
 
 # Factors
 
-_KBAR = {"KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / (high - low + 1e-12)", "KUP": "(high - greatest(open, close)) / open", "KLOW": "(least(open, close) - low) / open", "KSFT": "(2 * close - high - low) / open"}
+_KBAR = {"KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / (high - low + 1e-12)", "KUP": "(high - greatest(open, close)) / open", "KLOW": "(least(open, close) - low) / open", "KSFT": "(2 * close - high - low) / open", "KUP2": "(high - greatest(open, close)) / (high - low + 1e-12)", "KLOW2": "(least(open, close) - low) / (high - low + 1e-12)", "KSFT2": "(2 * close - high - low) / (high - low + 1e-12)"}
 
 
-@register("f15_f16_candles", sql("x as (select *, amount / (volume + 1e-12) as vwap from b) select symbol, start_time, " + ", ".join(f32(f"round({v}, 7)", k) for k, v in _KBAR.items()) + f", {f32('open / close', 'OPEN0')}, {f32('vwap / close', 'VWAP0')} from x"))
+@register("f15_f16_candles", sql("x as (select *, amount / (volume + 1e-12) as vwap from b) select symbol, start_time, " + ", ".join(f32(f"round({v}, 7)", k) for k, v in _KBAR.items()) + f", {f32('open / close', 'OPEN0')}, {f32('high / close', 'HIGH0')}, {f32('low / close', 'LOW0')}, {f32('vwap / close', 'VWAP0')} from x"))
 def _(spark, d):
     df = prep.with_vwap(weekly(spark, d)).withColumns({k: F.round(v, 7) for k, v in fa.candle().items()} | fa.price_ratios())
-    return show(df, [*_KBAR, "OPEN0", "VWAP0"])
+    return show(df, [*_KBAR, "OPEN0", "HIGH0", "LOW0", "VWAP0"])
 
 
 def _c158(n: int) -> dict[str, str]:
-    hi, lo = (f"case when count({x}) over {rows(n)} >= {n} then list({x}) over {rows(n)} end" for x in ("high", "low"))
+    hi, lo, cl = (f"case when count({x}) over {rows(n)} >= {n} then list({x}) over {rows(n)} end" for x in ("high", "low", "close"))
     gg = lambda a, x: g(a, x, n)
+    moves = lambda v: f"case when count(close) over {rows(n)} >= {n} and max(close) over {rows(n)} > min(close) over {rows(n)} then {v} end"
+    std = lambda x: f"case when max({x}) over {rows(n)} = min({x}) over {rows(n)} then {g('0 * count', x, n)} else {gg('stddev_samp', x)} end"
+    corr = lambda x, y: f"case when count({x}) over {rows(n)} >= {n} and max({x}) over {rows(n)} > min({x}) over {rows(n)} and max({y}) over {rows(n)} > min({y}) over {rows(n)} then covar_samp({x}, {y}) over {rows(n)} / (stddev_samp({x}) over {rows(n)} * stddev_samp({y}) over {rows(n)}) end"
+    quant = lambda q: f"case when count(close) over {rows(n)} >= {n} then quantile_cont(close, {q}) over {rows(n)} end / close"
+    imax, imin = f"({n} - list_position({hi}, {gg('max', 'high')})) / {n}.0", f"({n} - list_position({lo}, {gg('min', 'low')})) / {n}.0"
+    total, vtotal = f"({gg('sum', 'ab')} + 1e-12)", f"({gg('sum', 'vab')} + 1e-12)"
     return {
-        "ROC": f"lag(close, {n}) over {ORD} / close", "MA": f"{gg('avg', 'close')} / close", "STD": f"{gg('stddev_samp', 'close')} / close", "BETA": f"case when count(close) over {rows(n)} >= {n} then regr_slope(close, t) over {rows(n)} end / close",
-        "MAX": f"{gg('max', 'high')} / close", "MIN": f"{gg('min', 'low')} / close", "QTLU": f"case when count(close) over {rows(n)} >= {n} then quantile_cont(close, 0.8) over {rows(n)} end / close",
-        "RSV": f"(close - {gg('min', 'low')}) / ({gg('max', 'high')} - {gg('min', 'low')} + 1e-12)", "IMAX": f"({n} - list_position({hi}, {gg('max', 'high')})) / {n}.0", "IMIN": f"({n} - list_position({lo}, {gg('min', 'low')})) / {n}.0",
-        "CNTP": gg("avg", "up"), "CNTN": gg("avg", "down"), "SUMP": f"{gg('sum', 'gain')} / ({gg('sum', 'ab')} + 1e-12)", "SUMN": f"{gg('sum', 'loss')} / ({gg('sum', 'ab')} + 1e-12)", "VMA": f"{gg('avg', 'volume')} / (volume + 1e-12)", "VSTD": f"{gg('stddev_samp', 'volume')} / (volume + 1e-12)",
-        "VSUMP": f"{gg('sum', 'vgain')} / ({gg('sum', 'vab')} + 1e-12)",
+        "ROC": f"lag(close, {n}) over {ORD} / close", "MA": f"{gg('avg', 'close')} / close", "STD": f"{std('close')} / close", "BETA": moves(f"regr_slope(close, t) over {rows(n)}") + " / close", "RSQR": moves(f"pow(corr(close, t) over {rows(n)}, 2)"),
+        "RESI": moves(f"(close - avg(close) over {rows(n)} - regr_slope(close, t) over {rows(n)} * {(n - 1) / 2})") + " / close", "MAX": f"{gg('max', 'high')} / close", "MIN": f"{gg('min', 'low')} / close", "QTLU": quant(0.8), "QTLD": quant(0.2),
+        "RANK": f"(len(list_filter({cl}, lambda v: v < close)) + (len(list_filter({cl}, lambda v: v = close)) + 1) / 2.0) / {n}", "RSV": f"(close - {gg('min', 'low')}) / ({gg('max', 'high')} - {gg('min', 'low')} + 1e-12)", "IMAX": imax, "IMIN": imin, "IMXD": f"{imax} - {imin}",
+        "CORR": corr("c1", "l1"), "CORD": corr("c2", "v2"), "CNTP": gg("avg", "up"), "CNTN": gg("avg", "down"), "CNTD": f"{gg('avg', 'up')} - {gg('avg', 'down')}",
+        "SUMP": f"{gg('sum', 'gain')} / {total}", "SUMN": f"{gg('sum', 'loss')} / {total}", "SUMD": f"({gg('sum', 'gain')} - {gg('sum', 'loss')}) / {total}",
+        "VMA": f"{gg('avg', 'volume')} / (volume + 1e-12)", "VSTD": f"{std('volume')} / (volume + 1e-12)", "WVMA": f"{std('wv')} / ({gg('avg', 'wv')} + 1e-12)",
+        "VSUMP": f"{gg('sum', 'vgain')} / {vtotal}", "VSUMN": f"{gg('sum', 'vloss')} / {vtotal}", "VSUMD": f"({gg('sum', 'vgain')} - {gg('sum', 'vloss')}) / {vtotal}",
     }
 
 
-_D = f"lag(close) over {ORD}"
-_BASE158 = f"""t as (select *, row_number() over {ORD} as t, case when {_D} is null then 0.0 when close > {_D} then 1.0 else 0.0 end as up, case when {_D} is null then 0.0 when close < {_D} then 1.0 else 0.0 end as down, greatest(close - {_D}, 0.0) + 0 * {_D} as gain, greatest({_D} - close, 0.0) + 0 * {_D} as loss, abs(close - {_D}) as ab,
- greatest(volume - lag(volume) over {ORD}, 0.0) + 0 * {_D} as vgain, abs(volume - lag(volume) over {ORD}) as vab from b)"""
+_D, _V = f"lag(close) over {ORD}", f"lag(volume) over {ORD}"
+_BASE158 = f"""u as (select *, amount / (volume + 1e-12) as vwap, row_number() over {ORD} as t, case when {_D} is null then 0.0 when close > {_D} then 1.0 else 0.0 end as up, case when {_D} is null then 0.0 when close < {_D} then 1.0 else 0.0 end as down, greatest(close - {_D}, 0.0) + 0 * {_D} as gain, greatest({_D} - close, 0.0) + 0 * {_D} as loss, abs(close - {_D}) as ab,
+ greatest(volume - {_V}, 0.0) + 0 * {_D} as vgain, greatest({_V} - volume, 0.0) + 0 * {_D} as vloss, abs(volume - {_V}) as vab, abs((close - {_D}) / {_D}) * volume as wv, ln(volume + 1) as lv, close / {_D} as cr, ln(volume / {_V} + 1) as vr from b),
+t as (select *, case when lv is not null then close end as c1, case when close is not null then lv end as l1, case when vr is not null then cr end as c2, case when cr is not null then vr end as v2 from u)"""
+
+
+def stepped(x: str, name: str) -> str:
+    return f32(f"round(({x}) * {STEPS}) / {STEPS}", name)
+
+
+def show_steps(df: DataFrame, cols: list[str]) -> DataFrame:
+    """In steps of 1 / STEPS: what the order of sums adds is gone, and no decimal value lies half way."""
+    return show(df.withColumns({c: F.round(F.col(c) * STEPS) / STEPS for c in cols}), cols)
+
 
 for _n in fa.WINDOWS:
 
-    @register(f"f17_f25_rolling_{_n}", sql(_BASE158 + " select symbol, start_time, " + ", ".join(f32(f"round({v}, 6)" if k == "BETA" else v, f"{k}{_n}") for k, v in _c158(_n).items()) + " from t"))
+    @register(f"f17_f25_rolling_{_n}", sql(_BASE158 + " select symbol, start_time, " + ", ".join(stepped(v, f"{k}{_n}") for k, v in _c158(_n).items()) + " from t"))
     def _(spark, d, n=_n):
         df = fa.alpha158(weekly(spark, d), windows=(n,), kbar=False, price=False)
-        names = [f"{k}{n}" for k in _c158(n)]
-        return show(df.withColumn(f"BETA{n}", F.round(f"BETA{n}", 6)), names)
+        return show_steps(df, [f"{k}{n}" for k in _c158(n)])
 
 
-@register("f15_f25_alpha158_all")
+_ALL158 = _KBAR | {f"{x.upper()}0": f"{x} / close" for x in ("open", "high", "low", "vwap")} | {f"{k}{n}": v for n in fa.WINDOWS for k, v in _c158(n).items()}
+
+
+@register("f15_f25_alpha158_all", sql(_BASE158 + " select symbol, start_time, " + ", ".join(stepped(v, k) for k, v in _ALL158.items()) + " from t"))
 def _(spark, d):
-    df = fa.alpha158(weekly(spark, d))
-    return show(df, [c for c in df.columns if c not in [*fx.BAR_COLUMNS, "vwap"]])
+    return show_steps(fa.alpha158(weekly(spark, d)), list(_ALL158))
 
 
-@register("f26_lag_set", sql("x as (select 1) select symbol, start_time, " + ", ".join(f32(f"lag({c.lower()}, {k}) over {ORD} / " + ("(volume + 1e-12)" if c == "VOLUME" else "close"), f"{c}{k}") for c in ("CLOSE", "OPEN", "HIGH", "LOW", "VOLUME") for k in range(60)) + " from b"))
+@register("f26_lag_set", sql("x as (select *, amount / (volume + 1e-12) as vwap from b) select symbol, start_time, " + ", ".join(f32(f"lag({c.lower()}, {k}) over {ORD} / " + ("(volume + 1e-12)" if c == "VOLUME" else "close"), f"{c}{k}") for c in ("CLOSE", "OPEN", "HIGH", "LOW", "VWAP", "VOLUME") for k in range(60)) + " from x"))
 def _(spark, d):
-    df = fa.lag_set(weekly(spark, d), "CLOSE,OPEN,HIGH,LOW,VOLUME")
+    df = fa.lag_set(weekly(spark, d))
     return show(df, [c for c in df.columns if c not in [*fx.BAR_COLUMNS, "vwap"]])
 
 
@@ -478,6 +501,16 @@ def _(spark, d):
     return show(df, [c for c in df.columns if c not in base])
 
 
+def _ar(x: str, first: int) -> str:
+    return f"case when t > {first} then sqrt(avg(greatest(-4 * {x}, 0 * {x})) over {rows(240)}) end"
+
+
+@register("f11_ar_spread", sql(f"""u as (select *, row_number() over {ORD} as t, ln(close) as c, ln((high + low) / 2) as m from b), v as (select *, case when t > 2 then (lag(c) over {ORD} - lag(m) over {ORD}) * (lag(c) over {ORD} - m) end as d from u),
+w as (select *, """ + ", ".join(f"case when t >= {n} then avg(d) over {rows(n)} end as d{n}" for n in (5, 15, 30, 60)) + f""" from v) select symbol, start_time, {stepped(_ar('d', 240), '"AR"')}, {stepped(f'case when t > 240 then sqrt(greatest(-4 * avg(d) over {rows(240)}, 0)) end', '"AR_240"')}, """ + ", ".join(stepped(_ar(f"d{n}", 240), f'"AR_{n}"') for n in (5, 15, 30, 60)) + " from w", "1H"))
+def _(spark, d):
+    return show_steps(fa.ar_spread(hourly(spark, d)), ["AR", "AR_240", "AR_5", "AR_15", "AR_30", "AR_60"])
+
+
 @register("f29_f30_engine")
 def _(spark, d):
     df = fa.compute_all(weekly(spark, d), {"t": fa.technical, "d": fa.direction})
@@ -581,11 +614,30 @@ def _(spark, d):
     return show(ev.correlation_matrix(weekly(spark, d), ["open", "volume"]).withColumn("corr", F.round("corr", 6)), ["corr"], ["f1", "f2"])
 
 
-@register("v10_v12_stability")
+_KL = f"""r as (select *, {_avg_rank('close', 'start_time')} as r from b), h as (select start_time, cast(least(floor(r * 10), 9) as int) as bin, count(*) as c from r where r is not null group by all), e as (select distinct start_time, unnest(range(10)) as bin from h),
+d as (select e.start_time, e.bin, coalesce(c, 0) as c from e left join h on e.start_time = h.start_time and e.bin = h.bin), p as (select *, c / sum(c) over (partition by start_time) + 1e-10 as p from d), q as (select *, lag(p) over (partition by bin order by start_time) as q from p),
+k as (select start_time, sum(p * ln(p / q)) as kl from q where q is not null group by 1), x as (select 1 / (1 + avg(kl)) as rre from k)"""
+
+
+@register("v10_v12_stability", sql(f"{_KL} select '1W' as timeframe, cast(rre as float) as rre, cast(greatest(0, 20 - 18 * rre) as float) as turnover from x"))
 def _(spark, d):
     return show(ev.stability(weekly(spark, d), "close"), ["rre", "turnover"], ["timeframe"])
 
 
+@register("v11_self_stability", sql("l as (select *, " + ", ".join(f"lag(close, {k}) over {ORD} as l{k}" for k in (1, 2, 3, 5)) + " from b), c as (select symbol, count(*) as n, list_filter([" + ", ".join(f"case when count(*) > {k} + 10 then abs(corr(close, l{k})) end" for k in (1, 2, 3, 5)) + "], lambda v: v is not null) as r from l group by 1), x as (select symbol, n, case when n < 10 then 0 else least(list_avg(r), 1) end as rre from c) select symbol, n, cast(rre as float) as rre, cast(case when n < 10 then 0 else greatest(0, 20 - 18 * rre) end as float) as turnover from x"))
+def _(spark, d):
+    return show(ev.self_stability(weekly(spark, d), "close"), ["n", "rre", "turnover"], ["symbol"])
+
+
+@register("v17_v18_merged", sql("c as (select symbol, corr(open, volume) as c, avg(close) as ic_mean, min(close) as ic_ir, max(close) as win_rate from b group by 1) select cast(round(avg(c), 6) as float) as corr, cast(avg(ic_mean) as float) as ic_mean, cast(avg(ic_ir) as float) as ic_ir, cast(avg(win_rate) as float) as win_rate, count(*) as factors from c"))
+def _(spark, d):
+    b = weekly(spark, d)
+    each = b.groupBy("symbol").agg(F.corr("open", "volume").alias("corr")).select(F.lit("open").alias("f1"), F.lit("volume").alias("f2"), "corr")
+    reports = b.groupBy("symbol").agg(F.avg("close").alias("ic_mean"), F.min("close").alias("ic_ir"), F.max("close").alias("win_rate")).withColumns({"rre": F.lit(None).cast("double"), "robustness": F.lit(1.0)})
+    merged, summary = ev.merge_matrices(each).withColumn("corr", F.round("corr", 6)), ev.report_summary(reports)
+    return show(summary.crossJoin(merged), ["corr", "ic_mean", "ic_ir", "win_rate", "factors"], [])
+
+
 @register("v13_robustness")
 def _(spark, d):
     return show(ev.robustness(weekly(spark, d), "close"), ["robustness"], ["symbol"])
@@ -639,12 +691,20 @@ def _(spark, d):
     return ev.split(weekly(spark, d)).select("symbol", "start_time", "split")
 
 
+@register("t2_split3", sql(f"x as (select symbol, start_time, row_number() over {ORD} as k, cast(floor(count(*) over (partition by symbol) * 0.7) as bigint) as m from b) select symbol, start_time, case when k > m then 'test' when k > m - floor(m * 0.15) then 'val' else 'train' end as split from x"))
+def _(spark, d):
+    return ev.split3(weekly(spark, d)).select("symbol", "start_time", "split")
+
+
 @register("t4_class_weights", "select doc_id, cast((select count(*) from labels) / (2 * count(*) over (partition by quality)) as float) as weight from labels")
 def _(spark, d):
     return show(ev.class_weights(fx.table(spark, d, "labels"), "quality"), ["weight"], ["doc_id"])
 
 
-@register("t5_sequences")
+_P5 = "(partition by symbol order by start_time rows between 5 preceding and 1 preceding)"
+
+
+@register("t5_sequences", sql(f"x as (select *, sum(cast(cast(open as float) as double) + cast(cast(close as float) as double)) over {_P5} as total, count(*) over {_P5} as n from b) select symbol, start_time, {f32('total', 'total')}, {f32('close', 'close')} from x where n = 5"))
 def _(spark, d):
     s = ev.sequences(weekly(spark, d), ["open", "close"], "close", 5)
     return show(s.withColumn("total", F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, v: a + v)), ["total", "close"])
@@ -671,9 +731,17 @@ def _(spark, d):
     return show(perf.metrics(fx.equity(spark, d)), ["n", "total_return", "volatility", "sharpe_excess", "max_drawdown", "var95", "cvar95", "omega"], ["run_id"])
 
 
-@register("m2_m8_metrics_all")
+_M2 = f"""{_EQ}, i as (select *, row_number() over (partition by run_id order by time) as k from x), y as (select *, k - max(case when equity = peak then k end) over (partition by run_id order by time) as back, cast(drawdown < 0 as int) as u from i),
+z as (select *, cast(u = 1 and coalesce(lag(u) over (partition by run_id order by time), 0) = 0 as int) as new from y), sp as (select *, sum(new) over (partition by run_id order by time) as spell from z), le as (select *, case when u = 1 then sum(u) over (partition by run_id, spell order by time) else 0 end as len from sp),
+a as (select run_id, count(ret) as n, arg_max(equity, time) / arg_min(equity, time) - 1 as total, stddev_samp(ret) * sqrt(365) as volatility, sqrt(avg(case when ret < 0 then ret * ret when ret is not null then 0 end)) as down, min(drawdown) as mdd, arg_min(back, row(drawdown, time)) as drawdown_bars, sum(new) as drawdown_periods, max(len) as longest_drawdown,
+ avg(ret) as m, avg(ret * ret) as m2, avg(ret * ret * ret) as m3, avg(ret * ret * ret * ret) as m4 from le group by run_id), c as (select *, m2 - m * m as v, case when n = 0 then 0 when total <= -1 then -1 when n < 30 or 365 / n > 100 then total * 365 / n else pow(1 + total, 365.0 / n) - 1 end as annual from a)"""
+
+
+@register("m2_m8_metrics_all", f"""{_M2} select run_id, {f32('annual', 'annual_return')}, {f32('annual / volatility', 'sharpe_annual_over_vol')}, {f32('annual / (down * sqrt(365))', 'sortino')}, {f32('annual / -mdd', 'calmar')}, cast(drawdown_periods as bigint) as drawdown_periods, cast(longest_drawdown as bigint) as longest_drawdown, cast(drawdown_bars as int) as drawdown_bars,
+ {f32('round((m3 - 3 * m * m2 + 2 * m * m * m) / pow(v, 1.5), 4)', 'skew')}, {f32('round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / (v * v) - 3, 4)', 'kurt')} from c""")
 def _(spark, d):
-    return show(perf.metrics(fx.equity(spark, d)), ["annual_return", "sharpe_annual_over_vol", "sortino", "calmar", "drawdown_periods", "longest_drawdown", "drawdown_bars", "skew", "kurt"], ["run_id"])
+    m = perf.metrics(fx.equity(spark, d)).withColumns({"skew": F.round("skew", 4), "kurt": F.round("kurt", 4), "drawdown_bars": F.col("drawdown_bars").cast("int"), "longest_drawdown": F.col("longest_drawdown").cast("long")})
+    return show(m, ["annual_return", "sharpe_annual_over_vol", "sortino", "calmar", "drawdown_periods", "longest_drawdown", "drawdown_bars", "skew", "kurt"], ["run_id"])
 
 
 _GRADED = "with m as (select o_orderkey as run_id, (o_custkey % 23 - 4) / 20.0 as annual_return, (o_custkey % 13 - 1) / 5.0 as sharpe_annual_over_vol, -(o_orderkey % 19) / 20.0 as max_drawdown, (o_orderkey % 29) / 200.0 as p, o_orderkey % 61 as trades, o_totalprice - 250000 as total_return from orders)"
@@ -709,11 +777,48 @@ def _(spark, d):
     return show(perf.bootstrap(fx.equity(spark, d)), ["sharpe_low", "sharpe_high", "annual_low", "annual_high"], ["run_id"])
 
 
-@register("m18_across_runs")
+@register("m18_across_runs", f"{_EQ}, a as (select run_id, count(ret) as n, stddev_samp(ret) * sqrt(365) as volatility, min(drawdown) as max_drawdown from x group by run_id) select cast(sum(n) as bigint) as n, cast(avg(volatility) as float) as volatility, cast(avg(max_drawdown) as float) as max_drawdown, count(*) as runs from a")
 def _(spark, d):
     return show(perf.across_runs(perf.metrics(fx.equity(spark, d))), ["n", "volatility", "max_drawdown", "runs"], [])
 
 
+def _paired(spark, d):
+    b = weekly(spark, d).select("symbol", "start_time", F.col("symbol").alias("run_id"), ops.returns().alias("ret"))
+    return b.withColumn("bench", F.avg("ret").over(Window.partitionBy("start_time")))
+
+
+_PAIR = f"r as (select symbol, start_time, close / lag(close) over {ORD} - 1 as ret from b), k as (select *, avg(ret) over (partition by start_time) as bench from r)"
+
+
+@register("m16_regression", sql(f"{_PAIR}, a as (select symbol as run_id, count(*) as n, regr_intercept(ret, bench) as alpha, regr_slope(ret, bench) as beta, regr_r2(ret, bench) as r2, var_samp(ret) as vy, var_samp(bench) as vx from k where ret is not null group by 1) select run_id, n, {f32('alpha', 'alpha')}, {f32('beta', 'beta')}, {f32('r2', 'r_squared')}, {f32('alpha / sqrt((1 - r2) * vy / vx / (n - 2))', 't')} from a"))
+def _(spark, d):
+    return show(perf.regression(_paired(spark, d)), ["n", "alpha", "beta", "r_squared", "t"], ["run_id"])
+
+
+@register("m20_universality", sql(f"r as (select symbol, close / lag(close) over {ORD} - 1 as ret from b), m as (select symbol, avg(ret) / stddev_samp(ret) - 0.55 as sharpe from r group by 1), a as (select count(*) as groups, count(*) filter (sharpe > 0) as positive, arg_max(symbol, row(sharpe, symbol)) as best, arg_min(symbol, row(sharpe, symbol)) as worst from m) select groups, positive, best, worst, cast(positive / groups as float) as share, positive / groups >= 0.7 as is_universal, case when positive / groups >= 0.8 then 'consistent' when positive / groups >= 0.5 then 'moderate' else 'inconsistent' end as consistency from a"))
+def _(spark, d):
+    m = weekly(spark, d).select("symbol", ops.returns().alias("ret")).groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret") - 0.55).alias("sharpe"))
+    return show(perf.universality(m), ["groups", "positive", "best", "worst", "share", "is_universal", "consistency"], [])
+
+
+@register("m21_run_summary", f"""{_EQ}, t as (select o_orderpriority as run_id, (o_totalprice - 250000) / 1000 as pnl from orders), a as (select run_id, count(*) as total_count, sum(pnl) as s, avg(pnl) as m, max(pnl) as hi, min(pnl) as lo, avg(pnl) filter (pnl > 0) as w, avg(pnl) filter (pnl < 0) as l from t group by 1), q as (select run_id, arg_min(equity, time) as initial, arg_max(equity, time) as final, max(equity) as peak, min(equity) as trough, count(*) as data_points from e group by 1)
+select run_id, total_count, {f32('s', 'total_pnl')}, {f32('m', 'avg_pnl')}, {f32('hi', 'best_trade')}, {f32('lo', 'worst_trade')}, {f32('coalesce(w, 0)', 'avg_winning')}, {f32('coalesce(l, 0)', 'avg_losing')}, {f32('initial', 'initial')}, {f32('final', 'final')}, {f32('peak', 'peak')}, {f32('trough', 'trough')}, data_points from a join q using (run_id)""")
+def _(spark, d):
+    out_ = perf.run_summary(fx.trades(spark, d), fx.equity(spark, d))
+    return show(out_, [c for c in out_.columns if c != "run_id"], ["run_id"])
+
+
+_ORDERS = "o as (select o_orderpriority as run_id, o_custkey as position_id, (o_totalprice - 250000) / 1000 + coalesce(-o_totalprice / 100000, 0) as p from orders), q as (select run_id, position_id, sum(p) as p from o group by all)"
+_RATES = "count(*) as n, sum(p) as s, 100 * count(*) filter (p > 0) / count(*) as w, avg(p) filter (p > 0) / -avg(p) filter (p < 0) as l"
+
+
+@register("m28_order_summary", f"with {_ORDERS}, a as (select run_id, {_RATES} from o group by 1), b as (select run_id, {_RATES} from q group by 1) select run_id, a.n as orders, cast(a.s as float) as order_pnl, cast(a.w as float) as order_win_rate, cast(a.l as float) as order_win_loss, b.n as positions, cast(b.s as float) as position_pnl, cast(b.w as float) as position_win_rate, cast(b.l as float) as position_win_loss from a join b using (run_id)")
+def _(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("run_id"), F.col("o_custkey").alias("position_id"), ((F.col("o_totalprice") - 250000) / 1000).alias("pnl"), (-F.col("o_totalprice") / 100000).alias("fee"), F.lit(None).cast("double").alias("friction"))
+    got = perf.order_summary(o)
+    return show(got, [c for c in got.columns if c != "run_id"], ["run_id"])
+
+
 @register("m19_combined", f"{_EQ}, s as (select time, sum(coalesce(ret, 0)) / 5 as s from x group by time) select time, cast(exp(sum(ln(1 + s)) over (order by time)) as float) as combined from s")
 def _(spark, d):
     return show(perf.combined_curve(fx.equity(spark, d)), ["combined"], ["time"])
@@ -816,7 +921,19 @@ def _(spark, d):
     return sig.time_window(e, e.filter("event_id % 50 = 0").select(F.col("time").alias("at")), 600, 1200).select("event_id")
 
 
-@register("s14_rate_limit")
+@register("s16_profit_ratio", "with x as (select l_orderkey as execution_id, sum(l_extendedprice * 0.01 - l_tax) as pnl, sum(l_quantity) as close_amount from lineitem where l_linenumber % 2 = 0 group by 1) select execution_id, cast(pnl as float) as pnl, cast(close_amount as float) as close_amount, cast(pnl / close_amount as float) as profit_ratio from x where close_amount > 0")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("execution_id"), (F.col("l_linenumber") % 2 == 1).alias("is_open"), (F.col("l_extendedprice") * 0.01).alias("actual_pnl"), (-F.col("l_tax")).alias("virtual_pnl"), F.col("l_quantity").alias("amount"))
+    return show(sig.profit_ratios(li), ["pnl", "close_amount", "profit_ratio"], ["execution_id"])
+
+
+_LIMITED = """with recursive e as (select event_id, event_type as instance, (epoch_us(ts) // 1000) as time, row_number() over (partition by event_type order by (epoch_us(ts) // 1000), event_id) as k from events),
+r as (select event_id, instance, time, k, [time] as taken, true as ok from e where k = 1
+ union all select e.event_id, e.instance, e.time, e.k, case when c then list_append(w, e.time) else w end, c from r join e on e.instance = r.instance and e.k = r.k + 1, lateral (select list_filter(r.taken, lambda x: e.time - x < 21600000) as w) a, lateral (select len(w) < 3 as c) b)
+select event_id, instance, time from r where ok"""
+
+
+@register("s14_rate_limit", _LIMITED)
 def _(spark, d):
     e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("instance"), scalars.ntz_ms("ts").alias("time"))
     return sig.rate_limit(e, 6.0, 3)

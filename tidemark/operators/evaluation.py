@@ -164,7 +164,7 @@ def split3(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     c = c.withColumn("weight", F.sum("_c").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_c")))
-    return df.join(F.broadcast(c.select(label, "weight")), label)
+    return df.join(c.select(label, "weight"), label)
 
 
 def sequences(df: DataFrame, features: list[str], label: str, n: int) -> DataFrame:
@@ -194,9 +194,10 @@ def accuracy_and_means(report: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, y="y_true", s="y_prob") -> DataFrame:
     """Area under the ROC curve by ranks, ties at their mean, exactly: counts per score, then running counts in two levels,
-    so that no task holds all scores."""
+    so that no task holds all scores. Bands lie between about 500 quantiles, whatever the scale of the scores."""
     c = df.groupBy(F.col(s).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("b", F.floor(F.col("s") * 1000))
+    edges = c.agg(F.percentile_approx("s", F.array(*[F.lit(k / 512) for k in range(1, 512)])).alias("_e"))
+    c = c.filter("s is not null").crossJoin(edges).withColumn("b", F.size(F.filter("_e", lambda e: e <= F.col("s")))).drop("_e")
     bands = c.groupBy("b").agg(F.sum("n").alias("bn")).withColumn("before", F.coalesce(F.sum("bn").over(Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     c = c.join(bands.select("b", "before"), "b")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

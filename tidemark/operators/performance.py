@@ -241,11 +241,12 @@ def grade(m: DataFrame, sharpe: str = "sharpe_annual_over_vol", p: str = "p", tr
 
 
 def combined_curve(eq: DataFrame) -> DataFrame:
-    """One curve over runs: mean of the runs' step returns at each time (0 where a run has no new point), compounded."""
+    """One curve over runs: mean of the runs' step returns at each time (0 where a run has no new point), compounded. The
+    last step goes over one row for each distinct time, after all runs are summed."""
     r = simple_returns(eq).groupBy(AT).agg(F.sum(F.coalesce("ret", F.lit(0.0))).alias("s"))
-    runs = eq.agg(F.count_distinct(RUN).alias("k")).first().k or 1
+    runs = eq.agg(F.greatest(F.count_distinct(RUN), F.lit(1)).alias("k"))
     w = Window.partitionBy(F.lit(0)).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("combined", F.exp(F.sum(F.log1p(F.col("s") / runs)).over(w))).select(AT, "combined")
+    return r.crossJoin(runs).withColumn("combined", F.exp(F.sum(F.log1p(F.col("s") / F.col("k"))).over(w))).select(AT, "combined")
 
 
 def across_runs(m: DataFrame, sums=("n", "drawdown_periods")) -> DataFrame:

@@ -37,8 +37,12 @@ def grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
 
 
 def assign(bars: DataFrame, w: DataFrame, start: str = "test_start", end: str = "test_end") -> DataFrame:
-    """Bars with each window that holds them; a bar belongs to several. Windows are few (one per test length)."""
-    return bars.join(F.broadcast(w), (F.col(TIME) >= F.col(start)) & (F.col(TIME) < F.col(end)))
+    """Bars with each window that holds them; a bar belongs to several. Both sides meet by days, so that neither has to be
+    small, and a bar only meets the windows of its day."""
+    days = F.sequence(F.floor(F.col(start) / DAY), F.floor((F.col(end) - 1) / DAY))
+    by_day = w.filter(F.col(start) < F.col(end)).withColumn("_day", F.explode(days))
+    inside = (F.col(TIME) >= F.col(start)) & (F.col(TIME) < F.col(end))
+    return bars.withColumn("_day", F.floor(F.col(TIME) / DAY)).join(by_day, "_day").filter(inside).drop("_day")
 
 
 def best(scores: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ops, scalars
-from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, performance as perf, scans, signals as sig, walkforward as wf
+from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, models, performance as perf, scans, signals as sig, walkforward as wf
 from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
 from .node_sql import STEPS, node_sql
@@ -124,8 +124,8 @@ def _(spark, d):
 
 @register("a7_expand_keys", "select r_name as symbol, q.q as quote_currency, t.t as timeframe from region, (values ('USDT'), ('BTC')) q(q), (values ('1m'), ('1H'), ('1D')) t(t)")
 def _(spark, d):
-    names = [r.r_name for r in fx.table(spark, d, "region").select("r_name").collect()]
-    return io.expand_keys(spark, names, ["USDT", "BTC"], [1], ["1m", "1H", "1D"]).select("symbol", "quote_currency", "timeframe")
+    names = fx.table(spark, d, "region").select(F.col("r_name").alias("name"))
+    return names.crossJoin(io.expand_keys(spark, ["*"], ["USDT", "BTC"], [1], ["1m", "1H", "1D"])).select(F.col("name").alias("symbol"), "quote_currency", "timeframe")
 
 
 @register("a11_slice", sql(f"x as (select 1) select symbol, start_time, {BAR6} from b where start_time >= 800000000000 and start_time + 604800000 <= 900000000000"))
@@ -696,6 +696,17 @@ def _(spark, d):
     return ev.split3(weekly(spark, d)).select("symbol", "start_time", "split")
 
 
+@register("t6_t9_e8_models")
+def _(spark, d):
+    """Trees and a forest learn the next week's direction from three rolling factors; both are compared on the last fifth."""
+    names = ["ROC10", "STD10", "RSV10"]
+    df = fa.alpha158(weekly(spark, d), windows=(10,), kbar=False, price=False).withColumn("label", lab.direction(1).cast("double"))
+    rows = ev.split(df.select(*prep.KEY, "start_time", *names, "label"))
+    known, new = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    made = {"trees": models.train(known, names, rounds=5, depth=3), "forest": models.train_forest(known, names, trees=10, depth=3)}
+    return show(models.compare(made, new), ["accuracy", "macro_f1"], ["model"])
+
+
 @register("t4_class_weights", "select doc_id, cast((select count(*) from labels) / (2 * count(*) over (partition by quality)) as float) as weight from labels")
 def _(spark, d):
     return show(ev.class_weights(fx.table(spark, d, "labels"), "quality"), ["weight"], ["doc_id"])
@@ -856,8 +867,8 @@ def _(spark, d):
 
 @register("m24_grid", "select distinct 'fast=' || f || ',brand=' || p_brand as params from part, (values (5), (10)) v(f) where p_brand like 'Brand#1%'")
 def _(spark, d):
-    brands = sorted(r.p_brand for r in fx.table(spark, d, "part").select("p_brand").filter("p_brand like 'Brand#1%'").distinct().collect())
-    return wf.grid(spark, {"fast": [5, 10], "none": [], "brand": brands}).select("params")
+    brands = fx.table(spark, d, "part").select("p_brand").filter("p_brand like 'Brand#1%'").distinct()
+    return wf.grid(spark, {"fast": [5, 10], "none": []}).crossJoin(brands).select(F.concat("params", F.lit(",brand="), "p_brand").alias("params"))
 
 
 _SIGNAL_SQL = f"""v as (select *, coalesce(lag(adx) over {ORD}, adx) as padx, coalesce(lag(adxr) over {ORD}, adxr) as padxr, coalesce(lag(pdi) over {ORD}, pdi) as ppdi, coalesce(lag(mdi) over {ORD}, mdi) as pmdi from i),

@@ -7,9 +7,10 @@ from ..functions.scalars import tf_ms
 from ..schema import BAR_COLUMNS, KEY, TIME
 
 
-def read_bars(bars: DataFrame, keys: DataFrame | None = None, start=None, end=None, limit: int | None = None, **equal) -> DataFrame:
-    """Stored bars by equality on key columns (or a small table of keys), an inclusive range of start times, ascending.
-    end_time is start_time plus the timeframe; null volume and amount are zero; rows are finished. Filters reach the scan."""
+def read_bars(bars: DataFrame, keys: DataFrame | None = None, start=None, end=None, limit: int | None = None, ordered: bool = False, **equal) -> DataFrame:
+    """Stored bars by equality on key columns (or a table of keys) and an inclusive range of start times. end_time is
+    start_time plus the timeframe; null volume and amount are zero; rows are finished. Filters reach the scan. Rows ascend
+    within each partition; over all of them where `ordered` is set, which sorts the whole table, or a limit is."""
     for name, value in equal.items():
         bars = bars.filter(F.col(name).isin(value) if isinstance(value, (list, tuple)) else F.col(name) == value)
     if start is not None:
@@ -19,7 +20,9 @@ def read_bars(bars: DataFrame, keys: DataFrame | None = None, start=None, end=No
     if keys is not None:
         bars = bars.join(keys.distinct(), keys.columns, "left_semi")
     bars = bars.withColumns({"end_time": F.col(TIME) + tf_ms("timeframe"), "volume": F.coalesce("volume", F.lit(0.0)), "amount": F.coalesce("amount", F.lit(0.0)), "is_finished": F.lit(True)})
-    return bars.orderBy(*KEY, TIME) if limit is None else bars.orderBy(TIME, *KEY).limit(limit)
+    if limit is not None:
+        return bars.orderBy(TIME, *KEY).limit(limit)
+    return bars.orderBy(*KEY, TIME) if ordered else bars.sortWithinPartitions(*KEY, TIME)
 
 
 def default_range(now: Column | None = None) -> tuple[Column, Column]:

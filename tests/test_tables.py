@@ -1,10 +1,11 @@
 """Table jobs on hand-made rows, and batch against stream."""
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars as prep, labels, signals
+from tidemark.operators import bars as prep, labels, performance, signals
 from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA
 from tidemark.sources import io
 from tidemark.streaming import bars as stream
@@ -128,3 +129,43 @@ def test_dual_mode_is_the_batch_on_the_tail(spark):
 
 def test_columns(spark):
     assert frame(spark, []).columns == BAR_COLUMNS
+
+
+def test_newest_openings_close_first(spark):
+    rows = [("p", 1, 1, True, 10.0, 2.0), ("p", 2, 1, True, 20.0, 1.0), ("p", 3, 1, False, 30.0, 2.0), ("p", 4, 1, False, 40.0, 5.0)]
+    got = signals.virtual_profits(spark.createDataFrame(rows, "position_id string, seq int, side int, is_open boolean, price double, size double")).orderBy("seq").collect()
+    # first all of the second opening at 30, and one of the first; then the other at 40, at their mean closing price 35
+    assert [r.virtual_pnl for r in got] == pytest.approx([10 + 20, 35 - 10])
+
+
+def test_profit_control_pauses_and_resumes(spark):
+    h = 3_600_000
+    rows = [("s", 0, None), ("s", 1, -0.01), ("s", 2, -0.01), ("s", 3, None), ("s", 4, -0.01), ("s", 5, None), ("s", 6, 0.01), ("s", 7, None), ("s", 8, 0.01), ("s", 9, None), ("s", 10, -0.2), ("s", 11, None), ("s", 10 + 24 * h, None), ("s", 11 + 24 * h, None)]
+    got = signals.profit_control(spark.createDataFrame(rows, "strategy string, time long, profit double")).orderBy("time").collect()
+    assert [r.allowed for r in got] == [True, True, False, False, True, False, True, True]
+
+
+def test_trees_learn_and_are_kept(spark):
+    from tidemark.operators import models
+
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")).withColumn("label", (F.col("a") > 3).cast("double"))
+    model = models.train(df, ["a", "b"], rounds=3)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/model"
+    models.save(model, path)
+    got = models.predict(models.load(path), df.withColumn("a", F.when(F.col("id") > 0, F.col("a"))))
+    assert got.count() == 399 and got.filter("y_pred != label").count() == 0 and got.filter("(y_prob > 0.5) != (label = 1)").count() == 0
+    assert models.importances(model, ["a", "b"])[0][0] == "a" and models.compare({"m": model}, df).first().accuracy == 1.0
+    three = models.train_forest(df.withColumn("label", F.col("b")), ["a", "b"], trees=5)
+    assert len(models.predict(three, df).first().y_prob) == 3
+    line = models.train(df.withColumn("label", F.col("a")), ["a", "b"], task="regression", rounds=3)
+    assert models.predict(line, df).filter("abs(y_pred - a) > 1").count() == 0
+
+
+def test_regression_on_a_benchmark(spark):
+    rows = [("r", 0.01 * k + 0.02 * (k % 2), 0.01 * k) for k in range(10)] + [("flat", 0.01 * (k % 3), 0.0) for k in range(9)] + [("one", 0.1, 0.2)]
+    got = {r.run_id: r for r in performance.regression(spark.createDataFrame(rows, "run_id string, ret double, bench double")).collect()}
+    x, y = np.array([0.01 * k for k in range(10)]), np.array([0.01 * k + 0.02 * (k % 2) for k in range(10)])
+    slope, cut = np.polyfit(x, y, 1)
+    assert got["r"].beta == pytest.approx(slope) and got["r"].alpha == pytest.approx(cut) and 0 < got["r"].alpha_pvalue < 1 and got["r"].alpha_pvalue_ols > 0.05
+    assert (got["flat"].beta, got["flat"].r_squared) == (0, 0) and got["flat"].alpha == pytest.approx(0.01) and got["flat"].alpha_pvalue < 0.05
+    assert (got["one"].alpha, got["one"].beta, got["one"].alpha_pvalue) == (0, 0, 1)

@@ -78,6 +78,97 @@ def first_exit(positions: DataFrame, bars: DataFrame, stop: float = 0.05, target
     return j.groupBy("position_id").agg(F.min(TIME).alias("exit_time"), F.min_by("exit_hit", TIME).alias("exit_hit"), F.min_by("close", TIME).alias("exit_price"))
 
 
+def retention(gain: Column, reserve: float, keep: float, small: float, large: float) -> Column:
+    """Share of a gain that is kept: `reserve` up to the small gain, `keep` from the large one, between them by the square
+    of the way."""
+    way = (gain - small) / (large - small) if large > small else F.lit(1.0)
+    between = reserve + (keep - reserve) * way * way
+    return F.when(gain <= small, F.lit(reserve)).when(gain >= large, F.lit(keep)).otherwise(F.greatest(F.least(between, F.lit(max(reserve, keep))), F.lit(min(reserve, keep))))
+
+
+def trailing_exit(positions: DataFrame, bars: DataFrame, horizon: int, stop: float = 0.02, target: float = 0.05, reserve: float = 0.6, keep: float | None = None, small: float = 0.05, large: float = 0.15) -> DataFrame:
+    """(position_id, exit_time, exit_hit, exit_price) of open positions (position_id, symbol, side 1 or -1, cost, opened)
+    within `horizon` ms: a stop before the target is reached; after that, a line that keeps a share of the best gain so far
+    and never falls back, left when the close comes to it. The bar that reaches the target is no exit. Positions meet the
+    bars of two time buckets; the rest are running extremes of each position."""
+    p = positions.withColumn("_b", F.explode(F.array(F.floor(F.col("opened") / horizon), F.floor(F.col("opened") / horizon) + 1)))
+    b = bars.withColumn("_b", F.floor(F.col(TIME) / horizon)).select("symbol", "_b", TIME, "close")
+    j = p.join(b, ["symbol", "_b"]).filter((F.col(TIME) > F.col("opened")) & (F.col(TIME) <= F.col("opened") + horizon))
+    j = j.withColumn("_x", F.col("side") * (F.col("close") / F.col("cost") - 1))
+    whole = Window.partitionBy("position_id")
+    so_far = whole.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumns({"_stop": F.min(F.when(F.col("_x") <= -stop, F.col(TIME))).over(whole), "_break": F.min(F.when(F.col("_x") >= target, F.col(TIME))).over(whole)})
+    stopped = F.col("_stop").isNotNull() & (F.col("_break").isNull() | (F.col("_stop") < F.col("_break")))
+    j = j.withColumn("_best", F.when(~stopped & (F.col(TIME) >= F.col("_break")), F.max(F.when(F.col(TIME) >= F.col("_break"), F.col("_x"))).over(so_far)))
+    j = j.withColumn("_line", F.max(F.col("_best") * retention(F.col("_best"), reserve, reserve if keep is None else keep, small, large)).over(so_far))
+    hit = F.when(stopped & (F.col(TIME) == F.col("_stop")), "stop").when(~stopped & (F.col(TIME) > F.col("_break")) & (F.col("_x") <= F.col("_line")), "trail")
+    j = j.withColumn("exit_hit", hit).filter("exit_hit is not null")
+    return j.groupBy("position_id").agg(F.min(TIME).alias("exit_time"), F.min_by("exit_hit", TIME).alias("exit_hit"), F.min_by("close", TIME).alias("exit_price"))
+
+
+def virtual_profits(orders: DataFrame) -> DataFrame:
+    """Closing orders (position_id, seq, side 1 or -1, is_open, price, size) with the profit of what they close: the newest
+    openings first. An opening that several orders close has the mean price of its closings so far. A scan of each
+    position's orders; what is more than was opened closes nothing."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq", kind="stable")
+        held: list[list[float]] = []  # cost, open size, closed size, mean closing price
+        out = []
+        for side, is_open, price, size in zip(t["side"], t["is_open"], t["price"], t["size"]):
+            if is_open:
+                held.append([price, size, 0.0, 0.0])
+                out.append(0.0)
+                continue
+            left, pnl = abs(size), 0.0
+            for v in reversed(held):
+                part = min(left, v[1])
+                if part > 0:
+                    v[1], v[2] = v[1] - part, v[2] + part
+                    v[3] += (price - v[3]) * part / v[2]
+                    pnl += side * (v[3] - v[0]) * part
+                    left -= part
+            out.append(pnl)
+        return t.assign(virtual_pnl=out)
+
+    from pyspark.sql.types import DoubleType, StructType
+
+    return orders.groupBy("position_id").applyInPandas(run, StructType([*orders.schema.fields]).add("virtual_pnl", DoubleType())).filter("not is_open")
+
+
+def profit_control(events: DataFrame, most_loss: float = 10.0, losses: int = 3, recovery: float = 5.0, wins: int = 2, hours: float = 24.0) -> DataFrame:
+    """Signals of (strategy, time, profit) with whether they may trade: profit is null for a signal, a closed trade's profit
+    ratio otherwise. Losses of more than `most_loss` percent, or so many in a row, pause the strategy; profits of
+    `recovery` percent since then, so many wins in a row, or a signal `hours` after (0: never) resume it. At one time
+    trades come before signals. A scan of each strategy's events."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.assign(_s=t["profit"].isna()).sort_values(["time", "_s"], kind="stable")
+        paused, since, lost, row, back, won, out = False, 0, 0.0, 0, 0.0, 0, []
+        for now, p in zip(t["time"], t["profit"]):
+            ok = True
+            if p != p:
+                if paused and hours > 0 and now - since >= hours * 3_600_000:
+                    paused, lost, row, back, won = False, 0.0, 0, 0.0, 0
+                ok = not paused
+            elif paused:
+                back, won = back + 100 * p, won + 1 if p > 0 else 0
+                if back >= recovery or won >= wins:
+                    paused, lost, row, back, won = False, 0.0, 0, 0.0, 0
+            elif p < 0:
+                lost, row = lost - 100 * p, row + 1
+                if lost > most_loss or row >= losses:
+                    paused, since, back, won = True, now, 0.0, 0
+            else:
+                lost, row = 0.0, 0
+            out.append(ok)
+        return t.drop(columns="_s").assign(allowed=out)
+
+    from pyspark.sql.types import BooleanType, StructType
+
+    return events.groupBy("strategy").applyInPandas(run, StructType([*events.schema.fields]).add("allowed", BooleanType())).filter("profit is null")
+
+
 def order_deltas(log: DataFrame) -> DataFrame:
     """Changes between an order's cumulative states (order_id, arrival, size, amount, fee); a state that comes late with a
     smaller size is dropped."""

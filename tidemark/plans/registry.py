@@ -903,6 +903,35 @@ def _(spark, d):
     return sig.first_exit(_open(spark, d), hourly(spark, d), 0.5, 1.0, 172_800_000).select("position_id", "exit_time", "exit_hit")
 
 
+_TRAIL = """p as (select symbol || '/' || start_time as position_id, symbol, close as cost, start_time as opened from b where start_time % 86400000 = 0),
+j as (select p.position_id, b.start_time, b.close, b.close / cost - 1 as x from p join b using (symbol) where b.start_time > opened and b.start_time <= opened + 172800000),
+k as (select *, min(case when x <= -0.5 then start_time end) over (partition by position_id) as st, min(case when x >= 0.4 then start_time end) over (partition by position_id) as br from j), l as (select *, st is not null and (br is null or st < br) as stopped from k),
+m as (select *, case when not stopped and start_time >= br then max(case when start_time >= br then x end) over (partition by position_id order by start_time) end as best from l),
+n as (select *, max(best * case when best <= 0.5 then 0.6 when best >= 1.5 then 0.9 else 0.6 + 0.3 * pow((best - 0.5) / 1.0, 2) end) over (partition by position_id order by start_time) as line from m),
+h as (select *, case when stopped and start_time = st then 'stop' when not stopped and start_time > br and x <= line then 'trail' end as hit from n)
+select position_id, min(start_time) as exit_time, arg_min(hit, start_time) as exit_hit, cast(arg_min(close, start_time) as float) as exit_price from h where hit is not null group by position_id"""
+
+
+@register("s6_trailing_exit", sql(_TRAIL, "1H"))
+def _(spark, d):
+    got = sig.trailing_exit(_open(spark, d), hourly(spark, d), 172_800_000, stop=0.5, target=0.4, reserve=0.6, keep=0.9, small=0.5, large=1.5)
+    return show(got, ["exit_time", "exit_hit", "exit_price"], ["position_id"])
+
+
+@register("s8_virtual_profits")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    o = li.select((F.col("l_orderkey") % 500).alias("position_id"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("at"), F.lit(1).alias("side"), (F.col("l_linenumber") % 2 == 1).alias("is_open"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"))
+    o = o.withColumn("seq", F.row_number().over(Window.partitionBy("position_id").orderBy("at"))).drop("at")
+    return show(sig.virtual_profits(o), ["seq", "virtual_pnl"], ["position_id"])
+
+
+@register("s15_profit_control")
+def _(spark, d):
+    o = fx.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("strategy"), scalars.ntz_ms("o_orderdate").alias("time"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_totalprice") - 250000) / 2_500_000).alias("profit"))
+    return sig.profit_control(o, hours=24 * 30.0).select("strategy", "time", "id", "allowed")
+
+
 def _log(spark, d):
     li = fx.table(spark, d, "lineitem")
     return li.select((F.col("l_orderkey") % 1000).alias("position_id"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_extendedprice").cast("string")).alias("order_id"), F.lit(1).alias("arrival"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("amount"), (-F.col("l_tax")).alias("fee"), (F.col("l_linenumber") % 2 == 1).alias("is_open"), F.lit(1).alias("side"))

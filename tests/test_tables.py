@@ -116,6 +116,32 @@ def test_streamed_ema_is_the_batch_one(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["rsi", "atr"])
+def test_streamed_indicators_are_the_batch_ones(spark, kind):
+    from tidemark.operators import scans
+
+    df = frame(spark, [bar(60_000 * k, c=float(k * k % 7)) for k in range(40)])
+    got = {r.start_time: r[kind] for r in run_stream(spark, df, lambda s: stream.indicator_state(s, kind)).collect()}
+    if kind == "rsi":
+        want = scans.scan(df, "e double", lambda t: {"e": scans.wilder_rsi(t["close"].to_numpy(float), 14)})
+    else:
+        from tidemark.operators import indicators
+
+        want = indicators.ranges(df).withColumn("e", F.col("atr"))
+    for r in want.collect():
+        assert got[r.start_time] == (None if r.e is None else pytest.approx(r.e)), r.start_time
+
+
+def test_streamed_fill_and_throttle_are_the_batch_ones(spark):
+    df = frame(spark, [bar(60_000 * k, c=float(k * k % 11 + 1)) for k in range(30) if k % 7 not in (2, 3, 5)])
+    got = {(r.start_time, r.close, r.open, r.high, r.low, r.volume, r.is_filled) for r in run_stream(spark, df, stream.filled).collect()}
+    want = {(r.start_time, r.close, r.open, r.high, r.low, r.volume, r.is_filled) for r in prep.fill_gaps(df).collect()}
+    assert got == want and sum(x[-1] for x in got) > 5
+    live = frame(spark, [bar(0, c=1.0, done=False), bar(0, c=1.0001, done=False), bar(0, c=1.1, done=False), bar(60_000, c=1.1, done=False), bar(60_000, c=1.1)])
+    live = live.withColumn("current_time", F.monotonically_increasing_id())
+    assert sorted(r.close for r in run_stream(spark, live, stream.throttled).collect()) == sorted(r.close for r in prep.throttle(live).collect())
+
+
 def test_dual_mode_is_the_batch_on_the_tail(spark):
     from tidemark.functions import ops
 

@@ -28,29 +28,124 @@ def merged(stream: DataFrame, size: str, late: str = "1 hour") -> DataFrame:
     return g.select(*KEY, F.unix_millis("w.start").alias(TIME), "open", "high", "low", "close", "volume", "amount", "n")
 
 
+def _ema(n: int):
+    def step(state, bar):
+        y = bar["close"] if not state else state[0] + 2 / (n + 1) * (bar["close"] - state[0])
+        return [y], y
+
+    return step
+
+
+def _rsi(n: int):
+    """State: last close, changes so far, mean gain, mean loss; sums until there are n changes."""
+
+    def step(state, bar):
+        c = bar["close"]
+        if not state:
+            return [c, 0.0, 0.0, 0.0], None
+        last, k, gain, loss = state
+        up, down = max(c - last, 0.0), max(last - c, 0.0)
+        gain, loss = (gain + up / n, loss + down / n) if k < n else ((gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n)
+        value = None if k + 1 < n else 100 * gain / (gain + loss) if gain + loss else 0.0
+        return [c, k + 1, gain, loss], value
+
+    return step
+
+
+def _atr(n: int):
+    """State: last close, and up to n ranges."""
+
+    def step(state, bar):
+        span = bar["high"] - bar["low"]
+        tr = span if not state else max(span, abs(bar["high"] - state[0]), abs(bar["low"] - state[0]))
+        ranges = [*state[1:], tr][-n:]
+        return [bar["close"], *ranges], sum(ranges) / len(ranges)
+
+    return step
+
+
+STEPS = {"ema": (_ema, 9), "rsi": (_rsi, 14), "atr": (_atr, 14)}
+_KEYS = "market string, symbol string, quote_currency string, ins_type int, timeframe string, start_time long"
+
+
+def indicator_state(stream: DataFrame, kind: str = "ema", n: int | None = None) -> DataFrame:
+    """A recursive indicator (ema, rsi or atr) with a few numbers of state per series: finished bars commit it, others
+    preview it. Bars at or before the last finished one are dropped."""
+    make, default = STEPS[kind]
+    step = make(n or default)
+
+    def run(key, frames, state):
+        held, last = state.get if state.exists else ([], -1)
+        held = list(held)
+        for t in frames:
+            out = []
+            for bar in t.sort_values([TIME, "is_finished"], kind="stable").to_dict("records"):
+                if bar[TIME] <= last:
+                    continue
+                new, value = step(held, bar)
+                out.append((*key, bar[TIME], value, bool(bar["is_finished"])))
+                if bar["is_finished"]:
+                    held, last = new, bar[TIME]
+            yield pd.DataFrame(out, columns=[*KEY, TIME, kind, "is_finished"]).astype({kind: "float64"})
+        state.update((held, int(last)))
+
+    return stream.groupBy(*KEY).applyInPandasWithState(run, f"{_KEYS}, {kind} double, is_finished boolean", "held array<double>, last long", "append", "NoTimeout")
+
+
 def ema_state(stream: DataFrame, n: int = 9) -> DataFrame:
-    """EMA of the close with one double of state per series: finished bars commit it, others preview it. Bars at or before
-    the last finished one are dropped."""
-    alpha = 2 / (n + 1)
+    return indicator_state(stream, "ema", n)
+
+
+_BAR = ["open", "high", "low", "close", "volume", "amount"]
+
+
+def filled(stream: DataFrame, most: int = 1_000) -> DataFrame:
+    """Finished bars with synthetic ones in the gaps, as fill_gaps makes them: the state of a series is its last bar and
+    the volumes and amounts of up to five real ones. A gap of more than `most` bars is left open, as one bar would give
+    as many rows."""
+    from ..schema import TIMEFRAMES
 
     def run(key, frames, state):
-        y, last = state.get if state.exists else (None, -1)
+        last, volumes, amounts = state.get if state.exists else ([], [], [])
+        last, volumes, amounts = list(last), list(volumes), list(amounts)
+        size = TIMEFRAMES[key[KEY.index("timeframe")]]
         for t in frames:
-            t = t.sort_values([TIME, "is_finished"], kind="stable")
             out = []
-            for start, c, done in zip(t[TIME], t["close"], t["is_finished"]):
-                if start <= last:
+            for b in t[t["is_finished"]].sort_values(TIME, kind="stable").to_dict("records"):
+                if last and b[TIME] <= last[0]:
                     continue
-                v = c if y is None else y + alpha * (c - y)
-                out.append((*key, start, v, bool(done)))
-                if done:
-                    y, last = v, start
-            yield pd.DataFrame(out, columns=[*KEY, TIME, "ema", "is_finished"])
-        if y is not None:
-            state.update((float(y), int(last)))
-
-    kinds = "market string, symbol string, quote_currency string, ins_type int, timeframe string, start_time long, ema double, is_finished boolean"
-    return stream.groupBy(*KEY).applyInPandasWithState(run, kinds, "y double, last long", "append", "NoTimeout")
+                k = int((b[TIME] - last[0]) // size) - 1 if last else 0
+                if 0 < k <= most:
+                    at, close, high, low = last
+                    mid, v, a = (high + low) / 2, sum(volumes) / len(volumes), sum(amounts) / len(amounts)
+                    for i in range(1, k + 1):
+                        o, c = close if i == 1 else mid, b["open"] if i == k else mid
+                        out.append((*key, int(at + i * size), o, max(o, c, high), min(o, c, low), c, v, a, True))
+                out.append((*key, b[TIME], *[b[x] for x in _BAR], bool(b.get("is_filled") or False)))
+                last, volumes, amounts = [float(b[TIME]), b["close"], b["high"], b["low"]], [*volumes, b["volume"]][-5:], [*amounts, b["amount"]][-5:]
+            yield pd.DataFrame(out, columns=[*KEY, TIME, *_BAR, "is_filled"])
+        state.update((last, volumes, amounts))
+
+    kinds = f"{_KEYS}, " + ", ".join(f"{c} double" for c in _BAR) + ", is_filled boolean"
+    return stream.groupBy(*KEY).applyInPandasWithState(run, kinds, "last array<double>, volumes array<double>, amounts array<double>", "append", "NoTimeout")
+
+
+def throttled(stream: DataFrame, ratio: float = 0.001, seconds: float = 10.0) -> DataFrame:
+    """Updates worth keeping, as throttle chooses them: the state of a series is the time, close and bar of the last kept."""
+
+    def run(key, frames, state):
+        held = list(state.get[0]) if state.exists else []
+        for t in frames:
+            out = []
+            for b in t.sort_values("current_time", kind="stable").to_dict("records"):
+                now, close = float(b["current_time"]), b["close"]
+                if not held or b["is_finished"] or b[TIME] != held[2] or now - held[0] > 1000 * seconds or (close and abs(1 - held[1] / close) > ratio):
+                    out.append((*key, b[TIME], int(now), close, bool(b["is_finished"])))
+                    held = [now, close, float(b[TIME])]
+            yield pd.DataFrame(out, columns=[*KEY, TIME, "current_time", "close", "is_finished"])
+        state.update((held,))
+
+    return stream.groupBy(*KEY).applyInPandasWithState(run, f"{_KEYS}, current_time long, close double, is_finished boolean", "held array<double>", "append", "NoTimeout")
 
 
 def dual_mode(stored: Callable[[], DataFrame], factor: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], buffer: int = 360):

@@ -195,3 +195,28 @@ def test_regression_on_a_benchmark(spark):
     assert got["r"].beta == pytest.approx(slope) and got["r"].alpha == pytest.approx(cut) and 0 < got["r"].alpha_pvalue < 1 and got["r"].alpha_pvalue_ols > 0.05
     assert (got["flat"].beta, got["flat"].r_squared) == (0, 0) and got["flat"].alpha == pytest.approx(0.01) and got["flat"].alpha_pvalue < 0.05
     assert (got["one"].alpha, got["one"].beta, got["one"].alpha_pvalue) == (0, 0, 1)
+
+
+@pytest.mark.parametrize("expanding", [True, False])
+def test_dmom_is_a_fit_for_each_bar(spark, expanding):
+    from tidemark.operators import factors
+
+    rng = np.random.default_rng(3)
+    close = 100 + np.round(rng.normal(size=70), 1).cumsum()
+    df = frame(spark, [bar(60_000 * k, c=float(c)) for k, c in enumerate(close)])
+    got = factors.dmom(df, train=40, vol=10, most=5, expanding=expanding).orderBy("start_time").collect()
+    r = np.r_[np.nan, np.diff(close) / close[:-1]]
+    vol = np.array([np.nanstd(r[i - 9 : i + 1]) if i >= 9 else np.nan for i in range(70)])
+    up, down, runs = 0, 0, [(np.nan, np.nan)]
+    for x in r[1:]:
+        up, down = (up + 1, 0) if x > 0 else (0, down + 1) if x < 0 else (up, down)
+        runs.append((min(up, 5), min(down, 5)))
+    x = np.column_stack([np.ones(70), vol, np.array(runs), r])
+    for i, row in enumerate(got):
+        if i < 40:
+            assert row.DMOM_prob is None
+            continue
+        known = [j for j in range(1 if expanding else i - 39, i) if not np.isnan(x[j - 1]).any()]
+        fit = np.linalg.pinv(x[[j - 1 for j in known]]) @ (r[known] > 0)
+        assert row.DMOM_prob == pytest.approx(float(np.clip(fit @ x[i - 1], 0, 1)), abs=1e-6)
+        assert (row.DMOM_up, row.DMOM_down) == runs[i]

@@ -205,15 +205,57 @@ def acceleration(df: DataFrame, n: int = 21) -> DataFrame:
 
 
 def run_lengths(df: DataFrame, x: str = "close") -> DataFrame:
-    """up_run and down_run: rising or falling bars in a row up to each bar, by islands of equal direction."""
-    df = df.withColumn("_s", F.coalesce(F.signum(ops.delta(x)), F.lit(0.0)))
-    df = df.withColumn("_new", F.when(F.col("_s") == F.coalesce(delay("_s"), F.lit(9.0)), 0).otherwise(1))
-    df = df.withColumn("_island", F.sum("_new").over(ops.U()))
+    """up_run and down_run: rising or falling bars in a row up to each bar, by islands of equal direction; a bar that doesn't
+    move leaves both as they are, and a series' first bar has none."""
+    moved = F.signum(ops.delta(x))
+    df = df.withColumn("_s", moved).withColumn("_d", F.last(F.when(F.col("_s") != 0, F.col("_s")), True).over(ops.U()))
+    df = df.withColumn("_new", F.when(F.col("_d") == delay("_d"), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(ops.U()))
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy(*KEY, "_island").orderBy("start_time"))
+    k = F.sum(F.when(F.col("_s") != 0, 1).otherwise(0)).over(Window.partitionBy(*KEY, "_island").orderBy("start_time").rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_k", k)
-    return df.withColumns({"up_run": F.when(F.col("_s") > 0, F.col("_k")).otherwise(0), "down_run": F.when(F.col("_s") < 0, F.col("_k")).otherwise(0)}).drop("_s", "_new", "_island", "_k")
+    run = lambda side: F.when(F.col("_s").isNotNull(), F.when(F.col("_d") == side, F.col("_k")).otherwise(0))
+    return df.withColumns({"up_run": run(1), "down_run": run(-1)}).drop("_s", "_d", "_new", "_island", "_k")
+
+
+def dmom(df: DataFrame, train: int = 120, vol: int = 20, most: int = 12, expanding: bool = True) -> DataFrame:
+    """DMOM_prob: a linear model, fitted on the bars before, of whether a bar rises, by the volatility, run lengths and
+    return of the bar before it; between 0 and 1, from bar train + 1, with ten bars to learn from. The model's normal
+    equations are running sums over the series (or over the last `train` bars), so only 5 x 5 systems are left to solve."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    r = "_r"
+    df = run_lengths(df).withColumns({r: ops.returns(), "_i": F.row_number().over(ops.series())})
+    df = df.withColumns({"DMOM_up": F.least("up_run", F.lit(most)).cast("double"), "DMOM_down": F.least("down_run", F.lit(most)).cast("double"), "_v": F.when((F.col("_i") >= vol) & (F.count(r).over(W(vol)) >= 5), F.stddev_pop(r).over(W(vol)))}).drop("up_run", "down_run")
+    names = ["_v", "DMOM_up", "DMOM_down", r]
+    df = df.withColumns({f"_x{k + 1}": delay(c) for k, c in enumerate(names)} | {"_y": F.when(F.col(r).isNotNull(), (F.col(r) > 0).cast("double"))})
+    ok = F.col("_y").isNotNull()
+    for k in range(1, 5):
+        ok = ok & F.col(f"_x{k}").isNotNull()
+    df = df.withColumn("_x0", F.when(ok, F.lit(1.0)))
+    before = ops.series().rowsBetween(Window.unboundedPreceding if expanding else -(train - 1), -1)
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    sums = {f"_a{i}{j}": F.sum(F.col("_x0") * F.col(f"_x{i}") * F.col(f"_x{j}")).over(before) for i, j in pairs} | {f"_b{i}": F.sum(F.col("_x0") * F.col(f"_x{i}") * F.col("_y")).over(before) for i in range(5)}
+    df = df.withColumns(sums).withColumns({"_m": F.array(*[F.coalesce(f"_a{min(i, j)}{max(i, j)}", F.lit(0.0)) for i in range(5) for j in range(5)]), "_w": F.array(*[F.coalesce(f"_b{i}", F.lit(0.0)) for i in range(5)]), "_z": F.when((F.col("_i") > train) & (F.col("_a00") >= 10), F.array(F.lit(1.0), *[F.col(f"_x{k}") for k in range(1, 5)]))})
+    df = df.drop(*sums, *[f"_x{k}" for k in range(5)], "_y", "_v", r, "_i")
+    from pyspark.sql.types import DoubleType, StructType
+
+    kept = [c for c in df.columns if c not in ("_m", "_w", "_z")]
+    schema = StructType([f for f in df.schema.fields if f.name in kept]).add("DMOM_prob", DoubleType())
+
+    def solve(batches):
+        for t in batches:
+            prob = np.full(len(t), np.nan)
+            rows = np.flatnonzero([z is not None and all(v is not None and v == v for v in z) for z in t["_z"]])
+            if len(rows):
+                m, w, z = (np.array([list(v) for v in t[c].iloc[rows]], float) for c in ("_m", "_w", "_z"))
+                fit = np.einsum("nij,nj->ni", np.linalg.pinv(m.reshape(-1, 5, 5)), w)
+                prob[rows] = np.clip((fit * z).sum(1), 0, 1)
+            yield t[kept].assign(DMOM_prob=prob)
+
+    out = df.mapInPandas(solve, schema)
+    return out.withColumn("DMOM_prob", F.when(~F.isnan("DMOM_prob"), F.col("DMOM_prob")))
 
 
 def simple_dmom(df: DataFrame, vol: int = 20, most: int = 12, weights=(0.4, 0.4, 0.2)) -> DataFrame:

@@ -511,6 +511,11 @@ def _(spark, d):
     return show_steps(fa.ar_spread(hourly(spark, d)), ["AR", "AR_240", "AR_5", "AR_15", "AR_30", "AR_60"])
 
 
+@register("f9_dmom")
+def _(spark, d):
+    return show(fa.dmom(weekly(spark, d)), ["DMOM_prob", "DMOM_up", "DMOM_down"])
+
+
 @register("f29_f30_engine")
 def _(spark, d):
     df = fa.compute_all(weekly(spark, d), {"t": fa.technical, "d": fa.direction})

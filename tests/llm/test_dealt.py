@@ -116,16 +116,24 @@ def test_every_pair_within_the_radius_collides():
         assert {a & m ^ f for m, f in variants} & {b & m ^ f for m, f in variants}
 
 
-def test_near_groups_of_either_size():
+@pytest.mark.parametrize("pairs_of_one", [16, 0])
+def test_near_groups_of_either_way(pairs_of_one):
     r = np.random.default_rng(0)
     base = [int(x) for x in r.integers(0, 2**63, 4)]
-    fps = np.unique(np.array([simhash._signed(b ^ 1 << int(r.integers(64)) ^ 1 << int(r.integers(64))) for b in base for _ in range(60)], np.int64))
+    fps = np.unique(np.array([simhash._signed(b ^ 1 << int(r.integers(12)) ^ 1 << int(r.integers(12)) ^ 1 << int(r.integers(12))) for b in base[:1] for _ in range(150)] + [simhash._signed(b ^ 1 << int(r.integers(64)) ^ 1 << int(r.integers(64))) for b in base[1:] for _ in range(20 if pairs_of_one else 3)], np.int64))
     want = plain_components([int(x) & (1 << 64) - 1 for x in fps])
-    got = {int(x): i for i, g in enumerate(simhash._near(fps)) for x in g}
+    got = {int(x): i for i, g in enumerate(simhash._near(fps, pairs_of_one)) for x in g}
     for i, j in itertools.combinations(range(len(fps)), 2):
         assert (want[i] == want[j]) == (got.get(int(fps[i]), -1 - i) == got.get(int(fps[j]), -1 - j))
 
 
+def test_a_large_bucket_is_looked_up():
+    base = 0x0123456789ABCDEF
+    fps = np.sort(np.array([simhash._signed(base ^ k) for k in range(1 << 14) if k.bit_count() % 2 == 0], np.int64))
+    assert len(fps) > 16 * sum(len(list(itertools.combinations(range(14), k))) for k in (1, 2, 3))
+    assert [len(g) for g in simhash._near(fps)] == [len(fps)]
+
+
 def test_near_duplicates(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd_docs(spark).selectExpr("doc_id + 100000", "text"))
     rows = docs.orderBy("doc_id").collect()

@@ -9,6 +9,7 @@ and verified; a task gives the links that join what it has found, not all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -128,27 +129,23 @@ def _variants() -> list[tuple[int, int]]:
     return out
 
 
-def _near(fps: np.ndarray) -> list[np.ndarray]:
-    """Groups of a bucket's sorted distinct fingerprints that are linked among themselves. Each fingerprint is compared
-    with the rest once, as its group is searched outwards; a bucket too large for that looks up all neighbours of each
-    fingerprint, with work in proportion to its size."""
-    u, n, out = fps.view(np.uint64), len(fps), []
-    left = np.arange(n)
-    small = n <= 65536
-    if not small:
-        s = np.sort(u)
-        masks = np.array([sum(1 << b for b in c) for k in range(1, RADIUS + 1) for c in itertools.combinations(_spread(u), k)], np.uint64)
+def _near(fps: np.ndarray, pairs_of_one: int = 16) -> list[np.ndarray]:
+    """Groups of a bucket's sorted distinct fingerprints that are linked among themselves. The fingerprints differ in few
+    bits, so there are few flips of up to RADIUS of these: where a bucket holds more than `pairs_of_one` times as many
+    fingerprints as there are flips, each flip of all fingerprints is looked up among them, with work in proportion to
+    their number. In a smaller bucket each fingerprint is compared with those that no link has reached."""
+    u, n = fps.view(np.uint64), len(fps)
+    spread = _spread(u)
+    flips = sum(math.comb(len(spread), k) for k in range(1, RADIUS + 1))
+    if n > pairs_of_one * flips:
+        masks = [sum(1 << b for b in c) for k in range(1, RADIUS + 1) for c in itertools.combinations(spread, k)]
+        return [fps[g] for g in _groups(_looked_up(np.sort(u), np.argsort(u), masks))]
+    out, left = [], np.arange(n)
     while len(left):
         group, todo = [left[0]], [left[0]]
         left = left[1:]
         while todo and len(left):
-            x = u[todo.pop()]
-            if small:
-                hit = np.bitwise_count(u[left] ^ x) <= RADIUS
-            else:
-                want = masks ^ x
-                there = want[s[np.minimum(np.searchsorted(s, want), n - 1)] == want]
-                hit = np.isin(u[left], there)
+            hit = np.bitwise_count(u[left] ^ u[todo.pop()]) <= RADIUS
             new = left[hit]
             left = left[~hit]
             group.extend(new)
@@ -158,6 +155,33 @@ def _near(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _looked_up(s: np.ndarray, place: np.ndarray, masks: list[int]) -> np.ndarray:
+    """The least place that links reach from each fingerprint; s is sorted, place tells where each one stands. Labels go
+    along the links until none changes, and jump to their own labels in between."""
+    n = len(s)
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        for m in masks:
+            want = s ^ np.uint64(m)
+            at = np.minimum(np.searchsorted(s, want), n - 1)
+            a = np.flatnonzero(s[at] == want)
+            label[a] = np.minimum(label[a], label[at[a]])
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    out = np.empty(n, np.int64)
+    out[place] = place[label]
+    return out
+
+
+def _groups(label: np.ndarray) -> list[np.ndarray]:
+    """Places of equal labels, groups of one left out."""
+    order = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.diff(label[order])) + 1
+    return [g for g in np.split(order, cuts) if len(g) > 1]
+
+
 def _spread(u: np.ndarray) -> list[int]:
     """Bits in which the bucket's fingerprints differ at all."""
     differ = int(np.bitwise_or.reduce(u ^ u[0]))
@@ -205,7 +229,9 @@ def _links(batches):
 def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b), a < b: enough links between distinct fingerprints at most RADIUS bits apart to join all that are linked."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(f).alias("f")) for m, f in _variants()]))
-    rows = prints.select(F.col(fp).alias("fp")).distinct().select("fp", pairs.alias("v"))
+    # a number of partitions that stays, as fingerprints are few bytes and their variants many
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select(F.col(fp).alias("fp")).distinct().repartition(n, "fp").select("fp", pairs.alias("v"))
     rows = rows.select(F.col("fp").bitwiseAND(F.col("v.m")).bitwiseXOR(F.col("v.f")).alias("variant"), "fp")
     rows = rows.repartition(F.col("variant")).sortWithinPartitions("variant", "fp")
     return rows.mapInArrow(_links, "a long, b long").distinct()
@@ -263,4 +289,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_duplicates() for nulls, repeats and ties."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -184,7 +184,9 @@ def features(meta: DataFrame, folder: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Store every text of the table, read all of it back, and give each row its payload's columns."""
+    """Store every text of the table, read all of it back, and give each row its payload's columns. A null text is empty and
+    its payload one row of spaces; equal texts share one stored payload and have equal values; repeated rows stay; an empty
+    table gives no rows; further columns of the table aren't read."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = docs.select("doc_id", F.octet_length(common.whole("text")).cast("long").alias("n_bytes"), payload_of("text").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     folder = common.scratch(spark, "media")

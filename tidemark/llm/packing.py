@@ -250,6 +250,7 @@ def pack(docs: DataFrame, path: str, end_id: int, width: int = 2048, penalty: in
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The whole table in windows of 2048 tokens, each document ended by id 1; see pack() for nulls, repeats and ties."""
     import public_tokenizers
 
     return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)

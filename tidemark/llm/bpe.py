@@ -8,7 +8,6 @@ A sorted list of words with the lengths of common prefixes is such a trie, and g
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import unicodedata
 
@@ -59,7 +58,8 @@ class TrieBPE:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = str.maketrans({b: c for b, c in enumerate(byte_chars())})
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.shown = [str(i) for i in range(max(self.text_of, default=0) + 1)]
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
         self.none: set[str] = set()  # pieces without a token: white space of other kinds
@@ -151,21 +151,26 @@ class TrieBPE:
                 out += [w.encode().decode("latin-1").translate(self.bytes) for w in self.words.findall(part)]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece."""
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[str, str]]:
+        """(ids joined by spaces, decoded text) of each piece; the ids of a word are decoded once for all pieces."""
         split = [self.split(p) for p in pieces]
 
         def fresh(words):
             got = self.encode_words([w for w in words if w[0] != "\0"])
-            return [[self.vocab[t] for t in got[w]] if w[0] != "\0" else [self.special[w[1:]]] for w in words]
+            out, shown = [], self.shown
+            for w in words:
+                ids = [self.vocab[t] for t in got[w]] if w[0] != "\0" else [self.special[w[1:]]]
+                out.append((" ".join([shown[i] for i in ids]), self.decode(ids)))
+            return out
 
         common.fill(self.known, set().union(*split), fresh, WORDS)
         known = self.known
-        return [known[words[0]] if len(words) == 1 else list(itertools.chain.from_iterable([known[w] for w in words])) for words in split]
+        return [known[words[0]] if len(words) == 1 else (" ".join([known[w][0] for w in words]), " ".join([known[w][1] for w in words])) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes for a file without a decoder: the tokens joined by spaces; unknown ids are left out."""
-        return " ".join([self.text_of[i] for i in ids if i in self.text_of])
+        text_of = self.text_of
+        return " ".join([text_of[i] for i in ids if i in text_of])
 
     def encode_texts(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(ids joined by spaces, decoded text, number of ids) of each whole text. A piece never shares a token with the
@@ -178,8 +183,8 @@ class TrieBPE:
                 for cache in (self.ids, self.tokens):
                     common.trim(cache, PIECES)
                 missing = [p for p in set().union(*split) if p not in self.ids]
-            for p, ids in zip(missing, self.encode_pieces(missing)):
-                self.ids[p], self.tokens[p] = " ".join(map(str, ids)), self.decode(ids)
+            for p, (ids, text) in zip(missing, self.encode_pieces(missing)):
+                self.ids[p], self.tokens[p] = ids, text
             none = {p for p in missing if not self.ids[p]} | {""}
             self.none |= none
             for pieces in split:

@@ -2,17 +2,21 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import itertools
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 _OWN_SCRATCH: list[str] = []
+_OPEN = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +36,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later jobs start from the files and survive lost executors."""
+def cut(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and read them back: later jobs start from the files and survive lost executors.
+    Within `passing` the files go at its end, unless they stay: then at the end of the `passing` around that, if any."""
     path = scratch(df.sparkSession, name)
+    made = _OPEN.__dict__.setdefault("made", [])
+    if len(made) > stays:
+        made[-1 - stays].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that are cut within are deleted at the end. What leaves the block may only read those that stay."""
+    made = _OPEN.__dict__.setdefault("made", [])
+    made.append([])
+    try:
+        yield
+    finally:
+        for path in made.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def whole(text: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -123,3 +144,21 @@ def annotate(docs: DataFrame, text: str, added: str, work) -> DataFrame:
         give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
+
+
+def placed(rows: DataFrame, group: list[str], order: list[str], place: str) -> DataFrame:
+    """rows, written to the shared folder, with their place (from 0) in the group by the order; nulls first, and rows that
+    tie in all of it in any order. A group may hold any share of the rows: ranges of (group, order) are sorted, numbered
+    each for itself, and moved on by what earlier ranges hold of the group. Only groups that go over a range's end need
+    that, so as many rows as there are ranges at most are broadcast."""
+    rows = rows.withColumn("_tm_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*group, *order, "_tm_row").withColumn("_tm_range", F.spark_partition_id())
+    rows = cut(rows, "ranges")
+    own = rows.withColumn(place, F.row_number().over(Window.partitionBy("_tm_range", *group).orderBy(*order, "_tm_row")).cast("long") - 1)
+    held = rows.groupBy(*group, "_tm_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("_tm_range").rowsBetween(Window.unboundedPreceding, -1))
+    moved = held.withColumn("_tm_before", before).filter("_tm_before > 0").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_tm_range").alias("_r"), "_tm_before")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    on = functools.reduce(lambda a, b: a & b, same, F.col("_tm_range") == F.col("_r"))
+    out = own.join(F.broadcast(moved), on, "left").withColumn(place, F.col(place) + F.coalesce("_tm_before", F.lit(0)))
+    return out.drop("_tm_row", "_tm_range", "_tm_before", "_r", *[f"_g{i}" for i in range(len(group))])

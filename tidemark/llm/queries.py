@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, langid, manifest, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
+from . import bpe, convtrie, langid, manifest, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_crf_language": langid.query,
         "op10_window_packing": packing.query,
         "op11_merkle_climb": manifest.query,
+        "op13_sequence_trie": convtrie.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": quotes.SQL, "op6_cover_tree_topk": topk.SQL, "llm_mail_threads": quotes.MAIL_SQL, "op11_merkle_climb": manifest.SQL}
+    return {"op1_quotation_linking": quotes.SQL, "op6_cover_tree_topk": topk.SQL, "llm_mail_threads": quotes.MAIL_SQL, "op11_merkle_climb": manifest.SQL, "op13_sequence_trie": convtrie.SQL}

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import bpe, convtrie, langid, manifest, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
+from . import bpe, convtrie, fertility, langid, manifest, media, packing, quotes, secretscan, simhash, tokencount, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_crf_language": langid.query,
         "op10_window_packing": packing.query,
         "op11_merkle_climb": manifest.query,
+        "op12_tokeniser_fertility": fertility.query,
         "op13_sequence_trie": convtrie.query,
     }
 

@@ -244,6 +244,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     and minima are written to the shared folder, so the lineage stays short. Minima are combined before the shuffle, and
     the joins are plain ones that the engine may split at a hot node.
     """
+    with common.passing(edges.sparkSession):
+        edges = _starred(edges, most_rounds)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def _starred(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """(a, b): every node b with the smallest one a of its component."""
     edges = common.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
 
     def state(e):
@@ -262,11 +269,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         edges = common.cut(small.select(F.col("low").alias("a"), "b").filter("a < b").distinct(), "edges")
         now = state(edges)
         if now == last:
-            break
+            return common.cut(edges, "stars", stays=True)
         last = now
-    else:
-        raise RuntimeError("components: rounds are used up")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    raise RuntimeError("components: rounds are used up")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,12 +283,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), common.whole(text).alias("text"))
-    prints = common.cut(rows.mapInArrow(_prints, f"id {kind}, fp long"), "prints")
-    reps = common.cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    roots = components(common.cut(links(reps), "links"))
-    named = reps.join(roots, reps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
-    least = common.cut(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    of = common.cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
+    with common.passing(docs.sparkSession):
+        prints = common.cut(rows.mapInArrow(_prints, f"id {kind}, fp long"), "prints", stays=True)
+        reps = common.cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+        roots = components(common.cut(links(reps), "links"))
+        named = reps.join(roots, reps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+        least = common.cut(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+        of = common.cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes", stays=True)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 

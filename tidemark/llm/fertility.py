@@ -9,13 +9,14 @@ runs of words come first.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from . import common
+from . import common, tokencount
 
 SYMBOLS = "#*$%&|<>"
 SPACE = "".join(map(chr, [32, *range(9, 14)]))
@@ -37,22 +38,19 @@ _LOADED: dict = {}
 
 
 def _vocabularies(pieces: str, other: str):
-    """Tokens of words: (ids of the first vocabulary, how many of these are bytes, number of tokens of the other)."""
+    """A function that splits words, giving (ids of the first vocabulary, number of tokens of the other) for each; which ids
+    stand for a byte; and the cache of words."""
     if (pieces, other) not in _LOADED:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        first, second = sentencepiece.SentencePieceProcessor(model_file=pieces), Tokenizer.from_file(other)
-        second.no_truncation()
-        second.no_padding()
-        alone = np.array([first.is_byte(i) for i in range(first.get_piece_size())])
+        first, count = sentencepiece.SentencePieceProcessor(model_file=pieces), tokencount.counter_of_words(other)
+        alone = np.array([first.is_byte(i) for i in range(first.get_piece_size())], np.int64)
 
         def split(words: list[bytes]):
             texts = [w.decode("utf-8", "replace") for w in words]
-            ids = [np.array(x, np.int64) for x in first.encode(texts, num_threads=1)]
-            return [(x, int(alone[x].sum()), len(y)) for x, y in zip(ids, (e.ids for e in second.encode_batch(texts, add_special_tokens=False)))]
+            return zip(first.encode(texts, num_threads=1), count(texts))
 
-        _LOADED[pieces, other] = split, len(alone), {}
+        _LOADED[pieces, other] = split, alone, {}
     return _LOADED[pieces, other]
 
 
@@ -107,13 +105,14 @@ def script_of(text: str) -> str:
 
 def measured(texts: list[str], pieces: str, other: str) -> list[pa.Array]:
     """The columns of ADDED for whole texts."""
-    split, size, cache = _vocabularies(pieces, other)
+    split, alone, cache = _vocabularies(pieces, other)
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
-    number: dict[bytes, int] = {}
-    word = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64, int(counts.sum()))
+    every = list(itertools.chain.from_iterable(words))
+    ends = np.cumsum([0, *map(len, every)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(every))]).dictionary_encode()
+    word, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
     doc = np.repeat(np.arange(len(texts)), counts)
-    names = list(number)
     short = [w for w in names if len(w) <= LONG]
     common.fill(cache, short, split, WORDS)
     long = [w for w in names if len(w) > LONG]
@@ -121,17 +120,18 @@ def measured(texts: list[str], pieces: str, other: str) -> list[pa.Array]:
     each = [cache[w] if len(w) <= LONG else found[w] for w in names]
     sums = lambda x: np.bincount(doc, x[word] if len(names) else None, len(texts)).astype(np.int64)
     chars = np.array([len(w) if w.isascii() else len(w.decode("utf-8", "surrogatepass")) for w in names], np.int64)
-    width = np.array([len(x[0]) for x in each], np.int64)
+    width = np.fromiter((len(x) for x, _ in each), np.int64, len(each))
     tokens = sums(width)
     # tokens of all words, one text after the other
-    flat, begin = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in each)]), np.cumsum(width) - width
+    flat, begin = np.fromiter(itertools.chain.from_iterable(x for x, _ in each), np.int64, int(width.sum())), np.cumsum(width) - width
     wide = width[word] if len(names) else np.zeros(0, np.int64)
     at = np.repeat((begin[word] if len(names) else wide) - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-    key, n = np.unique(np.repeat(doc, wide) * size + flat[at], return_counts=True)
-    spread = np.bincount(key // size, n * np.log2(n), len(texts))
+    of, token = np.repeat(doc, wide), flat[at]
+    key, n = np.unique((of * len(alone) + token).astype(np.int32 if len(texts) * len(alone) < 1 << 31 else np.int64), return_counts=True)
+    spread = np.bincount(key // len(alone), n * np.log2(n), len(texts))
     entropy = np.where(tokens > 0, np.log2(np.maximum(tokens, 1)) - spread / np.maximum(tokens, 1), 0.0)
     columns = [counts, sums(chars), np.array([sum(t.count(c) for c in SYMBOLS) for t in texts]), np.array([dup_lines(t) for t in texts]), np.bincount(doc, repeated(word, doc), len(texts)).astype(np.int64)]
-    columns += [tokens, sums(np.array([x[2] for x in each], np.int64)), sums(np.array([x[1] for x in each], np.int64))]
+    columns += [tokens, sums(np.fromiter((n for _, n in each), np.int64, len(each))), np.bincount(of, alone[token], len(texts))]
     return [*(pa.array(c.astype(np.int64)) for c in columns), pa.array(np.maximum(entropy, 0.0)), pa.array([script_of(t) for t in texts], pa.string())]
 
 

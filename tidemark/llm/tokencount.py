@@ -95,6 +95,11 @@ def _counter(path: str):
     return _LOADED[path]
 
 
+def counter_of_words(path: str):
+    """A function that counts the tokens of each of a list of words."""
+    return _counter(path)[1]
+
+
 def count_texts(texts: list[str], path: str) -> list[int]:
     """Token counts of whole texts; pieces met before are taken from the worker's memory."""
     pieces, count, cache, by_word = _counter(path)

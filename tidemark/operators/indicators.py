@@ -1,6 +1,8 @@
 """Indicators over bars, as window expressions; every function gives columns, or adds them in levels."""
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ops
@@ -119,3 +121,49 @@ def volume_profile(df: DataFrame, lookback: int = 90, bins: int = 20, high: floa
     q = lambda p: F.get("_s", F.lit(int(p * (bins - 1)))) + (F.get("_s", F.lit(int(p * (bins - 1)) + 1)) - F.get("_s", F.lit(int(p * (bins - 1))))) * (p * (bins - 1) - int(p * (bins - 1)))
     poc = F.col("_lo") + (F.col("_poc") + 0.5) * F.col("_w")
     return df.withColumns({"vp_distance": F.try_divide(F.col("close") - poc, poc), "in_hvn": F.col("_mine") >= q(high), "in_lvn": F.col("_mine") <= q(low)}).drop(*[f"_{x}" for x in ("a", "lo", "hi", "w", "b", "v", "poc", "s", "mine")])
+
+
+def divergence(df: DataFrame, n: int = 60, threshold: int = 1, cross_zero: bool = True, by_close: bool = True, by_peak: bool = True, by_candle: bool = True, by_area: bool = True, dea_pull: bool = True, pull: float = 0.0, rate: float = 0.9) -> DataFrame:
+    """Adds top_divergence and bottom_divergence of the last n bars, from columns dif, dea and m (the histogram).
+
+    At a top the histogram has fallen for two bars from a peak and dif is over zero. Going back, bars of one side of the
+    histogram make runs (zeros go with the later bar's; the oldest bar is not looked at). The last run is held against the
+    next earlier one of its side with three bars at least: a new high of close or peak counts once for a line that stays
+    under `rate` of the earlier one, and once for a smaller area, peak and (by_candle) a candle that was pushed back.
+    In between, dea (or dif) has to come back by the share `pull`, but not to three times below the zero line; at a bottom,
+    it may not cross zero at all. cross_zero: the earlier run may begin with dif on the other side of zero. Rows with a null
+    among the columns are not looked at; a row with fewer than ten bars has none.
+    """
+    need = ["high", "low", "open", "close", "dif", "dea", "m"]
+    whole = functools.reduce(lambda a, c: a & F.col(c).isNotNull(), need, F.lit(True))
+    df = df.withColumn("_a", F.when(whole, F.collect_list(F.when(whole, F.struct(*need))).over(W(n))))
+    for name, s in (("top_divergence", 1), ("bottom_divergence", -1)):
+        df = _diverges(df, name, s, threshold, cross_zero, by_close, by_peak, by_candle, by_area, "dea" if dea_pull else "dif", pull, rate)
+    return df.drop("_a")
+
+
+def _diverges(df, name, s, threshold, cross_zero, by_close, by_peak, by_candle, by_area, line, pull, rate):
+    """At the bottom (s = -1) all values are turned over, so that only tops are looked for."""
+    turned = lambda x: F.struct((s * x["m"]).alias("m"), (s * x["dif"]).alias("dif"), (s * x["dea"]).alias("dea"), (s * x["close"]).alias("close"), (s * x["open"]).alias("open"), (s * x["high" if s > 0 else "low"]).alias("peak"))
+    df = df.withColumn("_b", F.transform(F.reverse("_a"), turned))  # the newest first
+    b = lambda i: F.get("_b", F.lit(i))
+    begins = (F.size("_b") >= 10) & (b(0)["m"] < b(1)["m"]) & (b(1)["m"] < b(2)["m"]) & (b(2)["m"] > b(3)["m"]) & (F.least(*[b(i)["dif"] for i in (0, 1, 2)]) > 0) & (b(0)["m"] >= 0)
+    df = df.withColumn("_b", F.when(begins, F.col("_b"))).withColumn("_n", F.size("_b") - 1)
+    df = df.withColumn("_starts", F.expr("filter(sequence(1, _n - 1), i -> get(_b, i).m != 0 and sign(get(_b, i).m) != coalesce(sign(element_at(filter(slice(_b, 1, i), y -> y.m != 0), -1).m), 1))"))
+    df = df.withColumn("_runs", F.expr("transform(concat(array(0), _starts), (a, k) -> slice(_b, a + 1, coalesce(get(_starts, k), _n) - a))"))
+    df = df.withColumn("_r", F.expr("get(filter(sequence(0, size(_runs) - 1), r -> r >= 2 and r % 2 = 0 and size(get(_runs, r)) >= 3), 0)"))
+    df = df.withColumn("_r", F.expr("case when _n + 1 - get(_starts, _r - 2) > 3 then _r end"))
+    most = lambda run, c: F.array_max(F.transform(run, lambda x: x[c]))
+    area = lambda run: F.aggregate(F.slice(run, 2, F.size(run)), F.lit(0.0), lambda t, x: t + x["m"])
+    df = df.withColumns({"_last": F.get("_runs", F.lit(0)), "_old": F.get("_runs", F.col("_r")), "_pull": F.array_min(F.transform(F.flatten(F.expr("filter(_runs, (x, r) -> r < _r and r % 2 = 1)")), lambda x: x[line]))})
+    df = df.withColumns({"_line": most("_old", line), "_top": F.array_max(F.transform(F.slice("_b", 1, 4), lambda x: x["peak"]))})
+    candle = F.get(F.filter(F.reverse(F.slice("_b", 1, 4)), lambda x: x["peak"] == F.col("_top")), F.lit(0))
+    pushed = (candle["close"] < candle["open"]) | (candle["peak"] - candle["close"] > candle["close"] - candle["open"])
+    broken = (F.col("_pull") < 0) & (F.abs(3 * F.col("_pull")) > F.col("_line") if s > 0 else F.lit(True))
+    back = F.try_divide(F.col("_line") - F.col("_pull"), F.col("_line") if s > 0 else F.abs("_line"))
+    lower = (F.abs(F.try_divide(most("_last", "dif"), most("_old", "dif"))) < rate).cast("int")
+    smaller = ((area("_last") < area("_old")) & (most("_last", "m") < most("_old", "m")) & (pushed if by_candle else F.lit(True)) & F.lit(by_area)).cast("int")
+    highs = sum(((most("_last", c) > most("_old", c)) & F.lit(on)).cast("int") for c, on in (("close", by_close), ("peak", by_peak)))
+    crossed = F.lit(not cross_zero) & (F.element_at("_old", -1)["dif"] < 0)
+    found = F.col("_r").isNotNull() & ~broken & (back >= pull) & ~crossed & (highs * (F.coalesce(lower, F.lit(0)) + smaller) >= threshold)
+    return df.withColumn(name, F.coalesce(found, F.lit(False))).drop("_b", "_n", "_starts", "_runs", "_r", "_last", "_old", "_pull", "_line", "_top")

@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ops, scalars
-from ..operators import bars as prep, catalog as cat, evaluation as ev, factors as fa, indicators as ind, labels as lab, models, performance as perf, scans, signals as sig, walkforward as wf
+from ..operators import bars as prep, catalog as cat, chaos, evaluation as ev, factors as fa, indicators as ind, labels as lab, models, performance as perf, scans, signals as sig, structure as st, walkforward as wf
 from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
 from .node_sql import STEPS, node_sql
 from .recursive_sql import COLUMNS as RECURSIVE, recursive_sql, recursive_tables
+from .structure_sql import divergence_sql, fractal_sql, hurst_sql, sequence_sql, stroke_sql, zone_sql
 
 K = ["symbol", "start_time"]
 
@@ -56,6 +57,11 @@ def _bars(tf: str) -> str:
     return _sql_bars(ms, "p_brand", "lineitem join part on l_partkey = p_partkey", "(l_extendedprice / l_quantity)", "l_shipdate", f"row{_ROW}", "l_quantity", "l_extendedprice")
 
 
+#: Daily bars of an equity curve: from the day before's equity to the day's.
+EQUITY_BARS = """select symbol, start_time, open, greatest(open, close) as high, least(open, close) as low, close from (select *, lag(close, 1, 100000.0) over (partition by symbol order by start_time) as open from (
+  select symbol, start_time, 100000 + sum(pnl) over (partition by symbol order by start_time) as close from (select o_orderpriority as symbol, epoch_ms(o_orderdate) // 86400000 * 86400000 as start_time, sum((o_totalprice - 250000) / 1000) as pnl from orders group by all)))"""
+
+
 def sql(body: str, tf: str = "1W") -> str:
     return f"with b as ({_bars(tf)}),\n{body}"
 
@@ -384,6 +390,44 @@ def _ema13(t):
     return {"ema13": scans.ema(t["close"].to_numpy(float), 13)}
 
 
+@register("i31_divergence", divergence_sql(_bars("1D")))
+def _i31(spark, d):
+    rows = ind.macd_sma(daily(spark, d)).withColumn("m", F.col("dif") - F.col("dea"))
+    return ind.divergence(rows).select(*K, "top_divergence", "bottom_divergence")
+
+
+@register("i42_hurst", hurst_sql(_bars("1W")))
+def _i42(spark, d):
+    return show(chaos.chaos(weekly(spark, d)), ["hurst"])
+
+
+@register("i43_i44_chaos")
+def _i43(spark, d):
+    return show(chaos.chaos(hourly(spark, d)), ["correlation_dimension", "lyapunov"])
+
+
+@register("i46_sequence", sequence_sql(_bars("1D")))
+def _i46(spark, d):
+    return st.sequence(daily(spark, d)).select(*K, "td_count")
+
+
+@register("i47_i48_fractals", fractal_sql(_bars("1D")))
+def _i47(spark, d):
+    rows = st.fractals(st.merged_bars(daily(spark, d)))
+    return show(rows, "high low rising n_bars high_time low_time is_finished fractal gap".split(), ["symbol", "seq", "start_time", "end_time"])
+
+
+@register("i49_strokes", stroke_sql(_bars("1D")))
+def _i49(spark, d):
+    return show(st.strokes(daily(spark, d)), "rising start_value end_value high low n_merged".split(), ["symbol", "seq", "start_time", "end_time"])
+
+
+@register("i50_pivot_zones", zone_sql(EQUITY_BARS))
+def _i50(spark, d):
+    rows = st.pivot_zones(st.strokes(fx.equity_bars(spark, d)))
+    return show(rows, "high low n_legs is_finished".split(), ["symbol", "seq", "start_time", "end_time"])
+
+
 @register("i41_volume_profile")
 def _(spark, d):
     return show(ind.volume_profile(hourly(spark, d)), ["vp_distance", "in_hvn", "in_lvn"])

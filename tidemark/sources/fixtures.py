@@ -65,6 +65,17 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select("run_id", "time", (F.lit(100000.0) + F.sum("pnl").over(w)).alias("equity"))
 
 
+def equity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of each run's equity, from the day before's to the day's: a series that walks."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("run_id").orderBy("time")
+    rows = equity(spark, sf_dir).withColumn("open", F.lag("equity", 1, 100000.0).over(w))
+    bar = {"symbol": F.col("run_id"), "start_time": F.col("time"), "end_time": F.col("time") + 86_400_000, "current_time": F.col("time") + 86_400_000, "high": F.greatest("open", "equity"), "low": F.least("open", "equity"), "close": F.col("equity"), "volume": F.lit(0.0), "amount": F.lit(0.0)}
+    const = {"market": "test", "quote_currency": "USDT", "ins_type": 1, "asset_type": "crypto", "timeframe": "1D", "is_finished": True, "is_filled": False}
+    return rows.withColumns(bar | {k: F.lit(v) for k, v in const.items()}).select(*BAR_COLUMNS)
+
+
 def out(c: Column) -> Column:
     """As single precision, which hides what the order of a sum adds, without a negative zero."""
     return (c + F.lit(0.0)).cast("float")

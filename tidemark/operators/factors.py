@@ -179,13 +179,15 @@ def long_short_volume(df: DataFrame, n: int = 20, top: int = 5) -> DataFrame:
     return df.withColumn(f"LongShortVolumeRatio_{n}_{top}", F.when(ok, F.col("_u") / (F.col("_u") + F.col("_d")))).drop("_r", "_a", "_n", "_u", "_d")
 
 
-def volume_average(df: DataFrame, n: int = 20, side: str = "FLAT", kind: str = "min_volume", top: int = 5) -> DataFrame:
-    """Mean of the `top` least (or most) volumes of all, rising or falling bars, by the current volume."""
-    cond = {"FLAT": F.lit(True), "LONG": F.col("close") > F.col("open"), "SHORT": F.col("close") < F.col("open")}[side]
+def volume_average(df: DataFrame, n: int = 20, side: str = "FLAT", kind: str = "min_volume", top: int = 20) -> DataFrame:
+    """Mean of the `top` least (or most) volumes of all, rising or falling bars of the last n, by the current volume. Null
+    before bar n, where fewer than `top` (n at most) such bars have a volume, and where one of the two isn't over zero."""
+    cond, top = {"FLAT": F.lit(True), "LONG": F.col("close") > F.col("open"), "SHORT": F.col("close") < F.col("open")}[side], min(top, n)
     df = df.withColumn("_a", F.when(F.count(F.lit(1)).over(W(n)) >= n, F.array_sort(F.collect_list(F.when(cond, F.col("volume"))).over(W(n)))))
     few = F.slice(F.col("_a") if kind == "min_volume" else F.reverse("_a"), 1, top)
-    df = df.withColumn("_f", few)
-    return df.withColumn(f"VolumeAverage_{n}_{side}_{kind}_{top}", F.try_divide(F.try_divide(F.aggregate("_f", F.lit(0.0), lambda s, x: s + x), F.size("_f")), F.col("volume"))).drop("_a", "_f")
+    df = df.withColumn("_f", F.aggregate(few, F.lit(0.0), lambda s, x: s + x) / top)
+    ok = (F.size("_a") >= top) & (F.col("_f") > 0) & (F.col("volume") > 0)
+    return df.withColumn(f"VolumeAverage_{n}_{side}_{kind}_{top}", F.when(ok, F.col("_f") / F.col("volume"))).drop("_a", "_f")
 
 
 def acceleration(df: DataFrame, n: int = 21) -> DataFrame:
@@ -259,23 +261,27 @@ def dmom(df: DataFrame, train: int = 120, vol: int = 20, most: int = 12, expandi
 
 
 def simple_dmom(df: DataFrame, vol: int = 20, most: int = 12, weights=(0.4, 0.4, 0.2)) -> DataFrame:
-    """Score of the last bar's run length, return and rank of volatility (which looks at one bar more than its window)."""
-    df = run_lengths(df).withColumn("_r", ops.returns())
-    df = df.withColumn("_v", std("_r", vol)).withColumn("_a", ops.window_array("_v", vol + 1))
-    df = df.withColumn("_vr", ops.ts_rank(F.col("_a")))
-    runs = F.least(delay("up_run"), F.lit(most)) / most - F.least(delay("down_run"), F.lit(most)) / most
-    return df.withColumn("SimpleDMOM", weights[0] * runs + weights[1] * F.tanh(delay("_r") * 20) + weights[2] * (0.5 - delay("_vr"))).drop("_r", "_v", "_a", "_vr", "up_run", "down_run")
+    """Score of the bar before, each part from 0 to 1: its run length, its return, and how low its volatility (of up to
+    `vol` returns, five at least) ranks among those of the bars from it and `vol` - 1 before to the current one, ties and
+    itself counted as not higher; a half where it has none. Null for the first `vol` bars and without a return."""
+    df = run_lengths(df).withColumns({"_r": ops.delta("close") / (delay("close") + 1e-20), "_i": F.row_number().over(ops.series())})
+    df = df.withColumn("_v", F.when((F.col("_i") >= vol) & (F.count("_r").over(W(vol)) >= 5), F.stddev_pop("_r").over(W(vol))))
+    df = df.withColumns({"_a": F.collect_list("_v").over(W(vol + 1)), "_p": delay("_v")})
+    runs = (F.least(delay("up_run"), F.lit(most)) - F.least(delay("down_run"), F.lit(most)) + most) / (2 * most)
+    low = F.when(F.col("_p").isNotNull(), 1 - F.size(F.filter("_a", lambda v: v <= F.col("_p"))) / F.size("_a")).otherwise(0.5)
+    score = weights[0] * runs + weights[1] * (F.tanh(delay("_r") * 20) + 1) / 2 + weights[2] * low
+    return df.withColumn("SimpleDMOM", F.when(F.col("_i") > vol, score)).drop("_r", "_i", "_v", "_a", "_p", "up_run", "down_run")
 
 
 def spread(df: DataFrame, n: int = 60, logs: bool = True) -> DataFrame:
-    """Bid-ask spread from closes and middles of log prices: products of (close - middle) with the close less this bar's and
-    the next one's middle, averaged; null for the first full window, negative means count as zero."""
+    """Bid-ask spread: the root of -4 times the mean, over up to n bars, of (close - middle) of the bar before with that
+    close less this bar's middle, in logs; the middle is that of high and low, products begin with the third bar, missing
+    ones are left out, a negative square counts as zero. Null for the first n bars."""
     f = F.ln if logs else (lambda x: x)
-    df = df.withColumns({"_c": f(F.col("close")), "_m": (f(F.col("high")) + f(F.col("low"))) / 2})
-    prod = (delay("_c") - delay("_m")) * (delay("_c") - F.col("_m"))
-    df = df.withColumn("_p", prod)
-    df = df.withColumn("_s", 4 * mean("_p", n))
-    return df.withColumn(f"SimpleAR_{n}", F.sqrt(F.greatest("_s", F.lit(0.0)))).drop("_c", "_m", "_p", "_s")
+    df = df.withColumns({"_c": f(F.col("close")), "_m": f((F.col("high") + F.col("low")) / 2), "_i": F.row_number().over(ops.series())})
+    df = df.withColumn("_p", F.when(F.col("_i") > 2, (delay("_c") - delay("_m")) * (delay("_c") - F.col("_m"))))
+    df = df.withColumn("_s", F.when(F.col("_i") > n, F.avg("_p").over(W(n))))
+    return df.withColumn(f"SimpleAR_{n}", F.sqrt(F.greatest(-4 * F.col("_s"), F.lit(0.0) * F.col("_s")))).drop("_c", "_m", "_p", "_s", "_i")
 
 
 def ar_spread(df: DataFrame, base: int = 240, windows=(5, 15, 30, 60), logs: bool = True) -> DataFrame:
@@ -294,12 +300,28 @@ def ar_spread(df: DataFrame, base: int = 240, windows=(5, 15, 30, 60), logs: boo
     return df.withColumns(out).drop("_c", "_m", "_i", "_d", *[f"_d{w}" for w in windows])
 
 
-def price_spike(df: DataFrame, n: int = 60, few: int = 3, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Difference of the close, channel of its rolling quantiles, the difference's place in it, strength and threshold."""
-    df = df.withColumn("ps_diff", ops.delta("close")).withColumn("_r", F.abs(ops.returns()))
-    df = df.withColumns({"ps_low": quantile("ps_diff", n, low), "ps_high": quantile("ps_diff", n, high), "ps_strength": mean("_r", few), "ps_threshold": F.percentile("_r", F.lit(0.5)).over(W(n))})
-    place = F.try_divide(F.least(F.greatest("ps_diff", "ps_low"), F.col("ps_high")) - F.col("ps_low"), F.col("ps_high") - F.col("ps_low"))
-    return df.withColumns({"ps_place": F.when(F.col("ps_low").isNotNull(), place), "ps_flag": F.col("ps_strength") > F.col("ps_threshold")}).drop("_r")
+def spikes(df: DataFrame, n: int = 60, few: int = 3, price: str = "close") -> DataFrame:
+    """Adds spike_strength (mean absolute return of up to `few` bars, from bar `few` on), spike_threshold (median of up to n,
+    from bar n on) and is_spike, whether the strength passes it. A price that isn't over zero makes no return."""
+    df = df.withColumns({"_r": F.abs(F.when(delay(price) > 0, ops.delta(price) / delay(price))), "_i": F.row_number().over(ops.series())})
+    df = df.withColumns({"spike_strength": F.when(F.col("_i") >= few, F.avg("_r").over(W(few))), "spike_threshold": F.when(F.col("_i") >= n, F.percentile("_r", F.lit(0.5)).over(W(n)))})
+    return df.withColumn("is_spike", (F.col("spike_strength") > F.col("spike_threshold")).cast("int")).drop("_r", "_i")
+
+
+def price_spike(df: DataFrame, n: int = 60, few: int = 3, low: float = 0.1, high: float = 0.9, vwap: bool = False) -> DataFrame:
+    """Return, its rises and its falls (the other ones as zero), each in its place between rolling quantiles, clipped, and
+    what spikes() gives; eight columns. A half where the quantiles are equal; places need bar n and three returns. vwap:
+    amount by volume in place of the close, where there is a volume."""
+    price = F.when(F.col("volume") > 0, F.col("amount") / F.col("volume")).otherwise(F.col("close")) if vwap else F.col("close")
+    df = df.withColumns({"_price": price, "_n": F.row_number().over(ops.series())})
+    df = df.withColumn("ps_diff", F.when(delay("_price") > 0, ops.delta("_price") / delay("_price")))
+    df = df.withColumns({"ps_pos": F.greatest("ps_diff", F.lit(0.0) * F.col("ps_diff")), "ps_neg": F.greatest(-F.col("ps_diff"), F.lit(0.0) * F.col("ps_diff"))})
+    for c in ("ps_pos", "ps_neg"):
+        df = df.withColumns({"_lo": F.percentile(c, F.lit(low)).over(W(n)), "_hi": F.percentile(c, F.lit(high)).over(W(n)), "_k": F.count(c).over(W(n))})
+        place = F.when(F.col("_hi") > F.col("_lo"), (F.least(F.greatest(c, "_lo"), F.col("_hi")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+        df = df.withColumn(f"{c}_norm", F.when((F.col("_n") >= n) & (F.col("_k") >= 3) & F.col(c).isNotNull(), place)).drop("_lo", "_hi", "_k")
+    df = spikes(df, n, few, "_price").withColumnsRenamed({"spike_strength": "ps_strength", "spike_threshold": "ps_threshold", "is_spike": "ps_is_spike"})
+    return df.drop("_price", "_n")
 
 
 def compute_all(df: DataFrame, factors: dict) -> DataFrame:

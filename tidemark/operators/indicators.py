@@ -108,19 +108,35 @@ def demarker(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def volume_profile(df: DataFrame, lookback: int = 90, bins: int = 20, high: float = 0.8, low: float = 0.2) -> DataFrame:
-    """Distance to the price bin with the most volume, and whether the close's bin is among those of much or little; in
-    array functions over the window. Bins are right-closed, the lowest edge included."""
-    df = df.withColumn("_a", guard(F.collect_list(F.struct("close", "volume")).over(W(lookback)), "close", lookback, W(lookback)))
-    df = df.withColumns({"_lo": F.array_min(F.transform("_a", lambda v: v["close"])), "_hi": F.array_max(F.transform("_a", lambda v: v["close"]))})
-    size = (F.col("_hi") - F.col("_lo")) / bins
-    df = df.withColumn("_w", size)
-    place = lambda c: F.least(F.greatest(F.ceil((c - F.col("_lo")) / F.col("_w")) - 1, F.lit(0)), F.lit(bins - 1))
-    df = df.withColumn("_b", F.when(F.col("_w") > 0, F.transform("_a", lambda v: F.struct(place(v["close"]).alias("i"), v["volume"].alias("v")))))
+    """vp_distance: of the close to the middle of the price bin with the most volume, by that; in_hvn, in_lvn: 1 where the close
+    is in a bin of much or of little volume, else 0, also before bar `lookback` and where there is no range or no volume.
+
+    Bins part the range from the least low to the greatest high, take middles of bars, and are closed on the right, the
+    first one on both sides. The close is held against their edges as they are named, rounded to three places (three
+    digits under one; more where edges would fall together), the lowest moved down by one, closed on both sides."""
+    df = df.withColumn("_a", guard(F.collect_list(F.struct("high", "low", "volume")).over(W(lookback)), "high", lookback, W(lookback)))
+    df = df.withColumns({"_lo": F.array_min("_a.low"), "_hi": F.array_max("_a.high")}).withColumn("_a", F.when(F.col("_hi") > F.col("_lo"), F.col("_a")))
+    edge = lambda k: F.when(k == bins, F.col("_hi")).otherwise(F.col("_lo") + k * ((F.col("_hi") - F.col("_lo")) / bins))
+    df = df.withColumn("_e", F.when(F.col("_a").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(bins)), edge)))
+    df = df.withColumn("_b", F.transform("_a", lambda v: F.struct(F.greatest(F.size(F.filter("_e", lambda e: e < (v["high"] + v["low"]) / 2)) - 1, F.lit(0)).alias("i"), v["volume"].alias("v"))))
     df = df.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.aggregate(F.filter("_b", lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["v"])))
-    df = df.withColumns({"_poc": F.array_position("_v", F.array_max("_v")) - 1, "_s": F.array_sort("_v"), "_mine": F.when(F.col("_w") > 0, F.get("_v", place(F.col("close")).cast("int")))})
-    q = lambda p: F.get("_s", F.lit(int(p * (bins - 1)))) + (F.get("_s", F.lit(int(p * (bins - 1)) + 1)) - F.get("_s", F.lit(int(p * (bins - 1))))) * (p * (bins - 1) - int(p * (bins - 1)))
-    poc = F.col("_lo") + (F.col("_poc") + 0.5) * F.col("_w")
-    return df.withColumns({"vp_distance": F.try_divide(F.col("close") - poc, poc), "in_hvn": F.col("_mine") >= q(high), "in_lvn": F.col("_mine") <= q(low)}).drop(*[f"_{x}" for x in ("a", "lo", "hi", "w", "b", "v", "poc", "s", "mine")])
+    digits = lambda e, p: F.when((F.abs(e) < 1) & (e != 0), p - 1 - F.floor(F.log10(F.abs(e)))).otherwise(p)
+    named = lambda p: F.transform("_e", lambda e: F.rint(e * F.pow(F.lit(10.0), digits(e, p))) / F.pow(F.lit(10.0), digits(e, p)))
+    df = df.withColumn("_p", F.try_element_at(F.filter(F.sequence(F.lit(3), F.lit(17)), lambda p: F.size(F.array_distinct(named(p))) > bins), F.lit(1)))
+    df = df.withColumn("_e", F.transform(named(F.coalesce("_p", F.lit(17))), lambda e, k: F.when(k == 0, e - F.pow(F.lit(10.0), -F.col("_p"))).otherwise(e)))
+    df = df.withColumns({"_poc": F.when(F.array_max("_v") > 0, F.array_position("_v", F.array_max("_v")) - 1).cast("int"), "_s": F.array_sort("_v")})
+    poc = (F.get("_e", "_poc") + F.get("_e", F.col("_poc") + 1)) / 2
+
+    def quantile_of(q: float) -> Column:
+        at = q * (bins - 1)
+        below, above = F.get("_s", F.lit(int(at))), F.get("_s", F.lit(min(int(at) + 1, bins - 1)))
+        return below + (above - below) * (at - int(at))
+
+    mine = F.expr("filter(_v, (v, i) -> get(_e, i) <= close and close <= get(_e, i + 1))")
+    df = df.withColumns({"_hvn": quantile_of(high), "_lvn": quantile_of(low), "_mine": F.when(F.col("_poc").isNotNull(), mine)})
+    flag = lambda test: F.coalesce(F.exists("_mine", test), F.lit(False)).cast("int")
+    df = df.withColumns({"vp_distance": F.when(poc == 0, 0.0).otherwise((F.col("close") - poc) / poc), "in_hvn": flag(lambda v: v >= F.col("_hvn")), "in_lvn": flag(lambda v: v <= F.col("_lvn"))})
+    return df.drop(*[f"_{x}" for x in "a lo hi e b v p poc s hvn lvn mine".split()])
 
 
 def divergence(df: DataFrame, n: int = 60, threshold: int = 1, cross_zero: bool = True, by_close: bool = True, by_peak: bool = True, by_candle: bool = True, by_area: bool = True, dea_pull: bool = True, pull: float = 0.0, rate: float = 0.9) -> DataFrame:

@@ -9,21 +9,28 @@ from ..functions.scalars import quantize
 from ..schema import KEY, TIME
 
 
+#: Decimal places at which indicators are compared.
+PLACES = 9
+
+
 def dmi_signals(df: DataFrame, threshold: float = 25.0, peak: float = 70.0) -> DataFrame:
     """entry (1, -1, 0): ADXR comes over the threshold with ADX above it, on the side of the larger DI while the other
     doesn't rise. exit_long, exit_short: the DIs have turned against the side while ADX is over the threshold and rises,
     ADX falls from over the peak, or ADX and ADXR fall with ADX the lower. False and 0 where a value is missing; the values
-    before the first bar that has any are that bar's own."""
-    before = {c: F.coalesce(ops.delay(c), F.col(c)) for c in ("adx", "adxr", "pdi", "mdi")}
-    df = df.withColumns({f"_{c}": x for c, x in before.items()})
-    adx, adxr, pdi, mdi = (F.col(c) for c in ("adx", "adxr", "pdi", "mdi"))
+    before the first bar that has any are that bar's own. Values are compared at PLACES places, as sums of moving windows
+    differ in their last bits."""
+    names = ("adx", "adxr", "pdi", "mdi")
+    kept = df.columns
+    df = df.withColumns({f"_now_{c}": F.round(c, PLACES) for c in names})
+    df = df.withColumns({f"_{c}": F.coalesce(ops.delay(f"_now_{c}"), F.col(f"_now_{c}")) for c in names})
+    adx, adxr, pdi, mdi = (F.col(f"_now_{c}") for c in names)
     cross = (F.col("_adxr") < threshold) & (adxr > threshold) & (adx > adxr)
     entry = F.when(cross & (pdi > mdi) & (mdi <= F.col("_mdi")), 1).when(cross & (pdi < mdi) & (pdi <= F.col("_pdi")), -1).otherwise(0)
     rising, falling = (adx > threshold) & (adx > F.col("_adx")), adx < F.col("_adx")
     tired = ((adx > peak) & falling) | ((adx < adxr) & (adxr < F.col("_adxr")) & falling)
     no = F.lit(False)
     out = {"entry": entry, "exit_long": F.coalesce((pdi < mdi) & rising, no) | F.coalesce(tired, no), "exit_short": F.coalesce((pdi > mdi) & rising, no) | F.coalesce(tired, no)}
-    return df.withColumns(out).drop("_adx", "_adxr", "_pdi", "_mdi")
+    return df.withColumns(out).select(*[c for c in kept if c not in out], *out)
 
 
 def hold_positions(df: DataFrame) -> DataFrame:

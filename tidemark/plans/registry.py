@@ -9,6 +9,7 @@ from ..sources import fixtures as fx, io
 from ..sources.fixtures import out
 from .node_sql import STEPS, node_sql
 from .recursive_sql import COLUMNS as RECURSIVE, recursive_sql, recursive_tables
+from .factor_sql import custom_tables, profile_tables
 from .structure_sql import divergence_sql, fractal_sql, hurst_sql, sequence_sql, stroke_sql, zone_sql
 
 K = ["symbol", "start_time"]
@@ -79,6 +80,15 @@ def g(agg: str, x: str, n: int) -> str:
     return f"case when count({x}) over {rows(n)} >= {n} then {agg}({x}) over {rows(n)} end"
 
 
+def stepped(x: str, name: str) -> str:
+    return f32(f"round(({x}) * {STEPS}) / {STEPS}", name)
+
+
+def show_steps(df: DataFrame, cols: list[str]) -> DataFrame:
+    """In steps of 1 / STEPS: what the order of sums adds is gone, and no decimal value lies half way."""
+    return show(df.withColumns({c: F.round(F.col(c) * STEPS) / STEPS for c in cols}), cols)
+
+
 ORD = "(partition by symbol order by start_time)"
 BAR6 = ", ".join(f32(c, c) for c in ("open", "high", "low", "close", "volume", "amount"))
 SAME = ["open", "high", "low", "close", "volume", "amount"]
@@ -428,9 +438,10 @@ def _i50(spark, d):
     return show(rows, "high low n_legs is_finished".split(), ["symbol", "seq", "start_time", "end_time"])
 
 
-@register("i41_volume_profile")
+@register("i41_volume_profile", profile_tables(_bars("1H")) + f" select symbol, start_time, {stepped('vp_distance', 'vp_distance')}, in_hvn, in_lvn from p")
 def _(spark, d):
-    return show(ind.volume_profile(hourly(spark, d)), ["vp_distance", "in_hvn", "in_lvn"])
+    df = ind.volume_profile(hourly(spark, d))
+    return show_steps(df, ["vp_distance"]).join(df.select(*K, "in_hvn", "in_lvn"), K)
 
 
 # Factors
@@ -470,15 +481,6 @@ _BASE158 = f"""u as (select *, amount / (volume + 1e-12) as vwap, row_number() o
 t as (select *, case when lv is not null then close end as c1, case when close is not null then lv end as l1, case when vr is not null then cr end as c2, case when cr is not null then vr end as v2 from u)"""
 
 
-def stepped(x: str, name: str) -> str:
-    return f32(f"round(({x}) * {STEPS}) / {STEPS}", name)
-
-
-def show_steps(df: DataFrame, cols: list[str]) -> DataFrame:
-    """In steps of 1 / STEPS: what the order of sums adds is gone, and no decimal value lies half way."""
-    return show(df.withColumns({c: F.round(F.col(c) * STEPS) / STEPS for c in cols}), cols)
-
-
 for _n in fa.WINDOWS:
 
     @register(f"f17_f25_rolling_{_n}", sql(_BASE158 + " select symbol, start_time, " + ", ".join(stepped(v, f"{k}{_n}") for k, v in _c158(_n).items()) + " from t"))
@@ -536,13 +538,14 @@ def _(spark, d):
     return show(fa.long_short_volume(weekly(spark, d)), ["LongShortVolumeRatio_20_5"])
 
 
-@register("f5_f13_custom")
+_CUSTOM = {"VolumeAverage_20_FLAT_min_volume_20": "volume_average", "SimpleDMOM": "simple_dmom", "SimpleAR_60": "simple_ar"} | {c: c for c in "am_alpha am_beta am_gamma am_r2 ps_diff ps_pos ps_neg ps_pos_norm ps_neg_norm ps_strength ps_threshold".split()}
+
+
+@register("f5_f13_custom", custom_tables(_bars("1W")) + " select symbol, start_time, up_run, down_run, ps_is_spike, " + ", ".join(stepped(f"round({x}, 6)" if c == "am_r2" else x, f'"{c}"') for c, x in _CUSTOM.items()) + " from o")
 def _(spark, d):
-    df = weekly(spark, d)
-    base = df.columns
-    for f in (fa.volume_average, fa.acceleration, fa.run_lengths, fa.simple_dmom, fa.spread, fa.price_spike):
-        df = f(df) if f is not fa.simple_dmom else f(df.drop("up_run", "down_run"))
-    return show(df, [c for c in df.columns if c not in base])
+    df = fa.run_lengths(fa.price_spike(fa.spread(fa.simple_dmom(fa.acceleration(fa.volume_average(weekly(spark, d)))))))
+    df = df.withColumns({"am_r2": F.round("am_r2", 6), "up_run": F.col("up_run").cast("long"), "down_run": F.col("down_run").cast("long")})
+    return show_steps(df, list(_CUSTOM)).join(df.select(*K, "up_run", "down_run", "ps_is_spike"), K)
 
 
 def _ar(x: str, first: int) -> str:
@@ -925,7 +928,7 @@ c as (select *, coalesce(padxr < 25 and adxr > 25 and adx > adxr, false) as cros
 select symbol, start_time, case when cross_ and pdi > mdi and mdi <= pmdi then 1 when cross_ and pdi < mdi and pdi <= ppdi then -1 else 0 end as entry, coalesce(pdi < mdi and rising, false) or tired as exit_long, coalesce(pdi > mdi and rising, false) or tired as exit_short from c"""
 
 
-@register("s1_dmi_signals", recursive_tables(_bars("1H")) + ", i as (select symbol, start_time, adx, pdi, mdi, (adx + coalesce(adx7, adx6, adx)) / 2 as adxr from o), " + _SIGNAL_SQL)
+@register("s1_dmi_signals", recursive_tables(_bars("1H")) + ", i as (select symbol, start_time, round(adx, 9) as adx, round(pdi, 9) as pdi, round(mdi, 9) as mdi, round((adx + coalesce(adx7, adx6, adx)) / 2, 9) as adxr from o), " + _SIGNAL_SQL)
 def _(spark, d):
     return sig.dmi_signals(scans.recursive_indicators(hourly(spark, d))).select("symbol", "start_time", "entry", "exit_long", "exit_short")
 

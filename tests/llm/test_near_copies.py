@@ -62,3 +62,21 @@ def test_stage_drops_copies_whose_fingerprints_are_far(spark, sf):
     rows = docs.orderBy("doc_id").collect()
     got = {r.doc_id for r in common.cut(p.keep_one_of_near_copies(spark, docs, sf), "test").collect()}
     assert got == {rows[i].doc_id for i in set(brute([r.text or "" for r in rows]))}
+
+
+def test_large_buckets_of_unlike_texts_stay_in_parts(spark, monkeypatch):
+    """One passage in many texts, some of them copies, with parts and blocks so small that all rounds and meetings are used."""
+    r = np.random.default_rng(8)
+    shared = " ".join(f"s{k}" for k in range(8))
+    texts = []
+    for i in range(300):
+        own = [f"t{i}-{k}" for k in range(int(r.integers(6, 60)))]
+        texts.append(" ".join([shared, *own]))
+        if i % 6 == 0:
+            texts += [" ".join([shared, *own, f"end{c}"]) for c in range(int(r.integers(1, 9)))]
+    monkeypatch.setattr(nearcopies, "PART", 16)
+    monkeypatch.setattr(nearcopies, "BLOCK", 32)
+    monkeypatch.setattr(nearcopies, "COMMON", 10**9)  # no member is known as common, so the passage stays in prefixes
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in nearcopies.near_copies(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)

@@ -49,12 +49,14 @@ def _show(found) -> str:
 def _scan(batches):
     for batch in batches:
         blobs, rows = batch.column(0), []
-        for text in batch.column(1).to_pylist():
-            found = scan_text(text)
-            base = [x for x in found if x[1] < len(BASE)]
-            rows.append((*[sum(x[1] == k for x in base) for k in range(3)], hashlib.sha256(_show(base).encode()).hexdigest(), _show(found)))
+        for first, n in common.slices(batch.column(1)):
+            for text in batch.column(1).slice(first, n).to_pylist():
+                found = scan_text(text)
+                base = [x for x in found if x[1] < len(BASE)]
+                rows.append((*[sum(x[1] == k for x in base) for k in range(3)], hashlib.sha256(_show(base).encode()).hexdigest(), _show(found)))
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([blobs, pa.array([RULES] * len(rows), pa.string()), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.string()) for c in cols[3:]]], names=[c.split(" ")[0] for c in LEDGER_SCHEMA.split(", ")])
+    common.give_back()
 
 
 def scan(versions: DataFrame, ledger_path: str, text: str = "text", blob: str = "blob") -> DataFrame:

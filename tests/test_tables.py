@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as prep, labels, performance, signals
-from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA
+from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA, KEY
 from tidemark.sources import io
 from tidemark.streaming import bars as stream
 
@@ -142,6 +142,47 @@ def test_streamed_fill_and_throttle_are_the_batch_ones(spark):
     assert sorted(r.close for r in run_stream(spark, live, stream.throttled).collect()) == sorted(r.close for r in prep.throttle(live).collect())
 
 
+@pytest.fixture
+def tiny(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_streams_lose_nothing_in_small_frames_and_shuffled_files(spark, tiny):
+    from tidemark.operators import scans
+
+    rows = [bar(60_000 * k, c=float(k * k % 7 + 1)) for k in range(60)]
+    df = frame(spark, rows).orderBy(F.rand(3)).repartition(8)
+    got = {r.start_time: r.ema for r in run_stream(spark, df, stream.ema_state).collect()}
+    want = {r.start_time: r.e for r in scans.scan(frame(spark, rows), "e double", lambda t: {"e": scans.ema(t["close"].to_numpy(float), 9)}).collect()}
+    assert len(got) == 60 and got == pytest.approx(want)
+    assert run_stream(spark, df, stream.filled).count() == 60
+
+
+def test_streamed_fill_of_a_long_gap(spark, tiny):
+    df = frame(spark, [bar(0, c=2.0), bar(60_000, c=3.0), bar(60_000 * 5_002, c=4.0)])
+    got = run_stream(spark, df, stream.filled)
+    assert got.count() == 5_003 and got.filter("is_filled").count() == 5_000
+    want = prep.fill_gaps(df)
+    assert got.select("start_time", "open", "high", "low", "close", "volume").exceptAll(want.select("start_time", "open", "high", "low", "close", "volume")).isEmpty()
+
+
+def test_idle_states_are_given_up(spark):
+    df = frame(spark, [bar(60_000 * k, c=float(k)) for k in range(5)])
+    assert run_stream(spark, df, lambda s: stream.indicator_state(s, "ema", idle=60_000)).count() == 5
+
+
+@pytest.mark.parametrize("buffer", [3, 10, 50])
+def test_stored_bars_are_found_past_gaps(spark, buffer):
+    times = [*range(20), *range(100, 104)]
+    df = frame(spark, [bar(60_000 * k, c=float(k)) for k in times])
+    first = df.select(*KEY).distinct().withColumn("_first", F.lit(60_000 * 103))
+    got = sorted(r.start_time // 60_000 for r in stream.last_stored(df, first, buffer).collect())
+    assert got == times[:-1][-buffer:]
+    assert stream.last_stored(df, first.limit(0), buffer).count() == 0
+
+
 def test_dual_mode_is_the_batch_on_the_tail(spark):
     from tidemark.functions import ops
 

@@ -66,30 +66,60 @@ def _atr(n: int):
 
 STEPS = {"ema": (_ema, 9), "rsi": (_rsi, 14), "atr": (_atr, 14)}
 _KEYS = "market string, symbol string, quote_currency string, ins_type int, timeframe string, start_time long"
+#: Rows that a state function hands on at once.
+CHUNK = 10_000
 
 
-def indicator_state(stream: DataFrame, kind: str = "ema", n: int | None = None) -> DataFrame:
+def _stateful(stream: DataFrame, out: str, held: str, order: list[str], work: Callable, idle: int | None) -> DataFrame:
+    """work(key, rows as dictionaries in order, held values or None) yields result rows and returns the new held values. The
+    rows of a series in a micro-batch come in frames of no set order and are put in order first. idle: milliseconds without
+    a row after which a series' state is given up; without it, states are kept for ever."""
+    names = [c.split(" ")[0] for c in out.split(", ")]
+    floats = {n: "float64" for n, c in zip(names, out.split(", ")) if c.endswith(" double")}
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+        steps = work(key, rows.to_dict("records"), state.get if state.exists else None)
+        done, new = [], None
+        while True:
+            try:
+                done.append(next(steps))
+            except StopIteration as end:
+                new = end.value
+                break
+            if len(done) == CHUNK:
+                yield pd.DataFrame(done, columns=names).astype(floats)
+                done = []
+        state.update(new)
+        if idle:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(done, columns=names).astype(floats)
+
+    return stream.groupBy(*KEY).applyInPandasWithState(run, out, held, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
+
+
+def indicator_state(stream: DataFrame, kind: str = "ema", n: int | None = None, idle: int | None = None) -> DataFrame:
     """A recursive indicator (ema, rsi or atr) with a few numbers of state per series: finished bars commit it, others
-    preview it. Bars at or before the last finished one are dropped."""
+    preview it. Bars at or before the last finished one of an earlier micro-batch are dropped."""
     make, default = STEPS[kind]
     step = make(n or default)
 
-    def run(key, frames, state):
-        held, last = state.get if state.exists else ([], -1)
+    def work(key, bars, state):
+        held, last = state or ([], -1)
         held = list(held)
-        for t in frames:
-            out = []
-            for bar in t.sort_values([TIME, "is_finished"], kind="stable").to_dict("records"):
-                if bar[TIME] <= last:
-                    continue
-                new, value = step(held, bar)
-                out.append((*key, bar[TIME], value, bool(bar["is_finished"])))
-                if bar["is_finished"]:
-                    held, last = new, bar[TIME]
-            yield pd.DataFrame(out, columns=[*KEY, TIME, kind, "is_finished"]).astype({kind: "float64"})
-        state.update((held, int(last)))
+        for bar in bars:
+            if bar[TIME] <= last:
+                continue
+            new, value = step(held, bar)
+            yield (*key, bar[TIME], value, bool(bar["is_finished"]))
+            if bar["is_finished"]:
+                held, last = new, bar[TIME]
+        return held, int(last)
 
-    return stream.groupBy(*KEY).applyInPandasWithState(run, f"{_KEYS}, {kind} double, is_finished boolean", "held array<double>, last long", "append", "NoTimeout")
+    return _stateful(stream, f"{_KEYS}, {kind} double, is_finished boolean", "held array<double>, last long", [TIME, "is_finished"], work, idle)
 
 
 def ema_state(stream: DataFrame, n: int = 9) -> DataFrame:
@@ -99,53 +129,70 @@ def ema_state(stream: DataFrame, n: int = 9) -> DataFrame:
 _BAR = ["open", "high", "low", "close", "volume", "amount"]
 
 
-def filled(stream: DataFrame, most: int = 1_000) -> DataFrame:
-    """Finished bars with synthetic ones in the gaps, as fill_gaps makes them: the state of a series is its last bar and
-    the volumes and amounts of up to five real ones. A gap of more than `most` bars is left open, as one bar would give
-    as many rows."""
+def filled(stream: DataFrame, idle: int | None = None) -> DataFrame:
+    """Finished bars with synthetic ones in the gaps, however long, as fill_gaps makes them: the state of a series is its
+    last bar and the volumes and amounts of up to five real ones."""
     from ..schema import TIMEFRAMES
 
-    def run(key, frames, state):
-        last, volumes, amounts = state.get if state.exists else ([], [], [])
-        last, volumes, amounts = list(last), list(volumes), list(amounts)
+    def work(key, bars, state):
+        last, volumes, amounts = (list(x) for x in state) if state else ([], [], [])
         size = TIMEFRAMES[key[KEY.index("timeframe")]]
-        for t in frames:
-            out = []
-            for b in t[t["is_finished"]].sort_values(TIME, kind="stable").to_dict("records"):
-                if last and b[TIME] <= last[0]:
-                    continue
-                k = int((b[TIME] - last[0]) // size) - 1 if last else 0
-                if 0 < k <= most:
-                    at, close, high, low = last
-                    mid, v, a = (high + low) / 2, sum(volumes) / len(volumes), sum(amounts) / len(amounts)
-                    for i in range(1, k + 1):
-                        o, c = close if i == 1 else mid, b["open"] if i == k else mid
-                        out.append((*key, int(at + i * size), o, max(o, c, high), min(o, c, low), c, v, a, True))
-                out.append((*key, b[TIME], *[b[x] for x in _BAR], bool(b.get("is_filled") or False)))
-                last, volumes, amounts = [float(b[TIME]), b["close"], b["high"], b["low"]], [*volumes, b["volume"]][-5:], [*amounts, b["amount"]][-5:]
-            yield pd.DataFrame(out, columns=[*KEY, TIME, *_BAR, "is_filled"])
-        state.update((last, volumes, amounts))
+        for b in bars:
+            if not b["is_finished"] or last and b[TIME] <= last[0]:
+                continue
+            if last:
+                at, close, high, low = last
+                mid, k = (high + low) / 2, int((b[TIME] - at) // size) - 1
+                for i in range(1, k + 1):
+                    o, c = close if i == 1 else mid, b["open"] if i == k else mid
+                    yield (*key, int(at + i * size), o, max(o, c, high), min(o, c, low), c, sum(volumes) / len(volumes), sum(amounts) / len(amounts), True)
+            yield (*key, b[TIME], *[b[x] for x in _BAR], bool(b.get("is_filled") or False))
+            last, volumes, amounts = [float(b[TIME]), b["close"], b["high"], b["low"]], [*volumes, b["volume"]][-5:], [*amounts, b["amount"]][-5:]
+        return last, volumes, amounts
 
     kinds = f"{_KEYS}, " + ", ".join(f"{c} double" for c in _BAR) + ", is_filled boolean"
-    return stream.groupBy(*KEY).applyInPandasWithState(run, kinds, "last array<double>, volumes array<double>, amounts array<double>", "append", "NoTimeout")
+    return _stateful(stream, kinds, "last array<double>, volumes array<double>, amounts array<double>", [TIME], work, idle)
 
 
-def throttled(stream: DataFrame, ratio: float = 0.001, seconds: float = 10.0) -> DataFrame:
+def throttled(stream: DataFrame, ratio: float = 0.001, seconds: float = 10.0, idle: int | None = None) -> DataFrame:
     """Updates worth keeping, as throttle chooses them: the state of a series is the time, close and bar of the last kept."""
 
-    def run(key, frames, state):
-        held = list(state.get[0]) if state.exists else []
-        for t in frames:
-            out = []
-            for b in t.sort_values("current_time", kind="stable").to_dict("records"):
-                now, close = float(b["current_time"]), b["close"]
-                if not held or b["is_finished"] or b[TIME] != held[2] or now - held[0] > 1000 * seconds or (close and abs(1 - held[1] / close) > ratio):
-                    out.append((*key, b[TIME], int(now), close, bool(b["is_finished"])))
-                    held = [now, close, float(b[TIME])]
-            yield pd.DataFrame(out, columns=[*KEY, TIME, "current_time", "close", "is_finished"])
-        state.update((held,))
+    def work(key, updates, state):
+        held = list(state[0]) if state else []
+        for b in updates:
+            now, close = float(b["current_time"]), b["close"]
+            if not held or b["is_finished"] or b[TIME] != held[2] or now - held[0] > 1000 * seconds or (close and abs(1 - held[1] / close) > ratio):
+                yield (*key, b[TIME], int(now), close, bool(b["is_finished"]))
+                held = [now, close, float(b[TIME])]
+        return (held,)
+
+    return _stateful(stream, f"{_KEYS}, current_time long, close double, is_finished boolean", "held array<double>", ["current_time"], work, idle)
 
-    return stream.groupBy(*KEY).applyInPandasWithState(run, f"{_KEYS}, current_time long, close double, is_finished boolean", "held array<double>", "append", "NoTimeout")
+
+def last_stored(stored: DataFrame, first: DataFrame, buffer: int) -> DataFrame:
+    """The last `buffer` stored bars of each series before the time _first that `first` (key, _first) gives. Bars of twice
+    that many timeframes are read; only series with fewer among them are looked for in the whole store."""
+    from pyspark.sql import Window
+
+    from ..schema import TIMEFRAMES
+
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in TIMEFRAMES.items() for x in pair]), F.col("timeframe"))
+    first = first.withColumn("_since", F.col("_first") - 2 * buffer * size)
+    bound = first.agg(F.min("_since").alias("low"), F.max("_first").alias("high"), F.count(F.lit(1)).alias("n"), F.count("_since").alias("known")).first()
+    if not bound.n:
+        return stored.limit(0)
+    back = Window.partitionBy(*KEY).orderBy(F.desc(TIME))
+    last = lambda rows: rows.filter(F.col(TIME) < F.col("_first")).withColumn("_k", F.row_number().over(back)).filter(F.col("_k") <= buffer).drop("_k", "_first", "_since")
+    near = stored.filter(F.col(TIME) < bound.high)
+    if bound.known == bound.n:
+        near = near.filter(F.col(TIME) >= bound.low)
+    near = near.join(first, KEY).filter(F.col("_since").isNull() | (F.col(TIME) >= F.col("_since")))
+    enough = near.filter(F.col(TIME) < F.col("_first")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= buffer).drop("n")
+    short = first.join(enough, KEY, "left_anti")
+    found = last(near.join(enough, KEY, "left_semi"))
+    if short.isEmpty():
+        return found
+    return found.unionByName(last(stored.join(short, KEY)))
 
 
 def dual_mode(stored: Callable[[], DataFrame], factor: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], buffer: int = 360):
@@ -154,11 +201,7 @@ def dual_mode(stored: Callable[[], DataFrame], factor: Callable[[DataFrame], Dat
 
     def run(batch: DataFrame, number: int) -> None:
         new = batch.drop("event_ts")
-        first = new.groupBy(*KEY).agg(F.min(TIME).alias("_first"))
-        from pyspark.sql import Window
-
-        back = Window.partitionBy(*KEY).orderBy(F.desc(TIME))
-        old = stored().join(first, KEY).filter(F.col(TIME) < F.col("_first")).withColumn("_k", F.row_number().over(back)).filter(F.col("_k") <= buffer)
+        old = last_stored(stored(), new.groupBy(*KEY).agg(F.min(TIME).alias("_first")), buffer)
         both = old.select(*new.columns).withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
         sink(factor(both).filter("_new").drop("_new"), number)
 

@@ -116,7 +116,8 @@ def report_summary(reports: DataFrame) -> DataFrame:
 
 
 def robustness(df: DataFrame, factor: str, level: float = 0.05, trials: int = 5, seed: int = 42) -> DataFrame:
-    """Least of the mean rank correlations between the factor and itself with Gaussian and with t(3) noise."""
+    """Least of the mean rank correlations between the factor and itself with Gaussian and with t(3) noise; 1 for
+    fewer than ten values."""
     std = F.stddev_samp(factor).over(S())
     z = lambda k: F.randn(seed + k)
     cols = {}
@@ -127,7 +128,7 @@ def robustness(df: DataFrame, factor: str, level: float = 0.05, trials: int = 5,
     df = df.withColumn("_r", ops.rank(factor)).withColumns({f"{c}r": ops.rank(c) for c in cols})
     pair = lambda c: F.try_divide(F.covar_samp("_r", f"{c}r"), F.stddev_samp("_r") * F.stddev_samp(f"{c}r"))
     mean = lambda kind: sum((pair(f"_{kind}{k}") for k in range(trials)), F.lit(0.0)) / trials
-    return df.groupBy(*KEY).agg(F.least(mean("g"), mean("t")).alias("robustness"))
+    return df.groupBy(*KEY).agg(F.when(F.count(F.lit(1)) < 10, 1.0).otherwise(F.least(mean("g"), mean("t"))).alias("robustness"))
 
 
 def merge_ic(ic: DataFrame) -> DataFrame:
@@ -227,6 +228,16 @@ def sample(df: DataFrame, n: int = 5000, seed: int = 42, order: str = "doc_id")
 
 
 def to_signal(p: Column, threshold: float = 0.6) -> Column:
-    """Of a three-class probability array (down, flat, up): the side whose probability is largest and over the threshold."""
-    top = F.array_max(p)
-    return F.when((top > threshold) & (p[2] == top), "LONG").when((top > threshold) & (p[0] == top), "SHORT").otherwise("NONE")
+    """(side, confidence) of a probability array, of two classes (down, up) or three (down, flat, up): the side whose
+    probability is over the threshold, up before down, and with three classes the largest; NONE and null otherwise."""
+    up, down, top = F.element_at(p, -1), p[0], F.array_max(p)
+    two = F.size(p) == 2
+    long, short = (up > threshold) & (two | (up == top)), (down > threshold) & (two | (down == top))
+    ok = F.size(p).isin(2, 3)
+    return F.struct(F.when(ok & long, "LONG").when(ok & short, "SHORT").otherwise("NONE").alias("side"), F.when(ok & long, up).when(ok & short, down).alias("confidence"))
+
+
+def return_signal(r: Column, threshold: float = 0.01) -> Column:
+    """(side, confidence) of a predicted return: beyond the threshold, as sure as it is large, 1 from twice the threshold on."""
+    far = F.abs(r) > threshold
+    return F.struct(F.when(far & (r > 0), "LONG").when(far, "SHORT").otherwise("NONE").alias("side"), F.when(far, F.least(F.abs(r) / (2 * threshold), F.lit(1.0))).alias("confidence"))

@@ -337,15 +337,49 @@ def compute_all(df: DataFrame, factors: dict) -> DataFrame:
     return out.select(*base, *[c for c in out.columns if c not in base])
 
 
+def with_categories(df: DataFrame, column: str, categories: list) -> DataFrame:
+    """The column, which numbers categories from 0, with their list in its metadata, as a nominal attribute: it goes with the
+    column through select, join and Parquet, and tells Spark's tree learners to split by sets of values."""
+    attr = {"type": "nominal", "name": column, "vals": [str(c) for c in categories]}
+    return df.withMetadata(column, {"ml_attr": attr, "num_categories": len(categories)})
+
+
+def categorical_info(df: DataFrame) -> dict[str, int]:
+    """Number of categories of each column that has any in its metadata."""
+    return {f.name: f.metadata["num_categories"] for f in df.schema.fields if "num_categories" in f.metadata}
+
+
+def encoder_classes(df: DataFrame) -> dict[str, list[str]]:
+    """The category lists of such columns, as encode_as() takes them."""
+    return {f.name: f.metadata["ml_attr"]["vals"] for f in df.schema.fields if "num_categories" in f.metadata}
+
+
+def encode(df: DataFrame, column: str, out: str, categories: list[str]) -> DataFrame:
+    """out: the place of the column's value among the categories, null for another value, with their list as metadata."""
+    known = [str(c) for c in categories]
+    place = F.array_position(F.array(*[F.lit(c) for c in known]), F.col(column).cast("string")).cast("int") - 1 if known else F.lit(-1)
+    return with_categories(df.withColumn(out, F.when(place >= 0, place)), out, known)
+
+
+def encode_as(df: DataFrame, columns: dict[str, str], like: dict[str, list[str]]) -> DataFrame:
+    """Columns (result: source) encoded by the lists that encoder_classes() gave for another frame."""
+    for out, column in columns.items():
+        df = encode(df, column, out, like[out])
+    return df
+
+
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
-    """One column for each category, sorted; an unknown value has zeros."""
-    return df.withColumns({f"{column}_{c}": (F.coalesce(F.col(column) == c, F.lit(False))).cast("int") for c in sorted(categories)})
+    """One column for each category, sorted; an unknown value has zeros. Each is marked as of two categories."""
+    names = {f"{column}_{c}": c for c in sorted(categories)}
+    df = df.withColumns({n: (F.coalesce(F.col(column) == c, F.lit(False))).cast("int") for n, c in names.items()})
+    for n in names:
+        df = with_categories(df, n, ["0", "1"])
+    return df
 
 
 def timeframe_code(df: DataFrame) -> DataFrame:
     """The timeframe's place in alphabetical order of all timeframes, ticks included."""
-    names = sorted([*TIMEFRAMES, "tick"])
-    return df.withColumn("timeframe_code", F.try_element_at(F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)]), F.col("timeframe")))
+    return encode(df, "timeframe", "timeframe_code", sorted([*TIMEFRAMES, "tick"]))
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -57,19 +57,33 @@ def reversal(df: DataFrame, n: int = 3, lookback: int = 20, threshold: float = 0
 def triple_barrier(df: DataFrame, hold: int = 10, profit: float = 0.02, stop: float = 0.01, side: str = "long", classes: int = 3, conservative: bool = True) -> DataFrame:
     """First barrier that the next `hold` bars touch: 2 profit, 1 neither, 0 stop. On the same bar the stop comes first if
     conservative. With two classes neither is decided by the last close. side 'short' mirrors; the horizon shortens at the
-    end of a series, and its last bar has no label."""
+    end of a series, and its last bar has no label.
+
+    side 'both': a side wins that reaches its profit before its stop; 2 if only the long one does, 0 if only the short one,
+    else 1. With two classes, 1 for long and 0 for short: of two winners the earlier profit decides (long on the same bar),
+    of none the last close, which has to be under the bar's for 0."""
     df = df.withColumn("_n", F.collect_list(F.struct("high", "low", "close")).over(N(hold)))
-    up, down = F.col("close") * (1 + (profit if side != "short" else stop)), F.col("close") * (1 - (stop if side != "short" else profit))
-    df = df.withColumns({"_u": F.array_position(F.transform("_n", lambda b: b["high"] >= up), True), "_d": F.array_position(F.transform("_n", lambda b: b["low"] <= down), True)})
-    win, lose = ("_u", "_d") if side != "short" else ("_d", "_u")
-    first = F.when((F.col("_u") == 0) & (F.col("_d") == 0), 1).when(F.col(lose) == 0, 2).when(F.col(win) == 0, 0)
-    tie = F.when(F.col(win) == F.col(lose), 0 if conservative else 2)
-    label = F.coalesce(first, tie, F.when(F.col(win) < F.col(lose), 2).otherwise(0))
-    if classes == 2:
-        last = F.element_at("_n", -1)["close"]
-        rose = (last > F.col("close")) if side != "short" else (last < F.col("close"))
-        label = F.when(label == 1, rose.cast("int")).otherwise((label == 2).cast("int"))
-    return df.withColumn("label", F.when(F.size("_n") > 0, label)).drop("_n", "_u", "_d")
+    first = lambda test: F.array_position(F.transform("_n", test), True)
+    over = lambda by: first(lambda b: b["high"] >= F.col("close") * (1 + by))
+    under = lambda by: first(lambda b: b["low"] <= F.col("close") * (1 - by))
+    df = df.withColumns({"_lw": over(profit), "_ll": under(stop), "_sw": under(profit), "_sl": over(stop)})
+    last = F.element_at("_n", -1)["close"]
+    if side == "both":
+        wins = {k: (F.col(f"_{k}w") > 0) & ((F.col(f"_{k}l") == 0) | (F.col(f"_{k}l") > F.col(f"_{k}w") if conservative else F.col(f"_{k}l") >= F.col(f"_{k}w"))) for k in "ls"}
+        only_long, only_short = wins["l"] & ~wins["s"], wins["s"] & ~wins["l"]
+        if classes == 2:
+            label = F.when(only_long, 1).when(only_short, 0).when(wins["l"], (F.col("_lw") <= F.col("_sw")).cast("int")).otherwise((last >= F.col("close")).cast("int"))
+        else:
+            label = F.when(only_long, 2).when(only_short, 0).otherwise(1)
+    else:
+        win, lose = (F.col(f"_{side[0]}{x}") for x in "wl")
+        none = F.when((win == 0) & (lose == 0), 1).when(lose == 0, 2).when(win == 0, 0)
+        tie = F.when(win == lose, 0 if conservative else 2)
+        label = F.coalesce(none, tie, F.when(win < lose, 2).otherwise(0))
+        if classes == 2:
+            rose = (last > F.col("close")) if side != "short" else (last < F.col("close"))
+            label = F.when(label == 1, rose.cast("int")).otherwise((label == 2).cast("int"))
+    return df.withColumn("label", F.when(F.size("_n") > 0, label)).drop("_n", "_lw", "_ll", "_sw", "_sl")
 
 
 def fused(df: DataFrame, labels: dict[str, Column], weights: dict[str, float] | None = None) -> DataFrame:

@@ -8,18 +8,31 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from . import evaluation
+from . import evaluation, factors
+
+
+def _complete(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Rows without a null among features and label; features with categories as doubles, as only these stay nominal when
+    they are assembled."""
+    df = df.dropna(subset=[*features, label])
+    for c in set(factors.categorical_info(df)) & set(features):
+        df = df.withColumn(c, F.col(c).cast("double")).withMetadata(c, df.schema[c].metadata)
+    return df
 
 
 def train(df: DataFrame, features: list[str], label: str = "label", task: str = "classification", classes: int = 2, depth: int = 5, rate: float = 0.05, rounds: int = 50, subsample: float = 1.0, weight: str | None = None, validation: str | None = None, seed: int = 42) -> PipelineModel:
     """A pipeline that assembles the features and applies boosted trees: a binary classifier, one of several classes (one
-    against the rest), or a regression. validation: a boolean column; its rows tell when to stop. Rows with a null feature
-    or label are left out. Labels of classes are 0, 1, ..."""
-    df = df.dropna(subset=[*features, label])
-    settings = dict(featuresCol="_features", labelCol=label, maxDepth=depth, stepSize=rate, maxIter=rounds, subsamplingRate=subsample, seed=seed)
+    against the rest), or a regression. validation: a boolean column; its rows tell when to stop, which one against the rest
+    can't do: with more than two classes it is an error. Rows with a null feature or label are left out. Labels of classes
+    are 0, 1, ... Features with categories in their metadata are split by sets of these."""
+    if validation and task != "regression" and classes > 2:
+        raise ValueError("validation rows need a regression or two classes")
+    df = _complete(df, features, label)
+    bins = {"maxBins": max([32, *[n for c, n in factors.categorical_info(df).items() if c in features]])}
+    settings = dict(featuresCol="_features", labelCol=label, maxDepth=depth, stepSize=rate, maxIter=rounds, subsamplingRate=subsample, seed=seed, **bins)
     if weight:
         settings["weightCol"] = weight
-    if validation and classes == 2:
+    if validation:
         settings["validationIndicatorCol"] = validation
     if task == "regression":
         learner = GBTRegressor(**settings)
@@ -32,8 +45,9 @@ def train(df: DataFrame, features: list[str], label: str = "label", task: str =
 
 def train_forest(df: DataFrame, features: list[str], label: str = "label", depth: int = 5, trees: int = 50, weight: str | None = None, seed: int = 42) -> PipelineModel:
     """A forest, which gives probabilities of any number of classes."""
-    df = df.dropna(subset=[*features, label])
-    learner = RandomForestClassifier(featuresCol="_features", labelCol=label, maxDepth=depth, numTrees=trees, seed=seed, **({"weightCol": weight} if weight else {}))
+    df = _complete(df, features, label)
+    bins = max([32, *[n for c, n in factors.categorical_info(df).items() if c in features]])
+    learner = RandomForestClassifier(featuresCol="_features", labelCol=label, maxDepth=depth, numTrees=trees, seed=seed, maxBins=bins, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(df)
 
 

@@ -192,7 +192,48 @@ def order_summary(orders: DataFrame) -> DataFrame:
 
 def binomial_p(wins: int, n: int) -> float:
     """P(at least so many wins of n at even odds)."""
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(wins, n + 1))) if n else float("nan")
+    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(wins, n + 1))) if n > 0 else 1.0
+
+
+def binomial_test(wins: str, n: str) -> Column:
+    """binomial_p of two columns: a fold over the counts, in logs; 1 without trades, null for a null."""
+    step = lambda acc, k: F.struct(
+        (acc["log"] + F.log((F.col(n) - k) / (k + 1.0))).alias("log"), (acc["p"] + F.when(k >= F.col(wins), F.exp(acc["log"] - F.col(n) * math.log(2))).otherwise(0.0)).alias("p")
+    )
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("p"))
+    below = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1), start, step)  # the last count, n, is left
+    last = F.exp(-F.col(n) * math.log(2))
+    return F.when(F.col(n) < 1, 1.0).when(F.col(n) >= 1, F.least(F.lit(1.0), below["p"] + F.when(F.col(wins) <= F.col(n), last).otherwise(0.0)))
+
+
+def paired_t_test(df: DataFrame) -> DataFrame:
+    """(run_id, n, t, p): one-sided test that returns `ret` are over those of a benchmark, `bench`, on rows that have both; 0
+    and 1 for fewer than two rows. Where all differences are equal, t and p are null."""
+    diff = df.withColumn("_d", F.col("ret") - F.col("bench"))
+    a = diff.groupBy(RUN).agg(F.count("_d").alias("n"), F.avg("_d").alias("m"), F.stddev_samp("_d").alias("s"))
+    kind = df.schema[RUN].dataType.simpleString()
+
+    def p(batches):
+        for t in batches:
+            few = t["n"] < 2
+            stat = (t["m"] / t["s"].where(t["s"] > 0) * np.sqrt(t["n"])).mask(few, 0.0)
+            tail = pd.Series([1.0 if f else _t_sf(x, int(n) - 1) for x, n, f in zip(stat, t["n"], few)], index=t.index, dtype="float64")
+            yield pd.DataFrame({RUN: t[RUN], "n": t["n"], "t": stat, "p": tail})
+
+    out = a.mapInPandas(p, f"{RUN} {kind}, n long, t double, p double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t", "p")})
+
+
+def period_comparison(eq: DataFrame, start: int, ppy: float = 365.0, rf: float = 0.02) -> DataFrame:
+    """metrics() of each run before the time `start` and from it on, in rows with period `previous` and `current`, and for the
+    latter the change of each number since the former. A run without points in a period has no row for it."""
+    at = F.when(F.col(AT) < start, "previous").otherwise("current")
+    parts = eq.withColumn(RUN, F.struct(F.col(RUN).alias("run"), at.alias("period")))
+    m = metrics(parts, ppy, rf).withColumns({"_run": F.col(f"{RUN}.run"), "period": F.col(f"{RUN}.period")}).drop(RUN).withColumnRenamed("_run", RUN)
+    numbers = [c for c, kind in m.dtypes if kind in ("double", "bigint", "int")]
+    before = m.filter("period = 'previous'").select(RUN, F.lit("current").alias("period"), *[F.col(c).alias(f"_p_{c}") for c in numbers])
+    both = m.join(before, [RUN, "period"], "left")
+    return both.withColumns({f"{c}_change": F.col(c) - F.col(f"_p_{c}") for c in numbers}).drop(*[f"_p_{c}" for c in numbers])
 
 
 def bootstrap(eq: DataFrame, times: int = 1000, ppy: float = 365.0, seed: int = 42) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ops
 from ..functions.scalars import quantize
 from ..schema import KEY, TIME
+from .totals import running
 
 
+DAY = 86_400_000
 #: Decimal places at which indicators are compared.
 PLACES = 9
 
@@ -196,19 +198,62 @@ def positions(log: DataFrame) -> DataFrame:
     return p.withColumns({"pnl": F.col("side") * F.coalesce(F.col("closed_size") * (F.col("close_price") - F.col("cost_price")), F.lit(0.0)), "is_closed": F.abs("size_left") < 1e-9})
 
 
-def mark(p: DataFrame, bars: DataFrame, at: str = "asof") -> DataFrame:
-    """Each row of p (symbol, asof) with the last close at or before its time: union and carry forward, one shuffle."""
+def mark(p: DataFrame, bars: DataFrame, at: str = "asof", block: int = DAY) -> DataFrame:
+    """Each row of p (symbol, asof) with the last close at or before its time: union and carry forward, in blocks of time."""
     b = bars.select("symbol", F.col(TIME).alias("_t"), F.col("close").alias("_c"), F.lit(0).alias("_k"))
-    rest = p.withColumns({"_t": F.col(at), "_c": F.lit(None).cast("double"), "_k": F.lit(1)})
+    rest = p.drop("mark_price").withColumns({"_t": F.col(at), "_c": F.lit(None).cast("double"), "_k": F.lit(1)})
     u = rest.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("mark_price", F.last("_c", True).over(w)).filter("_k = 1").drop("_t", "_c", "_k")
-
-
-def ledger(entries: DataFrame) -> DataFrame:
-    """Running balances of an account's entries (account, seq, amount)."""
-    w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("balance_after", F.sum("amount").over(w)).withColumn("balance_before", F.col("balance_after") - F.col("amount"))
+    return running(u, ["symbol"], ["_t", "_k"], block, lasts={"mark_price": F.col("_c")}).filter("_k = 1").drop("_t", "_c", "_k")
+
+
+def ledger(entries: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Running balances of an account's entries (account, seq, amount); `block` numbers of seq are summed at a time."""
+    rows = running(entries, ["account"], ["seq"], block, sums={"balance_after": F.col("amount")})
+    return rows.withColumn("balance_before", F.col("balance_after") - F.col("amount"))
+
+
+def account_entries(deposits: DataFrame, freezes: DataFrame, orders: DataFrame) -> DataFrame:
+    """What moves on each account: (account, seq, step, kind, signal_id, asset_key, available, frozen).
+
+    deposits (account, seq, amount): deposit, or withdraw for a negative amount. freezes (account, seq, signal_id, asset_key,
+    amount): the amount goes from available to frozen. orders (account, seq, signal_id, asset_key, is_open, is_failed,
+    is_fake, settle_amount, fee): one that opens releases its asset's freeze of the same signal, and only if exactly one is
+    held, is settled out of available money unless it failed; one that closes is settled into it. Settlements are of amounts over zero; fees
+    are added as they are signed. Fake orders move nothing. Nulls count as zero or false.
+    """
+    zero, no = (lambda c: F.coalesce(F.col(c), F.lit(0.0))), (lambda c: F.coalesce(F.col(c), F.lit(False)))
+    asset = ["account", "signal_id", "asset_key"]
+    real = orders.filter(~no("is_fake"))
+    held = freezes.select(*asset, "seq", zero("amount").alias("amount"), F.lit(True).alias("is_freeze")).unionByName(real.filter(no("is_open")).select(*asset, "seq", F.lit(False).alias("is_freeze")), allowMissingColumns=True)
+    w = Window.partitionBy(*asset).orderBy("seq")
+    held = held.withColumns({"_after": F.coalesce(F.lag("is_freeze").over(w), F.lit(False)), "_held": F.lag("amount").over(w)})
+    # two freezes without an order between them can't be told apart any more: nothing is released from then on
+    held = held.withColumn("_stuck", F.max(F.col("is_freeze") & F.col("_after")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    released = held.filter(~F.col("is_freeze") & F.col("_after") & ~F.col("_stuck")).select(*asset, "seq", F.col("_held").alias("amount"))
+    done = real.join(released.select(*asset, "seq"), [*asset, "seq"], "left_semi").filter(~no("is_failed")).unionByName(real.filter(~no("is_open")))
+
+    def rows(df, step, kind, available, frozen=None, keys=("signal_id", "asset_key")):
+        found = [F.col(k).cast("string").alias(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("signal_id", "asset_key")]
+        return df.select("account", "seq", F.lit(step).alias("step"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), *found, available.alias("available"), (F.lit(0.0) if frozen is None else frozen).alias("frozen"))
+
+    settled = F.when(no("is_open"), -F.col("settle_amount")).otherwise(F.col("settle_amount"))
+    parts = [
+        rows(deposits, 0, F.when(zero("amount") > 0, "deposit").otherwise("withdraw"), zero("amount"), keys=()),
+        rows(freezes, 0, "freeze", -zero("amount"), zero("amount")),
+        rows(released, 0, "unfreeze", F.col("amount"), -F.col("amount")),
+        rows(done.filter(zero("settle_amount") > 0), 1, "trade", settled),
+        rows(done.filter(zero("fee") != 0), 2, "fee", F.col("fee")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def account_balances(entries: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """entries of account_entries() with the account's available, frozen and total balance after each."""
+    rows = running(entries, ["account"], ["seq", "step"], block, sums={"available_after": F.col("available"), "frozen_after": F.col("frozen")})
+    return rows.withColumn("total_after", F.col("available_after") + F.col("frozen_after"))
 
 
 def time_window(signals: DataFrame, times: DataFrame, before: int, after: int) -> DataFrame:

@@ -56,3 +56,12 @@ def overfit(train: DataFrame, test: DataFrame) -> DataFrame:
     j = train.select("window", F.col("sharpe").alias("train_sharpe")).join(test.select("window", F.col("sharpe").alias("test_sharpe")), "window")
     decay = F.when(F.col("train_sharpe") > 0, 1 - F.col("test_sharpe") / F.col("train_sharpe"))
     return j.withColumn("decay", decay).withColumn("overfit", F.col("decay") > 0.5)
+
+
+def parameter_stability(best_of: DataFrame, params: list[str]) -> DataFrame:
+    """(parameter, windows, values, stability) over the windows' chosen parameters, a column each: `stable` with one value,
+    `moderate` with at most half as many values as windows, else `unstable`. Null is no value; fewer than two windows give
+    no rows."""
+    long = best_of.select(F.explode(F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).cast("string").alias("value")) for c in params])).alias("x")).select("x.*")
+    g = long.groupBy("parameter").agg(F.count(F.lit(1)).alias("all"), F.count("value").alias("windows"), F.countDistinct("value").alias("values")).filter("all > 1 and windows > 0").drop("all")
+    return g.withColumn("stability", F.when(F.col("values") == 1, "stable").when(F.col("values") <= F.col("windows") / 2, "moderate").otherwise("unstable"))

@@ -620,6 +620,20 @@ def _(spark, d):
     return lab.triple_barrier(weekly(spark, d)).select("symbol", "start_time", "label")
 
 
+def _both(hold: int, profit: float, stop: float) -> str:
+    first = lambda c: "coalesce(" + ", ".join(f"case when {c.format(k=k)} then {k} end" for k in range(1, hold + 1)) + f", {hold + 1})"
+    over, under = (lambda by: first(f"lead(high, {{k}}) over {ORD} >= close * {1 + by}")), (lambda by: first(f"lead(low, {{k}}) over {ORD} <= close * {1 - by}"))
+    return f"""y as (select *, {over(profit)} as lw, {under(stop)} as ll, {under(profit)} as sw, {over(stop)} as sl, lead(close) over {ORD} as nx, last_value(close) over (partition by symbol order by start_time rows between current row and {hold} following) as final from b),
+w as (select *, lw <= {hold} and ll > lw as long, sw <= {hold} and sl > sw as short from y)
+select symbol, start_time, case when nx is null then null when long and not short then 2 when short and not long then 0 else 1 end as label, case when nx is null then null when long and not short then 1 when short and not long then 0 when long then cast(lw <= sw as integer) else cast(final >= close as integer) end as two from w"""
+
+
+@register("l7_both_sides", sql(_both(10, 0.02, 0.03)))
+def _(spark, d):
+    df = lab.triple_barrier(weekly(spark, d), stop=0.03, side="both", classes=2).withColumnRenamed("label", "two")
+    return lab.triple_barrier(df, stop=0.03, side="both").select(*K, "label", "two")
+
+
 @register("l8_l9_fused", sql(f"y as (select lead(close) over {ORD} / close - 1 as a, lead(close, 3) over {ORD} / close - 1 as c from b), x as (select case when a is not null then cast(a > 0 as int) end as a, case when c is not null then cast(c > 0 as int) end as c from y), z as (select a * 0.5 + c * 0.5 as label, count(*) as n from x group by 1) select label, n, cast(n / sum(n) over () as float) as share from z"))
 def _(spark, d):
     df = lab.fused(weekly(spark, d), {"a": lab.direction(1), "c": lab.direction(3)})
@@ -835,6 +849,38 @@ def _(spark, d):
     return show(perf.t_test(fx.equity(spark, d)), ["t", "p"], ["run_id"])
 
 
+_PAIR = "r as (select o_orderpriority as run_id, (o_totalprice - 250000) / 1000 as ret, avg((o_totalprice - 250000) / 1000) over (partition by o_orderdate) as bench from orders)"
+
+
+def _returns(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("run_id"), ((F.col("o_totalprice") - 250000) / 1000).alias("ret"), "o_orderdate")
+    return o.withColumn("bench", F.avg("ret").over(Window.partitionBy("o_orderdate")))
+
+
+@register("m13_paired_t", f"with {_PAIR} select run_id, count(*) as n, {f32('round(avg(ret - bench) / stddev_samp(ret - bench) * sqrt(count(*)), 6)', 't')} from r group by run_id")
+def _(spark, d):
+    return show(perf.paired_t_test(_returns(spark, d)).withColumn("t", F.round("t", 6)), ["n", "t"], ["run_id"])
+
+
+@register("m15_binomial", f"""with c as (select o_orderpriority as run_id, count(*) as n, count(*) filter (o_totalprice > 150000) as wins from orders group by all), k as (select *, unnest(range(wins, n + 1)) as i from c)
+select run_id, n, wins, {f32('round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6)', 'p')} from k group by all""")
+def _(spark, d):
+    c = fx.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 150000).alias("wins"))
+    return show(c.withColumn("p", F.round(perf.binomial_test("wins", "n"), 6)), ["n", "wins", "p"], ["run_id"])
+
+
+_CUT = 883_612_800_000
+
+
+@register("m5_periods", f"""with d as (select o_orderpriority as run_id, epoch_ms(o_orderdate) // 86400000 * 86400000 as t, sum((o_totalprice - 250000) / 1000) as pnl from orders group by all), e as (select run_id, t, 100000 + sum(pnl) over (partition by run_id order by t) as q from d),
+p as (select *, case when t < {_CUT} then 'previous' else 'current' end as period from e), r as (select *, q / lag(q) over (partition by run_id, period order by t) - 1 as ret from p),
+m as (select run_id, period, count(ret) as n, stddev_samp(ret) * sqrt(365) as v, arg_max(q, t) / arg_min(q, t) - 1 as total from r group by all)
+select m.run_id, m.period, m.n, {f32('round(m.v, 6)', 'volatility')}, {f32('round(m.total, 6)', 'total_return')}, {f32('round(m.v - o.v, 6)', 'volatility_change')}, m.n - o.n as n_change from m left join m o on o.run_id = m.run_id and o.period = 'previous' and m.period = 'current'""")
+def _(spark, d):
+    m = perf.period_comparison(fx.equity(spark, d), _CUT)
+    return show(m.withColumns({c: F.round(c, 6) for c in ("volatility", "total_return", "volatility_change")}), ["n", "volatility", "total_return", "volatility_change", "n_change"], ["run_id", "period"])
+
+
 @register("m14_bootstrap")
 def _(spark, d):
     return show(perf.bootstrap(fx.equity(spark, d)), ["sharpe_low", "sharpe_high", "annual_low", "annual_high"], ["run_id"])
@@ -1007,6 +1053,46 @@ def _(spark, d):
     return show(sig.ledger(e), ["balance_after"], ["account", "seq"])
 
 
+_HOLDS = """with f as (select o_custkey as account, 4 * o_orderkey as seq, o_orderkey // 4 as signal_id, 'x' || o_orderkey % 2 as asset_key, o_totalprice as amount from orders),
+o as (select o_custkey as account, 4 * o_orderkey + 1 as seq, o_orderkey // 4 as signal_id, 'x' || o_orderkey % 2 as asset_key, o_orderkey % 3 > 0 as is_open, o_orderkey % 7 = 0 as is_failed, o_orderkey % 13 = 0 as is_fake, o_totalprice - 25.5 as settle, case when o_orderkey % 5 > 0 then -1.5 end as fee from orders),
+h as (select account, signal_id, asset_key, seq, amount, true as fr from f union all select account, signal_id, asset_key, seq, null, false from o where is_open and not is_fake),
+l as (select *, coalesce(lag(fr) over w, false) as after, lag(amount) over w as held from h window w as (partition by account, signal_id, asset_key order by seq)),
+s as (select *, max(case when fr and after then 1 else 0 end) over (partition by account, signal_id, asset_key order by seq) as stuck from l),
+rel as (select * from s where not fr and after and stuck = 0),
+done as (select o.* from o where not is_fake and (not is_open or not is_failed and exists (select 1 from rel r where r.account = o.account and r.seq = o.seq))),
+e as (select account, seq, 0 as step, 'freeze' as kind, -amount as available, amount as frozen from f union all select account, seq, 0, 'unfreeze', held, -held from rel
+  union all select account, seq, 1, 'trade', case when is_open then -settle else settle end, 0 from done where settle > 0 union all select account, seq, 2, 'fee', fee, 0 from done where fee <> 0
+  union all select c_custkey, -1, 0, case when c_acctbal > 0 then 'deposit' else 'withdraw' end, c_acctbal, 0 from customer)
+"""
+
+
+@register("s11_holds", _HOLDS + f"select account, seq, step, kind, {f32('round(sum(available) over w, 2)', 'available_after')}, {f32('round(sum(frozen) over w, 2)', 'frozen_after')}, {f32('round(sum(available) over w + sum(frozen) over w, 2)', 'total_after')} from e window w as (partition by account order by seq, step)")
+def _(spark, d):
+    o, key = fx.table(spark, d, "orders"), F.col("o_orderkey")
+    asset = {"account": F.col("o_custkey"), "signal_id": F.floor(key / 4), "asset_key": F.concat(F.lit("x"), key % 2)}
+    freezes = o.withColumns(asset | {"seq": 4 * key, "amount": F.col("o_totalprice")})
+    orders = o.withColumns(asset | {"seq": 4 * key + 1, "is_open": key % 3 > 0, "is_failed": key % 7 == 0, "is_fake": key % 13 == 0, "settle_amount": F.col("o_totalprice") - 25.5, "fee": F.when(key % 5 > 0, -1.5)})
+    deposits = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.lit(-1).cast("long").alias("seq"), F.col("c_acctbal").alias("amount"))
+    got = sig.account_balances(sig.account_entries(deposits, freezes, orders))
+    money = ["available_after", "frozen_after", "total_after"]
+    return show(got.withColumns({c: F.round(c, 2) for c in money}), money, ["account", "seq", "step", "kind"])
+
+
+@register("t10_signals", f"""with p as (select event_id, least(value / 500, 1.0) as u, value / 100 - 1 as r from events)
+select event_id, case when u > 0.6 then 'LONG' when 1 - u > 0.6 then 'SHORT' else 'NONE' end as side, cast(case when u > 0.6 then u when 1 - u > 0.6 then 1 - u end as float) as confidence, case when r > 0.3 then 'LONG' when r < -0.3 then 'SHORT' else 'NONE' end as side_of_return, cast(case when abs(r) > 0.3 then least(abs(r) / 0.6, 1.0) end as float) as confidence_of_return from p""")
+def _(spark, d):
+    u = F.least(F.col("value") / 500, F.lit(1.0))
+    e = fx.table(spark, d, "events").select("event_id", ev.to_signal(F.array(1 - u, u)).alias("p"), ev.return_signal(F.col("value") / 100 - 1, 0.3).alias("r"))
+    return show(e.select("event_id", F.col("p.side").alias("side"), F.col("p.confidence").alias("confidence"), F.col("r.side").alias("side_of_return"), F.col("r.confidence").alias("confidence_of_return")), ["side", "confidence", "side_of_return", "confidence_of_return"], ["event_id"])
+
+
+@register("m26_parameter_stability", """with w as (select o_orderdate as w, arg_max(o_orderpriority, o_orderkey) as a, 'one' as b, arg_max(o_orderkey, o_orderkey) as c from orders group by 1), l as (select unnest(['a', 'b', 'c']) as parameter, unnest([cast(a as varchar), b, cast(c as varchar)]) as value from w)
+select parameter, count(value) as windows, count(distinct value) as values, case when count(distinct value) = 1 then 'stable' when count(distinct value) <= count(value) / 2 then 'moderate' else 'unstable' end as stability from l group by 1""")
+def _(spark, d):
+    best = fx.table(spark, d, "orders").groupBy("o_orderdate").agg(F.max_by("o_orderpriority", "o_orderkey").alias("a"), F.lit("one").alias("b"), F.max("o_orderkey").alias("c"))
+    return wf.parameter_stability(best, ["a", "b", "c"])
+
+
 @register("s13_time_window", "with t as (select epoch_ms(ts) as at from events where event_id % 50 = 0) select event_id from events e where not exists (select 1 from t where epoch_ms(e.ts) between t.at - 600000 and t.at + 1200000)")
 def _(spark, d):
     e = fx.table(spark, d, "events").select("event_id", scalars.ntz_ms("ts").alias("time"), F.lit(True).alias("is_open"))

@@ -12,14 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 from .toxicity import held_out
 
-#: The classifier's sample: labelled rows whose whole texts are cut into windows, at most, pieces of a window, and windows
-#: that are learned from, at most; rows and windows are chosen by the least hashes of their ids.
-SAMPLE, SPAN, WINDOWS = 3_000, 64, 3_000
+#: The classifier's sample: labelled rows of each language, at most, by the least hashes of their ids; their whole texts are
+#: learned from, in windows of so many pieces.
+SAMPLE, SPAN = 150, 64
 #: Places of a chain's block.
 CUT = 128
 #: Size of the table of hashed features; distinct pieces of text that one Python worker keeps emissions of.
@@ -248,22 +248,26 @@ def train(windows: list[tuple[list[str], str]], epochs: int = 4, seed: int = 0)
     return Model(langs, weights, moves)
 
 
-def windows_of(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(w, l): windows of SPAN pieces and their language. The whole texts of at most `sample` rows with a language whose id
-    isn't held out are cut into windows; of these, at most `windows` are kept. Both choices go by hashes."""
+def windows_of(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(w, l): windows of SPAN pieces and their language: the whole texts of at most `sample` rows of each language, of those
+    whose id isn't held out. Rows are chosen by hashes; a language with more of them is thinned by its count first, so that
+    no task ranks all rows of a language."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col, 4, 2))
     rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    chosen = common.least_hashes(rows, "h", sample).orderBy("h", "i", "l").limit(sample)
+    share = F.least(F.lit(1.0), (1.5 * sample + 100) / F.col("n"))
+    most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (F.lit(-(2.0**63)) + share * 2.0**64).alias("most"))
+    thin = rows.join(most, "l").filter(F.col("h").cast("double") <= F.col("most"))
+    first = Window.partitionBy("l").orderBy("h", "i", F.xxhash64("t"))
+    chosen = thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample)
     pieces = F.split(F.trim("t"), r"\s+")
-    cut = chosen.withColumn("p", pieces).select("i", "l", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)), F.lit(SPAN))).alias("a"))
-    cut = cut.select(F.xxhash64("i", "a").alias("h"), "i", "a", "l", F.slice("p", F.col("a"), SPAN).alias("w"))
-    return cut.orderBy("h", "i", "a", "l").limit(windows).select("w", "l")
+    cut = chosen.withColumn("p", pieces).select("i", "l", "k", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)), F.lit(SPAN))).alias("a"))
+    return cut.select(F.slice("p", F.col("a"), SPAN).alias("w"), "l", F.xxhash64("i", "k", "a").alias("h")).orderBy("h", "l").select("w", "l")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> Model:
-    """A model from the windows of windows_of(): the classifier's sample is bounded in rows and in windows, and any part of
-    a labelled text may be in it."""
-    found = [([w for p in r.w if (w := letters_of(p))], r.l) for r in windows_of(docs, sample, windows, lang, id_col, text).collect()]
+def fit(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", id_col: str = "doc_id", text: str = "text") -> Model:
+    """A model from all windows of the sample's texts. The sample is bounded in rows of a language; every language that a
+    labelled row has is learned."""
+    found = [([w for p in r.w if (w := letters_of(p))], r.l) for r in windows_of(docs, sample, lang, id_col, text).collect()]
     return train([x for x in found if x[0]])
 
 

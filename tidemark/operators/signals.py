@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ops
 from ..functions.scalars import quantize
 from ..schema import KEY, TIME
+from .carried import scanned
 from .totals import running
 
 
@@ -37,22 +38,23 @@ def dmi_signals(df: DataFrame, threshold: float = 25.0, peak: float = 70.0) -> D
 
 def hold_positions(df: DataFrame) -> DataFrame:
     """entry (1, -1, 0), exit_long and exit_short to the position held after each bar; an entry while holding is ignored.
-    The next event depends on the position, so this is a scan of each series."""
+    The next event depends on the position, so this is a scan of each series, with the position carried along."""
+    return scanned(df, "position int", _Hold, ["entry", "exit_long", "exit_short"])
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(TIME, kind="stable")
-        now, out = 0, []
-        for e, long, short in zip(t["entry"], t["exit_long"], t["exit_short"]):
-            if now:
-                now = 0 if (long if now > 0 else short) else now
-            else:
-                now = int(e)
-            out.append(now)
-        return t.assign(position=out)
 
-    from pyspark.sql.types import IntegerType, StructType
+class _Hold:
+    def __init__(self):
+        self.now = 0
 
-    return df.groupBy(*KEY).applyInPandas(run, StructType([*df.schema.fields]).add("position", IntegerType()))
+    def feed(self, rows):
+        out = []
+        for entry, long, short in zip(*(rows[c].tolist() for c in ("entry", "exit_long", "exit_short"))):
+            if self.now:
+                self.now = 0 if (long if self.now > 0 else short) else self.now
+            else:
+                self.now = int(entry)
+            out.append(self.now)
+        return {"position": out}
 
 
 def backtest(df: DataFrame, amount: float = 100_000.0, leverage: float = 1.0, fee: float = 0.0) -> DataFrame:
@@ -118,64 +120,74 @@ def trailing_exit(positions: DataFrame, bars: DataFrame, horizon: int, stop: flo
 def virtual_profits(orders: DataFrame) -> DataFrame:
     """Closing orders (position_id, seq, side 1 or -1, is_open, price, size) with the profit of what they close: the newest
     openings first. An opening that several orders close has the mean price of its closings so far. A scan of each
-    position's orders; what is more than was opened closes nothing."""
+    position's orders that carries what is open; what is more than was opened closes nothing."""
+    return scanned(orders, "virtual_pnl double", _Newest, ["side", "is_open", "price", "size"], ["position_id"], "seq").filter("not is_open")
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("seq", kind="stable")
-        held: list[list[float]] = []  # cost, open size, closed size, mean closing price
+
+class _Newest:
+    def __init__(self):
+        self.held: list[list[float]] = []  # cost, open size, closed size, mean closing price
+
+    def feed(self, rows):
         out = []
-        for side, is_open, price, size in zip(t["side"], t["is_open"], t["price"], t["size"]):
-            if is_open:
-                held.append([price, size, 0.0, 0.0])
-                out.append(0.0)
-                continue
+        for side, is_open, price, size in zip(*(rows[c].tolist() for c in ("side", "is_open", "price", "size"))):
             left, pnl = abs(size), 0.0
-            for v in reversed(held):
+            if is_open:
+                self.held.append([price, size, 0.0, 0.0])
+                left = 0.0
+            while left > 0 and self.held:
+                v = self.held[-1]
                 part = min(left, v[1])
                 if part > 0:
                     v[1], v[2] = v[1] - part, v[2] + part
                     v[3] += (price - v[3]) * part / v[2]
                     pnl += side * (v[3] - v[0]) * part
                     left -= part
+                if v[1] <= 0:
+                    self.held.pop()
             out.append(pnl)
-        return t.assign(virtual_pnl=out)
-
-    from pyspark.sql.types import DoubleType, StructType
-
-    return orders.groupBy("position_id").applyInPandas(run, StructType([*orders.schema.fields]).add("virtual_pnl", DoubleType())).filter("not is_open")
+        return {"virtual_pnl": out}
 
 
 def profit_control(events: DataFrame, most_loss: float = 10.0, losses: int = 3, recovery: float = 5.0, wins: int = 2, hours: float = 24.0) -> DataFrame:
     """Signals of (strategy, time, profit) with whether they may trade: profit is null for a signal, a closed trade's profit
     ratio otherwise. Losses of more than `most_loss` percent, or so many in a row, pause the strategy; profits of
     `recovery` percent since then, so many wins in a row, or a signal `hours` after (0: never) resume it. At one time
-    trades come before signals. A scan of each strategy's events."""
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.assign(_s=t["profit"].isna()).sort_values(["time", "_s"], kind="stable")
-        paused, since, lost, row, back, won, out = False, 0, 0.0, 0, 0.0, 0, []
-        for now, p in zip(t["time"], t["profit"]):
-            ok = True
-            if p != p:
-                if paused and hours > 0 and now - since >= hours * 3_600_000:
-                    paused, lost, row, back, won = False, 0.0, 0, 0.0, 0
-                ok = not paused
-            elif paused:
-                back, won = back + 100 * p, won + 1 if p > 0 else 0
-                if back >= recovery or won >= wins:
-                    paused, lost, row, back, won = False, 0.0, 0, 0.0, 0
-            elif p < 0:
-                lost, row = lost - 100 * p, row + 1
-                if lost > most_loss or row >= losses:
-                    paused, since, back, won = True, now, 0.0, 0
-            else:
-                lost, row = 0.0, 0
-            out.append(ok)
-        return t.drop(columns="_s").assign(allowed=out)
-
-    from pyspark.sql.types import BooleanType, StructType
-
-    return events.groupBy("strategy").applyInPandas(run, StructType([*events.schema.fields]).add("allowed", BooleanType())).filter("profit is null")
+    trades come before signals. A scan of each strategy's events with what it has lost and won carried along."""
+    rows = scanned(events.withColumn("_s", F.col("profit").isNull()), "allowed boolean", lambda: _Control(most_loss, losses, recovery, wins, hours), ["time", "profit"], ["strategy"], ["time", "_s"])
+    return rows.drop("_s").filter("profit is null")
+
+
+class _Control:
+    def __init__(self, most_loss, losses, recovery, wins, hours):
+        self.limits = most_loss, losses, recovery, wins, hours
+        self.resume()
+        self.since = 0
+
+    def resume(self):
+        self.paused, self.lost, self.row, self.back, self.won = False, 0.0, 0, 0.0, 0
+
+    def step(self, now, p) -> bool:
+        most_loss, losses, recovery, wins, hours = self.limits
+        if p != p:
+            if self.paused and hours > 0 and now - self.since >= hours * 3_600_000:
+                self.resume()
+            return not self.paused
+        if self.paused:
+            self.back, self.won = self.back + 100 * p, self.won + 1 if p > 0 else 0
+            if self.back >= recovery or self.won >= wins:
+                self.resume()
+        elif p < 0:
+            self.lost, self.row = self.lost - 100 * p, self.row + 1
+            if self.lost > most_loss or self.row >= losses:
+                self.paused, self.since, self.back, self.won = True, now, 0.0, 0
+        else:
+            self.lost, self.row = 0.0, 0
+        return True
+
+    def feed(self, rows):
+        profit = rows["profit"].astype(float).tolist()
+        return {"allowed": [self.step(t, p) for t, p in zip(rows["time"].tolist(), profit)]}
 
 
 def order_deltas(log: DataFrame) -> DataFrame:

@@ -375,11 +375,7 @@ _EMA = "list_reduce(list(close) over (partition by symbol order by start_time),
 
 @register("i4_ema", sql(f"x as (select *, {_EMA} as e from b) select symbol, start_time, {f32('e', 'ema9')} from x"))
 def _(spark, d):
-    return show(scans.scan(weekly(spark, d), "ema9 double", _ema9), ["ema9"])
-
-
-def _ema9(t):
-    return {"ema9": scans.ema(t["close"].to_numpy(float), 9)}
+    return show(scans.stepped(weekly(spark, d), "ema9", lambda: scans.ema_step(9), ["close"]), ["ema9"])
 
 
 @register("i45_demarker", sql(f"t as (select *, greatest(high - lag(high) over {ORD}, 0) as u, greatest(lag(low) over {ORD} - low, 0) as l, lag(high) over {ORD} as p from b), y as (select *, case when p is not null then u end as u1, case when p is not null then l end as l1 from t), x as (select *, {g('avg', 'u1', 14)} as mu, {g('avg', 'l1', 14)} as ml from y) select symbol, start_time, cast(case when mu + ml > 0 then floor(mu / (mu + ml) * 100) when mu + ml = 0 then 50 end as int) as demarker from x"))
@@ -392,14 +388,10 @@ _EMA13 = "list_reduce(list(close) over (partition by symbol order by start_time)
 
 @register("i24_elder_impulse", sql(f"t as (select *, {_EMA13} as e, {g('avg', 'close', 12)} - {g('avg', 'close', 26)} as dif from b), y as (select *, dif - {g('avg', 'dif', 9)} as h, e - lag(e) over {ORD} as de from t) select symbol, start_time, case when de > 0 and h > 0 then 1 when de < 0 and h < 0 then -1 else 0 end as impulse from y"))
 def _(spark, d):
-    df = scans.scan(weekly(spark, d), "ema13 double", _ema13)
+    df = scans.stepped(weekly(spark, d), "ema13", lambda: scans.ema_step(13), ["close"])
     return ind.elder_impulse(df).select("symbol", "start_time", "impulse")
 
 
-def _ema13(t):
-    return {"ema13": scans.ema(t["close"].to_numpy(float), 13)}
-
-
 @register("i31_divergence", divergence_sql(_bars("1D")))
 def _i31(spark, d):
     rows = ind.macd_sma(daily(spark, d)).withColumn("m", F.col("dif") - F.col("dea"))

@@ -977,7 +977,7 @@ def _(spark, d):
     return show(sig.backtest(sig.hold_positions(sig.dmi_signals(df)), fee=0.001), ["position", "equity"])
 
 
-@register("s4_fills", "select o_orderkey, cast(floor(o_totalprice / 7.0 * 10000) / 10000 as float) as fill_size from orders")
+@register("s4_fills", "select o_orderkey, cast(cast(round(o_totalprice * 100) as bigint) * 100 // 7 / 10000.0 as float) as fill_size from orders")
 def _(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.lit(7.0).alias("price"))
     return show(sig.fills(o), ["fill_size"], ["o_orderkey"])

@@ -256,6 +256,7 @@ def windows_of(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", id_col
     rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     share = F.least(F.lit(1.0), (1.5 * sample + 100) / F.col("n"))
     most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (F.lit(-(2.0**63)) + share * 2.0**64).alias("most"))
+    most = common.cut(most, "language-shares")  # a row for each language; its size is known, so that texts needn't be shuffled to it
     thin = rows.join(most, "l").filter(F.col("h").cast("double") <= F.col("most"))
     first = Window.partitionBy("l").orderBy("h", "i", F.xxhash64("t"))
     chosen = thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample)

@@ -105,3 +105,15 @@ def test_parameter_stability(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 6, 3), (1, 6, None)], "a int, b int, c int")
     assert {r.parameter: (r.windows, r["values"], r.stability) for r in wf.parameter_stability(df, ["a", "b", "c"]).collect()} == {"a": (4, 1, "stable"), "b": (4, 2, "moderate"), "c": (3, 3, "unstable")}
     assert wf.parameter_stability(df.limit(1), ["a"]).count() == 0
+
+
+def test_exits_at_any_time_are_those_of_a_long_horizon(spark):
+    r = np.random.default_rng(6)
+    close = (100 * np.exp(0.02 * r.normal(size=(2, 300)).cumsum(1))).tolist()
+    bars = spark.createDataFrame([("ab"[k], i, c) for k in (0, 1) for i, c in enumerate(close[k])], "symbol string, start_time long, close double")
+    opened = [(i, "ab"[i % 2], 1 if i % 3 else -1, close[i % 2][int(t)], int(t)) for i, t in enumerate(r.integers(0, 295, 60))]
+    p = spark.createDataFrame(opened, "position_id long, symbol string, side int, cost double, opened long")
+    for exits in (signals.first_exit, signals.trailing_exit):
+        want = sorted(map(tuple, exits(p, bars, horizon=10_000).collect()))
+        assert sorted(map(tuple, exits(p, bars).collect())) == want and len(want) > 30
+    assert {r.exit_hit for r in signals.trailing_exit(p, bars).collect()} == {"stop", "trail"}

@@ -1,13 +1,14 @@
 """Signals, positions and the ledger as table jobs."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ops
 from ..functions.scalars import quantize
 from ..schema import KEY, TIME
-from .carried import scanned
+from .carried import folded, scanned
 from .totals import running
 
 
@@ -74,15 +75,14 @@ def fills(orders: DataFrame, slippage: float = 0.0, fee_kind: str = "ratio", fee
 
 
 def first_exit(positions: DataFrame, bars: DataFrame, stop: float = 0.05, target: float = 0.1, horizon: int | None = None) -> DataFrame:
-    """For each open position (position_id, symbol, side, cost, opened) the first bar at which stop or target is hit. With a
-    horizon (ms) the join is on time buckets of that length, so that a position meets only the bars of two buckets."""
-    p = positions
-    if horizon:
-        p = p.withColumn("_b", F.explode(F.array(F.floor(F.col("opened") / horizon), F.floor(F.col("opened") / horizon) + 1)))
-        b = bars.withColumn("_b", F.floor(F.col(TIME) / horizon)).select("symbol", "_b", TIME, "close")
-        j = p.join(b, ["symbol", "_b"]).filter((F.col(TIME) > F.col("opened")) & (F.col(TIME) <= F.col("opened") + horizon))
-    else:
-        j = p.join(bars.select("symbol", TIME, "close"), "symbol").filter(F.col(TIME) > F.col("opened"))
+    """For each open position (position_id, symbol, side, cost, opened) the first later bar at which stop or target is hit.
+    With a horizon (ms) the join is on time buckets of that length, so that a position meets only the bars of two buckets;
+    without one, positions are carried along the bars of their symbol until they are left."""
+    if not horizon:
+        return _carried_exits(positions, bars, lambda: _Exits(stop, target))
+    p = positions.withColumn("_b", F.explode(F.array(F.floor(F.col("opened") / horizon), F.floor(F.col("opened") / horizon) + 1)))
+    b = bars.withColumn("_b", F.floor(F.col(TIME) / horizon)).select("symbol", "_b", TIME, "close")
+    j = p.join(b, ["symbol", "_b"]).filter((F.col(TIME) > F.col("opened")) & (F.col(TIME) <= F.col("opened") + horizon))
     move = F.col("side") * (F.col("close") / F.col("cost") - 1)
     hit = F.when(move <= -stop, "stop").when(move >= target, "target")
     j = j.withColumn("exit_hit", hit).filter("exit_hit is not null")
@@ -97,11 +97,80 @@ def retention(gain: Column, reserve: float, keep: float, small: float, large: fl
     return F.when(gain <= small, F.lit(reserve)).when(gain >= large, F.lit(keep)).otherwise(F.greatest(F.least(between, F.lit(max(reserve, keep))), F.lit(min(reserve, keep))))
 
 
-def trailing_exit(positions: DataFrame, bars: DataFrame, horizon: int, stop: float = 0.02, target: float = 0.05, reserve: float = 0.6, keep: float | None = None, small: float = 0.05, large: float = 0.15) -> DataFrame:
+def _carried_exits(positions: DataFrame, bars: DataFrame, begin) -> DataFrame:
+    """Exits of positions that are carried along the bars of their symbol; a bar at the time of opening isn't met."""
+    kind = positions.schema["position_id"].dataType.simpleString()
+    p = positions.select("symbol", F.col("opened").alias("_t"), F.lit(1).alias("_k"), "position_id", F.col("side").cast("double").alias("side"), F.col("cost").cast("double").alias("cost"))
+    rows = p.unionByName(bars.select("symbol", F.col(TIME).alias("_t"), F.lit(0).alias("_k"), F.col("close").cast("double").alias("close")), allowMissingColumns=True)
+    out = f"position_id {kind}, exit_time long, exit_hit string, exit_price double"
+    return folded(rows, out, begin, ["_t", "_k", "position_id", "side", "cost", "close"], ["symbol"], ["_t", "_k"]).drop("symbol")
+
+
+class _Exits:
+    """Open positions of a symbol: left at the first close beyond stop or target."""
+
+    def __init__(self, stop: float, target: float):
+        self.stop, self.target = stop, target
+        self.ids: list = []
+        self.state = np.zeros((4, 0))  # side, cost, best gain since the target, line
+
+    def left(self, x: np.ndarray) -> list[tuple[np.ndarray, str]]:
+        return [(x <= -self.stop, "stop"), (x >= self.target, "target")]
+
+    def feed(self, rows):
+        out, new = [], []
+        for t, is_position, position, side, cost, close in zip(*(rows[c].tolist() for c in ("_t", "_k", "position_id", "side", "cost", "close"))):
+            if is_position:
+                self.ids.append(position)
+                new.append((side, cost, np.nan, -np.inf))
+                continue
+            if new:
+                self.state, new = np.concatenate([self.state, np.array(new).T], axis=1), []
+            if not self.ids:
+                continue
+            gone = np.zeros(len(self.ids), bool)
+            for hit, name in self.left(self.state[0] * (close / self.state[1] - 1)):
+                out += [{"position_id": self.ids[i], "exit_time": t, "exit_hit": name, "exit_price": close} for i in np.flatnonzero(hit & ~gone)]
+                gone |= hit
+            if gone.any():
+                self.ids, self.state = [p for p, g in zip(self.ids, gone) if not g], self.state[:, ~gone]
+        if new:
+            self.state = np.concatenate([self.state, np.array(new).T], axis=1)
+        return out
+
+    def end(self):
+        return []
+
+
+class _Trail(_Exits):
+    """Left at a stop before the target, and after it when the close comes to the line below the best gain."""
+
+    def __init__(self, stop, target, reserve, keep, small, large):
+        super().__init__(stop, target)
+        self.shares = reserve, keep, small, large
+
+    def left(self, x):
+        reserve, keep, small, large = self.shares
+        _, _, best, line = self.state
+        past = ~np.isnan(best)
+        stopped = ~past & (x <= -self.stop)
+        since = past | (~stopped & (x >= self.target))
+        best[since] = np.fmax(best, x)[since]
+        way = (best - small) / (large - small) if large > small else np.ones(len(best))
+        share = np.clip(reserve + (keep - reserve) * way * way, min(reserve, keep), max(reserve, keep))
+        share = np.where(best <= small, reserve, np.where(best >= large, keep, share))
+        line[since] = np.fmax(line, best * share)[since]
+        return [(stopped, "stop"), (past & (x <= line), "trail")]
+
+
+def trailing_exit(positions: DataFrame, bars: DataFrame, horizon: int | None = None, stop: float = 0.02, target: float = 0.05, reserve: float = 0.6, keep: float | None = None, small: float = 0.05, large: float = 0.15) -> DataFrame:
     """(position_id, exit_time, exit_hit, exit_price) of open positions (position_id, symbol, side 1 or -1, cost, opened)
-    within `horizon` ms: a stop before the target is reached; after that, a line that keeps a share of the best gain so far
-    and never falls back, left when the close comes to it. The bar that reaches the target is no exit. Positions meet the
-    bars of two time buckets; the rest are running extremes of each position."""
+    within `horizon` ms, or at any time: a stop before the target is reached; after that, a line that keeps a share of the best
+    gain so far and never falls back, left when the close comes to it. The bar that reaches the target is no exit. With a
+    horizon, positions meet the bars of two time buckets, and the rest are running extremes of each position; without one,
+    they are carried along the bars of their symbol until they are left."""
+    if not horizon:
+        return _carried_exits(positions, bars, lambda: _Trail(stop, target, reserve, reserve if keep is None else keep, small, large))
     p = positions.withColumn("_b", F.explode(F.array(F.floor(F.col("opened") / horizon), F.floor(F.col("opened") / horizon) + 1)))
     b = bars.withColumn("_b", F.floor(F.col(TIME) / horizon)).select("symbol", "_b", TIME, "close")
     j = p.join(b, ["symbol", "_b"]).filter((F.col(TIME) > F.col("opened")) & (F.col(TIME) <= F.col("opened") + horizon))

@@ -1,7 +1,7 @@
 """Indicators, positions and controls whose state outlives a batch, and what a long series takes."""
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans, signals
+from tidemark.operators import factors as fa, scans, signals
 from tidemark.operators.carried import scanned
 from tidemark.sources import fixtures as fx
 
@@ -13,7 +13,9 @@ def everything(spark):
     held = signals.hold_positions(signals.dmi_signals(rows))
     o = fx.table(spark, SF, "orders").select((F.col("o_custkey") % 3).alias("strategy"), F.col("o_orderkey").alias("time"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_totalprice") - 250000) / 2_500_000).alias("profit"))
     lots = o.filter("profit is not null").select(F.col("strategy").alias("position_id"), F.col("time").alias("seq"), F.lit(1).alias("side"), (F.col("time") % 2 == 0).alias("is_open"), F.abs("profit").alias("price"), (F.col("time") % 5 + 1.0).alias("size"))
-    frames = [held.select("symbol", "start_time", "position", *[c for group in scans.INDICATORS for c in group]), signals.profit_control(o, hours=1e-3), signals.virtual_profits(lots)]
+    week = fx.bars(spark, SF, "1W")
+    sets = [fa.alpha158(week, windows=(5, 20)).select("symbol", "start_time", *[f"{k}{n}" for n in (5, 20) for k in fa.ROLLING]), fa.lag_set(week, windows="0-9").select("symbol", "start_time", "CLOSE9", "VOLUME3")]
+    frames = [*sets, held.select("symbol", "start_time", "position", *[c for group in scans.INDICATORS for c in group]), signals.profit_control(o, hours=1e-3), signals.virtual_profits(lots)]
     return [sorted(map(repr, f.collect())) for f in frames]
 
 
@@ -26,6 +28,13 @@ def test_states_outlive_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_rolling_sets_without_bars_or_with_one(spark):
+    week = fx.bars(spark, SF, "1W")
+    assert fa.alpha158(week.limit(0)).count() == 0
+    one = fa.alpha158(week.orderBy("start_time").limit(1)).first()
+    assert one.MA5 is None and one.CNTP5 is None and one.KMID is not None
+
+
 def test_only_what_is_asked_for_is_computed(spark):
     rows = scans.recursive_indicators(fx.bars(spark, SF, "1W"), ["adx", "llt9"])
     assert set(rows.columns) - set(fx.BAR_COLUMNS) == {"adx", "pdi", "mdi", "adxr", "llt9"}

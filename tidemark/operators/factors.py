@@ -3,12 +3,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ops
 from ..functions.ops import W, delay, guard, mean, quantile, std
 from ..schema import KEY, TIMEFRAMES
 from .bars import with_vwap
+from .carried import scanned
 
 EPS = 1e-12
 WINDOWS = (5, 10, 20, 30, 60)
@@ -27,101 +30,121 @@ def price_ratios() -> dict[str, Column]:
     return {f"{x.upper()}0": F.col(x) / F.col("close") for x in ("open", "high", "low", "vwap")}
 
 
-def rolling_base(df: DataFrame) -> DataFrame:
-    """Columns that the rolling set shares; pairs that are correlated are null together."""
-    up, dv = ops.delta("close"), ops.delta("volume")
-    pos = lambda x: F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0))
-    first = delay("close").isNull()
-    df = df.withColumns({
-        "_t": F.row_number().over(ops.series()).cast("double"), "_lv": F.ln(F.col("volume") + 1), "_cr": F.try_divide(F.col("close"), delay("close")), "_vr": F.ln(F.try_divide(F.col("volume"), delay("volume")) + 1),
-        "_up": F.when(first, 0.0).otherwise((up > 0).cast("double")), "_down": F.when(first, 0.0).otherwise((up < 0).cast("double")), "_gain": F.when(~first, pos(up)), "_loss": F.when(~first, pos(-up)), "_abs": F.abs(up),
-        "_vgain": F.when(~first, pos(dv)), "_vloss": F.when(~first, pos(-dv)), "_vabs": F.abs(dv), "_wv": F.abs(F.try_divide(up, delay("close"))) * F.col("volume"),
-    })
-    both = lambda x, y: F.when(F.col(y).isNotNull(), F.col(x))
-    return df.withColumns({"_c1": both("close", "_lv"), "_l1": both("_lv", "close"), "_c2": both("_cr", "_vr"), "_v2": both("_vr", "_cr")}).drop("_lv", "_cr", "_vr")
-
-
-BASE = ["_t", "_up", "_down", "_gain", "_loss", "_abs", "_vgain", "_vloss", "_vabs", "_wv", "_c1", "_l1", "_c2", "_v2"]
-
-
-def rolling_windows(n: int) -> dict[str, Column]:
-    """What the rolling set of n bars needs to know of its windows, each once: numbers, sums, extremes, moments."""
-    w = W(n)
-    over = lambda f, *x: f(*[F.col(c) for c in x]).over(w)
-    out = {"_lag": delay("close", n), "_hh": over(F.max, "high"), "_ll": over(F.min, "low"), "_ct": over(F.covar_samp, "close", "_t")}
-    out |= {f"_k_{x}": over(F.count, x) for x in ("close", "high", "low", "volume", "_up", "_abs", "_vabs", "_wv", "_c1", "_c2")}
-    out |= {f"_a_{x}": over(F.avg, x) for x in ("close", "volume", "_up", "_down", "_wv")}
-    out |= {f"_s_{x}": over(F.stddev_samp, x) for x in ("close", "volume", "_wv", "_c1", "_l1", "_c2", "_v2")}
-    out |= {f"_x_{x}": over(F.max, x) - over(F.min, x) for x in ("close", "volume", "_wv", "_l1", "_c1", "_c2", "_v2")}
-    out |= {f"_p_{x}": over(F.sum, x) for x in ("_gain", "_loss", "_abs", "_vgain", "_vloss", "_vabs")}
-    return out | {"_c12": over(F.covar_samp, "_c1", "_l1"), "_c22": over(F.covar_samp, "_c2", "_v2")}
-
-
-def rolling(n: int, eps: float = EPS) -> dict[str, Column]:
-    """The rolling set of one window from rolling_base, rolling_windows, and the trailing arrays _hi, _lo and _cl of at
-    least n bars."""
-    c, v = F.col("close"), F.col("volume")
-    col = F.col
-    full = lambda x, value: F.when(col(f"_k_{x}") >= n, value)
-    tail = lambda x: F.slice(x, -n, n)
-    std = lambda x: F.when(col(f"_x_{x}") == 0, F.lit(0.0)).otherwise(col(f"_s_{x}"))
-    imax = full("high", (n - F.array_position(tail("_hi"), col("_hh"))) / n)
-    imin = full("low", (n - F.array_position(tail("_lo"), col("_ll"))) / n)
-    slope = col("_ct") / (n * (n + 1) / 12)
-    moves = lambda value: F.when((col("_k_close") >= n) & (col("_x_close") > 0), value)
-    r = col("_ct") / (col("_s_close") * ((n * (n + 1) / 12) ** 0.5))
-    by_size = F.array_sort(tail("_cl"))
-
-    def at(q: float) -> Column:
-        k = q * (n - 1)
-        low = F.get(by_size, F.lit(int(k)))
-        return low if k == int(k) else low + (F.get(by_size, F.lit(int(k) + 1)) - low) * (k - int(k))
+#: Rows whose windows are held at once.
+ROWS = 2_048
+ROLLING = "ROC MA STD BETA RSQR RESI MAX MIN QTLU QTLD RANK RSV IMAX IMIN IMXD CORR CORD CNTP CNTN CNTD SUMP SUMN SUMD VMA VSTD WVMA VSUMP VSUMN VSUMD".split()
 
-    def corr(k: str, cov: str, x: str, y: str) -> Column:
-        return full(k, F.when((col(f"_x_{x}") > 0) & (col(f"_x_{y}") > 0), F.try_divide(col(cov), col(f"_s_{x}") * col(f"_s_{y}"))))
 
-    total, vtotal = full("_abs", col("_p__abs")) + eps, full("_vabs", col("_p__vabs")) + eps
-    hh, ll, mean = full("high", col("_hh")), full("low", col("_ll")), full("close", col("_a_close"))
-    ups, downs = full("_up", col("_a__up")), full("_up", col("_a__down"))
-    cols = {
-        "ROC": col("_lag") / c, "MA": mean / c, "STD": full("close", std("close")) / c, "BETA": moves(slope) / c, "RSQR": moves(r * r), "RESI": moves(c - col("_a_close") - slope * (n - 1) / 2) / c,
-        "MAX": hh / c, "MIN": ll / c, "QTLU": full("close", at(0.8)) / c, "QTLD": full("close", at(0.2)) / c, "RANK": full("close", ops.ts_rank(tail("_cl"))), "RSV": (c - ll) / (hh - ll + eps),
-        "IMAX": imax, "IMIN": imin, "IMXD": imax - imin, "CORR": corr("_c1", "_c12", "_c1", "_l1"), "CORD": corr("_c2", "_c22", "_c2", "_v2"), "CNTP": ups, "CNTN": downs, "CNTD": ups - downs,
-        "SUMP": col("_p__gain") / total, "SUMN": col("_p__loss") / total, "SUMD": (col("_p__gain") - col("_p__loss")) / total,
-        "VMA": full("volume", col("_a_volume")) / (v + eps), "VSTD": full("volume", std("volume")) / (v + eps), "WVMA": full("_wv", std("_wv")) / (full("_wv", col("_a__wv")) + eps),
-        "VSUMP": col("_p__vgain") / vtotal, "VSUMN": col("_p__vloss") / vtotal, "VSUMD": (col("_p__vgain") - col("_p__vloss")) / vtotal,
-    }
-    return {f"{k}{n}": x for k, x in cols.items()}
+def rolling(t: dict[str, np.ndarray], n: int, rows: int, eps: float = EPS) -> dict[str, np.ndarray]:
+    """The rolling set of one window for the last `rows` bars of the columns t, which hold n bars more, NaN before a series'
+    first. A window with a NaN gives NaN."""
+    over = lambda x: sliding_window_view(x[len(x) - rows - n + 1 :], n)
+    now = lambda x: x[len(x) - rows :]
+    c, v, close, high, low = now(t["close"]), now(t["volume"]), over(t["close"]), over(t["high"]), over(t["low"])
 
+    def deviation(w):
+        return np.where(w.max(1) == w.min(1), 0.0 * w[:, 0], w.std(1, ddof=1))
 
-def alpha158(bars: DataFrame, windows=WINDOWS, kbar: bool = True, price: bool = True) -> DataFrame:
-    """Nine candle shapes, four price ratios, and 29 rolling columns for each window. All windows share one partitioning and
-    order, so they need one shuffle and one sort. One trailing array of each field serves all windows; each aggregate of a
-    window is computed once, and goes as soon as it is used."""
+    def correlation(x, y):
+        x, y = np.where(np.isnan(y), np.nan, x), np.where(np.isnan(x), np.nan, y)
+        moves = (x.max(1) > x.min(1)) & (y.max(1) > y.min(1))
+        cov = ((x - x.mean(1)[:, None]) * (y - y.mean(1)[:, None])).sum(1) / (n - 1)
+        return np.where(moves, cov / (x.std(1, ddof=1) * y.std(1, ddof=1)), np.nan)
+
+    def shares(gain, loss, moved):
+        total = over(t[moved]).sum(1) + eps
+        return over(t[gain]).sum(1) / total, over(t[loss]).sum(1) / total
+
+    def at(q):
+        k = q * (n - 1)
+        below, above = sizes[:, int(k)], sizes[:, min(int(k) + 1, n - 1)]
+        return below + (above - below) * (k - int(k))
+
+    mean, hh, ll = close.mean(1), high.max(1), low.min(1)
+    sizes = np.where(np.isnan(mean)[:, None], np.nan, np.sort(close, axis=1))
+    slope = close @ (np.arange(n) - (n - 1) / 2) / (n - 1) / (n * (n + 1) / 12)
+    moves = close.max(1) > close.min(1)
+    r = slope * (n * (n + 1) / 12) ** 0.5 / close.std(1, ddof=1)
+    rank = ((close < close[:, -1:]).sum(1) + ((close == close[:, -1:]).sum(1) + 1) / 2) / n
+    place = lambda w, best: np.where(np.isnan(best), np.nan, (n - 1 - (w == best[:, None]).argmax(1)) / n)
+    imax, imin = place(high, hh), place(low, ll)
+    up, down, wv = over(t["up"]).mean(1), over(t["down"]).mean(1), over(t["wv"])
+    gain, loss = shares("gain", "loss", "moved")
+    vgain, vloss = shares("vgain", "vloss", "vmoved")
+    values = [
+        t["close"][len(t["close"]) - rows - n : len(t["close"]) - n] / c, mean / c, deviation(close) / c, np.where(moves, slope, np.nan) / c, np.where(moves, r * r, np.nan), np.where(moves, c - mean - slope * (n - 1) / 2, np.nan) / c,
+        hh / c, ll / c, at(0.8) / c, at(0.2) / c, np.where(np.isnan(mean), np.nan, rank), (c - ll) / (hh - ll + eps), imax, imin, imax - imin, correlation(close, over(t["lv"])), correlation(over(t["cr"]), over(t["vr"])),
+        up, down, up - down, gain, loss, gain - loss, over(t["volume"]).mean(1) / (v + eps), deviation(over(t["volume"])) / (v + eps), deviation(wv) / (wv.mean(1) + eps), vgain, vloss, vgain - vloss,
+    ]
+    return {f"{k}{n}": x for k, x in zip(ROLLING, values)}
+
+
+class _Rolling:
+    """The rolling sets of a series, with as many bars carried over as the largest window looks back."""
+
+    def __init__(self, windows):
+        self.windows, self.back = windows, max(windows) + 1
+        self.tail = {x: np.full(self.back, np.nan) for x in ("close", "high", "low", "volume")}
+        self.seen = 0
+
+    def feed(self, rows):
+        parts = []
+        for a in range(0, len(rows["close"]), ROWS):
+            parts.append(self.part({x: rows[x][a : a + ROWS].astype(float) for x in self.tail}))
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    def part(self, new):
+        n = len(new["close"])
+        t = {x: np.concatenate([self.tail[x], new[x]]) for x in self.tail}
+        self.tail = {x: v[-self.back :] for x, v in t.items()}
+        before = lambda x: np.concatenate([[np.nan], x[:-1]])
+        close, volume = t["close"], t["volume"]
+        up, dv, pc = close - before(close), volume - before(volume), before(close)
+        first = np.isnan(pc)  # also where the close before is missing
+        flat = lambda x: np.where(np.isnan(x), 0.0, np.maximum(x, 0.0))
+        t |= {"lv": np.log(volume + 1), "cr": close / pc, "vr": np.log(volume / before(volume) + 1), "moved": np.abs(up), "vmoved": np.abs(dv), "wv": np.abs(up / pc) * volume}
+        t |= {"up": np.where(first, 0.0, np.where(np.isnan(up), np.nan, up > 0)), "down": np.where(first, 0.0, np.where(np.isnan(up), np.nan, up < 0))}
+        t |= {k: np.where(first, np.nan, flat(x)) for k, x in (("gain", up), ("loss", -up), ("vgain", dv), ("vloss", -dv))}
+        self.seen += n
+        for k in ("up", "down"):  # what stands before the first bar is no bar
+            t[k][: max(0, self.back + n - self.seen)] = np.nan
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {k: x for w in self.windows for k, x in rolling(t, w, n).items()}
+
+
+def alpha158(bars: DataFrame, windows=WINDOWS, kbar: bool = True, price: bool = True, key=KEY) -> DataFrame:
+    """Nine candle shapes, four price ratios, and 29 rolling columns for each window, of which those are null that don't have
+    all their bars. Windows are taken in numpy over Arrow batches, with the last bars carried from batch to batch: one
+    shuffle and one sort by series, whatever the number of windows."""
     df = with_vwap(ops.by_key(bars))
     df = df.withColumns((candle() if kbar else {}) | (price_ratios() if price else {}))
-    df = rolling_base(df)
-    most = max(windows)
-    df = df.withColumns({f"_{x[:2] if x != 'close' else 'cl'}": F.collect_list(x).over(W(most)) for x in ("high", "low", "close")})
-    for n in windows:
-        spans = rolling_windows(n)
-        df = df.withColumns(spans)
-        df = df.withColumns(rolling(n)).drop(*spans)
-    return df.drop(*BASE, "_hi", "_lo", "_cl")
-
-
-def lag_set(bars: DataFrame, fields: str = "CLOSE,OPEN,HIGH,LOW,VWAP,VOLUME", windows: str = "0-59") -> DataFrame:
-    """Lagged fields by the current close, lagged volumes by the current volume; windows as '0-59' or '5,10'. One trailing
-    array of each field holds all its lags."""
+    names = ", ".join(f"{k}{n} double" for n in windows for k in ROLLING)
+    return scanned(df, names, lambda: _Rolling(windows), ["close", "high", "low", "volume"], key)
+
+
+class _Lags:
+    def __init__(self, fields, lags):
+        self.fields, self.lags = fields, lags
+        self.tail = {x: np.full(max(lags), np.nan) for x in fields.values()}
+
+    def feed(self, rows):
+        close, volume = rows["close"].astype(float), rows["volume"].astype(float) + EPS
+        n, out = len(close), {}
+        for f, x in self.fields.items():
+            every = np.concatenate([self.tail[x], rows[x].astype(float)])
+            by, at = volume if x == "volume" else close, len(every) - n
+            out |= {f"{f}{k}": every[at - k : at - k + n] / by for k in self.lags}
+            self.tail[x] = every[-max(self.lags) :] if max(self.lags) else every[:0]
+        return out
+
+
+def lag_set(bars: DataFrame, fields: str = "CLOSE,OPEN,HIGH,LOW,VWAP,VOLUME", windows: str = "0-59", key=KEY) -> DataFrame:
+    """Lagged fields by the current close, lagged volumes by the current volume; windows as '0-59' or '5,10'. The last
+    values of each field are carried from batch to batch."""
     lags = [k for part in windows.split(",") for k in (range(int(part.split("-")[0]), int(part.split("-")[1]) + 1) if "-" in part else [int(part)])]
     names = {f: f.strip().lower() for f in fields.split(",")}
-    df = with_vwap(ops.by_key(bars))
-    df = df.withColumns({f"_lags_{x}": F.collect_list(F.struct(F.col(x).alias("x"))).over(W(max(lags) + 1)) for x in names.values()})
-    cols = {}
-    for f, x in names.items():
-        by = F.col("volume") + EPS if x == "volume" else F.col("close")
-        cols |= {f"{f}{k}": F.get(f"_lags_{x}", F.size(f"_lags_{x}") - 1 - k)["x"] / by for k in lags}
-    return df.withColumns(cols).drop(*[f"_lags_{x}" for x in names.values()])
+    kinds = ", ".join(f"{f}{k} double" for f in names for k in lags)
+    return scanned(with_vwap(ops.by_key(bars)), kinds, lambda: _Lags(names, lags), list(dict.fromkeys([*names.values(), "close", "volume"])), key)
 
 
 def technical(df: DataFrame) -> DataFrame:

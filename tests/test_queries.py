@@ -59,3 +59,15 @@ def test_entry_without_the_optional_part(spark):
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_zones_of_the_query_are_its_sql_where_a_leg_left_the_newest(spark, tmp_path):
+    """Swings of six days each; the last finished leg, from 30 to 20, breaks the zone, and none follows."""
+    turns = [5, 0, 10, 3, 9, 8, 30, 20, 26]
+    path = [turns[0]] + [a + (b - a) * k / 6 for a, b in zip(turns, turns[1:]) for k in range(1, 7)]
+    moves = [path[0], *(b - a for a, b in zip(path, path[1:]))]
+    con = duckdb.connect()
+    con.execute("create table orders as select i as o_orderkey, 1 as o_custkey, 'F' as o_orderstatus, 250000 + 1000 * m as o_totalprice, timestamp '2000-01-01' + to_days(cast(i as integer)) as o_orderdate, 'a' as o_orderpriority from (select unnest(range(len($m))) as i, unnest($m) as m)", {"m": [float(m) for m in moves]})
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    got, want = registry.queries()["i50_pivot_zones"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["i50_pivot_zones"]).df()
+    assert len(want) > 0 and canon(got) == canon(want[got.columns])

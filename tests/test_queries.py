@@ -71,3 +71,22 @@ def test_zones_of_the_query_are_its_sql_where_a_leg_left_the_newest(spark, tmp_p
     con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
     got, want = registry.queries()["i50_pivot_zones"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["i50_pivot_zones"]).df()
     assert len(want) > 0 and canon(got) == canon(want[got.columns])
+
+
+def test_models_read_the_bars_once(spark, monkeypatch):
+    """Training goes over its rows many times; they are worked out from the tables once for all of it."""
+    seen = spark.sparkContext.accumulator(0)
+    bars = registry.weekly
+
+    def counted(spark, d):
+        def note(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = bars(spark, d)
+        return rows.mapInArrow(note, rows.schema)
+
+    monkeypatch.setattr(registry, "weekly", counted)
+    assert registry.queries()["t6_t9_e8_models"](spark, SMALL).count() == 2
+    assert seen.value == bars(spark, SMALL).count()

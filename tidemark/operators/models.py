@@ -1,6 +1,8 @@
 """Boosted trees on feature tables: training, prediction, saving, importances, comparison. Spark's own learners do the work."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +13,23 @@ from pyspark.sql import DataFrame, functions as F
 from . import evaluation, factors
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its rows worked out once, in their partitions as they come: in the checkpoint folder where the session has
+    one, else in the executors' storage. For what is trained on and compared several times."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+@contextmanager
+def held(df: DataFrame):
+    """df, whose rows are kept from their first use to the end of the block: learners go over them many times, and would
+    work out the rows again from their sources each time."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _complete(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Rows without a null among features and label; features with categories as doubles, as only these stay nominal when
     they are assembled."""
@@ -40,7 +59,8 @@ def train(df: DataFrame, features: list[str], label: str = "label", task: str =
         learner = GBTClassifier(**settings)
     else:
         learner = OneVsRest(classifier=GBTClassifier(**{k: v for k, v in settings.items() if k not in ("labelCol", "weightCol")}), featuresCol="_features", labelCol=label, weightCol=weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(df)
+    with held(df) as rows:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(rows)
 
 
 def train_forest(df: DataFrame, features: list[str], label: str = "label", depth: int = 5, trees: int = 50, weight: str | None = None, seed: int = 42) -> PipelineModel:
@@ -48,7 +68,8 @@ def train_forest(df: DataFrame, features: list[str], label: str = "label", depth
     df = _complete(df, features, label)
     bins = max([32, *[n for c, n in factors.categorical_info(df).items() if c in features]])
     learner = RandomForestClassifier(featuresCol="_features", labelCol=label, maxDepth=depth, numTrees=trees, seed=seed, maxBins=bins, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(df)
+    with held(df) as rows:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), learner]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

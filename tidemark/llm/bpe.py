@@ -11,7 +11,9 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,6 +21,8 @@ from . import common
 
 #: Distinct pieces of text, words and token pairs that one Python worker keeps results of.
 PIECES, WORDS, PAIRS = 300_000, 300_000, 1_000_000
+#: Bytes of text that a task encodes at once, about.
+SLICE = 8_000_000
 SPACE = "\t-\r \x85\xa0  -     　"
 _LOADED: dict = {}
 
@@ -60,9 +64,7 @@ class TrieBPE:
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
         self.shown = [str(i) for i in range(max(self.text_of, default=0) + 1)]
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-        self.none: set[str] = set()  # pieces without a token: white space of other kinds
+        self.known_pieces: dict[str, tuple[str, str]] = {}
 
     def _fits(self, left: str, right: str) -> bool:
         """Whether the encoding of left + right is just these two tokens. Undo the merges that made them, the latest
@@ -172,26 +174,38 @@ class TrieBPE:
         text_of = self.text_of
         return " ".join([text_of[i] for i in ids if i in text_of])
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[str, str, int]]:
+    def encode_array(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
         """(ids joined by spaces, decoded text, number of ids) of each whole text. A piece never shares a token with the
-        next, and decoding joins tokens by spaces, so the ids of a piece are found, and decoded, once for all its uses."""
+        next, and decoding joins tokens by spaces, so the ids of a piece are found, and decoded, once for all its uses:
+        Arrow tells the pieces apart and joins what is found for them."""
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        pieces = pc.list_flatten(split).dictionary_encode()
+        names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
+        missing = [p for p in names if p not in self.known_pieces]
+        if len(self.known_pieces) + len(missing) > PIECES:
+            common.trim(self.known_pieces, PIECES)
+            missing = [p for p in names if p not in self.known_pieces]
+        self.known_pieces.update(zip(missing, self.encode_pieces(missing)))
+        ids, decoded = zip(*map(self.known_pieces.__getitem__, names)) if names else ((), ())
+        count = np.array([x.count(" ") + 1 if x else 0 for x in ids], np.int64)
+        # pieces without a token go: white space of other kinds
+        some = count[at] > 0 if len(at) else np.zeros(0, bool)
+        starts = np.concatenate([[0], np.cumsum(some)])[ends]
+        at = pa.array(at[some])
+
+        def joined(found):
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), pa.array(found, pa.large_string()).take(at)), pa.scalar(" ", pa.large_string()))
+
+        tokens = np.concatenate([[0], np.cumsum(count[at.to_numpy(zero_copy_only=False)])])
+        return joined(ids), joined(decoded), tokens[starts[1:]] - tokens[starts[:-1]]
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[str, str, int]]:
+        """As encode_array, of a list, which is taken in parts."""
         out = []
         for a, b in common.sub_batches(texts):
-            split = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
-            missing = [p for p in set().union(*split) if p not in self.ids]
-            if len(self.ids) + len(missing) > PIECES:
-                for cache in (self.ids, self.tokens):
-                    common.trim(cache, PIECES)
-                missing = [p for p in set().union(*split) if p not in self.ids]
-            for p, (ids, text) in zip(missing, self.encode_pieces(missing)):
-                self.ids[p], self.tokens[p] = ids, text
-            none = {p for p in missing if not self.ids[p]} | {""}
-            self.none |= none
-            for pieces in split:
-                if not self.none.isdisjoint(pieces):
-                    pieces = [p for p in pieces if self.ids[p]]
-                ids = " ".join(map(self.ids.__getitem__, pieces))
-                out.append((ids, " ".join(map(self.tokens.__getitem__, pieces)), ids.count(" ") + 1 if ids else 0))
+            ids, decoded, n = self.encode_array(pa.array(texts[a:b], pa.large_string()))
+            out += zip(ids.to_pylist(), decoded.to_pylist(), n.tolist())
         return out
 
 
@@ -201,13 +215,21 @@ def load(path: str) -> TrieBPE:
     return _LOADED[path]
 
 
+def _sha256(texts: pa.Array) -> list[str]:
+    """Digests of the UTF-8 of large strings, without a copy of each."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
 def _digests(path: str):
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            got = bpe.encode_texts([t or "" for t in batch.column(1).to_pylist()])
-            sha = [[hashlib.sha256(x[k].encode()).hexdigest() for x in got] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[2] for x in got], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, n in common.slices(batch.column(1), SLICE):
+                ids, decoded, count = bpe.encode_array(pc.fill_null(batch.column(1).slice(at, n), ""))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), pa.array(_sha256(ids), pa.string()), pa.array(_sha256(decoded), pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

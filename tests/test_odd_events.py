@@ -5,7 +5,9 @@ import duckdb
 import pytest
 from test_queries import canon
 
+from tidemark.operators.bars import throttle
 from tidemark.plans import registry
+from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA
 
 #: Five types of 110 hours with gaps; each event stands three times, with values of its own, one copy after the other.
 BASE = """select i // 2 as event_id, timestamp '2024-01-01' + to_minutes(cast(i // 2 * 7 + 60 * (i // 300) as integer)) as ts, i % 7 as user_id, substr('abcde', cast(1 + hash(i) % 5 as integer), 1) as event_type, round(hash(i, k) % 10000 / 100, 2) as value, '' as props
@@ -38,7 +40,7 @@ def all_differ(spark, tmp_path, name, kinds=tuple(ODD)):
     return {k: n for k, n in found.items() if n}
 
 
-@pytest.mark.parametrize("name", ["bars_1h", "b1_drop_stale", "b4_fill_gaps", "b5_fill_from_second"])
+@pytest.mark.parametrize("name", ["bars_1h", "b1_drop_stale", "b4_fill_gaps", "b5_fill_from_second", "b7_throttle"])
 def test_odd_events(spark, tmp_path, name):
     assert all_differ(spark, tmp_path, name) == {}
 
@@ -51,3 +53,10 @@ def test_ties_over_files(spark, tmp_path):
     for k in range(3):  # each file holds the same events with other values, the later ones more of them
         con.execute(f"copy (select * replace (value + {k} as value) from e where event_id % 3 <= {k}) to '{tmp_path}/events.parquet/part-{k}.parquet'")
     assert differ(spark, con, tmp_path, "bars_1h") == 0
+
+
+
+def test_throttle_keeps_nan(spark):
+    bar = {"market": "m", "symbol": "s", "quote_currency": "q", "ins_type": 1, "timeframe": "1H", "start_time": 0, "current_time": 0, "close": float("nan"), "is_finished": True}
+    rows = spark.createDataFrame([tuple(bar.get(c) for c in BAR_COLUMNS)], BAR_SCHEMA)
+    assert throttle(rows).filter("isnan(close) and open is null").count() == 1

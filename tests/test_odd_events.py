@@ -40,7 +40,7 @@ def all_differ(spark, tmp_path, name, kinds=tuple(ODD)):
     return {k: n for k, n in found.items() if n}
 
 
-@pytest.mark.parametrize("name", ["bars_1h", "b1_drop_stale", "b4_fill_gaps", "b5_fill_from_second", "b7_throttle"])
+@pytest.mark.parametrize("name", ["bars_1h", "b1_drop_stale", "b4_fill_gaps", "b5_fill_from_second", "b7_throttle", "s10_mark"])
 def test_odd_events(spark, tmp_path, name):
     assert all_differ(spark, tmp_path, name) == {}
 

@@ -280,11 +280,13 @@ def positions(log: DataFrame) -> DataFrame:
 
 
 def mark(p: DataFrame, bars: DataFrame, at: str = "asof", block: int = DAY) -> DataFrame:
-    """Each row of p (symbol, asof) with the last close at or before its time: union and carry forward, in blocks of time."""
-    b = bars.select("symbol", F.col(TIME).alias("_t"), F.col("close").alias("_c"), F.lit(0).alias("_k"))
-    rest = p.drop("mark_price").withColumns({"_t": F.col(at), "_c": F.lit(None).cast("double"), "_k": F.lit(1)})
+    """Each row of p (symbol, asof) with the close of the last bar at or before its time: union and carry forward, in blocks of
+    time. A row or a bar without symbol or time meets none; a bar without a close leaves none."""
+    b = bars.filter(F.col("symbol").isNotNull() & F.col(TIME).isNotNull()).select("symbol", F.col(TIME).alias("_t"), F.struct("close").alias("_c"), F.lit(0).alias("_k"))
+    rest = p.drop("mark_price").withColumns({"_t": F.col(at), "_k": F.lit(1)})
     u = rest.unionByName(b, allowMissingColumns=True)
-    return running(u, ["symbol"], ["_t", "_k"], block, lasts={"mark_price": F.col("_c")}).filter("_k = 1").drop("_t", "_c", "_k")
+    u = running(u, ["symbol"], ["_t", "_k"], block, lasts={"_last": F.col("_c")}).filter("_k = 1")
+    return u.withColumn("mark_price", F.when(F.col("_t").isNotNull(), F.col("_last.close"))).drop("_t", "_c", "_k", "_last")
 
 
 def ledger(entries: DataFrame, block: int = 1 << 20) -> DataFrame:

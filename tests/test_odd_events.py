@@ -55,6 +55,9 @@ def test_ties_over_files(spark, tmp_path):
     assert differ(spark, con, tmp_path, "bars_1h") == 0
 
 
+def test_odd_events_in_profiles(spark, tmp_path):
+    assert all_differ(spark, tmp_path, "i41_volume_profile", ("no value", "no type")) == {}
+
 
 def test_throttle_keeps_nan(spark):
     bar = {"market": "m", "symbol": "s", "quote_currency": "q", "ins_type": 1, "timeframe": "1H", "start_time": 0, "current_time": 0, "close": float("nan"), "is_finished": True}
